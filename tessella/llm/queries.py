@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, mixing, secrets
+from tessella.llm import chat, mixing, neardup, secrets
 from tessella.llm.common import table
 
 QUERIES: dict = {}
@@ -58,6 +58,11 @@ def op8_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op9_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
+
+
 ORACLE_SQL["op3_chat_format"] = """
 WITH all_rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
