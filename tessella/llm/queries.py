@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, mixing, neardup, secrets
+from tessella.llm import chat, mixing, neardup, secrets, toxicity
 from tessella.llm.common import table
 
 QUERIES: dict = {}
@@ -63,6 +63,11 @@ def op9_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLE_SQL["op3_chat_format"] = """
 WITH all_rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
