@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, mixing, neardup, secrets, toxicity
+from tessella.llm import chat, mixing, neardup, secrets, toxicity, warc
 from tessella.llm.common import table
 
 QUERIES: dict = {}
@@ -43,6 +43,14 @@ def op3_chat_format(spark, sf_dir):
     )
 
 
+@query
+def op7_warc_index(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    found = warc.look_up(archive, pages.select(warc.url_key(F.col("url")).alias("key"), "page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op8_secret_scan(spark, sf_dir):
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -93,3 +101,11 @@ SELECT conv_id, n_turns, turns_sha256, CAST(length(learned) AS BIGINT) AS loss_c
   CAST(formatted_chars AS BIGINT) AS formatted_chars, wrong IS NULL AND last_role = 'assistant' AS valid,
   CASE WHEN wrong IS NOT NULL THEN wrong WHEN last_role <> 'assistant' THEN n_turns END AS error_turn
 FROM per"""
+
+ORACLE_SQL["op7_warc_index"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM g"""
