@@ -146,7 +146,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirmed(clusters: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Edges ``(a, b)`` that span the links within each cluster, confirmed on full sets."""
+    """Edges ``(a, b)`` from the smallest id of what is linked within each cluster to the
+    others of it; the links are confirmed on full sets."""
     clusters = written(clusters, "dup-clusters")
     wanted = written(clusters.select("rep").distinct(), "dup-wanted")
     texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
@@ -161,9 +162,11 @@ def _confirmed(clusters: DataFrame, docs: DataFrame, width: int, threshold: floa
             both = shared_counts(sets) if len(sets) > 2 else np.full((2, 2), float(len(np.intersect1d(*sets, assume_unique=True))) if len(sets) == 2 else 0)
             linked = 100 * both >= hundred * (size[:, None] + size[None] - both)
             np.fill_diagonal(linked, False)
-            if edges := _forest(linked)[0]:
-                e = ids[np.array(edges)]
-                yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
+            label = _forest(linked)[1]
+            for c in np.unique(label):
+                own = np.sort(ids[label == c])
+                if len(own) > 1:
+                    yield pd.DataFrame({"a": own[0], "b": own[1:]})
 
     joined = clusters.join(sets, clusters.rep == sets.id).select("cluster", "rep", "items")
     return joined.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(run, "a long, b long").distinct()

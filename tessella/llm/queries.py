@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, mixing, neardup, secrets, toxicity, warc
+from tessella.llm import chat, fingerprints, mixing, neardup, secrets, toxicity, warc
 from tessella.llm.common import table
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op3_chat_format(spark, sf_dir):
     )
 
 
+@query
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.edited_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_warc_index(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
