@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, fingerprints, mixing, neardup, secrets, toxicity, warc
+from tessella.llm import chat, fingerprints, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
 from tessella.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,12 @@ def op1_mix_sources(spark, sf_dir):
     return report.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@query
+def op2_license_scan(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return found.select("doc_id", "text_digest", "license_id", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
 @query
 def op3_chat_format(spark, sf_dir):
     more = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
@@ -43,11 +49,36 @@ def op3_chat_format(spark, sf_dir):
     )
 
 
+@query
+def op4_nearest_vectors(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.edited_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_sentencepiece(spark, sf_dir):
+    model = pieces.default_model()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
+    found = pieces.encode(docs, model, columns=["doc_id", "text_sha256"])
+    digests = found.select(
+        "doc_id",
+        "text_sha256",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.array_join(F.transform("scores", lambda x: F.round(x, 6).cast("string")), ";").alias("best_scores"),
+        F.to_json("edits").alias("edits"),
+        "ids",
+    )
+    keys = [c for c in digests.columns if c != "ids"]
+    back = pieces.decode(digests, model, keys)
+    same = F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")
+    return back.select("doc_id", "n_tokens", "ids_sha256", "best_scores", "edits", same.alias("round_trip"))
+
+
 @query
 def op7_warc_index(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -114,3 +145,14 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM g"""
+
+ORACLE_SQL["op4_nearest_vectors"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(CAST(0 AS DOUBLE), [x[1] * x[2] FOR x IN list_zip(q.e, c.e)]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
