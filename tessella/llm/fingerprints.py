@@ -24,21 +24,22 @@ def weighted_terms(text: Column) -> Column:
     A text without words has one term of its own."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-    pieces = F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.lit(0).cast("long")))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(1.0).alias("weight")))
 
     def counted(h: Column) -> Column:
         n = F.size(h)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
         ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(h, a).alias("term"), (b - a).cast("double").alias("weight")))
+        found = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(h, a).alias("term"), (b - a).cast("double").alias("weight")))
+        return F.when(n > 0, found).otherwise(none)
 
     # The sorted hashes are bound once, not spelled out again for each use.
-    return F.flatten(F.transform(F.array(pieces), counted))
+    return F.flatten(F.transform(F.array(hashes), counted))
 
 
-def _bid(term: Column, log_weight: Column, block: Column, k: int) -> Column:
+def _bid(term: Column, log_weight: Column, seed: Column, k: int) -> Column:
     """A word's bid for a sample, high half, with the mark of its (word, t), low half."""
-    h = F.xxhash64(term, block, F.lit(k))
+    h = F.xxhash64(seed, F.lit(k))
     h2 = F.xxhash64(h)
     unit = lambda x, at, n: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
     r = -F.log(unit(h, 0, 26) * unit(h, 26, 26))
@@ -59,7 +60,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples:
     """
     terms = texts.select(*keys, F.inline(weighted_terms(F.coalesce(F.col(text), F.lit("")))))
     terms = terms.select(*keys, "term", F.log("weight").alias("log_weight"), F.explode(F.array(*[F.lit(i) for i in range(samples // BLOCK)])).alias("block"))
-    least = [F.min(_bid(F.col("term"), F.col("log_weight"), F.col("block"), k)).alias(f"s{k}") for k in range(BLOCK)]
+    terms = terms.withColumn("seed", F.xxhash64("term", "block"))
+    least = [F.min(_bid(F.col("term"), F.col("log_weight"), F.col("seed"), k)).alias(f"s{k}") for k in range(BLOCK)]
     marks = F.array(*[F.shiftright(F.shiftleft(F.col(f"s{k}"), 32), 32).cast("int") for k in range(BLOCK)])
     blocks = terms.groupBy(*keys, "block").agg(*least).select(*keys, F.struct("block", marks.alias("marks")).alias("b"))
     parts = F.sort_array(F.collect_list("b"))
