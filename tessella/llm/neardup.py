@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
     main = written(main.where("n_main < n_all").withColumn("apart", F.col("n_all") - F.col("n_main")), "dup-main")
     if not main.isEmpty():
         some = own.select("node", "rep", "label").join(main, "node")
-        odd = F.ceil(F.col("apart") / F.lit(leaf))
-        every = F.ceil(F.col("n_all") / F.lit(leaf))
+        odd = F.ceil(F.col("apart") / F.lit(2 * leaf))
+        every = F.ceil(F.col("n_all") / F.lit(2 * leaf))
         place = F.xxhash64("rep", F.lit(1))
         left = some.where("label <> main").select("rep", "node", F.pmod(place, odd).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), every - 1)).alias("j"))
         right = some.select("rep", "node", F.explode(F.sequence(F.lit(0).cast("long"), odd - 1)).alias("i"), F.pmod(place, every).alias("j"))
