@@ -43,7 +43,7 @@ TABLES = {
       concat(p_brand, '/', p_type, '/', p_size) AS anchor_key FROM {part} WHERE p_partkey < 100""",
     "name_nodes": "SELECT concat('P', p_partkey) AS node_id, p_name AS name, p_brand AS synonym, p_type AS trade_name, concat(p_brand, '/', p_type, '/', p_size) AS struct_key FROM {part}",
     "history": """SELECT event_type AS model, CAST(day(ts) AS INT) AS epoch, round(avg(value), 4) AS metric FROM {events} GROUP BY 1, 2""",
-    "binary": "SELECT l.doc_id AS id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) AS score FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",
+    "labelled": "SELECT l.doc_id AS id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) AS score FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",
 }
 TABLES["scored"] = TABLES["scored"].replace("[[1, 2, 3, 4, 5]] AS ks", ", ".join(f"((o_orderkey * 7 + {k} * 13 + CAST(substr(o_orderpriority, 1, 1) AS INT) * 3) % 11 + 1) AS w{k}" for k in range(1, 6)))
 
