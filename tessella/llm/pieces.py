@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shingles import mixed
+
 NBEST = 4
 #: Stretches whose paths a task remembers; only speed depends on it.
 CACHE = 200_000
@@ -45,8 +47,101 @@ class Pieces:
         self.byte_score = min(score.values()) - 10
         self.byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.longest = max(map(len, self.score))
+        self._index()
         self.bytes = {i: model.id_to_piece(i).replace("▁", " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte_id.items()}
 
+    def _index(self) -> None:
+        """Hash tables of the pieces, for looking up many stretches at once: a second table
+        holds what finds its place in the first taken."""
+        self.power = np.cumprod(np.full(self.longest, 0x9E3779B97F4A7C15, np.uint64))
+        found = list(self.score.items())
+        self.piece_hash = np.zeros(len(found), np.uint64)
+        size_of = np.array([len(p) for p, _ in found])
+        for n in np.unique(size_of):
+            at = np.flatnonzero(size_of == n)
+            codes = np.array([[ord(c) for c in found[i][0]] for i in at], np.uint64)
+            self.piece_hash[at] = self._hashes(codes)[-1][:, 0]
+        self.piece_score = np.array([x[0] for _, x in found] + [-np.inf])
+        self.piece_id = np.array([x[1] for _, x in found] + [-1], np.int32)
+        size = 1 << 20
+        self.tables, left = [], np.arange(len(found))
+        while len(left):
+            slots = (self.piece_hash[left] >> np.uint64(20 * len(self.tables))) & np.uint64(size - 1)
+            _, first = np.unique(slots, return_index=True)
+            table = np.full(size, len(found), np.int32)
+            table[slots[first]] = left[first]
+            self.tables.append(table)
+            left = np.delete(left, first)
+        self.piece_hash = np.append(self.piece_hash, np.uint64(0))
+
+    def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each length from 1, the hashes of all runs of a matrix of code points."""
+        c = mixed(codes + np.uint64(1))
+        out, run = [], np.zeros_like(c)
+        for k in range(min(self.longest, codes.shape[1])):
+            run = run[:, : codes.shape[1] - k] + c[:, k:] * self.power[k]
+            out.append(mixed(run + np.uint64(k)))
+        return out
+
+    def best_many(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """``best`` of many stretches, those of one length side by side."""
+        out, groups = {}, {}
+        for w in words:
+            groups.setdefault(len(w), []).append(w)
+        for n, all_of in groups.items():
+            for a in range(0, len(all_of), 8192):
+                own = all_of[a : a + 8192]
+                if n > 64 or len(own) < 4:
+                    out.update((w, self._one(w)) for w in own)
+                    continue
+                codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+                which = []
+                for h in self._hashes(codes):
+                    at = np.full(h.shape, len(self.piece_hash) - 1, np.int32)
+                    for k, table in enumerate(self.tables):
+                        tried = table[(h >> np.uint64(20 * k)) & np.uint64((1 << 20) - 1)]
+                        at = np.where(self.piece_hash[tried] == h, tried, at)
+                    which.append(at.T)
+                odd = (which[0] == len(self.piece_hash) - 1).any(0)
+                score = [self.piece_score[w] for w in which]
+                ahead, via = np.full((n + 1, len(own)), -np.inf), np.zeros((n + 1, len(own)), np.int64)
+                ahead[0] = 0
+                for j in range(1, n + 1):
+                    for k in range(min(j, self.longest) - 1, -1, -1):
+                        v = ahead[j - 1 - k] + score[k][j - 1 - k]
+                        better = v > ahead[j]
+                        ahead[j][better] = v[better]
+                        via[j][better] = k
+                behind = np.full((n + 1, len(own)), -np.inf)
+                behind[n] = 0
+                rows = np.arange(len(own))
+                ids, count, end = np.zeros((len(own), n), np.int32), np.zeros(len(own), np.int64), np.full(len(own), n)
+                on = np.full((n + 1, len(own)), -1)
+                while (live := np.flatnonzero((end > 0) & ~odd)).size:
+                    e, k = end[live], via[end[live], live]
+                    start = e - 1 - k
+                    on[start, live] = k
+                    for m in np.unique(k):
+                        part = live[k == m]
+                        ids[part, n - 1 - count[part]] = self.piece_id[which[m][start[k == m], part]]
+                    count[live] += 1
+                    end[live] = start
+                loss = np.full(len(own), np.inf)
+                with np.errstate(invalid="ignore"):
+                    for i in range(n - 1, -1, -1):
+                        for k in range(min(n - i, self.longest)):
+                            v = score[k][i] + behind[i + 1 + k]
+                            behind[i] = np.maximum(behind[i], v)
+                            lost = ahead[n] - (ahead[i] + v)
+                            np.minimum(loss, np.where((on[i] != k) & ~np.isnan(lost), lost, np.inf), out=loss)
+                for r in rows:
+                    out[own[r]] = self._one(own[r]) if odd[r] else (ids[r, n - count[r] :].tobytes(), float(ahead[n, r]), max(float(loss[r]), 0.0))
+        return out
+
+    def _one(self, s: str) -> tuple[bytes, float, float]:
+        ids, score, loss = self.best(s)
+        return np.array(ids, np.int32).tobytes(), score, loss
+
     def edges(self, s: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
         """The lattice of a stretch, by end: (start, end, score, ids)."""
         out, get, longest = [], self.score.get, self.longest
@@ -117,27 +212,29 @@ class Encoder:
         self.pieces, self.nbest = load(path), nbest
         self.cache: dict = {}
 
-    def _best(self, s: str):
-        found = self.cache.get(s)
-        if found is None:
-            ids, score, loss = self.pieces.best(s)
-            found = (np.array(ids, np.int32).tobytes(), score, loss)
-            if len(s) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[s] = found
-        return found
-
-    def encode(self, text: str):
+    def encode_all(self, texts: list[str]) -> list:
+        """``encode`` of some texts; the best paths of all their new stretches are found together."""
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        stretches = [_STRETCH.findall(" " + t) if t else [] for t in texts]
+        new = set().union(*stretches).difference(self.cache)
+        self.cache.update(self.pieces.best_many(list(new)))
+        return [self.encode(s) for s in stretches]
+
+    def encode(self, stretches: list[str]):
         """(ids as bytes of int32, scores of the N best, their edits): an edit is
         (token, tokens replaced, ids put there), an alternative a list of edits."""
-        if not text:
+        if not stretches:
             return b"", [0.0], [[]]
-        stretches = _STRETCH.findall(" " + text)
-        found = [self._best(s) for s in stretches]
-        total = math.fsum(f[1] for f in found)
-        open_ = heapq.nsmallest(self.nbest - 1, ((f[2], i) for i, f in enumerate(found) if f[2] < math.inf))
-        places = sorted(i for _, i in open_)
+        parts, scores, loss = zip(*map(self.cache.__getitem__, stretches), strict=True)
+        total, loss = math.fsum(scores), np.array(loss)
+        most = min(self.nbest - 1, len(loss))
+        open_ = np.zeros(0, int)
+        if most:
+            edge = np.partition(loss, most - 1)[most - 1]
+            under = np.flatnonzero(loss < edge)
+            open_ = np.concatenate([under, np.flatnonzero(loss == edge)[: most - len(under)]])
+        places = sorted(int(i) for i in open_ if loss[i] < np.inf)
         paths = [self.pieces.nbest(stretches[i], self.nbest) for i in places]
         losses = [[p[0][0] - x[0] for x in p] for p in paths]
         start = (0.0, (0,) * len(places))
@@ -151,9 +248,9 @@ class Encoder:
                     if new not in seen:
                         seen.add(new)
                         heapq.heappush(queue, (math.fsum(losses[m][x] for m, x in enumerate(new)), new))
-        offsets = np.concatenate([[0], np.cumsum([len(f[0]) // 4 for f in found])]) if places else None
-        edits = [[(int(offsets[places[k]]), len(found[places[k]][0]) // 4, list(paths[k][x][1])) for k, x in enumerate(pick) if x] for _, pick in chosen]
-        return b"".join(f[0] for f in found), [total - loss for loss, _ in chosen], edits
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64)) // 4]) if places else None
+        edits = [[(int(offsets[places[k]]), len(parts[places[k]]) // 4, list(paths[k][x][1])) for k, x in enumerate(pick) if x] for _, pick in chosen]
+        return b"".join(parts), [total - loss for loss, _ in chosen], edits
 
 
 _EDIT = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -173,9 +270,10 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, columns: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, nbest)
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 200):
-                batch = whole_batch.slice(at, 200)
-                done = [encoder.encode(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for at in range(0, whole_batch.num_rows, 400):
+                batch = whole_batch.slice(at, 400)
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                done = encoder.encode_all(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(d[0]) // 4 for d in done])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(d[0] for d in done), np.int32)))
                 edits = pa.array([[[{"at": a, "n": n, "ids": x} for a, n, x in e] for e in d[2]] for d in done], pa.list_(pa.list_(_EDIT)))
