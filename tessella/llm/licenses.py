@@ -87,10 +87,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     listed = known.select(F.col("license_id"), digest(whole(canonical_lines(F.col("text")))).alias("known")).where(F.col("known") != digest(F.lit("")))
     listed = written(listed.groupBy("known").agg(F.min("license_id").alias("license_id")), "license-digests")
     rows = docs.select("doc_id", F.xxhash64("text").alias("__h"), canonical_lines(F.col("text")).alias("lines"))
-    rows = rows.select("doc_id", "__h", digest(whole(F.col("lines"))).alias("text_digest"), F.array_distinct(F.transform("lines", digest)).alias("line_digests"))
-    lines = rows.select("doc_id", "__h", F.explode("line_digests").alias("known")).join(listed, "known")
-    lines = lines.groupBy("doc_id", "__h").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
-    lines = written(lines.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k"), "line_licenses"), "license-lines")
-    slim = rows.select("doc_id", "__h", "text_digest").join(listed.withColumnRenamed("known", "text_digest"), "text_digest", "left")
-    out = slim.join(lines, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left")
-    return out.select("doc_id", "text_digest", "license_id", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    # One pass: the whole text's digest (first) and its lines' are looked up together, and
+    # come back together before anything is shuffled.
+    digests = F.transform(F.concat(F.array(whole(F.col("lines"))), "lines"), digest)
+    each = rows.select("doc_id", "__h", F.posexplode(digests).alias("pos", "known")).join(listed, "known", "left")
+    first = F.col("pos") == 0
+    out = each.groupBy("doc_id", "__h").agg(
+        F.max(F.when(first, F.col("known"))).alias("text_digest"), F.min(F.when(first, F.col("license_id"))).alias("license_id"),
+        F.sort_array(F.collect_set(F.when(~first, F.col("license_id")))).alias("line_licenses"), F.count_if(first).alias("__rows"),
+    )
+    return out.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows")))).select("doc_id", "text_digest", "license_id", "line_licenses")
