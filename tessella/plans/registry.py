@@ -21,5 +21,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _part in ("similarity", "graphs", "statistics", "evaluation", "sampling", "resolution"):
+for _part in ("similarity", "graphs", "statistics", "evaluation", "sampling", "resolution", "knowledge", "checks"):
     import_module(f"tessella.plans.{_part}_queries")
