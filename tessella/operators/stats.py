@@ -20,8 +20,8 @@ def finite(*cols: str) -> Column:
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``n, r`` over the finite pairs; a variance of zero gives null."""
-    ok = df.where(finite(x, y)).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"))
-    return ok.select("n", F.when((F.col("a") < F.col("b")) & (F.col("c") < F.col("d")), F.col("r")).alias("r"))
+    ok = df.where(finite(x, y)).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
+    return ok.select("n", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("r"))
 
 
 def avg_rank(df: DataFrame, x: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
