@@ -1,12 +1,13 @@
-"""Approximate nearest neighbours by shifted space-filling curves.
+"""Nearest neighbours, by shifted space-filling curves where these find enough, else exactly.
 
 Vectors are projected ``CURVES`` times to a few random orthonormal directions, shifted, and
 ordered along a Hilbert curve. Spark range-partitions each ordering; every block of
-``BLOCK`` neighbouring keys is searched together with the blocks beside it, so a query meets
-at least ``BLOCK`` vectors on either side. The windows' best are merged and reranked on the
-original vectors. Equal vectors are searched once, and answer with their smallest ids.
-
-Measured on 51,282 near-isotropic unit vectors of 64 values: see the README for recall.
+neighbouring keys is searched together with the blocks beside it, so a query meets at least
+a block of vectors on either side. The recall of a block size is measured beforehand: the
+exact neighbours of ``PROBES`` queries are looked up in the orderings. ``BLOCK`` is doubled
+until the recall is reached; when the windows would compare a query with as many vectors as
+there are, each query is compared with all vectors instead, block by block. Equal vectors are
+searched once, and answer with their smallest ids. See the README for measured recall.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from tessella.llm.hilbert import hilbert_keys
 
 CURVES, DIRECTIONS, BITS, BLOCK = 5, 4, 12, 8192
 SAMPLE_ROWS = 10_000
+#: The share of exact neighbours that the windows must hold, and the queries it is measured on.
+RECALL, PROBES = 0.95, 400
+#: Vectors of a block of the exact search: those that ask, those that answer; scores at once.
+ASKING, ANSWERING, SCORES = 16_384, 4096, 4_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -37,11 +42,67 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (dim.d if dim else -1))
 
 
-def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def best_of(asking: np.ndarray, a: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> pd.DataFrame:
+    """``rep, near, score``: for each row of ``a`` the ``most`` rows of ``x`` of largest inner
+    product, ties to the smaller id. Scores are summed from the first value to the last; the
+    matrix product only says which rows are worth that."""
+    most, found = min(most, len(ids)), []
+    longest = np.sqrt((x * x).sum(1).max()) if len(x) else 0
+    for at in range(0, len(a) if most else 0, step := max(1, SCORES // max(1, len(ids)))):
+        part = a[at : at + step]
+        scores = part @ x.T
+        least = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most] - 1e-9 * longest * np.sqrt((part * part).sum(1))
+        r, c = np.nonzero(~(scores < least[:, None]))
+        exact = np.zeros(len(r))
+        for d in range(x.shape[1]):
+            exact += part[r, d] * x[c, d]
+        order = np.lexsort((ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < most
+        found.append(pd.DataFrame({"rep": asking[at + r[keep]], "near": ids[c[keep]], "score": exact[keep]}))
+    return pd.concat(found) if found else pd.DataFrame({"rep": asking[:0], "near": ids[:0], "score": np.zeros(0)})
+
+
+def compared_with_all(asks: DataFrame, distinct: DataFrame, n_asks: int, n: int, most: int) -> DataFrame:
+    """``rep, near, score``: the ``most`` best of each block of ``distinct(rep, v)`` for each
+    row of ``asks(rep, v)``."""
+    chunks, parts = -(-n_asks // ASKING), -(-n // ANSWERING)
+    h = lambda k: F.pmod(F.xxhash64("rep"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)))
+    left = asks.select("rep", "v", F.lit(True).alias("asks"), h(max(chunks, 1)).alias("chunk"), each(parts).alias("part"))
+    right = distinct.select("rep", "v", F.lit(False).alias("asks"), each(chunks).alias("chunk"), h(max(parts, 1)).alias("part"))
+
+    def search(df: pd.DataFrame) -> pd.DataFrame:
+        ask, ids, x = df["asks"].to_numpy(), df["rep"].to_numpy(), np.stack(df["v"].to_numpy())
+        return best_of(ids[ask], x[ask], ids[~ask], x[~ask], most)
+
+    return left.unionByName(right).groupBy("chunk", "part").applyInPandas(search, "rep long, near long, score double")
+
+
+def first_of(pairs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best pairs of each ``rep``."""
+    at = F.row_number().over(W.partitionBy("rep").orderBy(F.col("score").desc(), "near"))
+    return pairs.withColumn("at", at).where(F.col("at") <= most).drop("at")
+
+
+def block_for(places: dict[int, np.ndarray], truth: list[tuple[int, int]], n: int, curves: int, block: int, recall: float) -> int | None:
+    """The least of ``block`` and its doubles at which a share ``recall`` of the pairs
+    ``truth`` lies in a common window on some curve, by ``places`` (a position on each curve
+    for each id); None when such windows hold as many vectors as there are."""
+    a, b = (np.stack([places[pair[i]] for pair in truth]) if truth else np.zeros((0, curves), np.int64) for i in (0, 1))
+    while 3 * curves * block < n:
+        if (np.abs(a // block - b // block) <= 1).any(1).sum() >= recall * len(truth):
+            return block
+        block *= 2
+    return None
+
+
+def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, block: int = BLOCK, seed: int = 11, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` (a condition on
     ``id``) holds, the k rows of largest inner product among the other rows, ties to the
     smaller id. Rows without a usable vector take no part; fewer rows give all there are.
-    Ids should be unique; repeated ids are rows of their own. Other columns are ignored."""
+    Ids should be unique; repeated ids are rows of their own. Other columns are ignored.
+    ``block`` is where the search for a size of block of the measured ``recall`` begins."""
     rows = written(usable(vectors, id_col, vector_col), "ann-vectors")
     first = rows.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     owners = written(first.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-distinct")
@@ -49,11 +110,26 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
     queries = written(queries, "ann-queries")
     distinct = owners.select("rep", "v").join(queries.select("rep").distinct().withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
 
+    n, most = owners.count(), k + 1
+    asking = distinct.where("asks").select("rep", "v")
+    n_asks = asking.count()
+    pairs = None
+    if n and 3 * curves * block < n:
+        pairs = _in_windows(owners, distinct, asking, n, n_asks, most, curves, block, seed, recall)
+    if pairs is None:
+        pairs = compared_with_all(asking, distinct.select("rep", "v"), n_asks, n, most)
+    scored = first_of(pairs, most).join(owners.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "ids", "score")
+    out = queries.join(scored, "rep").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _in_windows(owners: DataFrame, distinct: DataFrame, asking: DataFrame, n: int, n_asks: int, most: int, curves: int, block: int, seed: int, recall: float) -> DataFrame | None:
+    """``rep, near, score``: the best of the windows of each row that asks; None where windows
+    of the wanted recall would hold as many vectors as there are."""
     # Fitted on a bounded sample: the spread along the directions. The longest norm is exact.
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     longest = owners.agg(F.max(norm)).first()[0]
-    if longest is None:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     sample = np.array([r.v for r in owners.select("rep", "v").orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("v").collect()])
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
@@ -74,7 +150,16 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
                 yield df.assign(curve=np.int32(c), key=hilbert_keys(cells, BITS))[["curve", "key", "rep", "v", "asks"]]
 
     placed = numbered(distinct.mapInPandas(keyed, "curve int, key long, rep long, v array<double>, asks boolean"), [F.col("curve"), F.col("key"), F.col("rep")], "at")
-    n = owners.count()
+    # The exact neighbours of some queries, and where they lie on the curves.
+    some = asking.orderBy(F.xxhash64("rep", F.lit(seed))).limit(PROBES)
+    truth = [(r.rep, r.near) for r in first_of(compared_with_all(some, owners.select("rep", "v"), min(PROBES, n_asks), n, most), most).collect() if r.rep != r.near]
+    wanted = asking.sparkSession.createDataFrame([(i,) for i in {i for pair in truth for i in pair}], "rep long")
+    places: dict[int, np.ndarray] = {}
+    for r in placed.join(F.broadcast(wanted), "rep").select("rep", "curve", "at").collect():
+        places.setdefault(r.rep, np.zeros(curves, np.int64))[r.curve] = r.at - r.curve * n
+    block = block_for(places, truth, n, curves, block, recall)
+    if block is None:
+        return None
     here = F.floor((F.col("at") - F.col("curve").cast("long") * n) / block).cast("int")
     last = (n - 1) // block
     beside = F.filter(F.array(here - 1, here, here + 1), lambda b: (b >= 0) & (b <= last))
@@ -82,20 +167,7 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
         ask = (df["asks"] & (df["home"] == df["block"])).to_numpy()
-        ids = df["rep"].to_numpy()
-        x = np.stack(df["v"].to_numpy())
-        found = []
-        most = min(k + 1, len(ids))
-        for rows_ in np.array_split(np.flatnonzero(ask), max(1, ask.sum() // 256)):
-            scores = x[rows_] @ x.T
-            best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            found.append(pd.DataFrame({"rep": np.repeat(ids[rows_], most), "near": ids[best].ravel()}))
-        return pd.concat(found)
-
-    pairs = windows.groupBy("curve", "block").applyInPandas(search, "rep long, near long").distinct()
-    both = pairs.join(owners.select("rep", F.col("v").alias("a")), "rep").join(owners.select(F.col("rep").alias("near"), F.col("v").alias("b"), "ids"), "near")
-    exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = both.select("rep", "ids", exact.alias("score"))
-    out = queries.join(scored, "rep").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, x = df["rep"].to_numpy(), np.stack(df["v"].to_numpy())
+        return best_of(ids[ask], x[ask], ids, x, most)
+
+    return windows.groupBy("curve", "block").applyInPandas(search, "rep long, near long, score double").distinct()

@@ -143,6 +143,32 @@ def test_neighbours_recall_with_small_blocks(spark):
     assert hit / (5 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_neighbours_recall_is_measured_and_held(spark, monkeypatch, near):
+    """Fixed windows of 16 vectors a side find few neighbours in either table; scattered
+    vectors need the exact search, and groups only larger windows."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 24))[rng.integers(0, 200, 3000)] + rng.standard_normal((3000, 24)) * 0.02 if near else rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    used, real = [], neighbours.block_for
+    monkeypatch.setattr(neighbours, "block_for", lambda *a: used.append(real(*a)) or used[-1])
+    got = neighbours.nearest(df, F.col("id") % 20 == 0, 5, block=16).groupBy("query_id").agg(F.collect_set("vec_id").alias("n")).collect()
+    hit = 0
+    for r in got:
+        s = x @ x[r.query_id]
+        s[r.query_id] = -np.inf
+        hit += len(set(np.argsort(-s)[:5].tolist()) & set(r.n))
+    assert len(used) == 1 and (used[0] is not None) == near
+    assert len(got) == 150 and hit / (5 * len(got)) >= (0.9 if near else 1)
+
+
+def test_neighbours_ties_go_to_the_smaller_id(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i), 0.0]) for i in range(40)] + [(100, [1.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("id") == 100, 3).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     a = "red green blue blue blue one two three four five six seven"
     b = "red green blue blue one two three four nine ten"
