@@ -7,6 +7,10 @@ of known licence texts, normalised alike.
 
 from __future__ import annotations
 
+import itertools
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +52,64 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 }
 
 
+#: The licences whose full texts lie in ``license_texts`` (those above have
+#: theirs here): usual titles (none is one too), where the text may begin after its own
+#: title and headers, and where an appendix begins that may be left out.
+LAYOUTS = {
+    "MIT": (("MIT License", "The MIT License", "The MIT License (MIT)"), (), None),
+    "ISC": (("ISC License", "The ISC License"), (), None),
+    "0BSD": (("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"), (), None),
+    "BSD-2-Clause": (("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"), (), None),
+    "BSD-3-Clause": (("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License"), (), None),
+    "Zlib": (("zlib License", "The zlib License", "zlib/libpng license"), (), None),
+    "Unlicense": (("The Unlicense", "Unlicense"), (), None),
+    "BSL-1.0": (("Boost Software License",), ("Permission is hereby granted",), None),
+    "Apache-2.0": (("Apache License", "Apache License Version 2.0, January 2004"), ("TERMS AND CONDITIONS FOR USE",), "APPENDIX: How to apply"),
+    "MPL-2.0": (("Mozilla Public License, version 2.0",), ("1. Definitions",), "Exhibit A - Source Code Form"),
+    "CC0-1.0": (("CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"), ("CREATIVE COMMONS CORPORATION", "Statement of Purpose"), None),
+    "GPL-2.0": (("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",), ("Everyone is permitted", "Preamble"), "How to Apply These Terms"),
+    "GPL-3.0": (("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",), ("Everyone is permitted", "Preamble"), "How to Apply These Terms"),
+    "LGPL-2.1": (("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",), ("Everyone is permitted", "Preamble"), "How to Apply These Terms"),
+    "LGPL-3.0": (("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",), ("Everyone is permitted", "This version of the GNU Lesser"), None),
+}
+
+
+def full_text(license_id: str) -> str:
+    return KNOWN.get(license_id) or (Path(__file__).with_name("license_texts") / f"{license_id}.txt").read_text(encoding="utf-8")
+
+
+def usual_forms(license_id: str) -> set[str]:
+    """A licence's text with and without titles, headers, appendix and numbers of clauses,
+    and with either scheme of its links."""
+    if license_id not in LAYOUTS:
+        return {KNOWN[license_id]}
+    titles, starts, tail = LAYOUTS[license_id]
+    text = full_text(license_id)
+    ends = [len(text)] + ([text.rindex(tail)] if tail else [])
+    bodies = [(text[:end], ("",)) for end in ends]
+    for start, end in itertools.product(starts or ("",), ends):
+        bodies.append((text[text.index(start) : end], ("", *titles)))
+    if license_id.startswith("BSD-"):
+        bodies += [(re.sub(r"(?m)^\d\. ", "", body), t) for body, t in bodies]
+    forms = {f"{title}\n{body}" for body, titles_ in bodies for title in titles_}
+    return forms | {re.sub("https?://", scheme, f) for f in forms for scheme in ("http://", "https://")}
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """``license_id, text`` of the licences above; their number is fixed."""
-    return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])).alias("license_id", "text"))
+    """``license_id, text`` of the licences above, in their usual forms; their number is fixed."""
+    rows = [(name, form) for name in sorted({*KNOWN, *LAYOUTS}) for form in sorted(usual_forms(name))]
+    return spark.createDataFrame(rows, "license_id string, text string")
+
+
+#: A copyright line that names no year, as it is written; other words that follow are text.
+HOLDER = r"^[\s\p{Punct}]*Copyright:? (?!Holder|Owner|Licen[cs]e|Notice|Law|Act\b|Treat|Interest|Right|Disclaimer|Statement)[\p{Lu}<\[{]"
 
 
 def _canonical(line: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}©]+", " "))
     for old, new in SPELLINGS:
         plain = F.replace(plain, F.lit(old), F.lit(new))
-    notice = plain.rlike(r"^(?:copyright (?:c )?(?:©|[0-9]|by )|c [0-9]{4}|©|all rights reserved$)")
+    notice = plain.rlike(r"^(?:copyright (?:c |©|[0-9]|by )|c [0-9]{4}|©|all rights reserved$)") | line.rlike(HOLDER)
     return F.when(notice, F.lit("")).otherwise(F.trim(F.replace(plain, F.lit("©"), F.lit(""))))
 
 

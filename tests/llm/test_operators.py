@@ -87,6 +87,48 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, []), known).isEmpty()
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_usual_license_files(spark):
+    body = MIT_FILE[MIT_FILE.index("Permission") :]
+    files = [("MIT", MIT_FILE), ("MIT", body), ("MIT", "The MIT License (MIT)\nCopyright Jane Doe <jane@example.org>\n" + body), ("MIT", "Copyright 2020 Jane Doe. All rights reserved.\n" + body)]
+    files += [(None, MIT_FILE.replace("free of charge", "for a fee")), (None, "Copyright license\n" + body), (None, "")]
+    bsd = licenses.full_text("BSD-3-Clause")
+    files.append(("BSD-3-Clause", "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")))
+    apache = licenses.full_text("Apache-2.0")
+    files += [("Apache-2.0", apache[: apache.index("APPENDIX:")]), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2021 Jane Doe").replace("http:", "https:"))]
+    gpl = licenses.full_text("GPL-3.0")
+    files.append(("GPL-3.0", gpl[: gpl.index("How to Apply")].replace("https:", "http:")))
+    for name, (titles, starts, _) in licenses.LAYOUTS.items():
+        text = licenses.full_text(name)
+        own = text[text.index(starts[-1]) :] if starts else text
+        files += [(name, text), (name, "Copyright (C) The Authors\n" + own), (name, titles[0] + "\n\nCopyright (c) 2020 Jane Doe\n\n" + own)]
+    found = licenses.scan_licenses(docs(spark, [(i, t, "a") for i, (_, t) in enumerate(files)]), licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license_id for r in found} == {i: name for i, (name, _) in enumerate(files)}
+
+
 CHAT = "conv_id long, turn long, role string, text string, segments string"
 
 
