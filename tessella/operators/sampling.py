@@ -56,17 +56,28 @@ def negative_samples(positives: DataFrame, pools: DataFrame, known: DataFrame, a
 
     ``positives(source, relation, target, source_type, target_type)``, ``pools(type, at, id)``
     with ``at`` 0.. per type. Draw a: a hash of seed, edge and a picks the side (last bit) and
-    the place in the pool. A positive without a free draw gives no row.
+    the place in the pool. A positive without a free draw takes, of all its free edges, the
+    first by hash; where both sides have none, ``neg_source`` and ``neg_target`` are null.
     """
     sizes = pools.groupBy("type").agg(F.count("*").alias("size"))
+    edge = ["source", "relation", "target"]
+    new = lambda side, kept: [*edge, *kept, F.when(side == 0, F.col("id")).otherwise(F.col("source")).alias("neg_source"), F.when(side == 1, F.col("id")).otherwise(F.col("target")).alias("neg_target")]
+    k = known.select(F.col("source").alias("neg_source"), "relation", F.col("target").alias("neg_target"))
+    first = lambda rows, by: rows.join(k, ["neg_source", "relation", "neg_target"], "left_anti").groupBy(*edge).agg(F.min_by(F.struct("neg_source", "neg_target"), by).alias("n"))
+
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "relation", "target", "attempt")), 1, 12), 16, 10).cast("long")
     draws = positives.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).withColumn("h", h)
     draws = draws.withColumn("side", F.col("h") % 2).withColumn("type", F.when(F.col("side") == 0, F.col("source_type")).otherwise(F.col("target_type")))
     draws = draws.join(sizes, "type").withColumn("at", F.floor(F.col("h") / 2).cast("long") % F.col("size")).join(pools, ["type", "at"])
-    new = draws.select("source", "relation", "target", "attempt", F.when(F.col("side") == 0, F.col("id")).otherwise(F.col("source")).alias("neg_source"), F.when(F.col("side") == 1, F.col("id")).otherwise(F.col("target")).alias("neg_target"))
-    k = known.select(F.col("source").alias("neg_source"), "relation", F.col("target").alias("neg_target"))
-    free = new.join(k, ["neg_source", "relation", "neg_target"], "left_anti")
-    return free.groupBy("source", "relation", "target").agg(F.min_by(F.struct("neg_source", "neg_target"), "attempt").alias("n")).select("source", "relation", "target", "n.neg_source", "n.neg_target")
+    drawn = first(draws.select(*new(F.col("side"), ["attempt"])), "attempt")
+
+    # The few without a free draw are held against their entire pools.
+    left = positives.select(*edge, "source_type", "target_type").join(drawn, edge, "left_anti")
+    sided = left.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("type", F.when(F.col("side") == 0, F.col("source_type")).otherwise(F.col("target_type")))
+    every = sided.join(pools, "type").select(*new(F.col("side"), []))
+    rest = first(every, F.struct(order_key(seed, *edge, "neg_source", "neg_target"), "neg_source", "neg_target"))
+    found = drawn.unionByName(rest)
+    return positives.select(*edge).distinct().join(found, edge, "left").select(*edge, "n.neg_source", "n.neg_target")
 
 
 def capped_sample(edges: DataFrame, cap: int, seed: int, relation: str = "relation", keys: tuple[str, ...] = ("source", "target")) -> DataFrame:

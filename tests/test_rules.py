@@ -116,6 +116,25 @@ def test_negatives_are_unknown(spark):
     assert neg.join(known, ["neg_source", "relation", "neg_target"], "left_semi").isEmpty()
 
 
+def test_every_positive_has_a_negative(spark):
+    from tessella.plans.sampling_queries import edges, negative_samples
+
+    neg = negative_samples(spark, "/root/testdata/sf0.001")
+    assert neg.count() == edges(spark, "/root/testdata/sf0.001").count()
+    assert neg.where("neg_source is null or neg_target is null").isEmpty()
+
+
+def test_negatives_of_a_dense_relation(spark):
+    """All but one cell of r are known, and all of s."""
+    cells = [("r", f"a{i}", f"b{j}") for i in range(12) for j in range(12) if (i, j) != (3, 4)] + [("s", f"a{i}", f"b{j}") for i in range(12) for j in range(12)]
+    e = spark.createDataFrame([(a, r, b, "x", "y") for r, a, b in cells], "source string, relation string, target string, source_type string, target_type string")
+    pools = spark.createDataFrame([(t, i, f"{p}{i}") for t, p in (("x", "a"), ("y", "b")) for i in range(12)], "type string, at long, id string")
+    got = {(r.relation, r.source, r.target): (r.neg_source, r.neg_target) for r in P.negative_samples(e, pools, e).collect()}
+    assert len(got) == len(cells)
+    for (relation, a, b), n in got.items():
+        assert n == (("a3", "b4") if relation == "r" and (a == "a3" or b == "b4") else (None, None))
+
+
 def test_edges_merge_sources_between_bars(spark):
     rows = [("a", "b", "r", "x", "y", "p|q"), ("a", "b", "r", "x", "y", "q||o"), ("a", "c", "r", "x", "y", None)]
     got = {r.target: r.original_source for r in E.dedup_edges(spark.createDataFrame(rows, "source string, target string, relation string, source_type string, target_type string, original_source string")).collect()}
