@@ -13,6 +13,7 @@ confirmed on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -95,10 +96,19 @@ def _forest(linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     return edges, label
 
 
+def least_equal(k: int, threshold: float, miss: float = 1e-5) -> int:
+    """The most equal minima of ``k`` that a pair at the threshold falls short of with a
+    probability (the binomial tail) of ``miss`` at most."""
+    least, tail = 0, 0.0
+    while least < k and (tail := tail + comb(k, least) * threshold**least * (1 - threshold) ** (k - least)) <= miss:
+        least += 1
+    return least
+
+
 def _clusters(members: DataFrame, threshold: float) -> DataFrame:
     """``members(block, rep, n, mins)`` -> distinct ``(cluster, rep)``: within each block,
     sets that their sketches may join. A sketch passes at a share of equal minima that a
-    pair at the threshold misses with probability under 1e-5."""
+    pair at the threshold misses with probability 1e-5 at most (the exact binomial tail)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in _runs(batches, "block"):
@@ -107,7 +117,7 @@ def _clusters(members: DataFrame, threshold: float) -> DataFrame:
             ids, n = df["rep"].to_numpy(), df["n"].to_numpy()
             low = np.stack(df["mins"].to_numpy())
             k = low.shape[1]
-            least = k * (threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / k))
+            least = least_equal(k, threshold)
             near = np.zeros((len(df), len(df)), bool)
             for i in range(len(df)):
                 near[i] = ((low == low[i]).sum(1) >= least) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9)

@@ -3,6 +3,7 @@ column names, and brute-force versions where SQL can't say what is right."""
 
 import hashlib
 import itertools
+import math
 import re
 
 import numpy as np
@@ -87,6 +88,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, []), known).isEmpty()
 
 
+@pytest.mark.parametrize(("threshold", "least"), [(0.85, 17), (0.8, 15)])
+def test_sketches_rarely_miss_a_pair_at_the_threshold(spark, threshold, least):
+    tail = lambda m: sum(math.comb(32, i) * threshold**i * (1 - threshold) ** (32 - i) for i in range(m))
+    assert neardup.least_equal(32, threshold) == least and tail(least) <= 1e-5 < tail(least + 1)
+    for equal in (least, least - 1):
+        rows = [(1, 10, 50, list(range(32))), (1, 11, 50, [i if i < equal else -1 - i for i in range(32)])]
+        found = neardup._clusters(spark.createDataFrame(rows, "block long, rep long, n long, mins array<long>"), threshold)
+        assert found.count() == (2 if equal == least else 0)
+
+
 MIT_FILE = """MIT License
 
 Copyright (c) Jane Doe
