@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but
 the last return the columns of ``documents``. Toxic documents go; of each group of near
 duplicates (five words, similarity 0.8) the smallest doc_id stays; secrets are masked;
-sources are mixed to target weights, which repeats and drops rows; texts are encoded.
+sources are mixed to target weights, which repeats and drops rows; texts are encoded
+with the scores and edits of the N best paths.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, pieces.default_model(), nbest=1, columns=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "ids")
+    return pieces.encode(docs, pieces.default_model(), columns=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "ids", "scores", "edits")
 
 
 STAGES = [

@@ -98,6 +98,14 @@ def test_sketches_rarely_miss_a_pair_at_the_threshold(spark, threshold, least):
         assert found.count() == (2 if equal == least else 0)
 
 
+def test_pipeline_keeps_the_best_paths(spark):
+    import corpus_pipeline
+
+    r = corpus_pipeline.encoded(spark, spark.createDataFrame([(1, "some plain words to encode here", "en", "a")], "doc_id long, text string, lang string, source string"), "").first()
+    assert len(r.ids) > 0 and len(r.scores) == len(r.edits) == pieces.NBEST
+    assert list(r.scores) == sorted(r.scores, reverse=True)
+
+
 MIT_FILE = """MIT License
 
 Copyright (c) Jane Doe
