@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from tessella.llm.shingles import mixed
 
 NBEST = 4
-#: Stretches whose paths a task remembers; only speed depends on it.
-CACHE = 200_000
+#: Stretches whose paths a task remembers, and characters of text that it handles at once;
+#: only speed and memory depend on them.
+CACHE, BATCH_CHARS = 200_000, 4_000_000
 _STRETCH = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -83,64 +85,81 @@ class Pieces:
             out.append(mixed(run + np.uint64(k)))
         return out
 
-    def best_many(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
-        """``best`` of many stretches, those of one length side by side."""
-        out, groups = {}, {}
-        for w in words:
-            groups.setdefault(len(w), []).append(w)
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """The piece that each hash names, or the place after the last. What lost its place in a
+        table to another piece finds that one there, so only such hashes go on to the next."""
+        none, flat = len(self.piece_hash) - 1, h.ravel()
+        at = self.tables[0][flat & np.uint64((1 << 20) - 1)]
+        open_ = np.flatnonzero(at != none)
+        for k in range(len(self.tables)):
+            if k:
+                at[open_] = self.tables[k][(flat[open_] >> np.uint64(20 * k)) & np.uint64((1 << 20) - 1)]
+            open_ = open_[self.piece_hash[at[open_]] != flat[open_]]
+        at[open_] = none
+        return at.reshape(h.shape)
+
+    def best_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of many stretches, those of one length side by side: all ids, how many each
+        stretch has, scores and losses of the second-best."""
+        total = len(words)
+        parts: list = [None] * total
+        scores, losses = np.zeros(total), np.zeros(total)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(len(w), []).append(i)
+        alone = []
         for n, all_of in groups.items():
             for a in range(0, len(all_of), 8192):
-                own = all_of[a : a + 8192]
+                own = np.array(all_of[a : a + 8192])
                 if n > 64 or len(own) < 4:
-                    out.update((w, self._one(w)) for w in own)
+                    alone += own.tolist()
                     continue
-                codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
-                which = []
-                for h in self._hashes(codes):
-                    at = np.full(h.shape, len(self.piece_hash) - 1, np.int32)
-                    for k, table in enumerate(self.tables):
-                        tried = table[(h >> np.uint64(20 * k)) & np.uint64((1 << 20) - 1)]
-                        at = np.where(self.piece_hash[tried] == h, tried, at)
-                    which.append(at.T)
+                codes = np.frombuffer("".join([words[i] for i in own]).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+                which = [self._found(h).T for h in self._hashes(codes)]
                 odd = (which[0] == len(self.piece_hash) - 1).any(0)
                 score = [self.piece_score[w] for w in which]
+                live = [s > -np.inf for s in score]
+                some = [x.any(1) for x in live]
                 ahead, via = np.full((n + 1, len(own)), -np.inf), np.zeros((n + 1, len(own)), np.int64)
                 ahead[0] = 0
                 for j in range(1, n + 1):
                     for k in range(min(j, self.longest) - 1, -1, -1):
-                        v = ahead[j - 1 - k] + score[k][j - 1 - k]
-                        better = v > ahead[j]
-                        ahead[j][better] = v[better]
-                        via[j][better] = k
+                        if some[k][j - 1 - k]:
+                            v = ahead[j - 1 - k] + score[k][j - 1 - k]
+                            better = v > ahead[j]
+                            ahead[j][better] = v[better]
+                            via[j][better] = k
                 behind = np.full((n + 1, len(own)), -np.inf)
                 behind[n] = 0
-                rows = np.arange(len(own))
-                ids, count, end = np.zeros((len(own), n), np.int32), np.zeros(len(own), np.int64), np.full(len(own), n)
+                ids, used, end = np.zeros((len(own), n), np.int32), np.zeros(len(own), np.int64), np.full(len(own), n)
                 on = np.full((n + 1, len(own)), -1)
-                while (live := np.flatnonzero((end > 0) & ~odd)).size:
-                    e, k = end[live], via[end[live], live]
+                while (left := np.flatnonzero((end > 0) & ~odd)).size:
+                    e, k = end[left], via[end[left], left]
                     start = e - 1 - k
-                    on[start, live] = k
+                    on[start, left] = k
                     for m in np.unique(k):
-                        part = live[k == m]
-                        ids[part, n - 1 - count[part]] = self.piece_id[which[m][start[k == m], part]]
-                    count[live] += 1
-                    end[live] = start
+                        part = left[k == m]
+                        ids[part, n - 1 - used[part]] = self.piece_id[which[m][start[k == m], part]]
+                    used[left] += 1
+                    end[left] = start
                 loss = np.full(len(own), np.inf)
                 with np.errstate(invalid="ignore"):
                     for i in range(n - 1, -1, -1):
                         for k in range(min(n - i, self.longest)):
-                            v = score[k][i] + behind[i + 1 + k]
-                            behind[i] = np.maximum(behind[i], v)
-                            lost = ahead[n] - (ahead[i] + v)
-                            np.minimum(loss, np.where((on[i] != k) & ~np.isnan(lost), lost, np.inf), out=loss)
-                for r in rows:
-                    out[own[r]] = self._one(own[r]) if odd[r] else (ids[r, n - count[r] :].tobytes(), float(ahead[n, r]), max(float(loss[r]), 0.0))
-        return out
-
-    def _one(self, s: str) -> tuple[bytes, float, float]:
-        ids, score, loss = self.best(s)
-        return np.array(ids, np.int32).tobytes(), score, loss
+                            if some[k][i]:
+                                v = score[k][i] + behind[i + 1 + k]
+                                behind[i] = np.maximum(behind[i], v)
+                                lost = ahead[n] - (ahead[i] + v)
+                                np.fmin(loss, np.where(on[i] != k, lost, np.inf), out=loss)
+                scores[own], losses[own] = ahead[n], np.maximum(loss, 0)
+                for r, i in enumerate(own.tolist()):
+                    parts[i] = ids[r, n - used[r] :]
+                alone += own[odd].tolist()
+        for i in alone:
+            own_ids, scores[i], losses[i] = self.best(words[i])
+            parts[i] = np.array(own_ids, np.int32)
+        counts = np.fromiter(map(len, parts), np.int64, total)
+        return np.concatenate([np.zeros(0, np.int32), *parts]), counts, scores, losses
 
     def edges(self, s: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
         """The lattice of a stretch, by end: (start, end, score, ids)."""
@@ -184,21 +203,38 @@ class Pieces:
 
     def nbest(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths as (score, ids), best first: A* from the end, whose estimate of
-        what is left is the forward Viterbi score, so paths leave the queue in order."""
+        what is left is the forward Viterbi score, so paths leave the queue in order.
+
+        What an edge costs is what it loses against the forward score of its end, so partial
+        paths are ordered by score so far and exact estimate together; of equal ones the one
+        nearest the start goes on. The n best paths hold the n best ways from a position to
+        the end at most, so a position leaves the queue n times at most: the work grows with
+        the edges, however many paths tie.
+        """
         edges = self.edges(s)
         ahead = [0.0] + [-math.inf] * len(s)
         into: list[list] = [[] for _ in range(len(s) + 1)]
         for e in edges:
-            ahead[e[1]] = max(ahead[e[1]], ahead[e[0]] + e[2])
-            into[e[1]].append(e)
-        out, queue = [], [(-ahead[-1], (), len(s), 0.0)]
+            v = ahead[e[0]] + e[2]
+            if v > ahead[e[1]]:
+                ahead[e[1]] = v
+            into[e[1]].append((v, e[0], e[3]))
+        out, queue, taken, tick = [], [(0.0, len(s), 0, None)], [0] * (len(s) + 1), count(1)
         while queue and len(out) < n:
-            cost, ids, at, done = heapq.heappop(queue)
+            lost, at, _, path = heapq.heappop(queue)
+            if taken[at] == n:
+                continue
+            taken[at] += 1
             if at == 0:
-                out.append((done, ids))
+                ids = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                out.append((ahead[-1] - lost, tuple(ids)))
                 continue
-            for i, _, score, own in into[at]:
-                heapq.heappush(queue, (-(ahead[i] + done + score), own + ids, i, done + score))
+            for v, i, own in into[at]:
+                if taken[i] < n:
+                    heapq.heappush(queue, (lost + ahead[at] - v, i, next(tick), (own, path)))
         return out
 
 
@@ -208,60 +244,98 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
+    """Encodes batches of texts; remembers the paths of the stretches it has met."""
+
     def __init__(self, path: str, nbest: int):
         self.pieces, self.nbest = load(path), nbest
-        self.cache: dict = {}
-
-    def encode_all(self, texts: list[str]) -> list:
-        """``encode`` of some texts; the best paths of all their new stretches are found together."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.others: dict[str, list] = {}
+        self.ids, self.begin, self.score, self.loss = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
+
+    def _learn(self, new: list[str]) -> None:
+        ids, counts, score, loss = self.pieces.best_many(new)
+        self.place.update(zip(new, range(len(self.score), len(self.score) + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list]]:
+        """All ids of some texts, where each text's begin (n + 1), and for each text the scores
+        of its N best and their edits: an edit is (token, tokens replaced, ids put there), an
+        alternative a list of edits. The paths of all new stretches are found together."""
+        if len(self.place) >= CACHE:
+            self._forget()
         stretches = [_STRETCH.findall(" " + t) if t else [] for t in texts]
-        new = set().union(*stretches).difference(self.cache)
-        self.cache.update(self.pieces.best_many(list(new)))
-        return [self.encode(s) for s in stretches]
-
-    def encode(self, stretches: list[str]):
-        """(ids as bytes of int32, scores of the N best, their edits): an edit is
-        (token, tokens replaced, ids put there), an alternative a list of edits."""
-        if not stretches:
-            return b"", [0.0], [[]]
-        parts, scores, loss = zip(*map(self.cache.__getitem__, stretches), strict=True)
-        total, loss = math.fsum(scores), np.array(loss)
+        self._learn(list(set().union(*stretches).difference(self.place)))
+        bounds = np.cumsum([0, *map(len, stretches)])
+        at = np.fromiter((p for s in stretches for p in map(self.place.__getitem__, s)), np.int64, bounds[-1])
+        counts = self.begin[at + 1] - self.begin[at]
+        token = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.repeat(self.begin[at] - token[:-1], counts) + np.arange(token[-1])]
+        scores, loss = self.score[at], self.loss[at]
+        best, edits = [], []
+        for s, a, b in zip(stretches, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = self._alternatives(s, loss[a:b], token[a : b + 1] - token[a])
+            total = float(scores[a:b].sum())
+            best.append([total - lost for lost, _ in own])
+            edits.append([e for _, e in own])
+        return ids, token[bounds], best, edits
+
+    def _alternatives(self, stretches: list[str], loss: np.ndarray, token: np.ndarray) -> list[tuple[float, list]]:
+        """(loss, edits) of the N best paths of a text. Those beyond the first take other paths
+        only in the N - 1 stretches that lose least by it."""
         most = min(self.nbest - 1, len(loss))
-        open_ = np.zeros(0, int)
-        if most:
-            edge = np.partition(loss, most - 1)[most - 1]
-            under = np.flatnonzero(loss < edge)
-            open_ = np.concatenate([under, np.flatnonzero(loss == edge)[: most - len(under)]])
-        places = sorted(int(i) for i in open_ if loss[i] < np.inf)
-        paths = [self.pieces.nbest(stretches[i], self.nbest) for i in places]
-        losses = [[p[0][0] - x[0] for x in p] for p in paths]
+        if not most:
+            return [(0.0, [])]
+        edge = np.partition(loss, most - 1)[most - 1]
+        under = np.flatnonzero(loss < edge)
+        open_ = [*under.tolist(), *np.flatnonzero(loss == edge)[: most - len(under)].tolist()]
+        places = sorted(i for i in open_ if loss[i] < np.inf)
+        for i in places:
+            if stretches[i] not in self.others:
+                found = self.pieces.nbest(stretches[i], self.nbest)
+                self.others[stretches[i]] = [(found[0][0] - x[0], list(x[1])) for x in found]
+        paths = [self.others[stretches[i]] for i in places]
         start = (0.0, (0,) * len(places))
         queue, seen, chosen = [start], {start[1]}, []
         while queue and len(chosen) < self.nbest:
-            loss, pick = heapq.heappop(queue)
-            chosen.append((loss, pick))
+            lost, pick = heapq.heappop(queue)
+            chosen.append((lost, [(int(token[places[k]]), int(token[places[k] + 1] - token[places[k]]), paths[k][x][1]) for k, x in enumerate(pick) if x]))
             for k in range(len(places)):
                 if pick[k] + 1 < len(paths[k]):
                     new = (*pick[:k], pick[k] + 1, *pick[k + 1 :])
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(queue, (math.fsum(losses[m][x] for m, x in enumerate(new)), new))
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64)) // 4]) if places else None
-        edits = [[(int(offsets[places[k]]), len(parts[places[k]]) // 4, list(paths[k][x][1])) for k, x in enumerate(pick) if x] for _, pick in chosen]
-        return b"".join(parts), [total - loss for loss, _ in chosen], edits
+                        heapq.heappush(queue, (math.fsum(paths[m][x][0] for m, x in enumerate(new)), new))
+        return chosen
 
 
 _EDIT = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
+def _lists(values: list) -> tuple[pa.Array, list]:
+    """Offsets of the lists of a list, and all that they hold."""
+    return pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32)), [x for v in values for x in v]
+
+
 def encode(docs: DataFrame, model: str, nbest: int = NBEST, columns: list[str] | None = None) -> DataFrame:
     """``docs(*columns, text)`` -> ``*columns, ids array<int>, scores array<double>,
     edits array<array<struct<at, n, ids>>>``: the best path, and for each of the N best its
-    score and how it differs from the best (the first not at all). Null or empty text has no
-    ids and one path of score 0. ``model`` is the path of a model file on every machine."""
+    score and how it differs from the best (the first not at all).
+
+    Null or empty text has no ids and one path of score 0. Every row gives one row, repeated
+    rows the same. Texts are read whole; work and memory grow with a text's length, whatever
+    it holds. ``columns`` may not be named ``ids``, ``scores`` or ``edits`` (an error); other
+    columns are ignored; no rows give no rows. ``model`` is the path of a model file on every
+    machine. Of a model that holds merge ranks the lattice takes the log probabilities that
+    Zipf's law gives the ranks, so the best path isn't that model's own order of merges.
+    """
     columns = columns or ["doc_id"]
+    if clash := {"ids", "scores", "edits"}.intersection(columns):
+        raise ValueError(f"columns named as results: {sorted(clash)}")
     chosen = docs.select(*columns, F.col("text").alias("__text"))
     schema = docs.sparkSession.range(0).selectExpr("cast(null as array<int>) ids", "cast(null as array<double>) scores", "cast(null as array<array<struct<at: int, n: int, ids: array<int>>>>) edits").schema
     for field in reversed(docs.select(*columns).schema.fields):
@@ -269,19 +343,37 @@ def encode(docs: DataFrame, model: str, nbest: int = NBEST, columns: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, nbest)
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 400):
-                batch = whole_batch.slice(at, 400)
-                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                done = encoder.encode_all(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(d[0]) // 4 for d in done])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(d[0] for d in done), np.int32)))
-                edits = pa.array([[[{"at": a, "n": n, "ids": x} for a, n, x in e] for e in d[2]] for d in done], pa.list_(pa.list_(_EDIT)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array([d[1] for d in done], pa.list_(pa.float64())), edits], [*columns, "ids", "scores", "edits"])
+        for batch in batches:
+            for at, texts in text_chunks(batch.column(batch.num_columns - 1)):
+                ids, begin, best, edits = encoder.encode_all(texts)
+                of_best, scores = _lists(best)
+                of_edits, paths = _lists(edits)
+                of_paths, changes = _lists(paths)
+                of_ids, put = _lists([e[2] for e in changes])
+                changed = pa.StructArray.from_arrays([pa.array([e[0] for e in changes], pa.int32()), pa.array([e[1] for e in changes], pa.int32()), pa.ListArray.from_arrays(of_ids, pa.array(put, pa.int32()))], fields=list(_EDIT))
+                found = [
+                    pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids)),
+                    pa.ListArray.from_arrays(of_best, pa.array(scores, pa.float64())),
+                    pa.ListArray.from_arrays(of_edits, pa.ListArray.from_arrays(of_paths, changed)),
+                ]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), *found], [*columns, "ids", "scores", "edits"])
 
     return chosen.mapInArrow(run, schema)
 
 
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """A column of texts as (first row, texts) of about BATCH_CHARS; null is empty."""
+    start, size, part = 0, 0, []
+    for i, t in enumerate(column):
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size >= BATCH_CHARS:
+            yield start, part
+            start, size, part = i + 1, 0, []
+    if part:
+        yield start, part
+
+
 def alternative(ids, edits) -> F.Column:
     """The ids of one of the N best: the best's with the edits applied."""
     step = lambda acc, e: F.struct(

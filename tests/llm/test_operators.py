@@ -2,6 +2,7 @@
 column names, and brute-force versions where SQL can't say what is right."""
 
 import hashlib
+import heapq
 import itertools
 import math
 import re
@@ -273,14 +274,32 @@ def test_nbest_against_all_paths():
         ids, score, loss = p.best(s)
         assert score == pytest.approx(want[0][0]) and (len(want) < 2 or loss == pytest.approx(want[0][0] - want[1][0]))
     words = [" there", " where", " these", " xhere", " Ωμέγα", " thing"] * 2
-    many = p.best_many(list(dict.fromkeys(words)))
-    assert all(many[w][1] == pytest.approx(p.best(w)[1]) for w in words)
+    words = list(dict.fromkeys(words))
+    ids, counts, scores, losses = p.best_many(words)
+    for w, own, score, loss in zip(words, np.split(ids, np.cumsum(counts)[:-1]), scores, losses, strict=True):
+        assert (tuple(own), score, loss) == (p.best(w)[0], pytest.approx(p.best(w)[1]), pytest.approx(p.best(w)[2]))
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("word", [*("x" * n for n in range(499, 504)), "x" * 50_000, "-" * 50_000, "日本語漢字" * 10_000, "".join(np.random.default_rng(2).choice(list(BASE64), 50_000))], ids=lambda w: f"{w[:2]}{len(w)}")
+def test_nbest_of_long_words_is_that_of_a_dynamic_program(word):
+    p, n = pieces.load(pieces.default_model()), 4
+    into = [[] for _ in range(len(word) + 1)]
+    for i, j, score, _ in p.edges(word):
+        into[j].append((i, score))
+    best = [[0.0]]
+    for j in range(1, len(word) + 1):
+        best.append(heapq.nlargest(n, (x + score for i, score in into[j] for x in best[i])))
+    got = p.nbest(word, n)
+    assert [x[0] for x in got] == pytest.approx(best[-1], rel=1e-9) and len({x[1] for x in got}) == len(best[-1])
 
 
 def test_document_nbest_is_best_of_all(spark):
     p = pieces.load(pieces.default_model())
     text = "so is it"
-    (ids, scores, edits) = pieces.Encoder(pieces.default_model(), 4).encode_all([text])[0]
+    scores = pieces.Encoder(pieces.default_model(), 4).encode_all([text])[2][0]
     want = small_pieces(4, " " + text, p)
     assert [round(x, 9) for x in scores] == [round(x[0], 9) for x in want]
     df = pieces.encode(docs(spark, [(1, text, "a")]), pieces.default_model())
