@@ -19,53 +19,100 @@ SAMPLES = 48
 BLOCK = 8
 
 
-def weighted_terms(text: Column) -> Column:
-    """array<struct<term long, weight double>>: the text's words, hashed, with their counts.
-    A text without words has one term of its own."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-    none = F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(1.0).alias("weight")))
+def _runs(sorted_values: Column) -> Column:
+    """array<struct<value, n>>: the distinct values of a sorted array and how often each is there."""
 
     def counted(h: Column) -> Column:
         n = F.size(h)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
         ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))
-        found = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(h, a).alias("term"), (b - a).cast("double").alias("weight")))
-        return F.when(n > 0, found).otherwise(none)
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(h, a).alias("value"), (b - a).cast("double").alias("n")))
+
+    # The sorted values are bound once, not spelled out again for each use.
+    return F.flatten(F.transform(F.array(sorted_values), counted))
+
+
+def _hashed_words(text: Column, mark: int) -> Column:
+    """Hashes of all words, with ``mark`` (0 or 1) as last bit; 0 stands for a text without words."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 1), 1).bitwiseOR(F.lit(mark)))
+    return F.flatten(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.lit(mark).cast("long")))))
+
+
+def weighted_terms(text: Column) -> Column:
+    """array<struct<term long, w0 double>>: the text's words, hashed, with their counts.
+    A text without words has one term of its own."""
+    runs = _runs(F.sort_array(_hashed_words(text, 1)))
+    return F.transform(runs, lambda r: F.struct(r["value"].alias("term"), r["n"].alias("w0")))
+
 
-    # The sorted hashes are bound once, not spelled out again for each use.
-    return F.flatten(F.transform(F.array(hashes), counted))
+def weighted_terms_of_two(text: Column, other: Column) -> Column:
+    """array<struct<term long, w0 double, w1 double>>: the words of two texts, hashed, with
+    their counts in each (0 where a text hasn't the word)."""
 
+    def merged(runs: Column) -> Column:
+        term = lambda i: F.get(runs, i)["value"].bitwiseOR(F.lit(1))
+        firsts = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
 
-def _bid(term: Column, log_weight: Column, seed: Column, k: int) -> Column:
-    """A word's bid for a sample, high half, with the mark of its (word, t), low half."""
+        def one(i: Column) -> Column:
+            here, after = F.get(runs, i), F.get(runs, i + 1)
+            own = here["value"] != term(i)
+            both = own & F.coalesce(after["value"] == term(i), F.lit(False))
+            return F.struct(term(i).alias("term"), F.when(own, here["n"]).otherwise(0.0).alias("w0"), F.when(~own, here["n"]).when(both, after["n"]).otherwise(0.0).alias("w1"))
+
+        return F.transform(firsts, one)
+
+    runs = _runs(F.sort_array(F.concat(_hashed_words(text, 0), _hashed_words(other, 1))))
+    return F.flatten(F.transform(F.array(runs), merged))
+
+
+def _bids(term: Column, log_weights: list[Column], seed: Column, k: int) -> list[Column]:
+    """A word's bids for a sample, one for each weight, from one draw: the bid in the high
+    half, the mark of the word and its t in the low half. A null weight makes no bid."""
     h = F.xxhash64(seed, F.lit(k))
     h2 = F.xxhash64(h)
     unit = lambda x, at, n: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
     r = -F.log(unit(h, 0, 26) * unit(h, 26, 26))
     log_c = F.log(-F.log(unit(h2, 0, 26) * unit(h2, 26, 26)))
     b = unit(h, 52, 12)
-    t = F.floor(log_weight / r + b)
-    bid = log_c - r * (t - b + 1.0)
-    mark = term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(((bid + 128.0) * F.lit(2.0**23)).cast("long"), 32).bitwiseOR(mark)
 
+    def bid(log_weight: Column) -> Column:
+        t = F.floor(log_weight / r + b)
+        mark = term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft(((log_c - r * (t - b + 1.0) + 128.0) * F.lit(2.0**23)).cast("long"), 32).bitwiseOR(mark)
+
+    return [bid(x) for x in log_weights]
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``texts(*keys, text)`` -> ``*keys, marks array<int>``, one row per distinct key.
 
-    Rows that share their keys are one document, whose terms' bids all count; a null or
-    empty text, or one of white space, has a fingerprint of its own that only such texts
-    share. No rows give no rows. Bids of a partition are aggregated before any shuffle.
+def _marked(terms: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
+    """``terms(*keys, term, *weights)`` -> ``*keys``, and for each weight ``m_<weight>
+    array<int>``, the marks of the lowest bids."""
+    logs = [F.log(w).alias(f"log_{w}") for w in weights]
+    rows = terms.select(*keys, "term", *logs, F.explode(F.array(*[F.lit(i) for i in range(-(-samples // BLOCK))])).alias("block"))
+    rows = rows.withColumn("seed", F.xxhash64("term", "block"))
+    least = []
+    for k in range(BLOCK):
+        bids = _bids(F.col("term"), [F.col(f"log_{w}") for w in weights], F.col("seed"), k)
+        least += [F.min(bid).alias(f"{w}_{k}") for w, bid in zip(weights, bids, strict=True)]
+    low = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
+    marks = [F.array(*[low(f"{w}_{k}") for k in range(BLOCK)]).alias(w) for w in weights]
+    blocks = rows.groupBy(*keys, "block").agg(*least).select(*keys, F.struct("block", *marks).alias("b"))
+    found = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("b"))
+    return found.select(*keys, *[F.slice(F.flatten(F.col(f"b.{w}")), 1, samples).alias(f"m_{w}") for w in weights])
+
+
+def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """``texts(*keys, text)`` -> ``*keys, marks array<int>``, one row per distinct key, with
+    ``samples`` marks.
+
+    Rows that share their keys are one document, whose terms' bids all count; a null key is a
+    key. A null or empty text, or one of white space, has a fingerprint of its own that only
+    such texts share. Texts are read whole, long ones too. Other columns are ignored; keys may
+    not be named ``term``, ``block``, ``seed``, ``b`` or ``marks``. No rows give no rows. Bids
+    of a partition are aggregated before any shuffle.
     """
     terms = texts.select(*keys, F.inline(weighted_terms(F.coalesce(F.col(text), F.lit("")))))
-    terms = terms.select(*keys, "term", F.log("weight").alias("log_weight"), F.explode(F.array(*[F.lit(i) for i in range(samples // BLOCK)])).alias("block"))
-    terms = terms.withColumn("seed", F.xxhash64("term", "block"))
-    least = [F.min(_bid(F.col("term"), F.col("log_weight"), F.col("seed"), k)).alias(f"s{k}") for k in range(BLOCK)]
-    marks = F.array(*[F.shiftright(F.shiftleft(F.col(f"s{k}"), 32), 32).cast("int") for k in range(BLOCK)])
-    blocks = terms.groupBy(*keys, "block").agg(*least).select(*keys, F.struct("block", marks.alias("marks")).alias("b"))
-    parts = F.sort_array(F.collect_list("b"))
-    return blocks.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda b: b["marks"])).alias("marks"))
+    return _marked(terms, keys, ["w0"], samples).withColumnRenamed("m_w0", "marks")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,40 +125,54 @@ def as_text(marks: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, next_id``: the next document in descending doc_id, the last being
-    followed by the first."""
-    order = written(numbered(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")), [F.col("doc_id").desc()], "i"), "print-order")
+    """``docs(k, h, doc_id, n_chars, text)`` -> one row for each distinct (k, h), which are
+    equal rows: ``i, k, h, doc_id, n_chars, copies, next_i, next_k, next_h``. The order is
+    descending doc_id (null last), then h; the last is followed by the first."""
+    distinct = docs.groupBy("k", "h").agg(F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    order = written(numbered(distinct, [F.col("doc_id").desc_nulls_last(), F.col("h")], "i"), "print-order")
     n = order.count()
-    after = order.select(((F.col("i") + F.lit(n) - 1) % F.lit(max(n, 1))).alias("i"), F.col("doc_id").alias("next_id"))
-    return written(order.join(after, "i").select("doc_id", "n_chars", "next_id"), "print-next")
+    after = order.select(((F.col("i") + F.lit(n) - 1) % F.lit(max(n, 1))).alias("i"), F.col("i").alias("next_i"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
+    return written(order.join(after, "i"), "print-next")
 
 
-def edited_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, whose last third is replaced by
-    the beginning of the next document, and their likenesses."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def edited_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next``: fingerprints of every text and of its edited
+    text, whose last third is replaced by the beginning of the next document (the first, after
+    the last), and their likenesses.
+
+    One row per row. Documents follow each other by descending doc_id, rows without one last,
+    rows of one doc_id by a hash of their texts; so of equal rows each but one is followed by
+    an equal row. A null text is the empty text. Other columns are ignored, whatever their
+    names; a single row is followed by itself; no rows give no rows.
+    """
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce("doc_id", F.lit(0).cast("long")), "h": F.xxhash64("text", F.col("doc_id").isNull()), "n_chars": F.length("text").cast("long")})
     nexts = with_next(docs)
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    # The texts are shuffled once by doc_id: both joins share that exchange.
-    lent = docs.join(nexts.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), "n_chars"), "doc_id")
-    lent = lent.select(F.col("to_id").alias("doc_id"), "n_chars", F.substring(F.col("text"), F.lit(1), third).alias("tail"))
-    edited = docs.join(lent, "doc_id").select("doc_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), "tail").alias("edited"), "n_chars")
-    both = edited.select(
-        "doc_id",
-        F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("n_chars"), F.lit(None).cast("string").alias("sha"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("text")))),
-    )
-    prints = fingerprints(both, ["doc_id", "kind", "n_chars", "sha"])
-    two = prints.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "n_chars", "sha", "marks"))).alias("p"))
-    at = lambda i: F.col("p")[i]
-    pairs = two.select("doc_id", at(0)["n_chars"].alias("n_chars"), at(1)["sha"].alias("edited_sha256"), at(0)["marks"].alias("marks"), at(1)["marks"].alias("edited_marks"))
-    pairs = written(pairs, "prints")
-    after = nexts.select("doc_id", "next_id").join(pairs.select(F.col("doc_id").alias("next_id"), F.col("marks").alias("next_marks")), "next_id").select("doc_id", "next_marks")
-    return pairs.join(after, "doc_id").select(
+    # The texts are shuffled once by (k, h): both joins and the aggregation share that exchange.
+    texts = docs.select("k", "h", "text")
+    lent = texts.join(nexts.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "i", "n_chars", "copies"), ["k", "h"])
+    lent = lent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "i", "n_chars", "copies", F.substring("text", F.lit(1), third).alias("tail"))
+    lent = lent.dropDuplicates(["k", "h", "i"])
+    own = F.struct(F.lit(1).alias("again"), F.substring("text", F.lit(1), third).alias("tail"))
+    ends = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("again"), F.col("tail")), own)).otherwise(F.array(F.struct(F.lit(0).alias("again"), F.col("tail"))))
+    edited = texts.join(lent, ["k", "h"]).select("k", "h", "i", "n_chars", "text", F.inline(ends))
+    edited = edited.select("k", "h", "i", "again", "n_chars", "text", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "tail").alias("edited"))
+    keys = ["k", "h", "i", "again", "n_chars", "sha"]
+    terms = edited.select(*keys[:-1], F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.inline(weighted_terms_of_two(F.col("text"), F.col("edited"))))
+    prints = written(_marked(terms, keys, ["w0", "w1"], samples), "prints")
+    after = prints.where("again = 0").select(F.col("i").alias("next_i"), F.col("m_w0").alias("next_marks"))
+    after = nexts.select("i", "doc_id", "copies", "next_i").join(after, "next_i").select("i", "doc_id", "copies", "next_marks")
+    out = prints.join(after, "i").withColumn("next_marks", F.when(F.col("again") == 1, F.col("m_w0")).otherwise(F.col("next_marks")))
+    rows = F.when(F.col("again") == 1, F.col("copies") - 1).otherwise(F.lit(1).cast("long"))
+    return out.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        as_text(F.col("marks")).alias("fingerprint"),
-        as_text(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
-        likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
-    )
+        F.col("sha").alias("edited_sha256"),
+        as_text(F.col("m_w0")).alias("fingerprint"),
+        as_text(F.col("m_w1")).alias("edited_fingerprint"),
+        likeness(F.col("m_w0"), F.col("m_w1")).alias("near_edited"),
+        likeness(F.col("m_w0"), F.col("next_marks")).alias("near_next"),
+        F.explode(F.sequence(F.lit(1).cast("long"), rows)).alias("row"),
+    ).drop("row")

@@ -242,15 +242,46 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert fingerprints.fingerprints(df.limit(0), ["doc_id"]).isEmpty()
 
 
+def agreement(a, b):
+    """Share of equal marks of two fingerprints as text."""
+    x, y = ([f[i : i + 8] for i in range(0, len(f), 8)] for f in (a, b))
+    return sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
+
+
 def test_edited_texts(spark):
-    rows = [(1, "abcdefghi"), (5, "é" * 7), (9, None), (11, "xy"), (12, "one two three four five")]
-    got = {r.doc_id: r for r in fingerprints.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    order = sorted(rows, reverse=True)
-    for i, (k, t) in enumerate(order):
-        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+    rows = [(1, "abcdefghi"), (5, "é" * 7), (9, None), (11, "xy"), (12, "one two three four five"), (12, "another text of twelve"), (None, "no id"), (None, "no id"), (None, ""), (7, "twice the same"), (7, "twice the same"), (7, "twice the same")]
+    df = spark.createDataFrame([(*r, "k", "i", 1) for r in rows], "doc_id long, text string, k string, i string, n_chars int")
+    got = fingerprints.edited_report(df).collect()
+    assert len(got) == len(rows)
+    mark = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("h")).collect()
+    order = sorted(mark, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = []
+    for i, r in enumerate(order):
+        t, nxt = r.text, order[(i + 1) % len(order)].text
         n = len(t) // 3
-        assert got[k].edited_sha256 == hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest() and got[k].n_chars == len(t)
-        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
+        want.append((r.doc_id, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in got)
+    prints = {r.doc_id: r.fingerprint for r in got if r.doc_id not in (12, None)}
+    for r in got:
+        assert r.near_edited == pytest.approx(agreement(r.fingerprint, r.edited_fingerprint)) and 0 <= r.near_next <= 1
+    assert {r.doc_id: r.near_next for r in got if r.doc_id in (9, 5)} == pytest.approx({9: agreement(prints[9], prints[7]), 5: agreement(prints[5], prints[1])})
+    assert sorted(r.near_next for r in got if r.doc_id == 7)[1:] == [1, 1]
+    assert fingerprints.edited_report(df.limit(0)).isEmpty()
+    alone = fingerprints.edited_report(df.where("doc_id = 1")).first()
+    assert alone.near_next == 1
+
+
+def test_two_fingerprints_from_one_draw_are_those_of_each_text(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30, int(rng.integers(0, 60))))) for i in range(40)] + [(40, None), (41, "x " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    report = {r.doc_id: r for r in fingerprints.edited_report(df, samples=20).collect()}
+    plain = {r.doc_id: r.f for r in fingerprints.fingerprints(df, ["doc_id"], samples=20).select("doc_id", fingerprints.as_text(F.col("marks")).alias("f")).collect()}
+    assert {i: r.fingerprint for i, r in report.items()} == plain and {len(f) for f in plain.values()} == {160}
+    texts = [t or "" for _, t in sorted(rows, reverse=True)]
+    edited = [(i, t[: len(t) - len(t) // 3] + texts[(k + 1) % len(texts)][: len(t) // 3]) for k, (i, t) in enumerate(zip(sorted(dict(rows), reverse=True), texts))]
+    again = fingerprints.fingerprints(spark.createDataFrame(edited, "doc_id long, text string"), ["doc_id"], samples=20).select("doc_id", fingerprints.as_text(F.col("marks")).alias("f"))
+    assert {i: r.edited_fingerprint for i, r in report.items()} == {r.doc_id: r.f for r in again.collect()}
 
 
 def small_pieces(n, s, p):
