@@ -4,15 +4,22 @@ Documents become sets of word shingles. Equal sets fall together first; then eac
 ``trees`` independent trees branches the distinct sets: at every level a set goes to the
 children named by its minimum under ``branches`` selected hash functions, so two sets of
 similarity J part only with probability (1 - J) ** branches. Nodes with one set end; nodes
-of up to ``leaf`` sets are compared exhaustively; larger ones branch again. Nodes that are
-still larger at the last level (families of near copies) are compared in blocks, and what
-no block ties to the node's main component is compared with the whole node. Every link is
-confirmed on the full sets.
+of up to ``leaf`` sets are compared exhaustively; larger ones branch again, unless they keep
+more than half of their parent: such families of near copies aren't split by their minima.
+
+A family is compared with one of its sets, its leader, and so is what no branching splits.
+Let D be a set's symmetric difference with the leader. A set without a link to the leader
+can be linked only to sets whose D shares an item with its own, and shares more than
+(|D| - k (size - leader's size)) / 2 of theirs, k = (1 - threshold) / (1 + threshold). So
+of each set the rarest items of D suffice as index, and what is in the family without a link
+to the leader looks itself up there by all items of its own D: work grows with the family's
+differences, not with its pairs. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -20,11 +27,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella.llm.common import components, written
 from tessella.llm.shingles import chunks, minwise, mixed, shingle_sets
 
-TREES, LEVELS, BRANCHES, LEAF, FUNCTIONS = 4, 2, 2, 256, 32
+TREES, LEVELS, BRANCHES, LEAF, FUNCTIONS = 4, 8, 2, 256, 32
+#: Minima by which a family's leader is chosen, and members that one task holds beside it.
+LEADING, PIECE = 8, 2048
+#: Names from here on are those of sets whose doc_id names another set.
+OTHER = 1 << 62
 #: Columns of the shared-shingle matrix that are multiplied at once.
 BLOCK = 4096
 
@@ -52,17 +64,27 @@ def sketches(docs: DataFrame, width: int, functions: int = FUNCTIONS) -> DataFra
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``id, items``: the sorted shingles of each text."""
+    """``docs(rep, h1, text)`` -> ``id, items``: the sorted shingles of each text whose own
+    ``h1`` is the one given, by ``rep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(1)):
+            wanted = batch.column(1).to_numpy()
+            for at, texts in chunks(batch.column(2)):
                 sets = shingle_sets(texts, width)
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), items], ["id", "items"])
+                right = [i for i, s in enumerate(sets) if s.sum(dtype=np.uint64).view(np.int64) == wanted[at + i]]
+                offsets = np.cumsum([0, *(len(sets[i]) for i in right)]).astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in right)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64()) if not right else pa.array(np.array(right) + at)), items], ["id", "items"])
+
+    return docs.select("rep", "h1", "text").mapInArrow(run, "id long, items array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, items array<long>")
+def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``id, items`` of the sets that ``wanted(rep)`` names."""
+    named = reps.join(wanted.distinct(), "rep", "left_semi").select(F.col("owner").alias("doc_id"), "rep", "h1")
+    texts = docs.join(written(named, "dup-wanted"), "doc_id").withColumn("same", F.xxhash64("text"))
+    return full_sets(texts.dropDuplicates(["doc_id", "rep", "same"]), width)
 
 
 def _runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -106,21 +128,23 @@ def least_equal(k: int, threshold: float, miss: float = 1e-5) -> int:
 
 
 def _clusters(members: DataFrame, threshold: float) -> DataFrame:
-    """``members(block, rep, n, mins)`` -> distinct ``(cluster, rep)``: within each block,
-    sets that their sketches may join. A sketch passes at a share of equal minima that a
-    pair at the threshold misses with probability 1e-5 at most (the exact binomial tail)."""
+    """``members(block, rep, open, n, mins)`` -> distinct ``(cluster, rep)``: within each block,
+    sets that their sketches may join, one of a pair at least being open. A sketch passes at a
+    share of equal minima that a pair at the threshold misses with probability 1e-5 at most
+    (the exact binomial tail)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in _runs(batches, "block"):
             if len(df) < 2:
                 continue
-            ids, n = df["rep"].to_numpy(), df["n"].to_numpy()
+            ids, n, open_ = df["rep"].to_numpy(), df["n"].to_numpy(), df["open"].to_numpy(bool)
             low = np.stack(df["mins"].to_numpy())
             k = low.shape[1]
             least = least_equal(k, threshold)
             near = np.zeros((len(df), len(df)), bool)
             for i in range(len(df)):
                 near[i] = ((low == low[i]).sum(1) >= least) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9)
+            near &= open_[:, None] | open_[None]
             np.fill_diagonal(near, False)
             if not near.any():
                 continue
@@ -155,13 +179,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _confirmed(clusters: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+def _confirmed(clusters: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` from the smallest id of what is linked within each cluster to the
     others of it; the links are confirmed on full sets."""
     clusters = written(clusters, "dup-clusters")
-    wanted = written(clusters.select("rep").distinct(), "dup-wanted")
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = full_sets(texts.dropDuplicates(["doc_id"]), width)
+    sets = _sets(docs, reps, clusters.select("rep"), width)
     hundred = round(threshold * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,6 +204,80 @@ def _confirmed(clusters: DataFrame, docs: DataFrame, width: int, threshold: floa
     return joined.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(run, "a long, b long").distinct()
 
 
+def _led(families: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``families(leader, rep, size)`` -> ``leader, rep, n, n_leader, linked, d``: whether a
+    member's full set is linked to its leader's, and the items in which they differ. Members
+    go by pieces to tasks, each piece with a copy of the leader."""
+    pieces = F.ceil(F.col("size") / F.lit(PIECE)).cast("int")
+    own = families.select("leader", "rep", F.pmod(F.xxhash64("rep"), pieces).cast("int").alias("piece"), F.lit(1).alias("turn"))
+    first = families.groupBy("leader").agg(F.max(pieces).alias("pieces"))
+    first = first.select("leader", F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("turn"))
+    rows = written(first.unionByName(own.where("rep <> leader")), "dup-led")
+    placed = rows.join(_sets(docs, reps, rows.select("rep"), width), F.col("rep") == F.col("id")).select("leader", "piece", "turn", "rep", "items")
+    hundred = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, best = None, np.zeros(0, np.int64)
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            items, offsets = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+            for i, (leader, piece, turn, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                own = items[offsets[i] : offsets[i + 1]]
+                if turn == 0:
+                    name, best = (leader, piece), own
+                    continue
+                assert name == (leader, piece)
+                d = np.setxor1d(own, best, assume_unique=True)
+                both = (len(own) + len(best) - len(d)) // 2
+                for c, x in enumerate((leader, rep, len(own), len(best), 100 * both >= hundred * (len(own) + len(best) - both), d)):
+                    out[c].append(x)
+            if out[0]:
+                ends = pa.array(np.cumsum([0, *map(len, out[5])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.bool_()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[5])))], ["leader", "rep", "n", "n_leader", "linked", "d"])
+
+    ordered = placed.repartition("leader", "piece").sortWithinPartitions("leader", "piece", "turn")
+    return ordered.mapInArrow(run, "leader long, rep long, n long, n_leader long, linked boolean, d array<long>")
+
+
+def _leaders(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """``members(node, rep)`` -> distinct ``leader, rep, size``: every node is led by the member
+    that has most of the node's most frequent minima; nodes of one leader are one family."""
+    at = written(members.join(reps.select("rep", F.slice("mins", FUNCTIONS - LEADING + 1, LEADING).alias("low")), "rep"), "dup-members")
+    counts = at.select("node", F.posexplode("low").alias("pos", "low")).groupBy("node", "pos", "low").count()
+    modes = counts.groupBy("node", "pos").agg(F.max_by("low", F.struct("count", "low")).alias("mode")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "mode"))).alias("m"))
+    equal = F.aggregate(F.zip_with("low", F.col("m.mode"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    leaders = at.join(modes, "node").select("node", "rep", equal.alias("equal")).groupBy("node").agg(F.max_by("rep", F.struct("equal", -F.col("rep"))).alias("leader"))
+    families = written(members.join(leaders, "node").select("leader", "rep").distinct(), "dup-families")
+    return families.join(families.groupBy("leader").agg(F.count("*").alias("size")), "leader")
+
+
+def _differing(led: DataFrame, threshold: float, leaf: int) -> DataFrame:
+    """``block, rep, open``: blocks that hold all pairs of members which may be linked though
+    one of them isn't linked to the leader."""
+    k = (1 - threshold) / (1 + threshold)
+    rest = led.where("not linked").select("leader").distinct()
+    items = led.join(rest, "leader", "left_semi").select("leader", "rep", "linked", "n", "n_leader", F.size("d").alias("nd"), F.explode("d").alias("item"))
+    # Items that one member alone has stand first in the order of rareness, and join nothing.
+    counts = items.groupBy("leader", "item").agg(F.count("*").alias("times")).where("times > 1")
+    shared = items.join(counts, ["leader", "item"])
+    own = W.partitionBy("leader", "rep")
+    needed = F.floor((F.col("nd") - F.lit(k) * (F.col("n") - F.col("n_leader"))) / 2 - F.lit(1e-9)) + 1
+    prefix = F.col("nd") - needed + 1 - (F.col("nd") - F.count("*").over(own))
+    shared = shared.withColumn("index", F.row_number().over(own.orderBy("times", "item")) <= prefix)
+    used = written(shared.where("index or not linked").select("leader", "rep", "item", "index", (~F.col("linked")).alias("open")), "dup-shared")
+    groups = used.groupBy("leader", "item").agg(F.count_if("index").alias("n_index"), F.count_if("open").alias("n_open"), F.count("*").alias("n_all")).where("n_index > 0 and n_open > 0 and n_all > 1")
+    found = used.join(groups, ["leader", "item"])
+    # A frequent item's members are dealt to a grid of blocks: those that look up, by those of the index.
+    rows = F.when(F.col("n_all") > leaf, F.ceil(F.col("n_open") / F.lit(leaf))).otherwise(1).cast("int")
+    cols = F.when(F.col("n_all") > leaf, F.ceil(F.col("n_index") / F.lit(leaf))).otherwise(1).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+    looks = F.when(F.col("open"), F.transform(upto(cols), lambda j: F.struct(place(rows, 1).alias("i"), j.alias("j")))).otherwise(F.array())
+    holds = F.when(F.col("index"), F.transform(upto(rows), lambda i: F.struct(i.alias("i"), place(cols, 2).alias("j")))).otherwise(F.array())
+    dealt = found.select("leader", "item", "rep", "open", F.inline(F.array_distinct(F.concat(looks, holds))))
+    return dealt.select(F.xxhash64("leader", "item", "i", "j").alias("block"), "rep", "open")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_shingles, component_id, kept``, one row per row.
 
@@ -190,58 +286,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
     sequence as one); ``component_id`` is the smallest doc_id that links reach, and only
     that document is ``kept``. A text without words, or null, is linked with nothing. A
     null doc_id is linked with nothing, has a null component and is kept. Rows that repeat
-    a doc_id should carry the same text; they fall in one component. Other columns are
-    ignored; no rows give no rows.
+    a doc_id are one document, linked by each of its texts. Other columns are ignored; no rows
+    give no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     marks = written(sketches(docs, width), "dup-sketches")
     full = marks.where("n > 0 and doc_id is not null")
-    reps = written(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "dup-reps")
+    reps = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"))
+    # A doc_id that stands for several sets names one of them; the others have names of their own.
+    nth = F.row_number().over(W.partitionBy("rep").orderBy("n", "h1", "h2"))
+    other = F.xxhash64("n", "h1", "h2").bitwiseAND(F.lit(OTHER - 1)).bitwiseOR(F.lit(OTHER))
+    reps = written(reps.select("n", "h1", "h2", "mins", F.col("rep").alias("owner"), F.when(nth == 1, F.col("rep")).otherwise(other).alias("rep")), "dup-reps")
+    edges = []
+    sides = [f(F.struct("n", "h1", "h2")).alias(x) for f, x in ((F.min, "lo"), (F.max, "hi"))]
+    several = written(full.groupBy("doc_id").agg(*sides).where("lo <> hi").select("doc_id"), "dup-several")
+    if not several.isEmpty():
+        own = full.join(several, "doc_id", "left_semi").select("doc_id", "n", "h1", "h2").distinct().join(reps, ["n", "h1", "h2"])
+        edges.append(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")))
 
     # Branch: nodes of each level with more than one set; those above the leaf size go on.
-    nodes, leaves, large = reps.select("rep", F.lit(0).cast("long").alias("node")), [], None
+    leaves, families, large, above = [], [], None, reps.count()
     for level in range(LEVELS):
-        pick = lambda t, i: F.col("mins")[(t * LEVELS + level) * BRANCHES + i]  # noqa: B023, E731
+        pick = lambda t, i: F.col("mins")[(t * FUNCTIONS // trees + level * BRANCHES + i) % FUNCTIONS]  # noqa: B023, E731
         if level:
-            nodes = large.select("rep", "node", "tree")
-            at = nodes.join(reps.select("rep", "mins"), "rep")
-            kids = [F.when(F.col("tree") == t, F.xxhash64("node", F.lit(i), pick(t, i))) for t in range(trees) for i in range(BRANCHES)]
-            kids = [F.struct("tree", F.coalesce(*kids[i::BRANCHES]).alias("node")) for i in range(BRANCHES)]
-            named = at.select("rep", F.inline(F.array(*kids)))
+            at = large.join(reps.select("rep", "mins"), "rep")
+            kids = [F.coalesce(*[F.when(F.col("tree") == t, F.xxhash64("node", F.lit(i), pick(t, i))) for t in range(trees)]) for i in range(BRANCHES)]
+            named = at.select("rep", F.col("size").alias("above"), F.inline(F.array(*[F.struct("tree", kid.alias("node")) for kid in kids])))
         else:
             kids = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.lit(i), pick(t, i)).alias("node")) for t in range(trees) for i in range(BRANCHES)]
-            named = reps.select("rep", F.inline(F.array(*kids)))
+            named = reps.select("rep", F.lit(above).alias("above"), F.inline(F.array(*kids)))
         named = written(named, "dup-nodes")
         sizes = named.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         alive = written(named.join(sizes, "node"), "dup-alive")
-        leaves.append(alive.where(F.col("size") <= leaf).select("rep", F.col("node").alias("block")))
-        large = alive.where(F.col("size") > leaf)
-    blocks = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / F.lit(leaf)))
-    leaves.append(large.select("rep", F.xxhash64("node", blocks).alias("block")))
-    members = leaves[0]
-    for more in leaves[1:]:
-        members = members.unionByName(more)
-    marked = reps.select("rep", "n", "mins")
-    edges = written(_confirmed(_clusters(members.join(marked, "rep"), threshold), docs, width, threshold), "dup-edges")
-    labels = components(edges)
-
-    # What the blocks left apart within a large node is compared with all of it.
-    own = large.select("node", "rep", "size").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    own = written(own.withColumn("label", F.coalesce("component", "rep")).drop("component"), "dup-large")
-    parts = own.groupBy("node", "label").agg(F.count("*").alias("n_label"))
-    main = parts.groupBy("node").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("n_all"), F.max("n_label").alias("n_main"))
-    main = written(main.where("n_main < n_all").withColumn("apart", F.col("n_all") - F.col("n_main")), "dup-main")
-    if not main.isEmpty():
-        some = own.select("node", "rep", "label").join(main, "node")
-        odd = F.ceil(F.col("apart") / F.lit(2 * leaf))
-        every = F.ceil(F.col("n_all") / F.lit(2 * leaf))
-        place = F.xxhash64("rep", F.lit(1))
-        left = some.where("label <> main").select("rep", "node", F.pmod(place, odd).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), every - 1)).alias("j"))
-        right = some.select("rep", "node", F.explode(F.sequence(F.lit(0).cast("long"), odd - 1)).alias("i"), F.pmod(place, every).alias("j"))
-        pairs = left.unionByName(right).distinct().select("rep", F.xxhash64("node", "i", "j").alias("block"))
-        more = _confirmed(_clusters(pairs.join(marked, "rep"), threshold), docs, width, threshold)
-        labels = components(written(edges.union(more), "dup-edges"))
+        leaves.append(alive.where(F.col("size") <= leaf).select("rep", F.col("node").alias("block"), F.lit(True).alias("open")))
+        last = F.lit(level == LEVELS - 1) | (F.col("size") * 2 > F.col("above"))
+        families.append(alive.where((F.col("size") > leaf) & last).select("node", "rep"))
+        large = alive.where((F.col("size") > leaf) & ~last).select("rep", "node", "tree", "size")
+        if large.isEmpty():
+            break
+    whole = written(reduce(DataFrame.unionByName, families), "dup-unsplit")
+    members = leaves
+    if not whole.isEmpty():
+        led = written(_led(_leaders(whole, reps), docs, reps, width, threshold), "dup-led")
+        edges.append(led.where("linked").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
+        members = [*leaves, _differing(led, threshold, leaf)]
+    blocks = reduce(DataFrame.unionByName, members).join(reps.select("rep", "n", "mins"), "rep")
+    edges.append(_confirmed(_clusters(blocks, threshold), docs, reps, width, threshold))
+    labels = components(written(reduce(DataFrame.unionByName, edges), "dup-edges"))
 
     named = reps.select("n", "h1", "h2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))

@@ -27,7 +27,7 @@ from tessella.llm.shingles import mixed
 NBEST = 4
 #: Stretches whose paths a task remembers, and characters of text that it handles at once;
 #: only speed and memory depend on them.
-CACHE, BATCH_CHARS = 200_000, 4_000_000
+CACHE, BATCH_CHARS = 200_000, 2_000_000
 _STRETCH = re.compile(r"\n| *[^ \n]+| +")
 
 

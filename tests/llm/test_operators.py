@@ -94,8 +94,8 @@ def test_sketches_rarely_miss_a_pair_at_the_threshold(spark, threshold, least):
     tail = lambda m: sum(math.comb(32, i) * threshold**i * (1 - threshold) ** (32 - i) for i in range(m))
     assert neardup.least_equal(32, threshold) == least and tail(least) <= 1e-5 < tail(least + 1)
     for equal in (least, least - 1):
-        rows = [(1, 10, 50, list(range(32))), (1, 11, 50, [i if i < equal else -1 - i for i in range(32)])]
-        found = neardup._clusters(spark.createDataFrame(rows, "block long, rep long, n long, mins array<long>"), threshold)
+        rows = [(1, 10, True, 50, list(range(32))), (1, 11, False, 50, [i if i < equal else -1 - i for i in range(32)])]
+        found = neardup._clusters(spark.createDataFrame(rows, "block long, rep long, open boolean, n long, mins array<long>"), threshold)
         assert found.count() == (2 if equal == least else 0)
 
 
@@ -414,6 +414,68 @@ def test_near_duplicates_against_brute_force(spark, leaf):
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def fast_components(rows, width, hundred):
+    """Components by exact intersections, counted through an inverted index."""
+    def items(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+    sets = {i: items(t) for i, t in rows}
+    vocabulary = {x: n for n, x in enumerate(sorted(set().union(*sets.values())))}
+    ids = sorted(sets)
+    m = np.zeros((len(ids), len(vocabulary)), np.float32)
+    for r, i in enumerate(ids):
+        m[r, [vocabulary[x] for x in sets[i]]] = 1
+    both, size = m @ m.T, m.sum(1)
+    linked = 100 * both >= hundred * (size[:, None] + size[None] - both)
+    comp = {}
+    for r, i in enumerate(ids):
+        if i not in comp:
+            front, comp[i] = [r], i
+            while front:
+                for y in np.flatnonzero(linked[front.pop()]):
+                    if ids[y] not in comp:
+                        comp[ids[y]] = i
+                        front.append(int(y))
+    return comp
+
+
+@pytest.mark.parametrize(("width", "threshold"), [(5, 0.8), (3, 0.85)])
+def test_large_families_against_brute_force(spark, width, threshold):
+    """3,000 near copies, many beyond the threshold of all others, some of those with copies of
+    their own; 3,000 texts that share one line; and pairs that change the words around it."""
+    rng = np.random.default_rng(8)
+    new = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    base, line = new(130), new(12)
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        for at in rng.integers(0, len(t), int(rng.integers(0, 7))):
+            kind = rng.integers(0, 3)
+            t[at : at + (kind != 1)] = new(1) if kind != 2 else []
+        rows.append(t)
+        if i % 10 == 0:
+            t = list(t)
+            t[int(rng.integers(0, len(t)))] = new(1)[0]
+            rows.append(t)
+    for i in range(3000):
+        t = new(int(rng.integers(10, 60)))
+        rows.append([*t[: len(t) // 2], *line, *t[len(t) // 2 :]])
+        if i % 50 == 0:
+            rows.append([*t[: len(t) // 2], *line, *t[len(t) // 2 :], *new(1)])
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(rows)), rows)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, threshold).collect()}
+    want = fast_components(rows, width, round(100 * threshold))
+    assert got == want and len(set(want.values())) > 3000
+
+
+def test_a_repeated_id_is_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (7, b), (9, a), (3, c), (3, c.upper()), (11, c)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (3, 3, True), (11, 3, False)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, [])).isEmpty()
     assert neardup.near_duplicates(docs(spark, [(1, "", "a")])).first().kept
