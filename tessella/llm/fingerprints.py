@@ -160,7 +160,9 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edited = texts.join(lent, ["k", "h"]).select("k", "h", "i", "n_chars", "text", F.inline(ends))
     edited = edited.select("k", "h", "i", "again", "n_chars", "text", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "tail").alias("edited"))
     keys = ["k", "h", "i", "again", "n_chars", "sha"]
-    terms = edited.select(*keys[:-1], F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.inline(weighted_terms_of_two(F.col("text"), F.col("edited"))))
+    # The digest stands below the explosion of terms, so it is taken once a document.
+    edited = edited.select(*keys[:-1], F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "text", "edited")
+    terms = edited.select(*keys, F.inline(weighted_terms_of_two(F.col("text"), F.col("edited"))))
     prints = written(_marked(terms, keys, ["w0", "w1"], samples), "prints")
     after = prints.where("again = 0").select(F.col("i").alias("next_i"), F.col("m_w0").alias("next_marks"))
     after = nexts.select("i", "doc_id", "copies", "next_i").join(after, "next_i").select("i", "doc_id", "copies", "next_marks")
