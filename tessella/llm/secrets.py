@@ -27,10 +27,10 @@ MARKS = {"assign": "[SECRET]", "access": "[ACCESS-ID]", "hex": "[HEX]", "key": "
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
-_HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-_ENDPOINT = re.compile(r"(?:https?://|[a-z0-9-]+\.)[A-Za-z0-9.-]+\.[a-z]{2,}(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
+#: A host begins where a run of host characters does, so each run is read once.
+_ENDPOINT = re.compile(r"(?:https?://|(?<![A-Za-z0-9.-])\.*[A-Za-z0-9-]+\.)[A-Za-z0-9.-]+\.[a-z]{2,}(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 _HINT = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
@@ -115,11 +115,12 @@ def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def redact_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Every row and column of ``docs``, with the text's secrets replaced by marks.
-    Texts without findings are unchanged."""
+    Texts without findings, null and empty ones are unchanged; repeated rows stay; no rows
+    give no rows. Columns may not begin with two underscores."""
     found = scan_secrets(docs, scope).where(F.size("spans") > 0).dropDuplicates(["doc_id", "__text_hash"])
     found = written(found.withColumnsRenamed({"doc_id": "__rid", "__text_hash": "__rh", "spans": "__spans"}), "secret-spans")
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__rid")) & (F.xxhash64("text") == F.col("__rh")), "left")
-    hit = F.size("__spans") > 0
-    clean = joined.where(F.col("__spans").isNull()).select(docs.columns)
-    changed = joined.where(hit).withColumn("text", _redacted("text", "__spans")).select(docs.columns)
-    return clean.unionByName(changed)
+    # Only texts with findings go to the Python workers; the others are null there.
+    hit = F.coalesce(F.size("__spans") > 0, F.lit(False))
+    masked = F.when(hit, _redacted(F.when(hit, F.col("text")), "__spans")).otherwise(F.col("text"))
+    return joined.withColumn("text", masked).select(docs.columns)
