@@ -31,6 +31,8 @@ from tessella.llm.common import new_path, written
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 1000
+#: Captures of an index shard, and lookups of a task: both are many small keys, but costly each.
+SHARD, LOOKUPS = 250_000, 8192
 DATE = "2024-01-01T00:00:00Z"
 NO_ID = -(2**63)
 
@@ -136,7 +138,7 @@ def write_archive(pages: DataFrame) -> Archive:
 
     captures = written(rows.mapInArrow(store, "key string, page_id long, file string, offset long, length long"), "warc-captures")
     order = [F.col("key"), F.coalesce("page_id", F.lit(NO_ID)), F.col("file"), F.col("offset")]
-    ranged = captures.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = captures.repartitionByRange(1 + captures.count() // SHARD, *order).sortWithinPartitions(*order)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, base = _open(path)
@@ -235,10 +237,13 @@ class Reader:
 
 def look_up(archive: Archive, wanted: DataFrame) -> DataFrame:
     """``wanted(key, page_id)`` -> ``page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to``, one row per capture found, read from the archive."""
+    record_type, refers_to``, one row per capture found, read from the archive. Repeated
+    rows are looked up once; a null page_id is that of pages without one; a key that isn't in
+    the archive gives no row; other columns are ignored, whatever their names."""
     path, shards = archive.path, archive.shards
     order = [F.col("key"), F.coalesce("page_id", F.lit(NO_ID))]
-    rows = wanted.select("key", F.coalesce("page_id", F.lit(NO_ID)).alias("page_id")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(wanted.select("key", F.coalesce("page_id", F.lit(NO_ID)).alias("page_id")).distinct(), "warc-wanted")
+    rows = rows.repartitionByRange(1 + rows.count() // LOOKUPS, *order).sortWithinPartitions(*order)
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
