@@ -228,7 +228,8 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = 6, batch
             chosen = np.unique(np.concatenate([top, rng.choice(clean, min(len(clean), 2 * len(texts)), replace=False)]))
         labels = y[text].astype(np.float32)
         share = max(1.0, np.sqrt((1 - labels[chosen]).sum() / max(1, labels[chosen].sum())))
-        for rows in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
+        # Few windows go in smaller batches, for as many steps.
+        for rows in np.array_split(rng.permutation(chosen), max(1, len(chosen) // max(8, min(batch, len(chosen) // 64)))):
             used, local = np.unique(index[:, rows], return_inverse=True)
             local = local.reshape(WINDOW, len(rows))
             part = Words.__new__(Words)
@@ -294,12 +295,13 @@ def _saved(p: dict) -> bytes:
     return out.getvalue()
 
 
-def score(docs: DataFrame, weights: bytes, columns: list[str] | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, score``, or all of ``columns`` and ``score``. Null
-    or empty text scores 0; every row gives one row."""
+def score(docs: DataFrame, weights: bytes, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, score``, or all of ``columns`` and the score, named
+    ``name`` (which may not be among the columns). Null or empty text scores 0; long texts are
+    read whole; every row gives one row, repeated rows the same; no rows give no rows."""
     columns = columns or ["doc_id"]
     chosen = docs.select(*columns, F.col("text").alias("__text"))
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +309,7 @@ def score(docs: DataFrame, weights: bytes, columns: list[str] | None = None) ->
         for batch in batches:
             found = [score_texts(p, texts) for _, texts in chunks(batch.column(batch.num_columns - 1))]
             scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*columns, name])
 
     return chosen.mapInArrow(run, schema)
 
@@ -320,6 +322,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> D
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """Every row and column of ``docs`` that isn't predicted toxic."""
-    scored = score(docs, train(docs, labels, sample=sample), docs.columns)
-    return scored.where(F.col("score") < THRESHOLD).select(docs.columns)
+    """Every row and column of ``docs`` that isn't predicted toxic, whatever the columns' names
+    (but ``__score``). Repeated rows stay or go together; no rows give no rows."""
+    scored = score(docs, train(docs, labels, sample=sample), docs.columns, "__score")
+    return scored.where(F.col("__score") < THRESHOLD).select(docs.columns)
