@@ -15,8 +15,6 @@ from pyspark.sql import Window as W
 
 from tessella.llm.common import WORD, numbered, written
 
-BUCKETS = 4096
-
 
 def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
