@@ -1,18 +1,23 @@
-"""Nearest neighbours, by shifted space-filling curves where these find enough, else exactly.
+"""Nearest neighbours by shifted space-filling curves, made whole by an exact check.
 
 Vectors are projected ``CURVES`` times to a few random orthonormal directions, shifted, and
-ordered along a Hilbert curve. Spark range-partitions each ordering; every block of
-neighbouring keys is searched together with the blocks beside it, so a query meets at least
-a block of vectors on either side. The recall of a block size is measured beforehand: the
-exact neighbours of ``PROBES`` queries are looked up in the orderings. ``BLOCK`` is doubled
-until the recall is reached; when the windows would compare a query with as many vectors as
-there are, each query is compared with all vectors instead, block by block. Equal vectors are
-searched once, and answer with their smallest ids. See the README for measured recall.
+ordered along a Hilbert curve. Spark range-partitions each ordering into blocks of ``BLOCK``
+vectors; a query visits its own block and the two beside it on every curve, and the windows'
+candidates are merged and reranked by their exact scores.
+
+Windows alone find most neighbours where vectors lie in groups, and few where they are
+spread evenly over many dimensions. So the k-th score that the windows found goes on as a
+bound: the blocks of the first curve are visited once more, and of each block those queries
+are compared with it whose best possible score (by the block's centre and radius) reaches
+their bound. What this check adds depends on the vectors alone, not on the table's size;
+``exact=False`` leaves it out. Equal vectors are searched once, and answer with their
+smallest ids. See the README for measured recall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,23 +28,19 @@ from pyspark.sql import Window as W
 from tessella.llm.common import numbered, written
 from tessella.llm.hilbert import hilbert_keys
 
-CURVES, DIRECTIONS, BITS, BLOCK = 5, 4, 12, 8192
+CURVES, DIRECTIONS, BITS, BLOCK = 8, 6, 10, 512
 SAMPLE_ROWS = 10_000
-#: The share of exact neighbours that the windows must hold, and the queries it is measured on.
-RECALL, PROBES = 0.95, 400
-#: Vectors of a block of the exact search: those that ask, those that answer; scores at once.
+#: Queries and vectors that one task of the check holds; scores at once.
 ASKING, ANSWERING, SCORES = 16_384, 4096, 4_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, v array<double>`` of the vectors that aren't null or zero and hold only finite
-    values, of the most frequent length (the shortest such)."""
+    values."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v")).where("v is not null and size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.coalesce(good, F.lit(False)))
-    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    return rows.where(F.size("v") == (dim.d if dim else -1))
+    return rows.where(F.coalesce(good, F.lit(False)))
 
 
 def best_of(asking: np.ndarray, a: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> pd.DataFrame:
@@ -63,20 +64,20 @@ def best_of(asking: np.ndarray, a: np.ndarray, ids: np.ndarray, x: np.ndarray, m
     return pd.concat(found) if found else pd.DataFrame({"rep": asking[:0], "near": ids[:0], "score": np.zeros(0)})
 
 
-def compared_with_all(asks: DataFrame, distinct: DataFrame, n_asks: int, n: int, most: int) -> DataFrame:
-    """``rep, near, score``: the ``most`` best of each block of ``distinct(rep, v)`` for each
-    row of ``asks(rep, v)``."""
-    chunks, parts = -(-n_asks // ASKING), -(-n // ANSWERING)
-    h = lambda k: F.pmod(F.xxhash64("rep"), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)))
-    left = asks.select("rep", "v", F.lit(True).alias("asks"), h(max(chunks, 1)).alias("chunk"), each(parts).alias("part"))
-    right = distinct.select("rep", "v", F.lit(False).alias("asks"), each(chunks).alias("chunk"), h(max(parts, 1)).alias("part"))
-
-    def search(df: pd.DataFrame) -> pd.DataFrame:
-        ask, ids, x = df["asks"].to_numpy(), df["rep"].to_numpy(), np.stack(df["v"].to_numpy())
-        return best_of(ids[ask], x[ask], ids[~ask], x[~ask], most)
-
-    return left.unionByName(right).groupBy("chunk", "part").applyInPandas(search, "rep long, near long, score double")
+def within_reach(asking: np.ndarray, a: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int, block: int) -> pd.DataFrame:
+    """``best_of``, block by block of ``x``, for those rows of ``a`` that may have a score of
+    ``least`` or more there: by q.x <= q.centre + |q| radius."""
+    found, length = [], np.sqrt((a * a).sum(1))
+    for at in range(0, len(ids), block):
+        own = x[at : at + block]
+        centre = own.mean(0)
+        radius = np.sqrt(((own - centre) ** 2).sum(1).max())
+        most_here = a @ centre + length * radius
+        on = np.flatnonzero(most_here + 1e-9 * length * (np.abs(centre).sum() + radius) >= least)
+        if len(on):
+            here = best_of(asking[on], a[on], ids[at : at + block], own, most)
+            found.append(here[here["score"].to_numpy() >= least[on][np.searchsorted(asking[on], here["rep"].to_numpy())]])
+    return pd.concat(found) if found else best_of(asking[:0], a[:0], ids[:0], x[:0], most)
 
 
 def first_of(pairs: DataFrame, most: int) -> DataFrame:
@@ -85,51 +86,46 @@ def first_of(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("at", at).where(F.col("at") <= most).drop("at")
 
 
-def block_for(places: dict[int, np.ndarray], truth: list[tuple[int, int]], n: int, curves: int, block: int, recall: float) -> int | None:
-    """The least of ``block`` and its doubles at which a share ``recall`` of the pairs
-    ``truth`` lies in a common window on some curve, by ``places`` (a position on each curve
-    for each id); None when such windows hold as many vectors as there are."""
-    a, b = (np.stack([places[pair[i]] for pair in truth]) if truth else np.zeros((0, curves), np.int64) for i in (0, 1))
-    while 3 * curves * block < n:
-        if (np.abs(a // block - b // block) <= 1).any(1).sum() >= recall * len(truth):
-            return block
-        block *= 2
-    return None
-
-
-def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, block: int = BLOCK, seed: int = 11, recall: float = RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, block: int = BLOCK, seed: int = 11, exact: bool = True) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` (a condition on
     ``id``) holds, the k rows of largest inner product among the other rows, ties to the
-    smaller id. Rows without a usable vector take no part; fewer rows give all there are.
-    Ids should be unique; repeated ids are rows of their own. Other columns are ignored.
-    ``block`` is where the search for a size of block of the measured ``recall`` begins."""
-    rows = written(usable(vectors, id_col, vector_col), "ann-vectors")
+    smaller id. Rows without a usable vector take no part; vectors are compared with those of
+    their own length, one search for each length that occurs; fewer rows give all there are.
+    Rows that repeat an id are one row, with the least of their vectors (by length, then by
+    values). Other columns are ignored; no rows give no rows. ``exact=False`` gives what the
+    curves' windows hold."""
+    rows = written(usable(vectors, id_col, vector_col).withColumn("dim", F.size("v")), "ann-vectors")
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = written(rows.groupBy("id").agg(F.min(F.struct("dim", "v")).alias("r")).select("id", "r.v", "r.dim"), "ann-vectors")
+    dims = [r.dim for r in rows.select("dim").distinct().orderBy("dim").collect()]
+    found = [_nearest_of_one_length(rows.where(F.col("dim") == d).select("id", "v"), is_query, k, curves, block, seed, exact) for d in dims]
+    return reduce(DataFrame.unionByName, found) if found else rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+
+
+def _nearest_of_one_length(rows: DataFrame, is_query, k: int, curves: int, block: int, seed: int, exact: bool) -> DataFrame:
     first = rows.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     owners = written(first.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-distinct")
-    queries = rows.where(is_query).join(owners.select("v", "rep"), "v").select("id", "rep")
-    queries = written(queries, "ann-queries")
-    distinct = owners.select("rep", "v").join(queries.select("rep").distinct().withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    queries = written(rows.where(is_query).join(owners.select("v", "rep"), "v").select("id", "rep"), "ann-queries")
+    asks = F.coalesce("asks", F.lit(False))
+    distinct = owners.select("rep", "v").join(queries.select("rep").distinct().withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", asks)
 
     n, most = owners.count(), k + 1
-    asking = distinct.where("asks").select("rep", "v")
-    n_asks = asking.count()
-    pairs = None
-    if n and 3 * curves * block < n:
-        pairs = _in_windows(owners, distinct, asking, n, n_asks, most, curves, block, seed, recall)
-    if pairs is None:
-        pairs = compared_with_all(asking, distinct.select("rep", "v"), n_asks, n, most)
+    placed = _placed(owners, distinct, curves, seed)
+    pairs = written(_in_windows(placed, n, most, curves, block), "ann-windows")
+    if exact:
+        pairs = pairs.unionByName(_in_reach(placed, pairs, n, most, block)).distinct()
     scored = first_of(pairs, most).join(owners.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "ids", "score")
     out = queries.join(scored, "rep").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _in_windows(owners: DataFrame, distinct: DataFrame, asking: DataFrame, n: int, n_asks: int, most: int, curves: int, block: int, seed: int, recall: float) -> DataFrame | None:
-    """``rep, near, score``: the best of the windows of each row that asks; None where windows
-    of the wanted recall would hold as many vectors as there are."""
+def _placed(owners: DataFrame, distinct: DataFrame, curves: int, seed: int) -> DataFrame:
+    """``curve, key, rep, v, asks, at``: every vector on every curve; ``at`` counts through the
+    curves one after the other."""
     # Fitted on a bounded sample: the spread along the directions. The longest norm is exact.
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    longest = owners.agg(F.max(norm)).first()[0]
+    longest = owners.agg(F.max(norm)).first()[0] or 0.0
     sample = np.array([r.v for r in owners.select("rep", "v").orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("v").collect()])
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
@@ -149,25 +145,42 @@ def _in_windows(owners: DataFrame, distinct: DataFrame, asking: DataFrame, n: in
                 cells = np.clip(unit * 2**BITS, 0, 2**BITS - 1).astype(np.int64)
                 yield df.assign(curve=np.int32(c), key=hilbert_keys(cells, BITS))[["curve", "key", "rep", "v", "asks"]]
 
-    placed = numbered(distinct.mapInPandas(keyed, "curve int, key long, rep long, v array<double>, asks boolean"), [F.col("curve"), F.col("key"), F.col("rep")], "at")
-    # The exact neighbours of some queries, and where they lie on the curves.
-    some = asking.orderBy(F.xxhash64("rep", F.lit(seed))).limit(PROBES)
-    truth = [(r.rep, r.near) for r in first_of(compared_with_all(some, owners.select("rep", "v"), min(PROBES, n_asks), n, most), most).collect() if r.rep != r.near]
-    wanted = asking.sparkSession.createDataFrame([(i,) for i in {i for pair in truth for i in pair}], "rep long")
-    places: dict[int, np.ndarray] = {}
-    for r in placed.join(F.broadcast(wanted), "rep").select("rep", "curve", "at").collect():
-        places.setdefault(r.rep, np.zeros(curves, np.int64))[r.curve] = r.at - r.curve * n
-    block = block_for(places, truth, n, curves, block, recall)
-    if block is None:
-        return None
+    return numbered(distinct.mapInPandas(keyed, "curve int, key long, rep long, v array<double>, asks boolean"), [F.col("curve"), F.col("key"), F.col("rep")], "at")
+
+
+def _in_windows(placed: DataFrame, n: int, most: int, curves: int, block: int) -> DataFrame:
+    """``rep, near, score``: the best of the windows of each row that asks. Vectors lie in one
+    block of a curve; the queries visit it and the blocks beside it."""
     here = F.floor((F.col("at") - F.col("curve").cast("long") * n) / block).cast("int")
-    last = (n - 1) // block
+    last = max(n - 1, 0) // block
     beside = F.filter(F.array(here - 1, here, here + 1), lambda b: (b >= 0) & (b <= last))
-    windows = placed.select("curve", "rep", "v", "asks", here.alias("home"), F.explode(beside).alias("block"))
+    hold = placed.select("curve", here.alias("block"), F.lit(False).alias("asks"), "rep", "v")
+    visit = placed.where("asks").select("curve", F.explode(beside).alias("block"), F.lit(True).alias("asks"), "rep", "v")
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
-        ask = (df["asks"] & (df["home"] == df["block"])).to_numpy()
-        ids, x = df["rep"].to_numpy(), np.stack(df["v"].to_numpy())
-        return best_of(ids[ask], x[ask], ids, x, most)
+        ask, ids, x = df["asks"].to_numpy(), df["rep"].to_numpy(), np.stack(df["v"].to_numpy())
+        return best_of(ids[ask], x[ask], ids[~ask], x[~ask], most)
+
+    return hold.unionByName(visit).groupBy("curve", "block").applyInPandas(search, "rep long, near long, score double").distinct()
+
 
-    return windows.groupBy("curve", "block").applyInPandas(search, "rep long, near long, score double").distinct()
+def _in_reach(placed: DataFrame, pairs: DataFrame, n: int, most: int, block: int) -> DataFrame:
+    """``rep, near, score``: for each row that asks, what the blocks of the first curve hold
+    with a score of its ``most``-th in ``pairs`` or more (the best of each block)."""
+    bound = first_of(pairs, most).groupBy("rep").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("rep", F.when(F.col("n") >= most, F.col("least")).alias("least"))
+    curve = placed.where("curve = 0")
+    asking = written(curve.where("asks").select("rep", "v").join(bound, "rep", "left"), "ann-asking")
+    chunks, parts = max(1, -(-asking.count() // ASKING)), max(1, -(-n // ANSWERING))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    none = F.lit(None).cast("double")
+    left = asking.select("rep", "v", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("at"), "least", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int").alias("chunk"), each(parts).alias("part"))
+    right = curve.select("rep", "v", F.lit(False).alias("asks"), "at", none.alias("least"), each(chunks).alias("chunk"), F.floor(F.col("at") / ANSWERING).cast("int").alias("part"))
+
+    def search(df: pd.DataFrame) -> pd.DataFrame:
+        ask = df["asks"].to_numpy()
+        q, r = df[ask].sort_values("rep"), df[~ask].sort_values("at")
+        least = q["least"].fillna(-np.inf).to_numpy(float)
+        stack = lambda v: np.stack(v.to_numpy()) if len(v) else np.zeros((0, 1))
+        return within_reach(q["rep"].to_numpy(), stack(q["v"]), least, r["rep"].to_numpy(), stack(r["v"]), most, block) if len(q) and len(r) else best_of(q["rep"].to_numpy()[:0], np.zeros((0, 1)), r["rep"].to_numpy()[:0], np.zeros((0, 1)), most)
+
+    return left.unionByName(right).groupBy("chunk", "part").applyInPandas(search, "rep long, near long, score double")

@@ -178,7 +178,7 @@ def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 8))
     x[100:160] = x[100]
-    rows = [(i, [float(v) for v in r], "v") for i, r in enumerate(x)] + [(1000, None, "v"), (1020, [0.0] * 8, "v"), (1040, [float("nan")] * 8, "v"), (1060, [1.0], "v"), (1080, [None] * 8, "v")]
+    rows = [(i, [float(v) for v in r], "v") for i, r in enumerate(x)] + [(1000, None, "v"), (1020, [0.0] * 8, "v"), (1040, [float("nan")] * 8, "v"), (1060, [1.0, None], "v"), (1080, [None] * 8, "v")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
     got = {}
     for r in neighbours.nearest(df, F.col("id") % 20 == 0, 5).collect():
@@ -196,7 +196,7 @@ def test_neighbours_recall_with_small_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((10, 8))[rng.integers(0, 10, 2000)] * 3 + rng.standard_normal((2000, 8)) * 0.3
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    got = neighbours.nearest(df, F.col("id") % 20 == 0, 5, block=256).groupBy("query_id").agg(F.collect_set("vec_id").alias("n")).collect()
+    got = neighbours.nearest(df, F.col("id") % 20 == 0, 5, block=256, exact=False).groupBy("query_id").agg(F.collect_set("vec_id").alias("n")).collect()
     hit = 0
     for r in got:
         s = x @ x[r.query_id]
@@ -206,23 +206,30 @@ def test_neighbours_recall_with_small_blocks(spark):
 
 
 @pytest.mark.parametrize("near", [False, True])
-def test_neighbours_recall_is_measured_and_held(spark, monkeypatch, near):
-    """Fixed windows of 16 vectors a side find few neighbours in either table; scattered
-    vectors need the exact search, and groups only larger windows."""
+def test_windows_hold_groups_and_the_check_finds_the_rest(spark, near):
+    """Windows of 24 vectors on each side hold the neighbours in groups, and few of scattered
+    vectors; with the check after them both tables' answers are those of brute force."""
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 24))[rng.integers(0, 200, 3000)] + rng.standard_normal((3000, 24)) * 0.02 if near else rng.standard_normal((3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    used, real = [], neighbours.block_for
-    monkeypatch.setattr(neighbours, "block_for", lambda *a: used.append(real(*a)) or used[-1])
-    got = neighbours.nearest(df, F.col("id") % 20 == 0, 5, block=16).groupBy("query_id").agg(F.collect_set("vec_id").alias("n")).collect()
-    hit = 0
-    for r in got:
-        s = x @ x[r.query_id]
-        s[r.query_id] = -np.inf
-        hit += len(set(np.argsort(-s)[:5].tolist()) & set(r.n))
-    assert len(used) == 1 and (used[0] is not None) == near
-    assert len(got) == 150 and hit / (5 * len(got)) >= (0.9 if near else 1)
+    share = {}
+    for exact in (False, True):
+        got = neighbours.nearest(df, F.col("id") % 20 == 0, 5, block=16, exact=exact).groupBy("query_id").agg(F.collect_set("vec_id").alias("n")).collect()
+        assert len(got) == 150
+        hit = 0
+        for r in got:
+            s = x @ x[r.query_id]
+            s[r.query_id] = -np.inf
+            hit += len(set(np.argsort(-s)[:5].tolist()) & set(r.n))
+        share[exact] = hit / (5 * len(got))
+    assert share[True] == 1 and (share[False] >= 0.9) == near
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1.0, 0.0, 5.0]), (20, [2.0, 0.0, 1.0]), (40, [7.0]), (3, [1.0, 1.0]), (3, [2.0, 2.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 5.0), (0, 2, 3, 3.0), (20, 1, 2, 7.0)]
 
 
 def test_neighbours_ties_go_to_the_smaller_id(spark):
