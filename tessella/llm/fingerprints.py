@@ -16,7 +16,9 @@ from tessella.llm.common import numbered, written
 
 SAMPLES = 48
 #: Samples that one row of the aggregation holds; the generated code stays small.
-BLOCK = 8
+BLOCK = 4
+#: ASCII white space, as words are told apart by it.
+SPACES = " \t\n\x0b\f\r"
 
 
 def _runs(sorted_values: Column) -> Column:
@@ -33,37 +35,52 @@ def _runs(sorted_values: Column) -> Column:
 
 
 def _hashed_words(text: Column, mark: int) -> Column:
-    """Hashes of all words, with ``mark`` (0 or 1) as last bit; 0 stands for a text without words."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 1), 1).bitwiseOR(F.lit(mark)))
-    return F.flatten(F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.lit(mark).cast("long")))))
+    """Hashes of all words, with ``mark`` (0 to 3) as last bits."""
+    bare = F.btrim(text, F.lit(SPACES))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACES}]+"))
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(mark)))
 
 
 def weighted_terms(text: Column) -> Column:
     """array<struct<term long, w0 double>>: the text's words, hashed, with their counts.
     A text without words has one term of its own."""
-    runs = _runs(F.sort_array(_hashed_words(text, 1)))
-    return F.transform(runs, lambda r: F.struct(r["value"].alias("term"), r["n"].alias("w0")))
+
+    def counted(h: Column) -> Column:
+        runs = _runs(F.sort_array(F.when(F.size(h) > 0, h).otherwise(F.array(F.lit(3).cast("long")))))
+        return F.transform(runs, lambda r: F.struct(r["value"].alias("term"), r["n"].alias("w0")))
+
+    return F.flatten(F.transform(F.array(_hashed_words(text, 3)), counted))
 
 
-def weighted_terms_of_two(text: Column, other: Column) -> Column:
+def weighted_terms_of_two(both: Column, one: Column, other: Column) -> Column:
     """array<struct<term long, w0 double, w1 double>>: the words of two texts, hashed, with
-    their counts in each (0 where a text hasn't the word)."""
+    their counts in each (0 where a text hasn't the word). The texts are ``both`` + ``one`` and
+    ``both`` + ``other``; ``both`` is empty or ends with white space."""
 
     def merged(runs: Column) -> Column:
-        term = lambda i: F.get(runs, i)["value"].bitwiseOR(F.lit(1))
+        term = lambda i: F.get(runs, i)["value"].bitwiseOR(F.lit(3))
         firsts = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
 
-        def one(i: Column) -> Column:
-            here, after = F.get(runs, i), F.get(runs, i + 1)
-            own = here["value"] != term(i)
-            both = own & F.coalesce(after["value"] == term(i), F.lit(False))
-            return F.struct(term(i).alias("term"), F.when(own, here["n"]).otherwise(0.0).alias("w0"), F.when(~own, here["n"]).when(both, after["n"]).otherwise(0.0).alias("w1"))
+        def weights(t: Column, mine: Column) -> Column:
+            n = lambda *marks: F.aggregate(F.filter(mine, lambda r: r["value"].isin(*[t - (3 - m) for m in marks])), F.lit(0.0), lambda s, r: s + r["n"])
+            return F.struct(t.alias("term"), n(0, 1).alias("w0"), n(0, 2).alias("w1"))
 
-        return F.transform(firsts, one)
+        def one_term(i: Column) -> Column:
+            here, second = F.get(runs, i), F.get(runs, i + 1)
+            alone = ~F.coalesce(term(i + 1) == term(i), F.lit(False))
+            mark = here["value"].bitwiseAND(F.lit(3))
+            own = F.struct(term(i).alias("term"), F.when(mark != 2, here["n"]).otherwise(0.0).alias("w0"), F.when(mark != 1, here["n"]).otherwise(0.0).alias("w1"))
+            return F.when(alone, own).otherwise(weights(term(i), F.slice(runs, i + 1, 3)))
+
+        return F.transform(firsts, one_term)
+
+    def counted(h: Column) -> Column:
+        none = lambda part, mark: F.when(F.size(h["both"]) + F.size(part) == 0, F.array(F.lit(mark).cast("long"))).otherwise(part)
+        runs = _runs(F.sort_array(F.concat(h["both"], none(h["one"], 1), none(h["other"], 2))))
+        return F.flatten(F.transform(F.array(runs), merged))
 
-    runs = _runs(F.sort_array(F.concat(_hashed_words(text, 0), _hashed_words(other, 1))))
-    return F.flatten(F.transform(F.array(runs), merged))
+    hashed = F.struct(_hashed_words(both, 0).alias("both"), _hashed_words(one, 1).alias("one"), _hashed_words(other, 2).alias("other"))
+    return F.flatten(F.transform(F.array(hashed), counted))
 
 
 def _bids(term: Column, log_weights: list[Column], seed: Column, k: int) -> list[Column]:
@@ -158,11 +175,13 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     own = F.struct(F.lit(1).alias("again"), F.substring("text", F.lit(1), third).alias("tail"))
     ends = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("again"), F.col("tail")), own)).otherwise(F.array(F.struct(F.lit(0).alias("again"), F.col("tail"))))
     edited = texts.join(lent, ["k", "h"]).select("k", "h", "i", "n_chars", "text", F.inline(ends))
-    edited = edited.select("k", "h", "i", "again", "n_chars", "text", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), "tail").alias("edited"))
     keys = ["k", "h", "i", "again", "n_chars", "sha"]
-    # The digest stands below the explosion of terms, so it is taken once a document.
-    edited = edited.select(*keys[:-1], F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "text", "edited")
-    terms = edited.select(*keys, F.inline(weighted_terms_of_two(F.col("text"), F.col("edited"))))
+    # What an edited text keeps, up to its last white space, is hashed once for both texts. The
+    # digest stands below the explosion of terms, so it is taken once a document.
+    edited = edited.withColumn("kept", F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")))
+    edited = edited.select(*keys[:-1], F.sha2(F.concat("kept", "tail").cast("binary"), 256).alias("sha"), "text", "kept", "tail", F.regexp_extract("kept", f"^(?s:.*[{SPACES}])", 0).alias("both"))
+    rest = lambda t: F.substring(t, F.length("both") + 1, F.length(t))
+    terms = edited.select(*keys, F.inline(weighted_terms_of_two(F.col("both"), rest(F.col("text")), F.concat(rest(F.col("kept")), F.col("tail")))))
     prints = written(_marked(terms, keys, ["w0", "w1"], samples), "prints")
     after = prints.where("again = 0").select(F.col("i").alias("next_i"), F.col("m_w0").alias("next_marks"))
     after = nexts.select("i", "doc_id", "copies", "next_i").join(after, "next_i").select("i", "doc_id", "copies", "next_marks")
