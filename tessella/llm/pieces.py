@@ -27,7 +27,7 @@ from tessella.llm.shingles import mixed
 NBEST = 4
 #: Stretches whose paths a task remembers, and characters of text that it handles at once;
 #: only speed and memory depend on them.
-CACHE, BATCH_CHARS = 200_000, 2_000_000
+CACHE, BATCH_CHARS = 100_000, 1_000_000
 _STRETCH = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -109,8 +109,8 @@ class Pieces:
             groups.setdefault(len(w), []).append(i)
         alone = []
         for n, all_of in groups.items():
-            for a in range(0, len(all_of), 8192):
-                own = np.array(all_of[a : a + 8192])
+            for a in range(0, len(all_of), 4096):
+                own = np.array(all_of[a : a + 4096])
                 if n > 64 or len(own) < 4:
                     alone += own.tolist()
                     continue

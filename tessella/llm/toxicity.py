@@ -25,6 +25,8 @@ from tessella.llm.shingles import _BYTE, _LOWER, _SPACE, chunks, mixed
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 15, 8, 16, 8
 SAMPLE_ROWS = 3000
+#: Words that are hashed at once; only memory depends on it.
+WORDS_AT_ONCE = 1 << 16
 THRESHOLD = 0.3
 _MARK = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -46,9 +48,13 @@ class Words:
             self.which, self.word, self.gram, self.gram_begin = (np.zeros(0, np.int64) for _ in range(4))
             self.n = 0
             return
-        flat = np.repeat(first, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        place = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
-        h = mixed(np.add.reduceat(_BYTE[data[flat]] * mixed(place + np.uint64(1)), np.cumsum(size) - size) + size.astype(np.uint64))
+        h = np.empty(len(first), np.uint64)
+        for a in range(0, len(first), WORDS_AT_ONCE):
+            own, n = first[a : a + WORDS_AT_ONCE], size[a : a + WORDS_AT_ONCE]
+            begin = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(begin, n)
+            letters = _BYTE[data[np.repeat(own, n) + place]] * mixed(place.astype(np.uint64) + np.uint64(1))
+            h[a : a + WORDS_AT_ONCE] = mixed(np.add.reduceat(letters, begin) + n.astype(np.uint64))
         _, at, self.which = np.unique(h, return_index=True, return_inverse=True)
         self.n = len(at)
         self.word = (h[at] % np.uint64(WORD_BUCKETS)).astype(np.int64)
@@ -193,17 +199,14 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = 6, batch
         rate_1 = float(np.clip(y.mean() if len(y) else 0, 1e-4, 1 - 1e-4))
         p["bias"][:] = np.log(rate_1 / (1 - rate_1))
         return p
-    owner = np.repeat(np.arange(len(texts)), np.diff(w.begin))
-    pairs = np.unique(owner * np.int64(w.n) + w.which)
-    doc, word = pairs // w.n, pairs % w.n
+    # In how many toxic and clean texts each feature is, some texts at a time.
+    pos, neg = np.zeros(GRAM_BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.int64)
+    for text, first, end in zip(range(len(texts)), w.begin[:-1], w.begin[1:], strict=True):
+        words = np.unique(w.which[first:end])
+        size = w.gram_size[words]
+        at = np.repeat(w.gram_begin[words] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        (pos if y[text] > 0 else neg)[np.unique(w.gram[at])] += 1
     flat = np.repeat(np.arange(w.n), w.gram_size)
-    size = w.gram_size[word]
-    spread = w.gram_begin[word]
-    at = np.repeat(spread, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    seen = np.unique(np.repeat(doc, size) * np.int64(GRAM_BUCKETS) + w.gram[at])
-    bad = y[seen // GRAM_BUCKETS] > 0
-    pos = np.bincount(seen[bad] % GRAM_BUCKETS, minlength=GRAM_BUCKETS)
-    neg = np.bincount(seen[~bad] % GRAM_BUCKETS, minlength=GRAM_BUCKETS)
     odds = np.where(pos > 1, np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1)), -9)
     lean = np.full(w.n, -9.0)
     np.maximum.at(lean, flat, odds[w.gram])
@@ -222,7 +225,7 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = 6, batch
         if epoch in (0, epochs // 2, epochs - 2):
             if epoch:
                 emb = embedded(p, w)
-                score = np.concatenate([forward(p, emb, index[:, i : i + 4096], mask[:, i : i + 4096]) for i in range(0, index.shape[1], 4096)])
+                score = np.concatenate([forward(p, emb, index[:, i : i + 1024], mask[:, i : i + 1024]) for i in range(0, index.shape[1], 1024)])
             top = worst(score)
             clean = np.flatnonzero(y[text] == 0)
             chosen = np.unique(np.concatenate([top, rng.choice(clean, min(len(clean), 2 * len(texts)), replace=False)]))
