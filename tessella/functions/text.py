@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that say nothing about a substance, only about its form.
-FORM_WORDS = ("acid", "hydrochloride", "sodium", "potassium", "calcium", "sulfate", "acetate", "citrate", "human", "recombinant", "with")
-#: Parts of names of biological substances.
-BIOLOGIC_TERMS = ("mab", "insulin", "interferon", "vaccine", "globulin", "plasma", "peptide", "antibody")
+FORM_WORDS = ("acid", "acetate", "cation", "chloride", "dichloride", "hydrochloride", "hydrate", "ion", "maleate", "phosphate", "sodium", "sulfate", "tartrate")
+#: Parts of names of biological substances, and their types.
+BIOLOGIC_TERMS = (
+    "albumin", "insulin", "interferon", "antibody", "immunoglobulin", "peptide", "heparin", "corticotropin", "romiplostim",
+    "ecallantide", "exenatide", "nesiritide", "mipomersen", "ustekinumab", "ofatumumab", "liraglutide", "tesamorelin", "teduglutide",
+)
+BIOLOGIC_TYPES = ("Antibody", "Enzyme", "Oligosaccharide", "Protein")
 
 
 @F.pandas_udf(T.StringType())
@@ -103,3 +107,8 @@ def has_any_term(c: Column, terms: tuple[str, ...]) -> Column:
 def is_combination(c: Column | str) -> Column:
     """A name that joins ingredients with ``and``."""
     return F.contains(F.concat(F.lit(" "), normalize_alnum(c), F.lit(" ")), F.lit(" and "))
+
+
+def is_biologic(name: Column | str, types: Column) -> Column:
+    """A name with a biologic term, or a candidate of a biologic type (an array of types)."""
+    return has_any_term(normalize_alnum(name), BIOLOGIC_TERMS) | F.coalesce(F.arrays_overlap(types, F.array(*map(F.lit, BIOLOGIC_TYPES))), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.operators.stats import avg_rank
+from tessella.sources.scratch import numbered_within
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -70,17 +71,16 @@ def agreement_metrics(cm: DataFrame) -> DataFrame:
 
 def average_precision(df: DataFrame, hit: str, score: str, key: str, ties: str = "grouped", by: list[str] | None = None) -> DataFrame:
     """Average precision of a 0/1 column. ``positional``: rows of equal score in the
-    order of ``key``; ``grouped``: they enter together. Grouped counts run over distinct
-    scores only."""
+    order of ``key``; ``grouped``: they enter together. Counts run over range partitions."""
     by = by or []
     if ties == "grouped":
         g = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(hit).alias("h"))
-        order = W.partitionBy(*by).orderBy(F.col(score).desc())
+        order = [F.col(score).desc()]
     else:
         g = df.select(*by, score, key, F.lit(1).alias("n"), F.col(hit).alias("h"))
-        order = W.partitionBy(*by).orderBy(F.col(score).desc(), key)
-    run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    g = g.select(*by, "h", (F.sum("h").over(run) / F.sum("n").over(run)).alias("precision"))
+        order = [F.col(score).desc(), F.col(key)]
+    g = numbered_within(numbered_within(g, by, order, "__n", F.col("n").cast("long")), by, order, "__h", F.col("h").cast("long"))
+    g = g.select(*by, "h", ((F.col("__h") + F.col("h")) / (F.col("__n") + F.col("n"))).alias("precision"))
     return g.groupBy(*by).agg(_safe(F.sum(F.col("h") * F.col("precision")), F.sum("h")).alias("ap"))
 
 
@@ -201,13 +201,18 @@ def best_epoch(history: DataFrame, by: str, patience: int) -> DataFrame:
     return seen.groupBy(by, "stop_epoch").agg(F.max("epoch").alias("best_epoch"), F.max("metric").alias("best_metric"))
 
 
-def compare_experiments(df: DataFrame, base: str, small: float = 0.002, large: float = 0.01) -> DataFrame:
-    """Differences of experiments to a base one, with signal and strength labels."""
+def compare_experiments(df: DataFrame, base: str, control: str | None = None) -> DataFrame:
+    """Differences of experiments to the base one and to a control (the base, if not given):
+    ``signal`` is POSITIVE where an experiment beats the control, else NEGATIVE, and
+    ``improves`` YES where it beats the base, else NO; ``strength_rank`` orders them by metric,
+    best first, ties by name."""
     b = df.where(F.col("model") == base).select(F.col("metric").alias("base"))
-    d = F.col("metric") - F.col("base")
-    signal = F.when(d > small, "positive").when(d < -small, "negative").otherwise("neutral")
-    strength = F.when(F.abs(d) > large, "strong").when(F.abs(d) > small, "weak").otherwise("none")
-    return df.where(F.col("model") != base).crossJoin(b).select("model", "metric", d.alias("delta"), signal.alias("signal"), strength.alias("strength"))
+    c = df.where(F.col("model") == (control or base)).select(F.col("metric").alias("control"))
+    out = df.where(F.col("model") != base).crossJoin(b).crossJoin(c)
+    signal = F.when(F.col("metric") > F.col("control"), "POSITIVE").otherwise("NEGATIVE")
+    improves = F.when(F.col("metric") > F.col("base"), "YES").otherwise("NO")
+    rank = F.row_number().over(W.partitionBy().orderBy(F.col("metric").desc(), "model"))
+    return out.select("model", "metric", (F.col("metric") - F.col("base")).alias("delta"), (F.col("metric") - F.col("control")).alias("control_delta"), signal.alias("signal"), improves.alias("improves"), rank.alias("strength_rank"))
 
 
 def weight_summary(df: DataFrame, weights: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.sources.scratch import in_order
+
 from tessella.functions import text as X
 
 EDGE = ["source", "target", "relation", "source_type", "target_type"]
@@ -96,18 +98,17 @@ def typed_paths(edges: DataFrame, n: int) -> DataFrame:
 
     p = hop("drug_anchor", "drug", "anchor", "drug").join(hop("drug", "gene", "drug", "gene"), "drug")
     q = hop("side_anchor", "phenotype", "side", "phenotype").join(hop("phenotype", "gene", "phenotype", "gene"), "phenotype")
+    # Each start of a path leads to one path at least, and of a gene's ends the first n suffice.
+    starts = p.join(q.select("gene").distinct(), "gene", "left_semi").orderBy("anchor", "drug", "gene").limit(n)
+    ends = q.join(starts.select("gene").distinct(), "gene", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("gene").orderBy("phenotype", "side"))).where(F.col("nth") <= n)
     order = ["anchor", "drug", "gene", "phenotype", "side"]
-    return p.join(q, "gene").select(*order).orderBy(*order).limit(n)
+    return starts.join(ends, "gene").select(*order).orderBy(*order).limit(n)
 
 
 def index_nodes(nodes: DataFrame, type_order: tuple[str, ...]) -> DataFrame:
-    """A dense index by (type order, id). Each type starts after the nodes of the types
-    before it (a handful of counts), and ids are numbered within their type."""
+    """A dense index by (type order, id), over range partitions."""
     rank = F.array_position(F.array(*map(F.lit, type_order)), F.col("node_type"))
-    n = nodes.groupBy("node_type").agg(F.count("*").alias("n")).withColumn("rank", rank)
-    before = n.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy().orderBy("rank", "node_type").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(W.partitionBy("node_type").orderBy("node_id")) - 1
-    return nodes.withColumn("at", at).join(before.select("node_type", "before"), "node_type").select("node_id", "node_type", (F.col("before") + F.col("at")).alias("node_index"))
+    return in_order(nodes.select("node_id", "node_type"), [rank, F.col("node_type"), F.col("node_id")], "node_index").select("node_id", "node_type", "node_index")
 
 
 def index_relations(edges: DataFrame, inverse: str = "__INV") -> DataFrame:

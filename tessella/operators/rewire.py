@@ -5,14 +5,12 @@ Edges are ``(src, dst, ...)`` with directed meaning; similarity tables are ``(sr
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.operators.similarity import top_k
+from tessella.sources.scratch import written
 
 BOTH = ["src", "dst"]
 
@@ -82,28 +80,16 @@ def graph_diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.crossJoin(d).crossJoin(alone)  # one row each
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """Written to the cluster's shared folder and read back, which cuts the lineage."""
-    spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        home = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """H9: ``id, component`` for every node, component its smallest reachable id. Labels
     spread to neighbours and jump to their label's label until nothing changes."""
-    e = _table(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges")
+    e = written(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges")
     labels = nodes.select("id", F.col("id").alias("c")).distinct()
     while True:
         low = e.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("c").alias("n"))
         near = labels.join(low, F.col("id") == F.col("src"), "left").select("id", F.col("c").alias("was"), F.least("c", F.coalesce("n", "c")).alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        step = _table(near.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
+        step = written(near.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
         labels = step.select("id", "c")
         if step.where("c <> was").isEmpty():
             return labels.withColumnRenamed("c", "component")
@@ -147,11 +133,17 @@ def edge_coverage(added: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.crossJoin(nodes.agg(F.count("*").alias("nodes"))).withColumn("share", F.col("sources") / F.col("nodes"))
 
 
-def neighbor_margins(sim: DataFrame, weak: float = 0.02) -> DataFrame:
-    """For each source, its best value, the means of its best 5 and 10, the tenth, the
-    gaps, and whether the first stands out by less than ``weak``."""
+def neighbor_margins(sim: DataFrame) -> DataFrame:
+    """For each source its best value, the means of its best 5 and 10, the tenth, and by how
+    much the best stands above the tenth and above the mean of 10."""
     t = top_k(sim, 10)
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("value")))
-    m = t.groupBy("src").agg(at(1).alias("top1"), at(2).alias("top2"), F.avg(F.when(F.col("rank") <= 5, F.col("value"))).alias("top5_mean"), F.avg("value").alias("top10_mean"), at(10).alias("tenth"))
-    gap = F.col("top1") - F.col("top2")
-    return m.select("src", "top1", "top5_mean", "top10_mean", "tenth", gap.alias("gap_12"), (F.col("top1") - F.col("tenth")).alias("gap_110"), (gap < weak).alias("weak"))
+    m = t.groupBy("src").agg(at(1).alias("top1"), F.avg(F.when(F.col("rank") <= 5, F.col("value"))).alias("top5_mean"), F.avg("value").alias("top10_mean"), at(10).alias("tenth"))
+    return m.withColumns({"margin_tenth": F.col("top1") - F.col("tenth"), "margin_mean": F.col("top1") - F.col("top10_mean")})
+
+
+def weak_discrimination(margins: DataFrame) -> DataFrame:
+    """One row: whether the best neighbours hardly stand above the tenth: a mean margin
+    under 0.01 or a median under 0.005."""
+    m = margins.agg(F.avg("margin_tenth").alias("mean"), F.median("margin_tenth").alias("median"))
+    return m.select(F.coalesce((F.col("mean") < 0.01) | (F.col("median") < 0.005), F.lit(False)).alias("weak"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.sources.scratch import in_order, numbered_within, written
+
 
 def order_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -17,30 +21,25 @@ def positive_triples(matrix: DataFrame) -> DataFrame:
 
 
 def stratified_kfold(df: DataFrame, label: str, keys: list[str], k: int, seed: int = 42) -> DataFrame:
-    """``fold`` 1..k: classes laid end to end in hash order, every k-th row a fold. A
-    class's offset is the number of rows of the classes before it (as many as classes)."""
-    n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    before = n.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy().orderBy(label).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    at = F.row_number().over(W.partitionBy(label).orderBy(order_key(seed, *keys), *keys)) - 1
-    return df.withColumn("__at", at).join(before, label).withColumn("fold", ((F.col("__before") + F.col("__at")) % k + 1).cast("int")).drop("__at", "__before")
+    """``fold`` 1..k: classes laid end to end in hash order, every k-th row a fold."""
+    out = in_order(df.withColumn("__h", order_key(seed, *keys)), [F.col(label), F.col("__h"), *map(F.col, keys)], "__at")
+    return out.withColumn("fold", (F.col("__at") % k + 1).cast("int")).drop("__at", "__h")
 
 
 def stratified_holdout(df: DataFrame, label: str, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """``held``: max(1, round half to even of n * fraction) rows of each class."""
-    w = W.partitionBy(label)
-    at = F.row_number().over(w.orderBy(order_key(seed, *keys), *keys))
+    """``held``: max(1, round half to even of n * fraction) rows of each class, by hash."""
     n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    out = df.withColumn("__at", at).join(n, label)
-    return out.withColumn("held", F.col("__at") <= F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(float(fraction))))).drop("__at", "__n")
+    out = numbered_within(df.withColumn("__h", order_key(seed, *keys)), [label], [F.col("__h"), *map(F.col, keys)], "__at").join(F.broadcast(n), label)
+    return out.withColumn("held", F.col("__at") < F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(float(fraction))))).drop("__at", "__n", "__h")
 
 
 def relation_split(edges: DataFrame, fraction: float, seed: int = 42, relation: str = "relation", keys: tuple[str, ...] = ("source", "target")) -> DataFrame:
     """``train``: per relation round(n (1 - fraction)) rows, at least one on each side; a
     single edge trains."""
     n = edges.groupBy(relation).agg(F.count("*").alias("__n"))
-    at = F.row_number().over(W.partitionBy(relation).orderBy(order_key(seed, *keys), *keys))
     keep = F.when(F.col("__n") == 1, 1).otherwise(F.least(F.col("__n") - 1, F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(1.0 - fraction)))))
-    return edges.withColumn("__at", at).join(n, relation).withColumn("train", F.col("__at") <= keep).drop("__at", "__n")
+    out = numbered_within(edges.withColumn("__h", order_key(seed, *keys)), [relation], [F.col("__h"), *map(F.col, keys)], "__at").join(n, relation)
+    return out.withColumn("train", F.col("__at") < keep).drop("__at", "__n", "__h")
 
 
 def remove_heldout(edges: DataFrame, held: DataFrame, inverse: str = "__INV") -> DataFrame:
@@ -93,8 +92,7 @@ def compact_index(edges: DataFrame) -> DataFrame:
 
 def type_pools(nodes: DataFrame) -> DataFrame:
     """F8: the nodes of each type, numbered from 0 by id."""
-    at = F.row_number().over(W.partitionBy("node_type").orderBy("node_id")) - 1
-    return nodes.select(F.col("node_type").alias("type"), at.cast("long").alias("at"), F.col("node_id").alias("id"))
+    return numbered_within(nodes.select(F.col("node_type").alias("type"), F.col("node_id").alias("id")), ["type"], [F.col("id")], "at").select("type", F.col("at").cast("long").alias("at"), "id")
 
 
 def random_pairs(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -109,26 +107,50 @@ def head_per_class(df: DataFrame, cls: str, n: int, key: str) -> DataFrame:
 
 def rank_bins(df: DataFrame, value: str, key: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """``bin`` 0..bins-1 by rank, ties by key: floor(position * bins / n). Positions come
-    from the counts of distinct values, so only rows of one value share a window."""
+    from range partitions, so no window sees all rows."""
     by = by or []
-    n = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = W.partitionBy(*by).orderBy(value)
-    base = n.withColumn("__before", F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    base = base.withColumn("__all", F.sum("__n").over(W.partitionBy(*by))).drop("__n")
-    at = F.row_number().over(W.partitionBy(*by, value).orderBy(key)) - 1
-    out = df.withColumn("__at", at).join(base, [*by, value])
-    return out.withColumn("bin", F.floor((F.col("__before") + F.col("__at")) * bins / F.col("__all")).cast("int")).drop("__at", "__before", "__all")
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    out = numbered_within(df, by, [F.col(value), F.col(key)], "__at")
+    out = out.join(n, by) if by else out.crossJoin(F.broadcast(n))
+    return out.withColumn("bin", F.floor(F.col("__at") * bins / F.col("__n")).cast("int")).drop("__at", "__n")
 
 
-def matched_controls(pairs: DataFrame, degrees: DataFrame, known: DataFrame, reach: int = 9, seed: int = 42) -> DataFrame:
-    """for each (drug, side) pair a control drug that isn't known with the side: nearest
-    degree bin first (up to ``reach`` bins away), then closest degree, then hash.
+def matched_controls(pairs: DataFrame, degrees: DataFrame, known: DataFrame, bins: int = 10, seed: int = 42) -> DataFrame:
+    """for each known (drug, side) pair a side of like degree that isn't known with the drug:
+    ``drug, side, control, degree, control_degree``. Of the nearest bins with such a side the
+    closest degree, and of its sides one by a hash of the pair; a drug that is known with all
+    sides gives a null control.
 
-    ``degrees(drug, degree, bin)``. Bins bound the candidates of a pair.
+    ``degrees(side, degree, bin)``. The search goes over counts: how many sides of a bin and
+    degree a drug isn't known with is the number of such sides less the known ones, so no
+    pair meets the sides themselves before its degrees are chosen.
     """
-    d = degrees.select("drug", "degree", "bin")
-    near = pairs.join(d, "drug").withColumn("other_bin", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.col("bin") + i)))
-    c = d.select(F.col("drug").alias("control"), F.col("degree").alias("control_degree"), F.col("bin").alias("other_bin"))
-    c = near.join(c, "other_bin").where("control <> drug").join(known.select(F.col("drug").alias("control"), "side"), ["control", "side"], "left_anti")
-    best = W.partitionBy("drug", "side").orderBy(F.abs(F.col("bin") - F.col("other_bin")), F.abs(F.col("degree") - F.col("control_degree")), order_key(seed, "drug", "side", "control"))
-    return c.withColumn("__at", F.row_number().over(best)).where("__at = 1").select("drug", "side", "control", "degree", "control_degree")
+    level = ["bin", "degree"]
+    levels = degrees.groupBy(*level).agg(F.count("*").alias("n"))
+    seen = known.select("drug", "side").distinct()
+    taken = seen.join(degrees, "side").groupBy("drug", *level).agg(F.count("*").alias("t"))
+    left = written(pairs.select("drug", "side").distinct().join(degrees, "side").select("drug", *level).distinct(), "control-wanted")
+    wanted, found = left, []
+    for distance in range(bins):
+        near = F.array(F.col("bin")) if distance == 0 else F.array(F.col("bin") - distance, F.col("bin") + distance)
+        other = left.select("drug", *level, F.explode(near).alias("other_bin")).join(levels.select(F.col("bin").alias("other_bin"), F.col("degree").alias("other_degree"), "n"), "other_bin")
+        free = other.join(taken.select("drug", F.col("bin").alias("other_bin"), F.col("degree").alias("other_degree"), "t"), ["drug", "other_bin", "other_degree"], "left")
+        free = free.withColumn("free", F.col("n") - F.coalesce("t", F.lit(0))).where("free > 0").withColumn("gap", F.abs(F.col("degree") - F.col("other_degree")))
+        best = free.groupBy("drug", *level).agg(F.min("gap").alias("gap"))
+        found.append(written(free.join(best, ["drug", *level, "gap"]).select("drug", *level, "other_bin", "other_degree", "free"), "control-levels"))
+        left = written(left.join(found[-1].select("drug", *level).distinct(), ["drug", *level], "left_anti"), "control-wanted")
+        if left.isEmpty():
+            break
+    chosen = reduce(DataFrame.unionByName, found)
+    # One of all free sides of a pair's levels, by a hash of the pair; then its place among a drug's free sides of the level.
+    per = chosen.groupBy("drug", *level).agg(F.sort_array(F.collect_list(F.struct("other_bin", "other_degree", "free"))).alias("ls"), F.sum("free").alias("all"))
+    h = F.conv(F.substring(order_key(seed, "drug", "side"), 1, 12), 16, 10).cast("long")
+    picked = pairs.select("drug", "side").distinct().join(degrees, "side").join(per, ["drug", *level], "left").withColumn("r", h % F.col("all"))
+    step = lambda acc, x: F.when(acc["at"] >= 0, F.when(acc["at"] < x["free"], F.struct((acc["at"] - x["free"]).alias("at"), x["other_bin"].alias("bin"), x["other_degree"].alias("degree"), acc["at"].alias("place"))).otherwise(F.struct((acc["at"] - x["free"]).alias("at"), acc["bin"], acc["degree"], acc["place"]))).otherwise(acc)
+    start = F.struct(F.col("r").alias("at"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("long").alias("degree"), F.lit(None).cast("long").alias("place"))
+    picked = picked.withColumn("c", F.aggregate("ls", start, step)).select("drug", "side", "degree", F.col("c.bin").alias("bin"), F.col("c.degree").alias("control_degree"), F.col("c.place").alias("place"))
+    used = picked.where("place is not null").select("drug", "bin", F.col("control_degree").alias("degree")).distinct()
+    free = used.join(degrees, level).join(seen, ["drug", "side"], "left_anti")
+    at = F.row_number().over(W.partitionBy("drug", *level).orderBy("side")) - 1
+    free = free.select("drug", "bin", F.col("degree").alias("control_degree"), F.col("side").alias("control"), at.cast("long").alias("place"))
+    return picked.join(free, ["drug", "bin", "control_degree", "place"], "left").select("drug", "side", "control", "degree", "control_degree")

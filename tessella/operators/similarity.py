@@ -24,12 +24,18 @@ def mirrored(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return pairs.unionByName(other)
 
 
+#: The largest family whose pairs are all listed.
+MOST_ENTITIES = 20_000
+
+
 def cosine_pairs(df: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
     """G1: cosine of all pairs of a bounded family of entities; a zero norm gives 0.
 
-    The family's size bounds the result (its square), so this is for hundreds to tens of
-    thousands of entities; beyond, use neighbour search.
+    The result is the square of the family's size, so a family of more than
+    ``MOST_ENTITIES`` is an error: use neighbour search for its nearest pairs.
     """
+    if df.count() > MOST_ENTITIES:
+        raise ValueError(f"all pairs of more than {MOST_ENTITIES} entities")
     n = F.col("norm")
     unit = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), norm(vec).alias("norm"))
     unit = unit.select("id", F.when(n > 0, F.transform("v", lambda x: x / n)).otherwise(F.transform("v", lambda x: x.cast("double") * 0)).alias("v"))
@@ -37,13 +43,32 @@ def cosine_pairs(df: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFra
     return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", dot("va", "vb").alias("value"))
 
 
+#: Owners of a shared column that meet in one block of its pairs.
+HOT = 4096
+
+
+def sharing(rows: DataFrame, more: dict[str, str]) -> DataFrame:
+    """``rows(id, k, *more)`` -> all pairs of ids that share a k, the smaller first: ``src, dst``
+    and each column of ``more`` twice, under its own name and the one given.
+
+    The rows of a k that more than ``HOT`` ids share are dealt to a grid of blocks, so no task
+    holds more than a block's pairs. Such columns are at most one in ``HOT`` of the rows, which
+    bounds what is broadcast.
+    """
+    hot = rows.groupBy("k").agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select(F.col("k").alias("__k"), F.ceil(F.col("__n") / HOT).cast("int").alias("__b"))
+    dealt = rows.join(F.broadcast(hot), F.col("k").eqNullSafe(F.col("__k")), "left").withColumn("__b", F.coalesce("__b", F.lit(1)))
+    block, every = F.pmod(F.xxhash64("id"), F.col("__b")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__b") - 1))
+    a = dealt.select("k", block.alias("__i"), every.alias("__j"), F.col("id").alias("src"), *more)
+    b = dealt.select("k", every.alias("__i"), block.alias("__j"), F.col("id").alias("dst"), *[F.col(c).alias(n) for c, n in more.items()])
+    return a.join(b, ["k", "__i", "__j"]).where("src < dst").drop("__i", "__j")
+
+
 def profile_cosine(cells: DataFrame, key: str = "row_id", over: str = "col_id", value: str = "freq") -> DataFrame:
     """Cosine of sparse profiles, for pairs that share a cell, each pair once. Cells of one
     shared column meet in one equi join; the pair sums are combined before the shuffle."""
     t = cells.select(F.col(key).alias("id"), F.col(over).alias("k"), F.col(value).cast("double").alias("x"))
     norms = t.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    a, b = t.toDF("src", "k", "x"), t.toDF("dst", "k", "y")
-    sums = a.join(b, "k").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    sums = sharing(t, {"x": "y"}).groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     out = sums.join(norms.toDF("src", "na"), "src").join(norms.toDF("dst", "nb"), "dst")
     safe = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("s") / (F.col("na") * F.col("nb"))).otherwise(0.0)
     return out.select("src", "dst", safe.alias("value"))
@@ -97,10 +122,9 @@ def centered(cells: DataFrame, center: float = 3.0) -> DataFrame:
 def masked_cosine(cells: DataFrame, center: float = 3.0, min_overlap: int = 3) -> DataFrame:
     """Cosine of centred ratings over the shared observed cells only: ``src, dst,
     overlap, degenerate, value``; value is null under ``min_overlap`` or at a zero norm."""
-    t = cells.select("row_id", "col_id", (F.col("freq") - F.lit(center)).alias("x"))
-    a, b = t.toDF("src", "col_id", "x"), t.toDF("dst", "col_id", "y")
+    t = cells.select(F.col("row_id").alias("id"), F.col("col_id").alias("k"), (F.col("freq") - F.lit(center)).alias("x"))
     x, y = F.col("x"), F.col("y")
-    sums = a.join(b, "col_id").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("overlap"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    sums = sharing(t, {"x": "y"}).groupBy("src", "dst").agg(F.count("*").alias("overlap"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
     zero = (F.col("xx") <= 0) | (F.col("yy") <= 0)
     enough = F.col("overlap") >= min_overlap
     value = F.when(enough & ~zero, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
@@ -113,7 +137,7 @@ def set_overlap(sets: DataFrame, owner: str = "owner", item: str = "item", empty
     it is ``empty`` (see ``jaccard``)."""
     s = sets.select(F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
     n = s.groupBy("o").agg(F.count("*").alias("n"))
-    shared = s.toDF("src", "i").join(s.toDF("dst", "i"), "i").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    shared = sharing(s.toDF("id", "k"), {}).groupBy("src", "dst").agg(F.count("*").alias("shared"))
     out = shared.join(n.toDF("src", "na"), "src").join(n.toDF("dst", "nb"), "dst")
     return out.select("src", "dst", "shared", jaccard(F.col("shared"), F.col("na"), F.col("nb"), empty).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("overlap"))
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.operators.similarity import jaccard
+from tessella.operators.rewire import neighbor_jaccard
+from tessella.operators.similarity import jaccard, top_k
+from tessella.sources.scratch import numbered_within, written
 
 
 def finite(*cols: str) -> Column:
@@ -25,13 +28,11 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def avg_rank(df: DataFrame, x: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Average ranks, ties sharing theirs. Ranks come from counts of the distinct values
-    and their running sum, joined back, so no window sees all rows."""
+    """Average ranks, ties sharing theirs. Ranks come from the counts of the distinct values
+    and their running sum over range partitions, joined back, so no window sees all rows."""
     by = by or []
-    n = df.groupBy(*by, x).agg(F.count("*").alias("__n"))
-    w = W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
-    ranks = n.withColumn(out, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranks, [*by, x])
+    n = numbered_within(df.groupBy(*by, x).agg(F.count("*").alias("__n")), by, [F.col(x)], "__before", F.col("__n"))
+    return df.join(n.select(*by, x, (F.col("__before") + (F.col("__n") + 1) / 2).alias(out)), [*by, x])
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -40,7 +41,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(avg_rank(avg_rank(ok, x, "rx"), y, "ry"), "rx", "ry")
 
 
-def distribution(df: DataFrame, x: str, thresholds: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95)) -> DataFrame:
+def distribution(df: DataFrame, x: str, thresholds: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
     """I8: mean, population deviation, extremes, exact percentiles, share at each threshold."""
     ps = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
     d = df.where(finite(x)).agg(
@@ -60,38 +61,125 @@ def task_alignment(view: DataFrame, task: DataFrame, near: DataFrame, random: Da
     return r.crossJoin(n).crossJoin(q).withColumn("enrichment", F.col("top10") - F.col("random"))
 
 
-def redundancy_class(r: Column, overlap: Column) -> Column:
-    """How much a view repeats another, by |correlation| and neighbour overlap."""
-    r = F.abs(r)
-    return F.when(r.isNull(), "not comparable").when((r >= 0.8) | (overlap >= 0.5), "highly redundant").when((r >= 0.4) | (overlap >= 0.2), "partly redundant").otherwise("complementary")
+def redundancy_class(coverage: Column, pearson: Column, spearman: Column, jaccard_5: Column, jaccard_10: Column) -> Column:
+    """How much a view repeats the graph's, by coverage, both correlations and the overlap of
+    the nearest 5 and 10; a figure that is missing or not finite is no evidence."""
+    known = F.lit(True)
+    for c in (pearson, spearman, jaccard_5, jaccard_10):
+        known = known & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    unrelated = (F.abs(pearson) < 0.05) & (F.abs(spearman) < 0.05) & (jaccard_10 < 0.03)
+    return (
+        F.when((coverage < 0.10) | ~known, "INSUFFICIENT_COVERAGE").when((spearman >= 0.70) & (jaccard_10 >= 0.50), "HIGHLY_REDUNDANT_WITH_KG")
+        .when((spearman >= 0.30) & (jaccard_10 >= 0.20), "MODERATELY_RELATED").when(unrelated, "EFFECTIVELY_UNRELATED").otherwise("COMPLEMENTARY")
+    )
+
+
+def kg_diagnostics(view: DataFrame, kg: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: ``coverage, n, pearson, spearman, jaccard_5, jaccard_10, complementarity`` of
+    a view against the graph's, over the nodes ``nodes(id)`` that the graph's view holds and the
+    pairs that both hold. Both are mirrored (src, dst, value)."""
+    held = nodes.join(kg.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    inside = view.join(held.withColumnRenamed("id", "src"), "src", "left_semi").join(held.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    pairs = inside.where("src < dst and value is not null").join(kg.select("src", "dst", F.col("value").alias("other")), ["src", "dst"])
+    out = pearson(pairs, "value", "other").select("n", F.col("r").alias("pearson")).crossJoin(spearman(pairs, "value", "other").select(F.col("r").alias("spearman")))
+    for k in (5, 10):
+        out = out.crossJoin(neighbor_jaccard(top_k(inside, k), top_k(kg, k), held).withColumnRenamed("mean_jaccard", f"jaccard_{k}"))
+    share = nodes.agg(F.count("*").alias("all")).crossJoin(held.agg(F.count("*").alias("held"))).select((F.col("held") / F.col("all")).alias("coverage"))
+    figures = ("pearson", "spearman", "jaccard_5", "jaccard_10")
+    return share.crossJoin(out).withColumn("complementarity", redundancy_class(F.col("coverage"), *map(F.col, figures)))
+
+
+def leakage_fields(provenance: Column) -> Column:
+    """How a view of a provenance stands to the labels: external ones hold none, others are
+    rebuilt from the training cells."""
+    external = provenance == "EXTERNAL_STATIC"
+    hidden = F.when(external, "NOT_APPLICABLE").otherwise("True")
+    return F.struct(
+        F.when(external, "SAFE_EXTERNAL").otherwise("SAFE_TRAIN_ONLY").alias("leakage_status"), hidden.alias("test_edges_hidden"), hidden.alias("validation_edges_hidden"),
+        (~external).alias("recomputed_from_training_only"), F.when(external, "EXTERNAL").otherwise("LABEL_DERIVED").alias("external_or_label_derived"),
+    )
 
 
 def rewiring_decision(df: DataFrame) -> DataFrame:
-    """A decision per audited view from ``leaks, symmetric, aligned, redundancy``."""
-    d = (
-        F.when(F.col("leaks"), "excluded: leakage").when(~F.col("symmetric"), "excluded: not symmetric").when(F.col("aligned").isNull(), "review")
-        .when(F.col("aligned") < 0.05, "keep as is").when(F.col("redundancy") == "highly redundant", "keep as is").otherwise("candidate")
+    """``priority, mode`` of a view from ``provenance, leakage_status, correlation,
+    enrichment, complementarity``. Views made of labels, or not known to be safe, stay as they
+    are; room above the task (|correlation| under 0.35, enrichment under 0.15) and
+    complementary evidence make a candidate."""
+    ok = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+    r, kind = F.abs(F.col("correlation")), F.col("complementarity")
+    room = ok("correlation") & ok("enrichment") & (r < 0.35) & (F.col("enrichment") < 0.15) & (kind == "COMPLEMENTARY")
+    priority = (
+        F.when(F.col("provenance").isin("LABEL_DERIVED", "HYBRID") | (F.col("leakage_status") != "SAFE_EXTERNAL"), "DO_NOT_REWIRE")
+        .when(room, "HIGH_PRIORITY_REWIRING_CANDIDATE").when(kind.isin("COMPLEMENTARY", "MODERATELY_RELATED"), "MEDIUM_PRIORITY")
+        .when((kind == "HIGHLY_REDUNDANT_WITH_KG") | (ok("correlation") & (r >= 0.50)), "LOW_PRIORITY").otherwise("NEEDS_MORE_EVIDENCE")
     )
-    return df.withColumn("decision", d)
+    p = F.col("priority")
+    mode = F.when(p == "DO_NOT_REWIRE", "DO_NOT_MODIFY").when(p == "HIGH_PRIORITY_REWIRING_CANDIDATE", "ADD_EDGES_WITH_KG_SUPPORT").when(p == "NEEDS_MORE_EVIDENCE", "NEEDS_REVIEW").otherwise("KEEP_MATRIX_BUILD_TASK_ADJACENCY")
+    return df.withColumn("priority", priority).withColumn("mode", mode)
+
+
+def rank_candidates(audit: DataFrame) -> DataFrame:
+    """The safe external views that may be rewired, with ``score`` and ``rank``: points for
+    the priority (4 to 1), a quarter of the task's headroom, 0.15 of the enrichment's, 0.1 of
+    what the graph doesn't repeat, 0.05 for drug views; ties to drug views, then by
+    ``view_index``. The audit has one row per view."""
+    ok = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+    left = lambda c, x: F.when(ok(c), 1 - F.least(F.lit(1.0), x)).otherwise(0.0)
+    p = F.col("priority")
+    points = F.when(p == "HIGH_PRIORITY_REWIRING_CANDIDATE", 4.0).when(p == "MEDIUM_PRIORITY", 3.0).when(p == "LOW_PRIORITY", 2.0).when(p == "NEEDS_MORE_EVIDENCE", 1.0).otherwise(0.0)
+    drug = F.col("entity_type") == "DRUG"
+    score = (
+        points + 0.25 * left("correlation", F.abs(F.col("correlation"))) + 0.15 * left("enrichment", F.greatest(F.lit(0.0), F.col("enrichment")))
+        + 0.10 * left("jaccard_10", F.col("jaccard_10")) + F.when(drug, 0.05).otherwise(0.0)
+    )
+    safe = audit.where((F.col("provenance") == "EXTERNAL_STATIC") & (F.col("leakage_status") == "SAFE_EXTERNAL") & (p != "DO_NOT_REWIRE"))
+    return safe.withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.col("score").desc(), ~drug, "view_index")))
+
+
+def distinguishability(added: DataFrame, everything: DataFrame, top20: DataFrame) -> DataFrame:
+    """One row: whether a cohort's similarities can be told from all pairs' and from those of
+    the 20 nearest. Each is one row of ``distribution`` (``mean, std, ge_99`` and ``p50``). Close
+    means a mean within 0.10 deviations, a median within 0.01 and a share at 0.99 or more
+    within 0.05; without a spread nothing is close."""
 
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{name}_{c}") for c in ("mean", "std", "p50", "ge_99")])
 
-def rank_candidates(audit: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted score of the audit's columns and its rank (score descending, then name).
-    The audit has one row per view."""
-    score = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-    return audit.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.col("score").desc(), "view")))
+    j = named(added, "a").crossJoin(named(everything, "g")).crossJoin(named(top20, "t"))
+    gap = lambda n: F.when(F.col(f"{n}_std") > 0, (F.col("a_mean") - F.col(f"{n}_mean")) / F.col(f"{n}_std"))
+    near = lambda n: F.coalesce((F.abs(gap(n)) < 0.10) & (F.abs(F.col("a_p50") - F.col(f"{n}_p50")) < 0.01) & (F.abs(F.col("a_ge_99") - F.col(f"{n}_ge_99")) < 0.05), F.lit(False))
+    verdict = (
+        F.when(near("g"), "NOT_DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION").when(near("t"), "DISTINGUISHABLE_FROM_GLOBAL_BUT_NOT_FROM_TOP20_NEIGHBORS")
+        .when(F.abs(gap("g")) < 0.25, "WEAKLY_DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION").otherwise("DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION")
+    )
+    return j.select(
+        (F.col("a_mean") - F.col("g_mean")).alias("mean_delta_all"), (F.col("a_p50") - F.col("g_p50")).alias("median_delta_all"), gap("g").alias("gap_all"),
+        (F.col("a_mean") - F.col("t_mean")).alias("mean_delta_top20"), (F.col("a_p50") - F.col("t_p50")).alias("median_delta_top20"), gap("t").alias("gap_top20"), verdict.alias("verdict"),
+    )
 
 
-def distinguishability(a: Column, b: Column, spread: Column) -> Column:
-    """Whether two cohorts' means can be told apart, by their gap in deviations."""
-    gap = F.abs(a - b) / spread
-    return F.when(spread <= 0, "undefined").when(gap >= 0.8, "clear").when(gap >= 0.3, "moderate").otherwise("weak")
+def _rounded_key(vec: str, decimals: int) -> Column:
+    """A digest of the values, rounded half to even."""
+    values = F.transform(vec, lambda x: (F.bround(x.cast("double"), decimals) + F.lit(0.0)).cast("string"))
+    return F.sha2(F.array_join(values, ",", "null"), 256)
 
 
 def duplicate_groups(df: DataFrame, decimals: int, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Vectors equal after rounding half to even: ``members, size`` for groups of two or more."""
-    key = F.transform(vec, lambda x: F.bround(x.cast("double"), decimals) + F.lit(0.0))
-    return df.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(id_col)).alias("members")).where(F.size("members") > 1).select("members", F.size("members").alias("size"))
+    """Vectors equal after rounding half to even: ``id, group, size`` of the members of
+    groups of two or more, a group named by its smallest id."""
+    keyed = df.select(F.col(id_col).alias("id"), _rounded_key(vec, decimals).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("id").alias("group"), F.count("*").alias("size")).where("size > 1")
+    return keyed.join(groups, "key").select("id", "group", "size")
+
+
+def duplicate_summary(df: DataFrame, decimals: tuple[int, ...] = (6, 4, 3), id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """For each precision: groups of equal vectors, their members, the largest, distinct
+    vectors and all."""
+    rows = []
+    for d in decimals:
+        g = df.groupBy(_rounded_key(vec, d).alias("key")).agg(F.count("*").alias("n"))
+        rows.append(g.agg(F.lit(d).alias("decimals"), F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("members"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def gram(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -104,28 +192,64 @@ def gram(df: DataFrame, vec: str = "vec") -> DataFrame:
     return s.select("i", "j", ((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n")).alias("value"))
 
 
+#: The largest dimension whose covariance ``spectrum`` brings to the driver.
+MOST_DIMENSIONS = 4096
+
+
 def spectrum(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """``component, explained, effective_rank``: shares of variance by falling eigenvalue.
-    Only the dimension-squared covariance reaches the driver."""
+    """One row per component: ``component, singular_value, explained`` (share of variance),
+    ``cumulative``, ``dimension_std`` (of the dimension of that number), and alike in all rows
+    ``numerical_rank, effective_rank, norm_mean, norm_std, norm_min, norm_max``.
+
+    Only the covariance reaches the driver: dimension squared, for ``MOST_DIMENSIONS`` at most.
+    """
     import numpy as np
 
-    rows = gram(df, vec).collect()
-    d = max((r.j for r in rows), default=-1) + 1
+    d = df.agg(F.max(F.size(vec))).first()[0] or 0
+    if d > MOST_DIMENSIONS:
+        raise ValueError(f"vectors of more than {MOST_DIMENSIONS} dimensions")
+    norm = F.sqrt(F.aggregate(F.transform(vec, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
+    norms = df.agg(F.count("*").alias("n"), F.avg(norm).alias("norm_mean"), F.stddev_pop(norm).alias("norm_std"), F.min(norm).alias("norm_min"), F.max(norm).alias("norm_max"))
     m = np.zeros((d, d))
-    for r in rows:
+    for r in gram(df, vec).collect():
         m[r.i, r.j] = m[r.j, r.i] = r.value
+    n = norms.first().n
     values = np.clip(np.linalg.eigvalsh(m)[::-1], 0, None) if d else np.zeros(0)
+    single = np.sqrt(values * n)
     share = values / values.sum() if values.sum() > 0 else values
+    numerical = int((single > single[0] * max(n, d) * np.finfo(float).eps).sum()) if d and single[0] > 0 else 0
     rank = float(np.exp(-sum(p * math.log(p) for p in share if p > 0))) if d else 0.0
-    return df.sparkSession.createDataFrame([(i, float(p), rank) for i, p in enumerate(share)], "component int, explained double, effective_rank double")
+    rows = [(i, float(x), float(p), float(c), float(math.sqrt(max(v, 0))), numerical, rank) for i, (x, p, c, v) in enumerate(zip(single, share, np.cumsum(share), m.diagonal(), strict=True))]
+    kind = "component int, singular_value double, explained double, cumulative double, dimension_std double, numerical_rank int, effective_rank double"
+    return df.sparkSession.createDataFrame(rows, kind).crossJoin(F.broadcast(norms.drop("n")))
+
 
+def collapse_diagnosis(pairs: DataFrame, effective_rank: Column, dimension: int, duplicates: DataFrame, weak_margin: Column) -> DataFrame:
+    """One row: flags and a class from a distribution of pair cosines (``distribution``:
+    ``p50, ge_95, ge_99``), the effective rank, the duplicates at three decimals
+    (``largest, distinct, all``, one row) and whether nearest neighbours stand out too little.
 
-def collapse_diagnosis(dist: DataFrame, effective_rank: Column, dimension: int) -> DataFrame:
-    """Flags and a verdict from a distribution row of pair cosines (see ``distribution``)."""
-    high, low, flat = F.col("mean") > 0.9, effective_rank < 0.1 * dimension, F.col("std") < 0.05
-    verdict = F.when(high & low, "collapsed").when(high | low, "partly collapsed").when(flat, "narrow").otherwise("healthy")
-    advice = F.when(verdict == "healthy", "use as is").when(verdict == "narrow", "rescale before use").otherwise("do not use as a similarity")
-    return dist.select(high.alias("high_mean"), low.alias("low_rank"), flat.alias("narrow"), verdict.alias("verdict"), advice.alias("advice"))
+    Two of four strong signs (most pairs at 0.99 or more, an effective rank under a tenth of the
+    dimension, a duplicate group of 10 or under three quarters distinct, weak margins) make a
+    collapse; a median over 0.90 or most pairs at 0.95 a compression.
+    """
+    groups = (F.col("largest") >= 10) | (F.col("distinct") < 0.75 * F.col("all"))
+    signs = {"most_at_99": F.col("ge_99") > 0.50, "low_rank": effective_rank < 0.10 * dimension, "large_groups": groups, "weak_margin": weak_margin}
+    flagged = pairs.crossJoin(duplicates).withColumns(signs)
+    strong = sum((F.col(c).cast("int") for c in signs), F.lit(0))
+    compressed = (F.col("p50") > 0.90) | (F.col("ge_95") > 0.50)
+    healthy = (F.col("p50") < 0.75) & (F.col("ge_95") < 0.10) & (effective_rank >= 0.25 * dimension) & ~F.col("large_groups")
+    verdict = F.when(strong >= 2, "STRONG_REPRESENTATION_COLLAPSE").when(compressed, "HIGH_SIMILARITY_COMPRESSION").when(healthy, "HEALTHY_DISCRIMINATION").otherwise("INCONCLUSIVE")
+    return flagged.select(*signs, strong.alias("strong"), compressed.alias("compressed"), verdict.alias("verdict"))
+
+
+def collapse_advice(verdict: Column, explicit_signal: Column) -> Column:
+    """What to do, given whether explicit overlap tells added edges from random pairs."""
+    bad = verdict.isin("STRONG_REPRESENTATION_COLLAPSE", "HIGH_SIMILARITY_COMPRESSION")
+    return (
+        F.when(verdict == "HEALTHY_DISCRIMINATION", "KEEP_KG_EMBEDDING_COSINE_FOR_REWIRING").when(bad & explicit_signal, "REPLACE_EMBEDDING_COSINE_WITH_EXPLICIT_KG_STRUCTURE")
+        .when(verdict == "STRONG_REPRESENTATION_COLLAPSE", "RETRAIN_KG_ENCODER_WITH_MORE_DISCRIMINATIVE_NODE_FEATURES").otherwise("NEEDS_MORE_EVIDENCE")
+    )
 
 
 def pair_support(pairs: DataFrame, sets: DataFrame, cohort: str = "cohort") -> DataFrame:
@@ -158,10 +282,11 @@ def pair_evidence(pairs: DataFrame, drug_genes: DataFrame, side_genes: DataFrame
     nd, ns = dg.groupBy("drug").agg(F.count("*").alias("drug_genes")), sg.groupBy("side").agg(F.count("*").alias("side_genes"))
     degree = gene_gene.select(F.col("a").alias("gene")).union(gene_gene.select("b")).groupBy("gene").agg(F.count("*").alias("degree"))
     p = pairs.select("drug", "side").distinct()
-    shared = p.join(dg, "drug").join(sg, ["side", "gene"]).join(degree, "gene", "left")
+    shared = p.join(sg, "side").join(dg, ["drug", "gene"]).join(degree, "gene", "left")
     shared = shared.groupBy("drug", "side").agg(F.count("*").alias("shared"), F.sum(1 / F.log(2 + F.coalesce("degree", F.lit(0)))).alias("weighted"))
     both = gene_gene.select("a", "b").union(gene_gene.select("b", "a"))
-    bridge = p.join(dg.withColumnRenamed("gene", "a"), "drug").join(both, "a").join(sg.withColumnRenamed("gene", "b"), ["side", "b"])
+    reach = dg.withColumnRenamed("gene", "a").join(both, "a")
+    bridge = p.join(sg.withColumnRenamed("gene", "b"), "side").join(reach, ["drug", "b"])
     bridge = bridge.groupBy("drug", "side").agg(F.count_distinct(F.struct(F.least("a", "b"), F.greatest("a", "b"))).alias("bridges"))
     out = p.join(nd, "drug", "left").join(ns, "side", "left").join(shared, ["drug", "side"], "left").join(bridge, ["drug", "side"], "left").fillna(0)
     n, d, s = F.col("shared"), F.col("drug_genes"), F.col("side_genes")
@@ -183,25 +308,52 @@ def class_summary(df: DataFrame, features: list[str], cls: str = "class") -> Dat
     return s.select("feature", cls, "n", "mean", at(1).alias("median"), "std", at(0).alias("q1"), at(2).alias("q3"), (at(2) - at(0)).alias("iqr"))
 
 
+def erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0: a series of positive terms below 2, a continued
+    fraction beyond."""
+    step = lambda a, n: F.struct((a["t"] * 2 * z * z / (2 * n + 1)).alias("t"), (a["s"] + a["t"] * 2 * z * z / (2 * n + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(z.cast("double").alias("t"), z.cast("double").alias("s")), step, lambda a: a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), F.lit(0.0), lambda acc, k: (k / F.lit(2.0)) / (z + acc))
+    scale = F.exp(-z * z) / math.sqrt(math.pi)
+    return F.when(z < 2, 1 - 2 * scale * series).otherwise(scale / (z + fraction))
+
+
 def chi2_sf(x: Column, dof: Column) -> Column:
-    """Upper tail of chi-square for even degrees of freedom, in closed form (a Poisson
-    sum); null for odd ones."""
-    term = F.aggregate(
-        F.sequence(F.lit(1), F.greatest((dof / 2).cast("int") - 1, F.lit(1))), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda a, i: F.struct((a["t"] * x / 2 / i).alias("t"), (a["s"] + a["t"] * x / 2 / i).alias("s")), lambda a: a["s"],
-    )
-    return F.when(dof % 2 == 0, F.exp(-x / 2) * F.when(dof == 2, 1.0).otherwise(term))
+    """Upper tail of chi-square: a sum of powers of x / 2 over gamma values, whole for even
+    degrees of freedom, half for odd ones, which start from erfc. 1 for no degrees."""
+    y, even = x.cast("double") / 2, dof % 2 == 0
+    half = F.when(even, 0.0).otherwise(0.5)
+    n = F.when(even, dof / 2).otherwise((dof - 1) / 2).cast("int")
+    first = F.when(even, F.lit(1.0)).otherwise(2 * F.sqrt(y / math.pi))
+    step = lambda a, i: F.struct((a["t"] * y / (i + half)).alias("t"), (a["s"] + a["t"] * y / (i + half)).alias("s"))
+    more = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    terms = F.aggregate(more, F.struct(first.alias("t"), first.alias("s")), step, lambda a: a["s"])
+    tail = F.exp(-y) * F.when(n > 0, terms).otherwise(0.0) + F.when(even, 0.0).otherwise(erfc(F.sqrt(y)))
+    return F.when((dof <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+
+
+def _h(n: Column, k: Column, s: Column, ties: Column) -> Column:
+    """Kruskal's H from the number of rows and classes, the sum of r * r / n over the classes
+    and of t ** 3 - t over the ties; 0 without a rank or with one class."""
+    correction = F.when(n > 1, 1 - ties / (n * n * n - n)).otherwise(1.0)
+    h = 12 / (n * (n + 1)) * s - 3 * (n + 1)
+    return F.when((n >= 2) & (k >= 2) & (correction > 0), F.greatest(F.lit(0.0), F.try_divide(h, correction))).otherwise(0.0)
+
+
+def _ties(df: DataFrame, x: str) -> DataFrame:
+    return df.groupBy(x).agg(F.count("*").cast("double").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("ties"))
 
 
 def kruskal(df: DataFrame, x: str, cls: str = "class") -> DataFrame:
-    """One row: H with tie correction, degrees of freedom, p (even ones), epsilon squared."""
-    r = avg_rank(df.where(finite(x)).select(x, cls), x)
-    g = r.groupBy(cls).agg(F.count("*").alias("n"), F.sum("rank").alias("r")).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
-    ties = df.where(finite(x)).groupBy(x).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    out = g.crossJoin(ties).select("n", (F.col("k") - 1).alias("dof"), h.alias("h"))
-    return out.select("n", "dof", "h", chi2_sf(F.col("h"), F.col("dof")).alias("p"), (F.col("h") / ((F.col("n") * F.col("n") - 1) / (F.col("n") + 1))).alias("epsilon2"))
+    """One row: H with tie correction, degrees of freedom, p, epsilon squared. Fewer than
+    two classes or rows, or one value only, give H 0; fewer than two classes 0 degrees and p 1."""
+    ok = df.where(finite(x)).select(x, cls)
+    g = avg_rank(ok, x).groupBy(cls).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
+    g = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
+    n, k = F.col("n").cast("double"), F.col("k")
+    out = g.crossJoin(_ties(ok, x)).select("n", "k", F.when((k >= 2) & (n >= 2), k - 1).otherwise(0).alias("dof"), _h(n, k, F.col("s"), F.col("ties")).alias("h"))
+    epsilon = F.when((F.col("dof") > 0) & (n > k), F.greatest(F.lit(0.0), F.try_divide(F.col("h") - k + 1, n - k))).otherwise(0.0)
+    return out.select("n", "dof", "h", chi2_sf(F.col("h"), F.col("dof")).alias("p"), epsilon.alias("epsilon2"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -220,31 +372,49 @@ def coverage_audit(df: DataFrame, cls: str, flag: str) -> DataFrame:
     return df.groupBy(cls).agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("int")).alias("coverage"))
 
 
-def permutation_test(df: DataFrame, value: str, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """One row: observed difference of means between labels 1 and 0, and the share of
-    label shuffles at least as extreme, (exceed + 1) / (n + 1). A replicate orders the rows by
-    md5 and labels the first as many as there are ones; replicates run side by side."""
-    rows = df.select(value, label, key)
-    totals = rows.agg(F.sum(F.col(label)).alias("ones"), F.count("*").alias("all"), F.sum(value).alias("total"), F.sum(F.when(F.col(label) == 1, F.col(value)).otherwise(0.0)).alias("hit"))
+def permutation_test(df: DataFrame, value: str, label: str, key: str, n: int, seed: int = 42, statistic: str = "kruskal") -> DataFrame:
+    """One row: ``observed`` (H of the values by label, or |Spearman|) and ``p``, the share of
+    ``n`` label shuffles at least as extreme, (exceed + 1) / (n + 1).
+
+    A shuffle lays the labels, class after class, on the rows in the order of an md5 of seed,
+    replicate and key. The rows of all replicates are put in order together, by ranges, so no
+    task holds a replicate. Labels are few; a value or label that never changes gives 0 and 1.
+    """
+    rows = avg_rank(df.where(finite(value)).select(value, label, key), value, "rank").select("rank", label, key, value)
+    classes = rows.groupBy(label).agg(F.count("*").alias("m"), F.sum("rank").alias("r"))
+    laid = classes.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "m"))).alias("c"), F.sum("m").alias("all"), F.count("*").alias("k"))
+    upto = F.transform("c", lambda c, i: F.struct(c["label"].alias("label"), F.aggregate(F.slice("c", 1, i + 1), F.lit(0).cast("long"), lambda s, x: s + x["m"]).alias("upto"), c["m"].alias("m")))
+    laid = written(laid.select(upto.alias("c"), "all", "k").crossJoin(_ties(rows, value)), "shuffle-labels")
     rep = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    order = W.partitionBy("replicate").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "replicate", key)), key)
-    diff = lambda hit: hit / F.col("ones") - (F.col("total") - hit) / (F.col("all") - F.col("ones"))
-    shuffled = rep.withColumn("at", F.row_number().over(order)).crossJoin(totals).where("at <= ones")
-    d = shuffled.groupBy("replicate").agg(F.sum(value).alias("s"), F.first("ones").alias("ones"), F.first("all").alias("all"), F.first("total").alias("total"), F.first("hit").alias("hit"))
-    d = d.select(F.round(diff(F.col("s")), 9).alias("d"), F.round(diff(F.col("hit")), 9).alias("observed"))
-    return d.groupBy("observed").agg(((F.count_if(F.abs("d") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    order = [F.col("replicate"), F.md5(F.concat_ws(":", F.lit(seed), "replicate", key)), F.col(key)]
+    at = numbered_within(rep, ["replicate"], order[1:], "at").crossJoin(F.broadcast(laid))
+    c = F.filter("c", lambda x: x["upto"] > F.col("at"))[0]
+    shuffled = at.select("replicate", "rank", c.alias("c"), "all", "k", "ties")
+    actual = rows.crossJoin(F.broadcast(laid)).select(F.lit(0).alias("replicate"), "rank", F.filter("c", lambda x: x["label"] == F.col(label))[0].alias("c"), "all", "k", "ties")
+    every = shuffled.unionByName(actual)
+    if statistic == "kruskal":
+        g = every.groupBy("replicate", F.col("c.label").alias("label")).agg(F.count("*").alias("m"), F.sum("rank").alias("r"), F.first("all").alias("all"), F.first("k").alias("k"), F.first("ties").alias("ties"))
+        g = g.groupBy("replicate").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.first("all").cast("double").alias("all"), F.first("k").alias("k"), F.first("ties").alias("ties"))
+        found = g.select("replicate", _h(F.col("all"), F.col("k"), F.col("s"), F.col("ties")).alias("stat"))
+    else:
+        y = F.col("c.upto") - F.col("c.m") + (F.col("c.m") + 1) / 2
+        g = every.select("replicate", "rank", y.alias("y")).groupBy("replicate").agg(F.covar_pop("rank", "y").alias("c"), F.stddev_pop("rank").alias("sx"), F.stddev_pop("y").alias("sy"))
+        found = g.select("replicate", F.abs(F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).otherwise(0.0)).alias("stat"))
+    found = written(found, "shuffle-statistics")
+    seen = found.where("replicate = 0").select(F.col("stat").alias("observed"))
+    return found.where("replicate > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.count_if(F.col("stat") >= F.col("observed") - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def paired_sign_flip(df: DataFrame, delta: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """One row: mean difference, Cohen's dz, rank-biserial correlation, and the share of
-    sign flips (a bit of md5 per replicate and row) at least as extreme."""
+    """One row: mean difference, Cohen's dz (0 without a spread), rank-biserial correlation
+    (the mean sign of the differences that aren't 0), and the share of sign flips (a bit of md5
+    per replicate and row) at least as extreme."""
     rows = df.where(finite(delta)).select(F.col(delta).alias("d"), F.col(key).alias("k"))
     sign = F.when(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "k")), 1, 1) < "8", 1).otherwise(-1)
     m = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).groupBy("replicate").agg(F.avg(F.col("d") * sign).alias("m"))
-    base = rows.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
-    ranked = avg_rank(rows.where("d <> 0").withColumn("a", F.abs("d")), "a").agg(F.sum(F.signum("d") * F.col("rank")).alias("w"), F.sum("rank").alias("t"))
-    p = m.crossJoin(base).groupBy("mean", "sd").agg(((F.count_if(F.abs(F.round("m", 9)) >= F.abs(F.round("mean", 9))) + 1) / (F.count("*") + 1)).alias("p"))
-    return p.crossJoin(ranked).select("mean", (F.col("mean") / F.col("sd")).alias("dz"), (F.col("w") / F.col("t")).alias("rank_biserial"), "p")
+    base = rows.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.coalesce(F.avg(F.when(F.col("d") != 0, F.signum("d"))), F.lit(0.0)).alias("rank_biserial"))
+    p = m.crossJoin(base).groupBy("mean", "sd", "rank_biserial").agg(((F.count_if(F.abs(F.round("m", 9)) >= F.abs(F.round("mean", 9))) + 1) / (F.count("*") + 1)).alias("p"))
+    return p.select("mean", F.when(F.col("sd") > 0, F.try_divide("mean", "sd")).otherwise(0.0).alias("dz"), "rank_biserial", "p")
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:

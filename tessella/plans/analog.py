@@ -17,8 +17,9 @@ TABLES = {
     "cells": "SELECT row_id, col_id, freq, md5(concat('42:', row_id, ':', col_id)) AS ord FROM {triples}",
     "held": "SELECT row_id, col_id, freq FROM {cells} WHERE substr(ord, 1, 1) IN ('0', '1', '2')",
     "train": "SELECT row_id, col_id, freq FROM {cells} WHERE substr(ord, 1, 1) NOT IN ('0', '1', '2')",
-    # Vectors with an availability mask; a bounded family of 100 entities.
-    "masked": "SELECT CAST(vec_id AS INT) AS id, embedding AS vec, vec_id % 20 <> 0 AS available FROM {embeddings} WHERE vec_id < 500",
+    # Vectors with an availability mask, and vectors of parts.
+    "masked": "SELECT CAST(vec_id AS INT) AS id, embedding AS vec, vec_id % 20 <> 0 AS available FROM {embeddings}",
+    "part_vectors": "SELECT CAST(p_partkey AS INT) AS id, embedding AS vec, p_partkey % 20 <> 0 AS available FROM (SELECT p_partkey, p_partkey % n AS place FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {embeddings})) JOIN {embeddings} ON vec_id = place",
     # Ordinal predictions, five classes.
     "scored": """SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS label, o_custkey % 3 AS run, o_orderstatus AS grp,
       [[1, 2, 3, 4, 5]] AS ks FROM {orders}""",
@@ -33,15 +34,22 @@ TABLES = {
         'drug' AS source_type, 'gene' AS target_type, concat('line', l_linenumber % 3) AS original_source FROM {lineitem}
       UNION ALL SELECT concat('brand:', p_brand), concat('part:', p_partkey), 'HAS_GENE', 'pathway', 'gene', 'part' FROM {part}
       UNION ALL SELECT concat('customer:', o_custkey), concat('part:', l_partkey), 'LINKED_GENE', 'phenotype', 'gene', concat('status', o_orderstatus)
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_partkey % 3 = 0
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey
       UNION ALL SELECT concat('nation:', s_nationkey), concat('supplier:', s_suppkey), 'MAPS_TO', 'drug_anchor', 'drug', 'anchor' FROM {supplier}
       UNION ALL SELECT concat('segment:', c_mktsegment), concat('customer:', c_custkey), 'MAPS_TO', 'side_anchor', 'phenotype', 'anchor' FROM {customer}""",
     "gene_pairs": """SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM {lineitem} a JOIN {lineitem} b
-      ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_partkey % 5 = 0""",
-    # Names to resolve: the first hundred parts, some written with dots; candidates are all parts.
-    "anchors": """SELECT CAST(p_partkey AS INT) AS matrix_index, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '.') ELSE upper(p_name) END AS anchor_name,
-      concat(p_brand, '/', p_type, '/', p_size) AS anchor_key FROM {part} WHERE p_partkey < 100""",
-    "name_nodes": "SELECT concat('P', p_partkey) AS node_id, p_name AS name, p_brand AS synonym, p_type AS trade_name, concat(p_brand, '/', p_type, '/', p_size) AS struct_key FROM {part}",
+      ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus""",
+    # Names to resolve: all parts, some written with dots. A name comes back about twice, in
+    # every two hundred parts, so candidates grow with the parts.
+    "named": """SELECT p_partkey, p_size, concat(p_name, ' ', CAST(floor(p_partkey / 200) AS INT)) AS name, concat(p_brand, ' ', CAST(floor(p_partkey / 100) AS INT)) AS synonym,
+      concat(p_type, ' ', CAST(floor(p_partkey / 20) AS INT)) AS trade_name, concat(p_brand, '/', p_type, '/', p_size, '/', CAST(floor(p_partkey / 2000) AS INT)) AS struct_key FROM {part}""",
+    "anchors": """SELECT CAST(p_partkey AS INT) AS matrix_index, CASE WHEN p_partkey % 3 = 0 THEN replace(name, ' ', '.') ELSE upper(name) END AS anchor_name, struct_key AS anchor_key FROM {named}""",
+    "name_nodes": "SELECT concat('P', p_partkey) AS node_id, name, synonym, trade_name, struct_key FROM {named}",
+    # Concepts of all parts, as names to resolve and as nodes; ids come back within every 400 parts.
+    "concept_terms": """SELECT CAST(p_partkey AS INT) AS matrix_index, name AS anchor_name, concat('C', lpad(CAST(p_partkey % 300 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS concept_id,
+      CAST(p_partkey % 40 + 100 * CAST(floor(p_partkey / 400) AS INT) AS STRING) AS code FROM {named}""",
+    "concept_nodes": """SELECT concat('N', p_partkey) AS node_id, CASE WHEN p_size > 25 THEN 'HP' ELSE 'MEDDRA' END AS namespace, concat('C', lpad(CAST(p_partkey % 400 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS c1,
+      concat('C', lpad(CAST(p_partkey % 150 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS c2 FROM {part}""",
     "history": """SELECT event_type AS model, CAST(day(ts) AS INT) AS epoch, round(avg(value), 4) AS metric FROM {events} GROUP BY 1, 2""",
     "labelled": "SELECT l.doc_id AS id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) AS score FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",
 }

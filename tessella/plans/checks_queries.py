@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import contracts as B
+from tessella.operators import kg as E
 from tessella.operators import resolve as D
 from tessella.operators import similarity as S
 from tessella.plans.analog import load, sql
@@ -19,14 +18,7 @@ from tessella.plans.resolution_queries import KEYS
 from tessella.plans.similarity_queries import COSINE, supplier_cosine
 from tessella.plans.statistics_queries import rounded
 from tessella.sources import tables as A
-
-
-def _path(spark, name):
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        home = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tessella.sources.scratch import new_path
 
 
 def C(name, passed, detail):
@@ -82,12 +74,12 @@ def edge_profile(spark, sf_dir):
     return B.edge_profile(_edges(spark, sf_dir))
 
 
-@query(sql("""WITH t AS (SELECT DISTINCT p_brand AS term FROM {part} WHERE p_partkey < 5), l AS (SELECT p_partkey, 'props.brand' AS path, p_brand AS v FROM {part} UNION ALL SELECT p_partkey, 'names[]', p_name FROM {part} UNION ALL SELECT p_partkey, 'names[]', lower(p_brand) FROM {part} WHERE p_size % 2 = 0)
+@query(sql("""WITH t AS (SELECT DISTINCT p_brand AS term FROM {part} WHERE p_size = 50), l AS (SELECT p_partkey, 'props.brand' AS path, p_brand AS v FROM {part} UNION ALL SELECT p_partkey, 'names[]', p_name FROM {part} UNION ALL SELECT p_partkey, 'names[]', lower(p_brand) FROM {part} WHERE p_size % 2 = 0)
 SELECT p_partkey, term, string_agg(DISTINCT path, ';' ORDER BY path) AS paths FROM l JOIN t ON lower(v) = lower(term) GROUP BY 1, 2"""))
 def search_leaves(spark, sf_dir):
     p = load(spark, sf_dir, "part")
     nested = p.select("p_partkey", F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("props"), F.when(F.col("p_size") % 2 == 0, F.array("p_name", F.lower("p_brand"))).otherwise(F.array("p_name")).alias("names"))
-    return B.search_leaves(nested, "p_partkey", p.where("p_partkey < 5").select(F.col("p_brand").alias("term")).distinct())
+    return B.search_leaves(nested, "p_partkey", p.where("p_size = 50").select(F.col("p_brand").alias("term")).distinct())
 
 
 @query(sql("SELECT * FROM (VALUES ('names[]', 'name'), ('props.brand', 'other'), ('props.inchi_key', 'structure'), ('trade_names[]', 'synonym'), ('xrefs[].id', 'identifier')) v(path, role), (SELECT count(*) AS parts FROM {part})"))
@@ -112,7 +104,7 @@ def matrix_contract(spark, sf_dir):
     return B.matrix_contract(supplier_cosine(spark, sf_dir).withColumn("value", F.col("value") * 4).unionByName(ids))
 
 
-@query(sql(f"WITH {COSINE}, o AS (SELECT src, dst, value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM sim) WHERE r <= 10) " + " UNION ALL ".join([C("index range", "count(*) = 0", "count(*)") + " FROM o WHERE src NOT BETWEEN 1 AND 90 OR dst NOT BETWEEN 1 AND 90", C("no self edge", "true", "0"), C("no double edge", "true", "0"), C("edges per source", "true", "0"), C("values", "true", "0")])))
+@query(sql(f"WITH {COSINE}, o AS (SELECT src, dst, value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM sim) WHERE r <= 10) " + " UNION ALL ".join([C("index range", "count(*) = 0", "count(*)") + " FROM o WHERE src NOT BETWEEN 1 AND 90 OR dst NOT BETWEEN 1 AND 90", C("no self edge", "true", "0"), C("no double edge", "true", "0"), C("edges per source", "count(*) = 0", "count(*)") + " FROM (SELECT src FROM o GROUP BY 1 HAVING count(*) <> 10)", C("values", "true", "0")])))
 def adjacency_contract(spark, sf_dir):
     sim = supplier_cosine(spark, sf_dir)
     top = S.top_k(sim, 10)
@@ -128,7 +120,7 @@ def label_base(spark, sf_dir):
 def scan_tsv_malformed(spark, sf_dir):
     """A file of parts, some lines a column short, scanned once."""
     p = load(spark, sf_dir, "part")
-    path = _path(spark, "tsv")
+    path = new_path(spark, "tsv")
     short = F.when(F.col("p_size") % 10 == 0, F.concat_ws("\t", "p_partkey", "p_brand")).otherwise(F.concat_ws("\t", "p_partkey", "p_brand", "p_size"))
     p.select(short.alias("value")).write.text(path)
     good, counts = A.scan_tsv(spark, path, ["id", "brand", "size"])
@@ -139,7 +131,7 @@ def scan_tsv_malformed(spark, sf_dir):
 def csv_round_trip(spark, sf_dir):
     """Written as CSV with NaN as empty, and read back by name."""
     p = load(spark, sf_dir, "part").where("p_size % 2 = 0")
-    path = _path(spark, "csv")
+    path = new_path(spark, "csv")
     A.write_table(p.select(F.col("p_name").alias("name"), F.when(F.col("p_size") > 40, float("nan")).otherwise(F.col("p_size") * 1.5).alias("x"), F.col("p_partkey").alias("id")), path, ["id", "name", "x"])
     return A.read_csv(spark, path, ["id", "name", "x"]).withColumn("x", F.col("x").cast("double"))
 
@@ -153,7 +145,7 @@ def detect_columns(spark, sf_dir):
 def split_round_trip(spark, sf_dir):
     """A named split written by folder and read back."""
     c = load(spark, sf_dir, "cells")
-    path = _path(spark, "split")
+    path = new_path(spark, "split")
     A.write_split(c.select("row_id", "col_id", F.when(F.substring("ord", 1, 1).isin("0", "1", "2"), "test").otherwise("train").alias("split")), path)
     return A.read_split(spark, path)
 
@@ -163,3 +155,77 @@ def embedding_export(spark, sf_dir):
     v = load(spark, sf_dir, "masked").where("available").withColumnRenamed("id", "matrix_index")
     out = A.embedding_export(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("matrix_index")), v, 64)
     return out.select("matrix_index", "available", F.round(F.col("embedding")[0].cast("double"), 5).alias("first_"), F.size("embedding").alias("width"))
+
+
+@query(sql("SELECT n_nationkey AS matrix_index, n_name AS name, concat('X', n_regionkey) AS external_id FROM {nation}"))
+def ordered_table(spark, sf_dir):
+    """A headerless table of names and outer ids, whose row order is a column."""
+    path = new_path(spark, "ordered")
+    load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string"), "n_name", F.concat(F.lit("X"), "n_regionkey")).write.csv(path)
+    return A.read_ordered(spark, path, "matrix_index string, name string, external_id string", "matrix_index")
+
+
+@query(sql("SELECT concat('N', p_partkey) AS id, p_name AS name, p_brand AS brand, CAST(2 AS INT) AS synonyms FROM {part}"))
+def nested_nodes(spark, sf_dir):
+    """Nodes with nested properties and lists, written and read back."""
+    path = new_path(spark, "nodes")
+    p = load(spark, sf_dir, "part")
+    p.select(F.concat(F.lit("N"), "p_partkey").alias("id"), F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("brand")).alias("source"), F.array("p_type", "p_brand").alias("synonyms")).alias("properties")).write.parquet(path)
+    return A.read_nodes(spark, path).select("id", "properties.name", "properties.source.brand", F.size("properties.synonyms").alias("synonyms"))
+
+
+@query(sql("SELECT concat('N', p_partkey) AS id FROM {part} WHERE p_size <= 40"))
+def pruned_ids(spark, sf_dir):
+    """One column of a wider table, nulls dropped."""
+    path = new_path(spark, "ids")
+    p = load(spark, sf_dir, "part")
+    p.select(F.when(F.col("p_size") <= 40, F.concat(F.lit("N"), "p_partkey")).alias("id"), "p_name", "p_type").write.parquet(path)
+    return A.read_ids(spark, path)
+
+
+@query(sql("SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(l_partkey AS VARCHAR) AS code, l_returnflag AS kind FROM {lineitem} WHERE l_returnflag = 'R'"))
+def positional_tsv(spark, sf_dir):
+    """A headerless positional file, kept where its type column fits."""
+    path = new_path(spark, "positional")
+    load(spark, sf_dir, "lineitem").select(F.concat_ws("\t", "l_orderkey", "l_partkey", "l_returnflag").alias("value")).write.text(path)
+    return A.read_positional_tsv(spark, path, ["id", "code", "kind"], "kind", "R")
+
+
+@query(sql("SELECT vec_id AS row_id, CAST(i - 1 AS INT) AS col_id, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS value FROM {embeddings}, range(1, 65) r(i)"))
+def matrix_cells(spark, sf_dir):
+    """Dense rows as a long table of cells."""
+    return A.read_matrix(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("value", F.round(F.col("value").cast("double"), 6) + 0.0)
+
+
+@query(sql("SELECT count(*) AS rows, true AS refused FROM {nation}"))
+def write_once(spark, sf_dir):
+    """Results are written once; a second write is refused and leaves the first as it was."""
+    path, refused = new_path(spark, "once"), False
+    n = load(spark, sf_dir, "nation")
+    A.write_new(n, path)
+    try:
+        A.write_new(n.limit(1), path)
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).agg(F.count("*").alias("rows")).withColumn("refused", F.lit(refused))
+
+
+SPACES = "CASE WHEN p_size % 3 = 0 THEN concat('HP:', p_partkey) WHEN p_size % 3 = 1 THEN concat('MedDRA_', p_partkey) ELSE concat('Z', p_partkey) END"
+
+
+@query(sql(f"SELECT {SPACES} AS id, CASE WHEN p_size % 3 = 0 THEN 'HP' WHEN p_size % 3 = 1 THEN 'MEDDRA' WHEN p_size > 25 THEN p_type ELSE 'other' END AS namespace FROM {{part}}"))
+def namespaces(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select(F.expr(SPACES).alias("id"), F.when(F.col("p_size") > 25, F.concat(F.lit(" "), "p_type")).otherwise(" ").alias("title"))
+    return p.select("id", X.namespace(F.col("id"), F.col("title")).alias("namespace"))
+
+
+@query(sql("""SELECT concat('S', l_suppkey) AS source, concat('P', l_partkey) AS target, CASE WHEN l_returnflag = 'N' THEN 'LINKED' ELSE l_returnflag END AS relation, 'drug' AS source_type, 'gene' AS target_type, 'lineitem' AS original_source, count(*) AS n FROM {lineitem} GROUP BY ALL
+UNION ALL SELECT concat('B', p_brand), concat('P', p_partkey), 'HAS', 'pathway', 'gene', 'part', 1 FROM {part}"""))
+def normalized_edges(spark, sf_dir):
+    """Two families of raw edges in the common form."""
+    li = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("t"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("r"))
+    p = load(spark, sf_dir, "part").select(F.concat(F.lit("B"), "p_brand").alias("s"), F.concat(F.lit("P"), "p_partkey").alias("t"))
+    a = E.normalize_edges(li, "s", "t", "drug", "gene", F.col("r"), "LINKED", F.lit("lineitem"))
+    b = E.normalize_edges(p, "s", "t", "pathway", "gene", F.lit(None).cast("string"), "HAS", F.lit("part"))
+    both = a.unionByName(b)
+    return both.groupBy(*both.columns).agg(F.count("*").alias("n"))

@@ -122,16 +122,17 @@ def multirun_summary(spark, sf_dir):
     return rounded(J.multirun_summary(_runs(spark, sf_dir), "acc", "m0"), "mean", "std", "delta")
 
 
-@query(sql(f"WITH {RUNS} SELECT model, run, acc, round(avg(acc) OVER (PARTITION BY model ORDER BY run ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM runs"))
+@query(sql(f"WITH {RUNS} SELECT model, run, acc, round(avg(acc) OVER (PARTITION BY model ORDER BY run ROWS UNBOUNDED PRECEDING), 8) AS running_mean FROM runs"))
 def running_mean(spark, sf_dir):
-    return rounded(J.running_mean(_runs(spark, sf_dir), "acc", "model", "run"), "running_mean")
+    return rounded(J.running_mean(_runs(spark, sf_dir), "acc", "model", "run"), "running_mean", n=8)
 
 
-@query(sql(f"""WITH {RUNS}, m AS (SELECT model, round(avg(acc), 6) AS metric FROM runs GROUP BY 1), d AS (SELECT m.model, m.metric, m.metric - b.metric AS delta FROM m, m b WHERE b.model = 'm0' AND m.model <> 'm0')
-SELECT model, metric, round(delta, 6) AS delta, CASE WHEN delta > 0.002 THEN 'positive' WHEN delta < -0.002 THEN 'negative' ELSE 'neutral' END AS signal, CASE WHEN abs(delta) > 0.01 THEN 'strong' WHEN abs(delta) > 0.002 THEN 'weak' ELSE 'none' END AS strength FROM d"""))
+@query(sql(f"""WITH {RUNS}, m AS (SELECT model, round(avg(acc), 6) AS metric FROM runs GROUP BY 1)
+SELECT m.model, m.metric, round(m.metric - b.metric, 6) AS delta, round(m.metric - c.metric, 6) AS control_delta, CASE WHEN m.metric > c.metric THEN 'POSITIVE' ELSE 'NEGATIVE' END AS signal, CASE WHEN m.metric > b.metric THEN 'YES' ELSE 'NO' END AS improves,
+row_number() OVER (ORDER BY m.metric DESC, m.model) AS strength_rank FROM m, m b, m c WHERE b.model = 'm0' AND c.model = 'm1' AND m.model <> 'm0'"""))
 def compare_experiments(spark, sf_dir):
     m = _runs(spark, sf_dir).groupBy("model").agg(F.round(F.avg("acc"), 6).alias("metric"))
-    return rounded(J.compare_experiments(m, "m0"), "delta")
+    return rounded(J.compare_experiments(m, "m0", "m1"), "delta", "control_delta")
 
 
 @query(sql(f"""WITH {PRED}, g AS (SELECT run AS model, k AS class, (SELECT count(*) FROM pd WHERE pd.run = r.run AND label = k AND pred = k) AS hit, (SELECT count(*) FROM pd WHERE pd.run = r.run AND label = k) AS s, (SELECT count(*) FROM pd WHERE pd.run = r.run AND pred = k) AS p FROM (SELECT DISTINCT run FROM pd) r, ks),

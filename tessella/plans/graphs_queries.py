@@ -9,6 +9,7 @@ from tessella.operators import similarity as S
 from tessella.plans.analog import load, sql
 from tessella.plans.registry import query
 from tessella.plans.similarity_queries import COSINE, OVER, SETS, gene_sets, supplier_cosine
+from tessella.sources.scratch import written
 
 # Three views of suppliers: profile cosine, shared parts, and centred cosine.
 VIEWS = f"""{COSINE}, {SETS}, gj AS ({OVER.format('g')}), kg0 AS (SELECT src, dst, round(jaccard, 6) AS value FROM gj),
@@ -40,9 +41,10 @@ def suppliers(spark, sf_dir):
 
 
 def _graphs(spark, sf_dir):
-    kg, task = kg_view(spark, sf_dir), task_view(spark, sf_dir)
+    # Each view is used more than once; it is computed once.
+    kg, task = written(kg_view(spark, sf_dir), "kg-view"), written(task_view(spark, sf_dir), "task-view")
     org = H.original_graph(supplier_cosine(spark, sf_dir), 10, kg=kg, task=task)
-    return org, kg, task
+    return written(org, "original-graph"), kg, task
 
 
 @query(sql(f"""WITH {VIEWS} SELECT o.src, o.dst, o.value AS original, k.value AS kg, t.value AS task, 'original' AS origin FROM org o
@@ -130,8 +132,7 @@ def edge_coverage(spark, sf_dir):
 
 @query(sql(f"""WITH {VIEWS}, t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM sim)
 SELECT src, max(value) FILTER (r = 1) AS top1, round(avg(value) FILTER (r <= 5), 8) AS top5_mean, round(avg(value), 8) AS top10_mean, max(value) FILTER (r = 10) AS tenth,
-round(max(value) FILTER (r = 1) - max(value) FILTER (r = 2), 8) AS gap_12, round(max(value) FILTER (r = 1) - max(value) FILTER (r = 10), 8) AS gap_110,
-round(max(value) FILTER (r = 1) - max(value) FILTER (r = 2), 9) < 0.02 AS weak FROM t WHERE r <= 10 GROUP BY 1"""))
+round(max(value) FILTER (r = 1) - max(value) FILTER (r = 10), 8) AS margin_tenth, round(max(value) FILTER (r = 1) - avg(value), 8) AS margin_mean FROM t WHERE r <= 10 GROUP BY 1"""))
 def neighbor_margins(spark, sf_dir):
     out = H.neighbor_margins(supplier_cosine(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 8) for c in ("top5_mean", "top10_mean", "gap_12", "gap_110")} | {"weak": F.round("gap_12", 9) < 0.02})
+    return out.withColumns({c: F.round(c, 8) for c in ("top5_mean", "top10_mean", "margin_tenth", "margin_mean")})

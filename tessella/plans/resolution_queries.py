@@ -117,7 +117,7 @@ def _triaged(spark, sf_dir):
     c = f.select("matrix_index", "anchor_name", F.explode("name_ids").alias("node_id")).join(nodes, "node_id")
     g = c.groupBy("matrix_index").agg(F.count_distinct(F.upper("struct_key")).alias("n_keys"), F.count_distinct(F.upper("synonym")).alias("n_seconds"), F.count_distinct("name").alias("n_names"))
     j = f.join(g, "matrix_index", "left").join(D.names_related(c), "matrix_index", "left").fillna(0).fillna(False)
-    j = j.withColumns({"n_candidates": F.size("name_ids"), "same_identity": F.col("n_keys") == 1, "mixed_identity": F.lit(False), "structure_related": F.lit(True), "biologic": X.has_any_term(X.normalize_alnum("anchor_name"), X.BIOLOGIC_TERMS)})
+    j = j.withColumns({"n_candidates": F.size("name_ids"), "same_identity": F.col("n_keys") == 1, "mixed_identity": F.lit(False), "structure_related": F.lit(True), "biologic": X.is_biologic("anchor_name", F.array().cast("array<string>"))})
     return D.triage(j).withColumn("supported_ids", F.col("name_ids"))
 
 
@@ -127,7 +127,7 @@ def triage(spark, sf_dir):
 
 
 @query(sql(f"""WITH {TRIAGE}, pr AS (SELECT *, CASE WHEN cls IN ('confirmed_name_structure', 'supported_canonical_name', 'name_only_resolved') THEN selected WHEN cls LIKE 'resolved_by%' THEN both_[1] END AS one FROM fu)
-SELECT matrix_index, concat('ANCHOR_', lpad(CAST(matrix_index AS VARCHAR), 3, '0')) AS anchor_id, anchor_name, CASE WHEN one IS NOT NULL THEN 1 ELSE len(tr.nids) END AS node_count, CASE WHEN one IS NOT NULL THEN 'resolved' WHEN len(tr.nids) = 0 THEN 'unmapped' WHEN triage_class IN ('NO_NODE', 'FORM_AMBIGUITY', 'TRUE_CONFLICT') THEN 'review' ELSE 'retained' END AS status,
+SELECT matrix_index, printf('ANCHOR_%03d', matrix_index) AS anchor_id, anchor_name, CASE WHEN one IS NOT NULL THEN 1 ELSE len(tr.nids) END AS node_count, CASE WHEN one IS NOT NULL THEN 'resolved' WHEN len(tr.nids) = 0 THEN 'unmapped' WHEN triage_class IN ('NO_NODE', 'FORM_AMBIGUITY', 'TRUE_CONFLICT') THEN 'review' ELSE 'retained' END AS status,
 concat('[', coalesce(CASE WHEN one IS NOT NULL THEN concat('"', one, '"') WHEN len(tr.nids) > 0 THEN concat('"', array_to_string(list_sort(tr.nids), '", "'), '"') END, ''), ']') AS node_ids FROM pr JOIN tr USING (matrix_index)"""))
 def final_anchors(spark, sf_dir):
     t = _triaged(spark, sf_dir)
@@ -139,29 +139,21 @@ def coverage(spark, sf_dir):
     return D.coverage(_triaged(spark, sf_dir), "triage_class", ("COMBINATION", "NO_NODE", "FORM_AMBIGUITY", "TRUE_CONFLICT", "SINGLE_HIGH_CONFIDENCE", "SAFE_MULTI_NODE", "BIOLOGIC"))
 
 
-CONCEPT = """t AS (SELECT CAST(p_partkey AS INT) AS matrix_index, p_name AS anchor_name, concat('C', lpad(CAST(p_partkey % 300 AS VARCHAR), 7, '0')) AS concept_id, CAST(p_partkey % 40 AS VARCHAR) AS code FROM {part} WHERE p_partkey < 200),
-nd AS (SELECT concat('N', p_partkey) AS node_id, CASE WHEN p_size > 25 THEN 'HP' ELSE 'MEDDRA' END AS namespace, concat('C', lpad(CAST(p_partkey % 400 AS VARCHAR), 7, '0')) AS c1, concat('C', lpad(CAST(p_partkey % 150 AS VARCHAR), 7, '0')) AS c2 FROM {part} WHERE p_partkey < 400)"""
-
-
 def _concepts(spark, sf_dir):
-    p = load(spark, sf_dir, "part")
-    cid = lambda n: F.format_string("C%07d", F.col("p_partkey") % n)
-    t = p.where("p_partkey < 200").select(F.col("p_partkey").cast("int").alias("matrix_index"), F.col("p_name").alias("anchor_name"), cid(300).alias("concept_id"), (F.col("p_partkey") % 40).cast("string").alias("code"))
-    n = p.where("p_partkey < 400").select(F.concat(F.lit("N"), "p_partkey").alias("node_id"), F.when(F.col("p_size") > 25, "HP").otherwise("MEDDRA").alias("namespace"), cid(400).alias("c1"), cid(150).alias("c2"))
-    return t, n
+    return load(spark, sf_dir, "concept_terms"), load(spark, sf_dir, "concept_nodes")
 
 
-MC = """mm AS (SELECT DISTINCT matrix_index, node_id, namespace FROM t JOIN nd ON concept_id IN (c1, c2)), mg AS (SELECT matrix_index, count(*) FILTER (namespace = 'MEDDRA') AS p, min(node_id) FILTER (namespace = 'MEDDRA') AS one, list(node_id ORDER BY node_id) AS ids FROM mm GROUP BY 1),
+MC = """t AS (SELECT * FROM {concept_terms}), nd AS (SELECT * FROM {concept_nodes}), mm AS (SELECT DISTINCT matrix_index, node_id, namespace FROM t JOIN nd ON concept_id IN (c1, c2)), mg AS (SELECT matrix_index, count(*) FILTER (namespace = 'MEDDRA') AS p, min(node_id) FILTER (namespace = 'MEDDRA') AS one, list(node_id ORDER BY node_id) AS ids FROM mm GROUP BY 1),
 mc AS (SELECT matrix_index, CASE WHEN p = 1 THEN one END AS canonical_id, list_filter(ids, lambda x: p <> 1 OR x <> one) AS alias FROM mg)"""
 
 
-@query(sql(f"WITH {CONCEPT}, {MC} SELECT matrix_index, canonical_id, CASE WHEN len(alias) = 0 THEN '[]' ELSE concat('[\"', array_to_string(alias, '\",\"'), '\"]') END AS alias_ids FROM mc"))
+@query(sql(f"WITH {MC} SELECT matrix_index, canonical_id, CASE WHEN len(alias) = 0 THEN '[]' ELSE concat('[\"', array_to_string(alias, '\",\"'), '\"]') END AS alias_ids FROM mc"))
 def concept_match(spark, sf_dir):
     t, n = _concepts(spark, sf_dir)
     return D.match_concepts(t, n, ("c1", "c2"), "MEDDRA")
 
 
-@query(sql(f"""WITH {CONCEPT}, {MC}, o AS (SELECT matrix_index, CASE WHEN matrix_index % 4 > 0 THEN concat('N', matrix_index) END AS node_id FROM t) SELECT coalesce(mc.matrix_index, o.matrix_index) AS matrix_index, canonical_id AS a_id, node_id AS b_id,
+@query(sql(f"""WITH {MC}, o AS (SELECT matrix_index, CASE WHEN matrix_index % 4 > 0 THEN concat('N', matrix_index) END AS node_id FROM t) SELECT coalesce(mc.matrix_index, o.matrix_index) AS matrix_index, canonical_id AS a_id, node_id AS b_id,
 CASE WHEN node_id IS NULL THEN 'a_only' WHEN canonical_id IS NULL THEN 'b_only' WHEN canonical_id = node_id THEN 'agree' ELSE 'conflict' END AS outcome FROM mc FULL JOIN o ON mc.matrix_index = o.matrix_index WHERE canonical_id IS NOT NULL OR node_id IS NOT NULL"""))
 def crosscheck(spark, sf_dir):
     t, n = _concepts(spark, sf_dir)
@@ -169,33 +161,33 @@ def crosscheck(spark, sf_dir):
     return D.crosscheck(D.match_concepts(t, n, ("c1", "c2"), "MEDDRA").withColumnRenamed("canonical_id", "node_id"), other)
 
 
-@query(sql(f"""WITH {CONCEPT}, d AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS code, p_brand AS entry FROM {{part}} WHERE p_partkey < 30), nk AS (SELECT p_name AS name, p_type AS entry FROM {{part}} WHERE p_partkey BETWEEN 500 AND 560),
+@query(sql(f"""WITH t AS (SELECT * FROM {{concept_terms}}), d AS (SELECT CAST(p_partkey % 60 + 100 * CAST(floor(p_partkey / 400) AS INT) AS VARCHAR) AS code, synonym AS entry FROM {{named}} WHERE p_size <= 3), nk AS (SELECT name, trade_name AS entry FROM {{named}} WHERE p_size > 45),
 j AS (SELECT matrix_index, (SELECT list(DISTINCT entry) FROM d WHERE d.code = t.code) AS c, (SELECT list(DISTINCT entry) FROM nk WHERE lower(nk.name) = lower(t.anchor_name)) AS n FROM t), k AS (SELECT matrix_index, coalesce(c, []) AS c, coalesce(n, []) AS n FROM j)
 SELECT matrix_index, CASE WHEN len(c) = 1 THEN c[1] WHEN len(c) = 0 AND len(n) = 1 THEN n[1] END AS entry, CASE WHEN len(c) = 1 THEN 'code' WHEN len(c) = 0 AND len(n) = 1 THEN 'name' WHEN len(list_distinct(list_concat(c, n))) > 1 THEN 'ambiguous' ELSE 'unmatched' END AS resolution FROM k"""))
 def dictionary_resolution(spark, sf_dir):
     t, _ = _concepts(spark, sf_dir)
-    p = load(spark, sf_dir, "part")
-    by_code = p.where("p_partkey < 30").select((F.col("p_partkey") % 60).cast("string").alias("code"), F.col("p_brand").alias("entry"))
-    by_name = p.where("p_partkey between 500 and 560").select(F.col("p_name").alias("key"), F.col("p_type").alias("entry"))
+    p = load(spark, sf_dir, "named")
+    by_code = p.where("p_size <= 3").select((F.col("p_partkey") % 60 + 100 * F.floor(F.col("p_partkey") / 400)).cast("string").alias("code"), F.col("synonym").alias("entry"))
+    by_name = p.where("p_size > 45").select(F.col("name").alias("key"), F.col("trade_name").alias("entry"))
     return D.resolve_dictionary(t, by_code, by_name)
 
 
-@query(sql(f"""WITH {CONCEPT}, dd AS (SELECT DISTINCT lower(p_name) AS k, concat('C', lpad(CAST(p_size AS VARCHAR), 7, '0')) AS cid FROM {{part}} WHERE p_partkey BETWEEN 300 AND 420), g AS (SELECT matrix_index, list(DISTINCT cid ORDER BY cid) AS ids FROM t JOIN dd ON k = lower(anchor_name) GROUP BY 1)
+@query(sql(f"""WITH t AS (SELECT * FROM {{concept_terms}}), dd AS (SELECT DISTINCT lower(name) AS k, concat('C', lpad(CAST(p_size AS VARCHAR), 7, '0')) AS cid FROM {{named}} WHERE p_size BETWEEN 20 AND 40), g AS (SELECT matrix_index, list(DISTINCT cid ORDER BY cid) AS ids FROM t JOIN dd ON k = lower(anchor_name) GROUP BY 1)
 SELECT matrix_index, CASE WHEN ids IS NULL THEN '[]' ELSE concat('["', array_to_string(ids, '", "'), '"]') END AS concept_ids, CASE WHEN ids IS NULL THEN 'unmatched' WHEN len(ids) = 1 THEN 'unique' ELSE 'multiple' END AS status FROM t LEFT JOIN g USING (matrix_index)"""))
 def recover_concepts(spark, sf_dir):
     t, _ = _concepts(spark, sf_dir)
-    d = load(spark, sf_dir, "part").where("p_partkey between 300 and 420").select(F.col("p_name").alias("term"), F.format_string("C%07d", "p_size").alias("concept_id"))
+    d = load(spark, sf_dir, "named").where("p_size between 20 and 40").select(F.col("name").alias("term"), F.format_string("C%07d", "p_size").alias("concept_id"))
     return D.recover_concepts(t, d)
 
 
-SIDE = f"""{CONCEPT}, {MC}, oc AS (SELECT t.matrix_index, n.node_id, n.namespace, CASE WHEN CAST(substr(n.node_id, 2) AS INT) % 2 = 0 THEN 'name' ELSE 'synonym' END AS fields FROM t JOIN nd n ON CAST(substr(n.node_id, 2) AS INT) % 190 = t.matrix_index),
+SIDE = f"""{MC}, oc AS (SELECT t.matrix_index, n.node_id, n.namespace, CASE WHEN CAST(substr(n.node_id, 2) AS INT) % 2 = 0 THEN 'name' ELSE 'synonym' END AS fields FROM t JOIN nd n ON CAST(substr(n.node_id, 2) AS INT) - CAST(substr(n.node_id, 2) AS INT) % 5 = t.matrix_index),
 ol AS (SELECT matrix_index, count(*) FILTER (namespace = 'MEDDRA' AND fields = 'name') AS p, count(*) FILTER (fields = 'name') AS c, max(node_id) FILTER (namespace = 'MEDDRA' AND fields = 'name') AS pid FROM oc GROUP BY 1)"""
 
 
 def _ontology(spark, sf_dir):
     t, n = _concepts(spark, sf_dir)
     num = F.substring("node_id", 2, 9).cast("int")
-    c = n.withColumn("matrix_index", num % 190).join(t.select("matrix_index"), "matrix_index").select("matrix_index", "node_id", "namespace", F.when(num % 2 == 0, "name").otherwise("synonym").alias("fields"))
+    c = n.withColumn("matrix_index", num - num % 5).join(t.select("matrix_index"), "matrix_index").select("matrix_index", "node_id", "namespace", F.when(num % 2 == 0, "name").otherwise("synonym").alias("fields"))
     return D.classify_ontology(c, "MEDDRA")
 
 
@@ -206,7 +198,7 @@ def classify_ontology(spark, sf_dir):
 
 @query(sql(f"""WITH {SIDE}, j AS (SELECT t.matrix_index, canonical_id, coalesce(alias, []) AS alias, CASE WHEN p = 1 THEN pid END AS pid FROM t LEFT JOIN mc USING (matrix_index) LEFT JOIN ol USING (matrix_index)),
 k AS (SELECT *, coalesce(canonical_id, pid) AS one, CASE WHEN canonical_id IS NOT NULL THEN 'concept_canonical' WHEN pid IS NOT NULL THEN 'name_canonical' WHEN len(alias) > 0 THEN 'alias_review' ELSE 'unmapped' END AS status FROM j)
-SELECT matrix_index, concat('SIDE_', lpad(CAST(matrix_index AS VARCHAR), 3, '0')) AS anchor_id, one AS canonical_id, len(list_distinct(CASE WHEN one IS NULL THEN alias ELSE list_prepend(one, alias) END)) AS node_count, status, one IS NOT NULL OR len(alias) > 0 AS has_node, status = 'alias_review' AS requires_review FROM k"""))
+SELECT matrix_index, printf('SIDE_%03d', matrix_index) AS anchor_id, one AS canonical_id, len(list_distinct(CASE WHEN one IS NULL THEN alias ELSE list_prepend(one, alias) END)) AS node_count, status, one IS NOT NULL OR len(alias) > 0 AS has_node, status = 'alias_review' AS requires_review FROM k"""))
 def final_side_anchors(spark, sf_dir):
     t, n = _concepts(spark, sf_dir)
     return D.build_side_anchors(t.select("matrix_index", "anchor_name"), D.match_concepts(t, n, ("c1", "c2"), "MEDDRA"), _ontology(spark, sf_dir), "SIDE")

@@ -25,13 +25,14 @@ def profile_cosine_topk(spark, sf_dir):
     return S.top_k(supplier_cosine(spark, sf_dir), 10).select("src", "dst", "value", "rank")
 
 
-@query(sql("""WITH b AS (SELECT DISTINCT row_id, col_id FROM {train}), n AS (SELECT col_id, count(*) AS n FROM b GROUP BY 1)
-SELECT x.col_id AS src, y.col_id AS dst, round(count(*) / sqrt(min(p.n) * min(q.n)), 6) AS value FROM b x JOIN b y ON x.row_id = y.row_id AND x.col_id < y.col_id
-JOIN n p ON p.col_id = x.col_id JOIN n q ON q.col_id = y.col_id WHERE x.col_id % 50 = 0 AND y.col_id % 50 = 0 GROUP BY 1, 2"""))
+@query(sql("""WITH b AS (SELECT DISTINCT row_id, col_id FROM {train}), n AS (SELECT col_id, count(*) AS n FROM b GROUP BY 1),
+h AS (SELECT x.col_id AS src, y.col_id AS dst, count(*) AS both_ FROM b x JOIN b y ON x.row_id = y.row_id AND x.col_id <> y.col_id GROUP BY 1, 2),
+v AS (SELECT src, dst, round(both_ / sqrt(p.n * q.n), 6) AS value FROM h JOIN n p ON p.col_id = src JOIN n q ON q.col_id = dst)
+SELECT src, dst, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS rank FROM v) WHERE rank <= 10"""))
 def binary_column_cosine(spark, sf_dir):
-    """Column view of the binarised cells (every fiftieth part, as a view has a bounded family)."""
-    cells = S.binarized(load(spark, sf_dir, "train")).where("col_id % 50 = 0")
-    return S.profile_cosine(cells, "col_id", "row_id").withColumn("value", F.round("value", 6))
+    """Column view of the binarised cells: the ten columns nearest to each."""
+    cells = S.binarized(load(spark, sf_dir, "train"))
+    return S.top_k(S.mirrored(S.profile_cosine(cells, "col_id", "row_id").withColumn("value", F.round("value", 6))), 10).select("src", "dst", "value", "rank")
 
 
 @query(sql("""SELECT row_id, col_id, freq, CAST(freq > 0 AS INT) AS seen FROM {triples} t WHERE NOT EXISTS (SELECT 1 FROM {held} h WHERE h.row_id = t.row_id AND h.col_id = t.col_id)"""))
@@ -95,49 +96,52 @@ def alignment_cosine(spark, sf_dir):
     return S.alignment_cosine(e, targets).select("id", F.round("cosine", 5).alias("cosine"))
 
 
-@query(sql("""WITH r AS (SELECT row_id AS id, list(freq ORDER BY col_id)[1:3] AS v FROM {train} GROUP BY 1 HAVING count(*) >= 3),
-c AS (SELECT col_id AS id, list(freq ORDER BY row_id)[1:2] AS v FROM {train} GROUP BY 1 HAVING count(*) >= 2)
+COUNTS = "[{}]".format(", ".join(f"count(*) FILTER (freq = {i})" for i in range(1, 6)))
+
+
+@query(sql(f"""WITH r AS (SELECT row_id AS id, {COUNTS} AS v FROM {{train}} GROUP BY 1), c AS (SELECT col_id AS id, {COUNTS} AS v FROM {{train}} GROUP BY 1)
 SELECT t.row_id, t.col_id, t.freq, array_to_string(list_concat(r.v, r.v), ',') AS stacked, array_to_string([x + x FOR x IN r.v], ',') AS added,
-array_to_string(flatten([[x * y FOR y IN c.v] FOR x IN r.v]), ',') AS outer_, array_to_string(list_concat(r.v, [9, 9, 9]), ',') AS replaced
-FROM {held} t JOIN r ON r.id = t.row_id JOIN c ON c.id = t.col_id"""))
+array_to_string(flatten([[x * y FOR y IN c.v] FOR x IN r.v]), ',') AS outer_, array_to_string(list_concat(r.v, [9, 9, 9, 9, 9]), ',') AS replaced
+FROM {{held}} t JOIN r ON r.id = t.row_id JOIN c ON c.id = t.col_id"""))
 def pair_feature_rows(spark, sf_dir):
-    """Stacked views, their sum, outer products and a replaced view for the held-out pairs."""
+    """Views of rows and columns (how many of their cells hold each value): stacked views, their
+    sum, outer products and a replaced view for the held-out pairs."""
     t = load(spark, sf_dir, "train")
-    lead = lambda key, other, n: t.groupBy(F.col(key).alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(other, "freq"))), lambda s: s["freq"]).alias("vec")).where(F.size("vec") >= n).withColumn("vec", F.slice("vec", 1, n))
-    rows = lead("row_id", "col_id", 3)
-    both = S.pair_features_lookup(load(spark, sf_dir, "held"), S.stack_views([rows, rows]), lead("col_id", "row_id", 2))
+    counts = lambda key: t.groupBy(F.col(key).alias("id")).agg(F.array(*[F.count_if(F.col("freq") == i) for i in range(1, 6)]).alias("vec"))
+    rows = counts("row_id")
+    both = S.pair_features_lookup(load(spark, sf_dir, "held"), S.stack_views([rows, rows]), counts("col_id"))
     text = lambda c: F.array_join(c, ",")
-    one = F.slice("row_vec", 1, 3)
-    new = F.array(F.lit(9), F.lit(9), F.lit(9))
+    one = F.slice("row_vec", 1, 5)
+    new = F.array(*[F.lit(9).cast("long")] * 5)
     return both.select(
         "row_id", "col_id", "freq", text("row_vec").alias("stacked"), text(S.add_views("row_vec", 2)).alias("added"),
-        text(S.outer_products(one, "col_vec")).alias("outer_"), text(S.replace_view(F.col("row_vec"), 1, 3, new)).alias("replaced"),
+        text(S.outer_products(one, "col_vec")).alias("outer_"), text(S.replace_view(F.col("row_vec"), 1, 5, new)).alias("replaced"),
     )
 
 
-@query(sql(f"""WITH t AS (SELECT DISTINCT s_nationkey AS source, s_suppkey % 100 AS target, s_suppkey % 5 AS relation FROM {{supplier}})
+@query(sql(f"""WITH t AS (SELECT DISTINCT s_nationkey AS source, s_suppkey AS target, s_suppkey % 5 AS relation FROM {{supplier}})
 SELECT source, relation, target, round({DOT.format("[CAST(w[1] AS DOUBLE) * w[2] FOR w IN list_zip(a.vec, r.vec)]", "b.vec")}, 5) AS score FROM t
 JOIN {{masked}} a ON a.id = source JOIN {{masked}} b ON b.id = target JOIN {{masked}} r ON r.id = relation"""))
 def distmult_score(spark, sf_dir):
-    t = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), (F.col("s_suppkey") % 100).alias("target"), (F.col("s_suppkey") % 5).alias("relation")).distinct()
+    t = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), F.col("s_suppkey").alias("target"), (F.col("s_suppkey") % 5).alias("relation")).distinct()
     m = load(spark, sf_dir, "masked")
     return S.distmult_score(t, m, m).withColumn("score", F.round("score", 5))
 
 
-@query(sql("""WITH e AS (SELECT DISTINCT l_suppkey % 100 AS source, l_returnflag AS relation, l_partkey % 50 AS target FROM {lineitem})
+@query(sql("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_returnflag AS relation, l_partkey AS target FROM {lineitem})
 SELECT target, relation, CAST(i - 1 AS INT) AS pos, round(avg(CAST(vec[i] AS DOUBLE)), 5) + 0.0 AS value FROM e JOIN {masked} ON id = source, range(1, 65) r(i) GROUP BY 1, 2, 3"""))
 def relational_mean(spark, sf_dir):
-    e = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 100).alias("source"), F.col("l_returnflag").alias("relation"), (F.col("l_partkey") % 50).alias("target")).distinct()
+    e = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("relation"), F.col("l_partkey").alias("target")).distinct()
     return S.relational_mean(e, load(spark, sf_dir, "masked")).withColumn("value", F.round("value", 5) + 0.0)
 
 
 @query(sql("""SELECT h.row_id, h.col_id, h.freq, CAST(130 AS INT) AS width, round(CASE WHEN a.available THEN CAST(a.vec[1] AS DOUBLE) ELSE 0 END, 5) AS first_, CAST(a.available AS INT) AS row_flag, 0 AS col_flag,
 round(CASE WHEN a.available THEN CAST(a.vec[2] AS DOUBLE) ELSE 0.5 END, 5) AS filled
-FROM {held} h JOIN {masked} a ON a.id = h.row_id JOIN {masked} b ON b.id = h.col_id"""))
+FROM {held} h JOIN {masked} a ON a.id = h.row_id JOIN {part_vectors} b ON b.id = h.col_id"""))
 def pair_context(spark, sf_dir):
     m = load(spark, sf_dir, "masked")
-    h = load(spark, sf_dir, "held").join(m.select(F.col("id").alias("row_id")), "row_id", "left_semi").join(m.select(F.col("id").alias("col_id")), "col_id", "left_semi")
-    c = S.pair_context(h, m, m, disable="col").join(m.select(F.col("id").alias("row_id"), "vec", "available"), "row_id")
+    h = load(spark, sf_dir, "held")
+    c = S.pair_context(h, m, load(spark, sf_dir, "part_vectors"), disable="col").join(m.select(F.col("id").alias("row_id"), "vec", "available"), "row_id")
     at = lambda i: F.element_at("context", i)
     filled = S.with_fallback(F.col("vec"), F.col("available"), [0.5] * 64)
     return c.select("row_id", "col_id", "freq", F.size("context").alias("width"), F.round(at(1), 5).alias("first_"), at(129).cast("int").alias("row_flag"), at(130).cast("int").alias("col_flag"), F.round(F.element_at(filled, 2), 5).alias("filled"))

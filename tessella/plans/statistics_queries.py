@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import rewire as H
 from tessella.operators import sampling as P
 from tessella.operators import similarity as S
 from tessella.operators import stats as I
 from tessella.plans.analog import load, sql
-from tessella.plans.graphs_queries import VIEWS, kg_view, task_view
+from tessella.plans.graphs_queries import VIEWS, kg_view, suppliers, task_view
 from tessella.plans.registry import query
-from tessella.plans.similarity_queries import supplier_cosine
+from tessella.plans.similarity_queries import DOT, OVER, pathway_sets, supplier_cosine
+from tessella.sources.scratch import written
 
 AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
 
@@ -33,7 +38,7 @@ def average_ranks(spark, sf_dir):
 
 
 @query(sql(f"""WITH {VIEWS}, d AS (SELECT value FROM sim WHERE src < dst) SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max,
-{', '.join(f'round(quantile_cont(value, {p}), 6) AS p{int(p * 100)}' for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))}, {', '.join(f'round(avg(CAST(value >= {t} AS INT)), 6) AS ge_{int(t * 100)}' for t in (0.5, 0.8, 0.9, 0.95))} FROM d"""))
+{', '.join(f'round(quantile_cont(value, {p}), 6) AS p{int(p * 100)}' for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))}, {', '.join(f'round(avg(CAST(value >= {t} AS INT)), 6) AS ge_{int(t * 100)}' for t in (0.5, 0.8, 0.9, 0.95, 0.99))} FROM d"""))
 def distribution(spark, sf_dir):
     out = I.distribution(supplier_cosine(spark, sf_dir).where("src < dst"), "value")
     return rounded(out, *[c for c in out.columns if c not in ("n", "min", "max")])
@@ -50,57 +55,117 @@ def task_alignment(spark, sf_dir):
     return rounded(I.task_alignment(sim, task_view(spark, sf_dir), S.top_k(sim, 10), rnd), "r", "top5", "top10", "random", "enrichment")
 
 
-@query(sql(f"""WITH {VIEWS}, v AS (SELECT 'profile' AS view, a.value AS x, b.value AS y FROM sim a JOIN kg b ON a.src = b.src AND a.dst = b.dst WHERE a.src < a.dst UNION ALL SELECT 'task', a.value, b.value FROM task a JOIN kg b ON a.src = b.src AND a.dst = b.dst WHERE a.src < a.dst AND a.value IS NOT NULL),
-s AS (SELECT view, count(*) AS n, round(corr(x, y), 4) + 0.0 AS r FROM v GROUP BY 1), d AS (SELECT *, CASE WHEN r IS NULL THEN 'not comparable' WHEN abs(r) >= 0.8 THEN 'highly redundant' WHEN abs(r) >= 0.4 THEN 'partly redundant' ELSE 'complementary' END AS redundancy FROM s),
-e AS (SELECT *, CASE WHEN r IS NULL THEN 'review' WHEN r < 0.05 THEN 'keep as is' WHEN redundancy = 'highly redundant' THEN 'keep as is' ELSE 'candidate' END AS decision, round(0.7 * r + 0.3 * n / 10000, 6) + 0.0 AS score FROM d)
-SELECT view, n, r, redundancy, decision, score, row_number() OVER (ORDER BY score DESC, view) AS rank FROM e"""))
+FINITE = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN corr({0}, {1}) END"
+
+
+def _audited(name: str, index: int, provenance: str, source: str) -> str:
+    """SQL of one view's figures beside the shared-parts view and the task."""
+    n = name
+    return f"""{n}a AS (SELECT src, dst, value FROM {source} WHERE value IS NOT NULL), {n}v AS (SELECT * FROM {n}a WHERE src IN (SELECT src FROM kg) AND dst IN (SELECT src FROM kg)),
+{n}p AS (SELECT v.value AS a, k.value AS b FROM {n}v v JOIN kg k ON v.src = k.src AND v.dst = k.dst WHERE v.src < v.dst), {n}r AS (SELECT {AVG_RANK.format('a')} AS ra, {AVG_RANK.format('b')} AS rb FROM {n}p),
+{n}k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM {n}v),
+{n}j AS (SELECT h.src, x.k, (SELECT count(*) FROM {n}k a JOIN kgk b ON a.src = b.src AND a.dst = b.dst WHERE a.src = h.src AND a.r <= x.k AND b.r <= x.k) AS both_, (SELECT count(*) FROM {n}k a WHERE a.src = h.src AND a.r <= x.k) AS na, (SELECT count(*) FROM kgk b WHERE b.src = h.src AND b.r <= x.k) AS nb FROM (SELECT DISTINCT src FROM kg) h, (VALUES (5), (10)) x(k)),
+{n}n AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM {n}a) WHERE r <= 10),
+{n}f AS (SELECT '{name}' AS view, {index} AS view_index, '{provenance}' AS provenance, (SELECT count(DISTINCT src) FROM kg) / (SELECT count(*) FROM {{supplier}}) AS coverage, (SELECT count(*) FROM {n}p) AS n,
+ round((SELECT {FINITE.format('a', 'b')} FROM {n}p), 6) + 0.0 AS pearson, round((SELECT {FINITE.format('ra', 'rb')} FROM {n}r), 6) + 0.0 AS spearman, round((SELECT avg(CASE WHEN na + nb > both_ THEN both_ / (na + nb - both_) ELSE 0 END) FROM {n}j WHERE k = 5), 6) AS jaccard_5, round((SELECT avg(CASE WHEN na + nb > both_ THEN both_ / (na + nb - both_) ELSE 0 END) FROM {n}j WHERE k = 10), 6) AS jaccard_10,
+ round((SELECT {FINITE.format('a.value', 't.value')} FROM {n}a a JOIN task t ON a.src = t.src AND a.dst = t.dst WHERE a.src < a.dst AND t.value IS NOT NULL), 6) + 0.0 AS correlation,
+ round((SELECT avg(t.value) FROM {n}n m JOIN task t ON m.src = t.src AND m.dst = t.dst) - (SELECT avg(t.value) FROM rnd JOIN task t ON rnd.src = t.src AND rnd.dst = t.dst), 6) + 0.0 AS enrichment)"""
+
+
+@query(sql(f"""WITH {VIEWS}, kgk AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM kg), rnd AS (SELECT src, dst FROM sim WHERE src < dst ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 500),
+pj AS ({OVER.format('p')}), pw0 AS (SELECT src, dst, round(jaccard, 6) AS value FROM pj), pw AS (SELECT src, dst, value FROM pw0 UNION ALL SELECT dst, src, value FROM pw0),
+{_audited('profile', 0, 'EXTERNAL_STATIC', 'sim')}, {_audited('pathway', 1, 'EXTERNAL_STATIC', 'pw')}, {_audited('task', 2, 'LABEL_DERIVED', 'task')}, f AS (SELECT * FROM profilef UNION ALL SELECT * FROM pathwayf UNION ALL SELECT * FROM taskf),
+c AS (SELECT *, CASE WHEN provenance = 'EXTERNAL_STATIC' THEN 'SAFE_EXTERNAL' ELSE 'SAFE_TRAIN_ONLY' END AS leakage_status, CASE WHEN coverage < 0.1 OR pearson IS NULL OR spearman IS NULL OR jaccard_5 IS NULL OR jaccard_10 IS NULL THEN 'INSUFFICIENT_COVERAGE' WHEN spearman >= 0.7 AND jaccard_10 >= 0.5 THEN 'HIGHLY_REDUNDANT_WITH_KG'
+ WHEN spearman >= 0.3 AND jaccard_10 >= 0.2 THEN 'MODERATELY_RELATED' WHEN abs(pearson) < 0.05 AND abs(spearman) < 0.05 AND jaccard_10 < 0.03 THEN 'EFFECTIVELY_UNRELATED' ELSE 'COMPLEMENTARY' END AS complementarity FROM f),
+d AS (SELECT *, CASE WHEN provenance IN ('LABEL_DERIVED', 'HYBRID') OR leakage_status <> 'SAFE_EXTERNAL' THEN 'DO_NOT_REWIRE' WHEN abs(correlation) < 0.35 AND enrichment < 0.15 AND complementarity = 'COMPLEMENTARY' THEN 'HIGH_PRIORITY_REWIRING_CANDIDATE'
+ WHEN complementarity IN ('COMPLEMENTARY', 'MODERATELY_RELATED') THEN 'MEDIUM_PRIORITY' WHEN complementarity = 'HIGHLY_REDUNDANT_WITH_KG' OR abs(correlation) >= 0.5 THEN 'LOW_PRIORITY' ELSE 'NEEDS_MORE_EVIDENCE' END AS priority FROM c),
+e AS (SELECT *, CASE priority WHEN 'DO_NOT_REWIRE' THEN 'DO_NOT_MODIFY' WHEN 'HIGH_PRIORITY_REWIRING_CANDIDATE' THEN 'ADD_EDGES_WITH_KG_SUPPORT' WHEN 'NEEDS_MORE_EVIDENCE' THEN 'NEEDS_REVIEW' ELSE 'KEEP_MATRIX_BUILD_TASK_ADJACENCY' END AS mode,
+ round(CASE priority WHEN 'HIGH_PRIORITY_REWIRING_CANDIDATE' THEN 4.0 WHEN 'MEDIUM_PRIORITY' THEN 3.0 WHEN 'LOW_PRIORITY' THEN 2.0 WHEN 'NEEDS_MORE_EVIDENCE' THEN 1.0 ELSE 0.0 END + CASE WHEN correlation IS NULL THEN 0 ELSE 0.25 * (1 - least(1.0, abs(correlation))) END
+ + CASE WHEN enrichment IS NULL THEN 0 ELSE 0.15 * (1 - least(1.0, greatest(0.0, enrichment))) END + CASE WHEN jaccard_10 IS NULL THEN 0 ELSE 0.1 * (1 - least(1.0, jaccard_10)) END + 0.05, 6) AS score FROM d)
+SELECT view, round(coverage, 6) AS coverage, n, pearson, spearman, jaccard_5, jaccard_10, correlation, enrichment, leakage_status, complementarity, priority, mode, CASE WHEN priority <> 'DO_NOT_REWIRE' THEN score END AS score,
+ CASE WHEN priority <> 'DO_NOT_REWIRE' THEN row_number() OVER (PARTITION BY priority <> 'DO_NOT_REWIRE' ORDER BY score DESC, view_index) END AS rank FROM e"""))
 def view_audit(spark, sf_dir):
-    """Redundancy with the shared-parts view, decision and rank of the other views."""
-    kg = kg_view(spark, sf_dir).withColumnRenamed("value", "y")
-    parts = [
-        I.pearson(v.where("src < dst and value is not null").join(kg, ["src", "dst"]), "value", "y").withColumn("view", F.lit(name))
-        for name, v in (("profile", supplier_cosine(spark, sf_dir)), ("task", task_view(spark, sf_dir)))
-    ]
-    a = rounded(parts[0].unionByName(parts[1]), "r", n=4).withColumn("redundancy", I.redundancy_class(F.col("r"), F.lit(0.0)))
-    a = I.rewiring_decision(a.withColumns({"leaks": F.lit(False), "symmetric": F.lit(True), "aligned": F.col("r"), "share": F.col("n") / 10000}))
-    return rounded(I.rank_candidates(a, {"r": 0.7, "share": 0.3}), "score").select("view", "n", "r", "redundancy", "decision", "score", "rank")
-
-
-@query(sql("""WITH k AS (SELECT vec_id AS id, [round_even(CAST(x AS DOUBLE) * 10, 0) / 10 + 0.0 FOR x IN embedding[1:4]] AS k FROM {embeddings})
-SELECT array_to_string(list(id ORDER BY id), ',') AS members, CAST(count(*) AS INT) AS size FROM k GROUP BY k HAVING count(*) > 1"""))
+    """Redundancy of three views of suppliers with the shared-parts view, their alignment with the
+    task, what to do with them, and the rank of the candidates."""
+    kg, task = written(kg_view(spark, sf_dir), "audit-kg"), written(task_view(spark, sf_dir), "audit-task")
+    sim = written(supplier_cosine(spark, sf_dir), "audit-profile")
+    pathway = S.mirrored(S.set_overlap(pathway_sets(spark, sf_dir)).select("src", "dst", F.round("jaccard", 6).alias("value")))
+    rnd = written(P.random_pairs(sim.where("src < dst"), 500).select("src", "dst"), "audit-random")
+    rows = []
+    for i, (name, provenance, view) in enumerate((("profile", "EXTERNAL_STATIC", sim), ("pathway", "EXTERNAL_STATIC", pathway), ("task", "LABEL_DERIVED", task))):
+        view = view.where("value is not null")
+        figures = I.kg_diagnostics(view, kg, suppliers(spark, sf_dir)).drop("complementarity")
+        aligned = I.task_alignment(view, task, S.top_k(view, 10), rnd).select(F.col("r").alias("correlation"), "enrichment")
+        rows.append(figures.crossJoin(aligned).withColumns({"view": F.lit(name), "view_index": F.lit(i), "provenance": F.lit(provenance), "entity_type": F.lit("DRUG")}))
+    audit = rounded(reduce(DataFrame.unionByName, rows), "coverage", "pearson", "spearman", "jaccard_5", "jaccard_10", "correlation", "enrichment")
+    audit = audit.withColumn("complementarity", I.redundancy_class(*map(F.col, ("coverage", "pearson", "spearman", "jaccard_5", "jaccard_10")))).withColumn("leakage_status", I.leakage_fields(F.col("provenance"))["leakage_status"])
+    audit = written(I.rewiring_decision(audit), "audit")
+    ranked = I.rank_candidates(audit).select("view", F.round("score", 6).alias("score"), "rank")
+    return audit.join(ranked, "view", "left").select("view", "coverage", "n", "pearson", "spearman", "jaccard_5", "jaccard_10", "correlation", "enrichment", "leakage_status", "complementarity", "priority", "mode", "score", "rank")
+
+
+ROUNDED = " UNION ALL ".join(f"SELECT {d} AS decimals, [round_even(CAST(x AS DOUBLE), {d}) + 0.0 FOR x IN embedding] AS k FROM {{embeddings}}" for d in (6, 4, 3))
+
+
+@query(sql(f"""WITH k AS ({ROUNDED}), g AS (SELECT decimals, k, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT decimals, count(*) FILTER (n > 1) AS groups, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS members, max(n) AS largest, count(*) AS "distinct", CAST(sum(n) AS BIGINT) AS "all" FROM g GROUP BY 1"""))
 def duplicate_groups(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).alias("vec"))
-    return I.duplicate_groups(e, 1).select(F.array_join("members", ",").alias("members"), "size")
+    return I.duplicate_summary(load(spark, sf_dir, "embeddings"), id_col="vec_id", vec="embedding")
 
 
 @query()
 def spectrum(spark, sf_dir):
-    return rounded(I.spectrum(load(spark, sf_dir, "embeddings"), "embedding"), "explained", "effective_rank")
+    s = I.spectrum(load(spark, sf_dir, "embeddings"), "embedding")
+    return rounded(s, *[c for c in s.columns if c not in ("component", "numerical_rank")])
 
 
-@query(sql("""WITH d AS (SELECT a.label, b.label AS other, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM {embeddings} a JOIN {embeddings} b ON a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200),
-s AS (SELECT round(avg(c), 4) AS mean, round(stddev_pop(c), 4) AS std, round(avg(c) FILTER (label = other), 4) AS within_, round(avg(c) FILTER (label <> other), 4) AS across FROM d)
-SELECT mean + 0.0 AS mean, std, within_ + 0.0 AS within_, across + 0.0 AS across, CASE WHEN std <= 0 THEN 'undefined' WHEN abs(within_ - across) / std >= 0.8 THEN 'clear' WHEN abs(within_ - across) / std >= 0.3 THEN 'moderate' ELSE 'weak' END AS distinguishability,
-CASE WHEN mean > 0.9 THEN 'partly collapsed' WHEN std < 0.05 THEN 'narrow' ELSE 'healthy' END AS verdict FROM s"""))
-def embedding_cohorts(spark, sf_dir):
-    """Cosines within and across labels of a bounded family, and what they say."""
-    e = load(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+def _cohorts(spark, sf_dir):
+    """Cosines of all pairs of vectors, of those of one label, and of the 20 nearest of each."""
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
     label = e.select("id", "label")
-    d = S.cosine_pairs(e).join(label.toDF("src", "la"), "src").join(label.toDF("dst", "lb"), "dst")
-    s = d.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.avg(F.when(F.col("la") == F.col("lb"), F.col("value"))).alias("within_"), F.avg(F.when(F.col("la") != F.col("lb"), F.col("value"))).alias("across"))
-    s = rounded(s, "mean", "std", "within_", "across", n=4)
-    verdict = I.collapse_diagnosis(s, F.lit(64.0), 64).select("verdict")
-    return s.withColumn("distinguishability", I.distinguishability(F.col("within_"), F.col("across"), F.col("std"))).crossJoin(verdict)
+    d = S.cosine_pairs(e).withColumn("value", F.round("value", 7))
+    d = written(d.join(label.toDF("src", "la"), "src").join(label.toDF("dst", "lb"), "dst").select("src", "dst", "value", (F.col("la") == F.col("lb")).alias("same")), "cohort-pairs")
+    return e, d, written(S.top_k(S.mirrored(d.select("src", "dst", "value")), 20), "cohort-nearest")
+
+
+DIST = "avg(value) AS mean, stddev_pop(value) AS std, median(value) AS p50, avg(CAST(value >= 0.99 AS INT)) AS ge_99"
 
 
-EVID = """dg AS (SELECT DISTINCT l_suppkey AS drug, l_partkey AS gene FROM {lineitem}), sg AS (SELECT DISTINCT o_custkey AS side, l_partkey AS gene FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_custkey < 300),
-pr AS (SELECT DISTINCT l_suppkey AS drug, o_custkey AS side FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_custkey < 60 AND l_suppkey % 4 = 0),
+@query(sql(f"""WITH v AS (SELECT vec_id AS id, label, embedding AS vec, sqrt({DOT.format('embedding', 'embedding')}) AS n FROM {{embeddings}}),
+d AS (SELECT a.id AS src, b.id AS dst, a.label = b.label AS same, round({DOT.format('a.vec', 'b.vec')} / (a.n * b.n), 7) AS value FROM v a JOIN v b ON a.id < b.id),
+m AS (SELECT src, dst, value FROM d UNION ALL SELECT dst, src, value FROM d), t AS (SELECT value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM m) WHERE r <= 20),
+a AS (SELECT {DIST} FROM d WHERE same), g AS (SELECT {DIST} FROM d), n AS (SELECT {DIST} FROM t),
+x AS (SELECT a.mean - g.mean AS mean_delta_all, a.p50 - g.p50 AS median_delta_all, (a.mean - g.mean) / g.std AS gap_all, a.mean - n.mean AS mean_delta_top20, a.p50 - n.p50 AS median_delta_top20, (a.mean - n.mean) / n.std AS gap_top20,
+ a.ge_99 - g.ge_99 AS share_all, a.ge_99 - n.ge_99 AS share_top20 FROM a, g, n)
+SELECT {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in ('mean_delta_all', 'median_delta_all', 'gap_all', 'mean_delta_top20', 'median_delta_top20', 'gap_top20'))},
+CASE WHEN abs(gap_all) < 0.1 AND abs(median_delta_all) < 0.01 AND abs(share_all) < 0.05 THEN 'NOT_DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION' WHEN abs(gap_top20) < 0.1 AND abs(median_delta_top20) < 0.01 AND abs(share_top20) < 0.05 THEN 'DISTINGUISHABLE_FROM_GLOBAL_BUT_NOT_FROM_TOP20_NEIGHBORS'
+ WHEN abs(gap_all) < 0.25 THEN 'WEAKLY_DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION' ELSE 'DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION' END AS verdict FROM x"""))
+def embedding_cohorts(spark, sf_dir):
+    """Whether vectors of one label can be told from all by their cosines."""
+    _, d, near = _cohorts(spark, sf_dir)
+    out = I.distinguishability(I.distribution(d.where("same"), "value"), I.distribution(d, "value"), I.distribution(near, "value"))
+    return rounded(out, *[c for c in out.columns if c != "verdict"], n=5)
+
+
+@query()
+def embedding_collapse(spark, sf_dir):
+    """Whether the vectors have collapsed, from their pairs, spectrum, duplicates and margins."""
+    e, d, near = _cohorts(spark, sf_dir)
+    s = I.spectrum(e, "vec").agg(F.max("effective_rank").alias("effective_rank"), F.count("*").alias("dimension")).first()
+    dup = I.duplicate_summary(e, (3,)).select("largest", "distinct", "all")
+    weak = H.weak_discrimination(H.neighbor_margins(near.select("src", "dst", "value"))).first().weak
+    out = I.collapse_diagnosis(I.distribution(d, "value"), F.lit(s.effective_rank), s.dimension, dup, F.lit(weak))
+    return out.withColumn("advice", I.collapse_advice(F.col("verdict"), F.lit(False)))
+
+
+EVID = """dg AS (SELECT DISTINCT l_suppkey AS drug, l_partkey AS gene FROM {lineitem}), sg AS (SELECT DISTINCT o_custkey AS side, l_partkey AS gene FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey),
+pr AS (SELECT DISTINCT l_suppkey AS drug, o_custkey AS side FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey),
 deg AS (SELECT gene, count(*) AS degree FROM (SELECT a AS gene FROM {gene_pairs} UNION ALL SELECT b FROM {gene_pairs}) GROUP BY 1),
 both_ AS (SELECT a, b FROM {gene_pairs} UNION ALL SELECT b, a FROM {gene_pairs}),
-sh AS (SELECT drug, side, count(*) AS shared, sum(1 / ln(2 + coalesce(degree, 0))) AS weighted FROM pr JOIN dg USING (drug) JOIN sg USING (side, gene) LEFT JOIN deg USING (gene) GROUP BY 1, 2),
-br AS (SELECT pr.drug, pr.side, count(DISTINCT [least(a, b), greatest(a, b)]) AS bridges FROM pr JOIN dg ON dg.drug = pr.drug JOIN both_ ON both_.a = dg.gene JOIN sg ON sg.side = pr.side AND sg.gene = both_.b GROUP BY 1, 2),
-ev AS (SELECT drug, side, (SELECT count(*) FROM dg d WHERE d.drug = pr.drug) AS drug_genes, (SELECT count(*) FROM sg s WHERE s.side = pr.side) AS side_genes, coalesce(shared, 0) AS shared, coalesce(weighted, 0) AS weighted, coalesce(bridges, 0) AS bridges
- FROM pr LEFT JOIN sh USING (drug, side) LEFT JOIN br USING (drug, side))"""
+sh AS (SELECT drug, side, count(*) AS shared, sum(1 / ln(2 + coalesce(degree, 0))) AS weighted FROM pr JOIN sg USING (side) JOIN dg USING (drug, gene) LEFT JOIN deg USING (gene) GROUP BY 1, 2),
+rc AS (SELECT drug, a, b FROM dg JOIN both_ ON both_.a = dg.gene), br AS (SELECT drug, side, count(*) AS bridges FROM (SELECT DISTINCT pr.drug, pr.side, least(a, b) AS x, greatest(a, b) AS y FROM pr JOIN sg USING (side) JOIN rc ON rc.drug = pr.drug AND rc.b = sg.gene) GROUP BY 1, 2),
+ev AS (SELECT drug, side, nd.n AS drug_genes, ns.n AS side_genes, coalesce(shared, 0) AS shared, coalesce(weighted, 0) AS weighted, coalesce(bridges, 0) AS bridges
+ FROM pr JOIN (SELECT drug, count(*) AS n FROM dg GROUP BY 1) nd USING (drug) JOIN (SELECT side, count(*) AS n FROM sg GROUP BY 1) ns USING (side) LEFT JOIN sh USING (drug, side) LEFT JOIN br USING (drug, side))"""
 
 
 @query(sql(f"""WITH {EVID} SELECT drug, side, drug_genes, side_genes, shared, round(weighted, 6) AS weighted, bridges, round(shared / (drug_genes + side_genes - shared), 6) AS jaccard, round(shared / least(drug_genes, side_genes), 6) AS overlap,
@@ -109,8 +174,8 @@ def pair_evidence(spark, sf_dir):
     o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
     j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     dg = li.select(F.col("l_suppkey").alias("drug"), F.col("l_partkey").alias("gene"))
-    sg = j.where("o_custkey < 300").select(F.col("o_custkey").alias("side"), F.col("l_partkey").alias("gene"))
-    pairs = j.where("o_custkey < 60 and l_suppkey % 4 = 0").select(F.col("l_suppkey").alias("drug"), F.col("o_custkey").alias("side"))
+    sg = j.select(F.col("o_custkey").alias("side"), F.col("l_partkey").alias("gene"))
+    pairs = j.select(F.col("l_suppkey").alias("drug"), F.col("o_custkey").alias("side"))
     return rounded(I.pair_evidence(pairs, dg, sg, load(spark, sf_dir, "gene_pairs")), "weighted", "jaccard", "overlap", "bridge_share")
 
 
@@ -130,7 +195,7 @@ def class_summary(spark, sf_dir):
 @query(sql(f"""WITH {ORD}, r AS (SELECT class, cust, {AVG_RANK.format('cust')} AS r FROM o), g AS (SELECT class, count(*) AS n, sum(r) AS r FROM r GROUP BY 1),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM o GROUP BY cust)), s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(r * r / n) AS s, count(*) AS k FROM g),
 h AS (SELECT n, k - 1 AS dof, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM s, t)
-SELECT CAST(n AS BIGINT) AS n, dof, round(h, 4) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p, round(h / ((n * n - 1) / (n + 1)), 6) AS epsilon2 FROM h"""))
+SELECT CAST(n AS BIGINT) AS n, dof, round(greatest(h, 0), 4) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p, round(greatest(0, (h - dof) / (n - dof - 1)), 6) AS epsilon2 FROM h"""))
 def kruskal(spark, sf_dir):
     out = rounded(rounded(I.kruskal(_orders(spark, sf_dir), "cust"), "h", n=4), "p", "epsilon2")
     return out.select("n", "dof", "h", "p", "epsilon2")
@@ -148,20 +213,21 @@ def coverage_by_class(spark, sf_dir):
     return rounded(I.coverage_audit(_orders(spark, sf_dir).withColumn("flag", F.col("price") > 200000), "class", "flag"), "coverage")
 
 
-@query(sql("""WITH b AS (SELECT id, label, score FROM {labelled}), t AS (SELECT sum(label) AS ones, count(*) AS n, sum(score) AS total, sum(CASE WHEN label = 1 THEN score ELSE 0 END) AS hit FROM b),
-r AS (SELECT r.i, b.score, row_number() OVER (PARTITION BY r.i ORDER BY md5(concat('42:', r.i, ':', b.id)), b.id) AS pos FROM b, range(1, 51) r(i)),
-d AS (SELECT round(sum(score) / any_value(ones) - (any_value(total) - sum(score)) / (any_value(n) - any_value(ones)), 9) AS d, round(any_value(hit) / any_value(ones) - (any_value(total) - any_value(hit)) / (any_value(n) - any_value(ones)), 9) AS observed FROM r, t WHERE pos <= ones GROUP BY i)
-SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(d) >= abs(observed)) + 1) / (count(*) + 1), 6) AS p FROM d GROUP BY observed"""))
+@query(sql(f"""WITH b AS (SELECT id, label, {AVG_RANK.format('score')} AS rank FROM {{labelled}}), c AS (SELECT label, count(*) AS m FROM b GROUP BY 1), cu AS (SELECT label, m, sum(m) OVER (ORDER BY label) AS upto FROM c),
+t AS (SELECT sum(n * n * n - n) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM {{labelled}} GROUP BY score)), o AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM b),
+r AS (SELECT r.i, b.rank, row_number() OVER (PARTITION BY r.i ORDER BY md5(concat('42:', r.i, ':', b.id)), b.id) AS pos FROM b, range(1, 51) r(i)),
+e AS (SELECT i, label, rank FROM r JOIN cu ON pos > upto - m AND pos <= upto UNION ALL SELECT 0, label, rank FROM b), g AS (SELECT i, label, count(*) AS m, sum(rank) AS s FROM e GROUP BY 1, 2),
+h AS (SELECT i, greatest(0, (12 / (n * (n + 1)) * sum(s * s / m) - 3 * (n + 1)) / (1 - ties / (n * n * n - n))) AS h FROM g, t, o GROUP BY i, n, ties)
+SELECT round((SELECT h FROM h WHERE i = 0), 6) AS observed, round((count(*) FILTER (h >= (SELECT h FROM h WHERE i = 0) - 1e-9) + 1) / (count(*) + 1), 6) AS p FROM h WHERE i > 0"""))
 def permutation_test(spark, sf_dir):
     return rounded(I.permutation_test(load(spark, sf_dir, "labelled"), "score", "label", "id", 50), "observed", "p")
 
 
-@query(sql(f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS k, round(l_extendedprice / l_quantity - 1500, 2) AS d FROM {{lineitem}} WHERE l_orderkey % 20 = 0), rows_ AS (SELECT k, min(d) AS d FROM b GROUP BY 1),
-m AS (SELECT i, avg(d * CASE WHEN substr(md5(concat('42:', i, ':', k)), 1, 1) < '8' THEN 1 ELSE -1 END) AS m FROM rows_, range(1, 31) r(i) GROUP BY 1), s AS (SELECT avg(d) AS mean, stddev_samp(d) AS sd FROM rows_),
-w AS (SELECT d, {AVG_RANK.format('abs(d)')} AS r FROM rows_ WHERE d <> 0)
-SELECT round(mean, 3) AS mean, round(mean / sd, 6) AS dz, round((SELECT sum(sign(d) * r) / sum(r) FROM w), 6) AS rank_biserial, round((count(*) FILTER (abs(round(m, 9)) >= abs(round(mean, 9))) + 1) / (count(*) + 1), 6) AS p FROM m, s GROUP BY mean, sd"""))
+@query(sql(f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS k, round(l_extendedprice / l_quantity - 1500, 2) AS d FROM {{lineitem}}), rows_ AS (SELECT k, min(d) AS d FROM b GROUP BY 1),
+m AS (SELECT i, avg(d * CASE WHEN substr(md5(concat('42:', i, ':', k)), 1, 1) < '8' THEN 1 ELSE -1 END) AS m FROM rows_, range(1, 31) r(i) GROUP BY 1), s AS (SELECT avg(d) AS mean, stddev_samp(d) AS sd, avg(sign(d)) FILTER (d <> 0) AS signs FROM rows_)
+SELECT round(mean, 3) AS mean, round(mean / sd, 6) AS dz, round(signs, 6) AS rank_biserial, round((count(*) FILTER (abs(round(m, 9)) >= abs(round(mean, 9))) + 1) / (count(*) + 1), 6) AS p FROM m, s GROUP BY mean, sd, signs"""))
 def paired_sign_flip(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.round(F.col("l_extendedprice") / F.col("l_quantity") - 1500, 2).alias("d"))
+    li = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.round(F.col("l_extendedprice") / F.col("l_quantity") - 1500, 2).alias("d"))
     return rounded(I.paired_sign_flip(li.groupBy("k").agg(F.min("d").alias("d")), "d", "k", 30), "dz", "rank_biserial", "p").withColumn("mean", F.round("mean", 3))
 
 

@@ -1,5 +1,10 @@
 """Rule tables and formulas on literal rows."""
 
+import hashlib
+import math
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,14 +146,194 @@ def test_edges_merge_sources_between_bars(spark):
     assert got == {"b": "o|p|q", "c": ""}
 
 
-def test_chi2_tail_and_ranks(spark):
-    assert one(spark.range(1).select(I.chi2_sf(F.lit(4.0), F.lit(4)))) == pytest.approx(0.40600585)
-    assert one(spark.range(1).select(I.chi2_sf(F.lit(4.0), F.lit(2)))) == pytest.approx(0.13533528)
+def test_ranks(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 5.0)], "x double")
     assert sorted(r["rank"] for r in I.avg_rank(df, "x").collect()) == [1.0, 2.5, 2.5, 4.0]
+    by = spark.createDataFrame([(g, x) for g in "ab" for x in (3.0, 1.0, 3.0)], "g string, x double")
+    assert sorted((r.g, r["rank"]) for r in I.avg_rank(by, "x", by=["g"]).collect()) == [("a", 1.0), ("a", 2.5), ("a", 2.5), ("b", 1.0), ("b", 2.5), ("b", 2.5)]
     assert I.pearson(df.withColumn("y", F.lit(1.0)), "x", "y").first().r is None
 
 
+@pytest.mark.parametrize(("x", "dof"), [(0.0, 3), (0.5, 1), (4.0, 1), (4.0, 2), (4.0, 3), (4.0, 4), (11.07, 5), (30.0, 7), (100.0, 1), (3.3, 25), (60.0, 40)])
+def test_chi_square_tail_of_every_degree(spark, x, dof):
+    """Against the integral of the density, by Simpson's rule in the square root of x."""
+    n = 20_000
+    density = lambda u: 2 * u ** (dof - 1) * math.exp(-u * u / 2) / (2 ** (dof / 2) * math.gamma(dof / 2)) if u or dof == 1 else 0.0
+    end = math.sqrt(x)
+    below = sum((1 if i in (0, n) else 4 if i % 2 else 2) * density(end * i / n) for i in range(n + 1)) * end / n / 3
+    assert one(spark.range(1).select(I.chi2_sf(F.lit(x), F.lit(dof)))) == pytest.approx(1 - below, abs=1e-8)
+
+
+def groups(spark, rows):
+    return spark.createDataFrame(rows, "class string, x double")
+
+
+def test_kruskal_by_hand(spark):
+    """Ranks a 1, 2 and b 3, 4: H = 12 / 20 (9 / 2 + 49 / 2) - 15 = 2.4, epsilon squared (2.4 - 1) / 2."""
+    r = I.kruskal(groups(spark, [("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0)]), "x").first()
+    assert (r.n, r.dof) == (4, 1) and r.h == pytest.approx(2.4) and r.p == pytest.approx(math.erfc(math.sqrt(1.2))) and r.epsilon2 == pytest.approx(0.7)
+    tied = I.kruskal(groups(spark, [("a", 1.0), ("b", 1.0), ("b", 1.0)]), "x").first()
+    assert (tied.h, tied.dof, tied.p, tied.epsilon2) == (0.0, 1, 1.0, 0.0)
+    single = I.kruskal(groups(spark, [("a", 1.0), ("a", 2.0)]), "x").first()
+    assert (single.h, single.dof, single.p, single.epsilon2) == (0.0, 0, 1.0, 0.0)
+
+
+@pytest.mark.parametrize("statistic", ["kruskal", "spearman"])
+def test_permutations_against_a_plain_loop(spark, statistic):
+    rows = [(i, i % 3, float((i * 7) % 11 + 4 * (i % 3))) for i in range(30)]
+    got = I.permutation_test(spark.createDataFrame(rows, "id int, y int, x double"), "x", "y", "id", 40, statistic=statistic).first()
+    ranks = pd.Series([x for *_, x in rows]).rank().to_numpy()
+    labels = np.array([y for _, y, _ in rows])
+
+    def stat(y):
+        if statistic == "spearman":
+            return abs(np.corrcoef(ranks, pd.Series(y).rank())[0, 1])
+        n = len(y)
+        ties = pd.Series(ranks).value_counts().to_numpy()
+        h = 12 / (n * (n + 1)) * sum(ranks[y == c].sum() ** 2 / (y == c).sum() for c in set(y)) - 3 * (n + 1)
+        return max(0.0, h / (1 - (ties**3 - ties).sum() / (n**3 - n)))
+
+    hits = 0
+    for rep in range(1, 41):
+        order = sorted(range(30), key=lambda i: (hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest(), i))
+        shuffled = np.empty(30, int)
+        shuffled[order] = np.sort(labels)
+        hits += stat(shuffled) >= stat(labels) - 1e-9
+    assert got.observed == pytest.approx(stat(labels)) and got.p == pytest.approx((hits + 1) / 41)
+
+
+def test_permutations_of_one_label(spark):
+    df = spark.createDataFrame([(i, 1, float(i)) for i in range(5)], "id int, y int, x double")
+    for s in ("kruskal", "spearman"):
+        r = I.permutation_test(df, "x", "y", "id", 5, statistic=s).first()
+        assert (r.observed, r.p) == (0.0, 1.0)
+
+
+def test_sign_flips(spark):
+    r = I.paired_sign_flip(spark.createDataFrame([(1, 2.0), (2, -1.0), (3, 3.0), (4, 0.0)], "k int, d double"), "d", "k", 50).first()
+    assert r.rank_biserial == pytest.approx(1 / 3) and r.mean == 1.0 and r.dz == pytest.approx(1 / np.std([2, -1, 3, 0], ddof=1))
+    flat = I.paired_sign_flip(spark.createDataFrame([(1, 0.0), (2, 0.0)], "k int, d double"), "d", "k", 10).first()
+    assert (flat.mean, flat.dz, flat.rank_biserial, flat.p) == (0.0, 0.0, 0.0, 1.0)
+
+
+@pytest.mark.parametrize(
+    ("coverage", "pearson", "spearman", "j5", "j10", "expected"),
+    [
+        (0.09, 0.9, 0.9, 0.9, 0.9, "INSUFFICIENT_COVERAGE"), (0.5, None, 0.9, 0.9, 0.9, "INSUFFICIENT_COVERAGE"), (0.5, float("nan"), 0.9, 0.9, 0.9, "INSUFFICIENT_COVERAGE"),
+        (0.1, 0.0, 0.70, 0.0, 0.50, "HIGHLY_REDUNDANT_WITH_KG"), (0.5, 0.0, 0.70, 0.0, 0.49, "MODERATELY_RELATED"), (0.5, 0.0, 0.30, 0.0, 0.20, "MODERATELY_RELATED"),
+        (0.5, 0.04, -0.04, 0.5, 0.02, "EFFECTIVELY_UNRELATED"), (0.5, 0.05, 0.0, 0.0, 0.0, "COMPLEMENTARY"), (0.5, 0.0, 0.3, 0.0, 0.19, "COMPLEMENTARY"),
+    ],
+)
+def test_redundancy_classes(spark, coverage, pearson, spearman, j5, j10, expected):
+    df = spark.createDataFrame([(coverage, pearson, spearman, j5, j10)], "a double, b double, c double, d double, e double")
+    assert one(df.select(I.redundancy_class(*map(F.col, "abcde")))) == expected
+
+
+@pytest.mark.parametrize(
+    ("provenance", "status", "r", "gain", "kind", "priority", "mode"),
+    [
+        ("LABEL_DERIVED", "SAFE_TRAIN_ONLY", 0.1, 0.0, "COMPLEMENTARY", "DO_NOT_REWIRE", "DO_NOT_MODIFY"), ("HYBRID", "SAFE_EXTERNAL", 0.1, 0.0, "COMPLEMENTARY", "DO_NOT_REWIRE", "DO_NOT_MODIFY"),
+        ("EXTERNAL_STATIC", "UNKNOWN", 0.1, 0.0, "COMPLEMENTARY", "DO_NOT_REWIRE", "DO_NOT_MODIFY"),
+        ("EXTERNAL_STATIC", "SAFE_EXTERNAL", -0.34, 0.14, "COMPLEMENTARY", "HIGH_PRIORITY_REWIRING_CANDIDATE", "ADD_EDGES_WITH_KG_SUPPORT"),
+        ("EXTERNAL_STATIC", "SAFE_EXTERNAL", 0.35, 0.0, "COMPLEMENTARY", "MEDIUM_PRIORITY", "KEEP_MATRIX_BUILD_TASK_ADJACENCY"), ("EXTERNAL_STATIC", "SAFE_EXTERNAL", None, 0.0, "COMPLEMENTARY", "MEDIUM_PRIORITY", "KEEP_MATRIX_BUILD_TASK_ADJACENCY"),
+        ("EXTERNAL_STATIC", "SAFE_EXTERNAL", 0.1, 0.0, "MODERATELY_RELATED", "MEDIUM_PRIORITY", "KEEP_MATRIX_BUILD_TASK_ADJACENCY"),
+        ("EXTERNAL_STATIC", "SAFE_EXTERNAL", 0.1, 0.0, "HIGHLY_REDUNDANT_WITH_KG", "LOW_PRIORITY", "KEEP_MATRIX_BUILD_TASK_ADJACENCY"), ("EXTERNAL_STATIC", "SAFE_EXTERNAL", -0.5, 0.0, "EFFECTIVELY_UNRELATED", "LOW_PRIORITY", "KEEP_MATRIX_BUILD_TASK_ADJACENCY"),
+        ("EXTERNAL_STATIC", "SAFE_EXTERNAL", 0.49, 0.0, "INSUFFICIENT_COVERAGE", "NEEDS_MORE_EVIDENCE", "NEEDS_REVIEW"), ("EXTERNAL_STATIC", "SAFE_EXTERNAL", None, None, "EFFECTIVELY_UNRELATED", "NEEDS_MORE_EVIDENCE", "NEEDS_REVIEW"),
+    ],
+)
+def test_rewiring_decisions(spark, provenance, status, r, gain, kind, priority, mode):
+    df = spark.createDataFrame([(provenance, status, r, gain, kind)], "provenance string, leakage_status string, correlation double, enrichment double, complementarity string")
+    got = I.rewiring_decision(df).first()
+    assert (got.priority, got.mode) == (priority, mode)
+
+
+def test_ranking_of_candidates(spark):
+    rows = [("DRUG", 1, 0.2, 0.1, 0.3, "MEDIUM_PRIORITY", "EXTERNAL_STATIC"), ("SIDE", 0, 0.2, 0.1, 0.3, "MEDIUM_PRIORITY", "EXTERNAL_STATIC"), ("SIDE", 2, None, -1.0, None, "HIGH_PRIORITY_REWIRING_CANDIDATE", "EXTERNAL_STATIC"), ("DRUG", 3, 0.0, 0.0, 0.0, "HIGH_PRIORITY_REWIRING_CANDIDATE", "LABEL_DERIVED")]
+    df = spark.createDataFrame(rows, "entity_type string, view_index int, correlation double, enrichment double, jaccard_10 double, priority string, provenance string").withColumn("leakage_status", F.lit("SAFE_EXTERNAL"))
+    got = [(r.view_index, r["rank"], round(r.score, 9)) for r in I.rank_candidates(df).orderBy("rank").collect()]
+    assert got == [(2, 1, 4.15), (1, 2, round(3.05 + 0.25 * 0.8 + 0.15 * 0.9 + 0.1 * 0.7, 9)), (0, 3, round(3.0 + 0.25 * 0.8 + 0.15 * 0.9 + 0.1 * 0.7, 9))]
+
+
+@pytest.mark.parametrize(
+    ("everything", "top20", "expected"),
+    [
+        ((0.505, 0.1, 0.505, 0.0), (0.9, 0.1, 0.9, 0.9), "NOT_DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION"), ((0.4, 0.1, 0.4, 0.0), (0.5, 0.1, 0.5, 0.04), "DISTINGUISHABLE_FROM_GLOBAL_BUT_NOT_FROM_TOP20_NEIGHBORS"),
+        ((0.48, 0.1, 0.4, 0.0), (0.9, 0.1, 0.9, 0.0), "WEAKLY_DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION"), ((0.4, 0.1, 0.4, 0.0), (0.9, 0.1, 0.9, 0.0), "DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION"),
+        ((0.5, 0.0, 0.5, 0.0), (0.9, 0.1, 0.9, 0.0), "DISTINGUISHABLE_FROM_GLOBAL_COSINE_DISTRIBUTION"),
+    ],
+)
+def test_cohort_verdicts(spark, everything, top20, expected):
+    row = lambda *x: spark.createDataFrame([x], "mean double, std double, p50 double, ge_99 double")
+    assert I.distinguishability(row(0.5, 0.1, 0.5, 0.0), row(*everything), row(*top20)).first().verdict == expected
+
+
+@pytest.mark.parametrize(
+    ("p50", "ge_95", "ge_99", "rank", "largest", "distinct", "weak", "expected"),
+    [
+        (0.99, 0.9, 0.6, 12.0, 1, 100, False, "STRONG_REPRESENTATION_COLLAPSE"), (0.5, 0.0, 0.0, 60.0, 10, 100, True, "STRONG_REPRESENTATION_COLLAPSE"), (0.91, 0.0, 0.0, 60.0, 1, 100, True, "HIGH_SIMILARITY_COMPRESSION"),
+        (0.5, 0.51, 0.0, 60.0, 1, 100, False, "HIGH_SIMILARITY_COMPRESSION"), (0.5, 0.0, 0.0, 32.0, 1, 100, False, "HEALTHY_DISCRIMINATION"), (0.5, 0.0, 0.0, 31.9, 1, 100, False, "INCONCLUSIVE"),
+        (0.5, 0.0, 0.0, 60.0, 1, 74, False, "INCONCLUSIVE"), (0.5, 0.0, 0.0, 60.0, 1, 75, True, "HEALTHY_DISCRIMINATION"),
+    ],
+)
+def test_collapse_verdicts(spark, p50, ge_95, ge_99, rank, largest, distinct, weak, expected):
+    pairs = spark.createDataFrame([(p50, ge_95, ge_99)], "p50 double, ge_95 double, ge_99 double")
+    dup = spark.createDataFrame([(largest, distinct, 100)], "largest long, distinct long, all long")
+    assert I.collapse_diagnosis(pairs, F.lit(rank), 128, dup, F.lit(weak)).first().verdict == expected
+
+
+def test_collapse_advice(spark):
+    cases = [("HEALTHY_DISCRIMINATION", True, "KEEP"), ("STRONG_REPRESENTATION_COLLAPSE", True, "REPLACE"), ("HIGH_SIMILARITY_COMPRESSION", True, "REPLACE"), ("STRONG_REPRESENTATION_COLLAPSE", False, "RETRAIN"), ("HIGH_SIMILARITY_COMPRESSION", False, "NEEDS"), ("INCONCLUSIVE", True, "NEEDS")]
+    for verdict, signal, start in cases:
+        assert one(spark.range(1).select(I.collapse_advice(F.lit(verdict), F.lit(signal)))).startswith(start)
+
+
+def test_spectrum_of_known_vectors(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((50, 6)) * [5, 4, 3, 2, 1, 0]
+    got = I.spectrum(spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>")).orderBy("component").collect()
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    p = s**2 / (s**2).sum()
+    assert [r.singular_value for r in got] == pytest.approx(s.tolist(), abs=1e-6) and [r.cumulative for r in got] == pytest.approx(np.cumsum(p).tolist())
+    assert [r.dimension_std for r in got] == pytest.approx(x.std(0).tolist()) and got[0].norm_max == pytest.approx(np.linalg.norm(x, axis=1).max())
+    assert got[0].effective_rank == pytest.approx(math.exp(-sum(q * math.log(q) for q in p if q > 1e-30)))
+
+
+def test_matched_controls_against_all_candidates(spark):
+    rng = np.random.default_rng(2)
+    degree = {f"s{i:02}": int(rng.integers(0, 12)) for i in range(40)}
+    known = {(f"d{d}", s) for d in range(6) for s in degree if rng.random() < (0.2, 0.5, 0.9, 0.97, 1.0, 0.1)[d]}
+    deg = P.rank_bins(spark.createDataFrame(list(degree.items()), "side string, degree long"), "degree", "side", 10)
+    bins = {r.side: r.bin for r in deg.collect()}
+    assert bins == {s: i * 10 // 40 for i, s in enumerate(sorted(degree, key=lambda s: (degree[s], s)))}
+    pairs = spark.createDataFrame(sorted(known), "drug string, side string")
+    got = {(r.drug, r.side): (r.control, r.control_degree) for r in P.matched_controls(pairs, deg, pairs).collect()}
+    assert set(got) == known
+    used = set()
+    for (drug, side), (control, control_degree) in got.items():
+        free = [s for s in degree if (drug, s) not in known]
+        if not free:
+            assert control is None
+            continue
+        near = min(abs(bins[s] - bins[side]) for s in free)
+        free = [s for s in free if abs(bins[s] - bins[side]) == near]
+        gap = min(abs(degree[s] - degree[side]) for s in free)
+        assert control in [s for s in free if abs(degree[s] - degree[side]) == gap] and control_degree == degree[control]
+        used.add(control)
+    assert len(used) > 10
+
+
+def test_experiment_signals(spark):
+    df = spark.createDataFrame([("clean", 0.6), ("zero", 0.55), ("kg", 0.58), ("task", 0.61)], "model string, metric double")
+    got = {r.model: (r.signal, r.improves, r.strength_rank) for r in J.compare_experiments(df, "clean", "zero").collect()}
+    assert got == {"zero": ("NEGATIVE", "NO", 3), "kg": ("POSITIVE", "NO", 2), "task": ("POSITIVE", "YES", 1)}
+
+
+def test_word_lists(spark):
+    assert set(one(spark.range(1).select(X.significant_tokens(F.lit("Potassium chloride ion human maleate"))))) == {"potassium", "human"}
+    yes = lambda name, *types: one(spark.range(1).select(X.is_biologic(F.lit(name), F.array(*map(F.lit, types)).cast("array<string>"))))
+    assert yes("Insulin.lispro") and yes("x", "Protein") and not yes("vaccine", "Small molecule") and not yes("x")
+
+
 def test_contracts_fail_where_they_should(spark):
     df = spark.createDataFrame([(0, "a"), (2, "b"), (None, "b")], "i int, s string")
     assert not B.expect_dense_index(df, "i").first().passed
