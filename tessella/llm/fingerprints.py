@@ -9,6 +9,8 @@ Jaccard similarity of their counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tessella.llm.common import numbered, written
 SAMPLES = 48
 #: Samples that one row of the aggregation holds; the generated code stays small.
 BLOCK = 4
+#: How far above its mean the lowest bid of a document may lie before it is drawn in full.
+LIKELY = 24.0
 #: ASCII white space, as words are told apart by it.
 SPACES = " \t\n\x0b\f\r"
 
@@ -83,39 +87,58 @@ def weighted_terms_of_two(both: Column, one: Column, other: Column) -> Column:
     return F.flatten(F.transform(F.array(hashed), counted))
 
 
-def _bids(term: Column, log_weights: list[Column], seed: Column, k: int) -> list[Column]:
-    """A word's bids for a sample, one for each weight, from one draw: the bid in the high
-    half, the mark of the word and its t in the low half. A null weight makes no bid."""
-    h = F.xxhash64(seed, F.lit(k))
-    h2 = F.xxhash64(h)
-    unit = lambda x, at, n: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
-    r = -F.log(unit(h, 0, 26) * unit(h, 26, 26))
-    log_c = F.log(-F.log(unit(h2, 0, 26) * unit(h2, 26, 26)))
-    b = unit(h, 52, 12)
-
-    def bid(log_weight: Column) -> Column:
-        t = F.floor(log_weight / r + b)
-        mark = term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftleft(((log_c - r * (t - b + 1.0) + 128.0) * F.lit(2.0**23)).cast("long"), 32).bitwiseOR(mark)
-
-    return [bid(x) for x in log_weights]
-
-
-def _marked(terms: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
-    """``terms(*keys, term, *weights)`` -> ``*keys``, and for each weight ``m_<weight>
-    array<int>``, the marks of the lowest bids."""
-    logs = [F.log(w).alias(f"log_{w}") for w in weights]
-    rows = terms.select(*keys, "term", *logs, F.explode(F.array(*[F.lit(i) for i in range(-(-samples // BLOCK))])).alias("block"))
-    rows = rows.withColumn("seed", F.xxhash64("term", "block"))
-    least = []
-    for k in range(BLOCK):
-        bids = _bids(F.col("term"), [F.col(f"log_{w}") for w in weights], F.col("seed"), k)
-        least += [F.min(bid).alias(f"{w}_{k}") for w, bid in zip(weights, bids, strict=True)]
+def _bid(term: Column, log_weight: Column, r: Column, log_c: Column, b: Column) -> Column:
+    """A word's bid for a sample: the bid in the high half, the mark of the word and its t in
+    the low half. A null weight or draw makes no bid."""
+    t = F.floor(log_weight / r + b)
+    mark = term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(((log_c - r * (t - b + 1.0) + 128.0) * F.lit(2.0**23)).cast("long"), 32).bitwiseOR(mark)
+
+
+def _least_bids(terms: DataFrame, keys: list[str], weights: list[str], samples: int, reach: Column | None) -> DataFrame:
+    """``terms(*keys, term, *weights)`` -> ``*keys, sure``, and for each weight ``m_<weight>
+    array<int>``, the marks of the lowest bids.
+
+    With r = -ln p and c = -ln q a bid is ln a, a >= c p / weight >= (1 - q) p / weight; so
+    where that is beyond ``reach`` (a bound on a), the draw's logarithms are left out. ``sure``
+    says that all lowest bids are within reach, so that no bid left out can be lower.
+    """
+    unit = lambda x, at: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << 26) - 1)) + F.lit(0.5)) * F.lit(2.0**-26)
+    ks, own = range(BLOCK), [*keys, "block", "term", "reach", *[f"log_{w}" for w in weights]]
+    heaviest = F.greatest(*weights) if len(weights) > 1 else F.col(weights[0])
+    rows = terms.withColumn("reach", F.lit(None).cast("double") if reach is None else reach).withColumn("within", F.col("reach") * heaviest)
+    rows = rows.select(*keys, "term", "reach", "within", *[F.log(w).alias(f"log_{w}") for w in weights], F.explode(F.array(*[F.lit(i) for i in range(-(-samples // BLOCK))])).alias("block"))
+    rows = rows.withColumn("seed", F.xxhash64("term", "block")).withColumns({f"h{k}": F.xxhash64("seed", F.lit(k)) for k in ks}).withColumns({f"g{k}": F.xxhash64(f"h{k}") for k in ks})
+    draws = {f"{x}{k}": unit(F.col(f"{h}{k}"), 0) * unit(F.col(f"{h}{k}"), 26) for k in ks for x, h in (("p", "h"), ("q", "g"))}
+    rows = rows.withColumns(draws | {f"b{k}": (F.shiftrightunsigned(F.col(f"h{k}"), 52) + F.lit(0.5)) * F.lit(2.0**-12) for k in ks})
+    on = lambda k: F.col("within").isNull() | ((1.0 - F.col(f"q{k}")) * F.col(f"p{k}") <= F.col("within"))
+    rows = rows.select(*own, *[c for k in ks for c in (F.when(on(k), -F.log(f"p{k}")).alias(f"r{k}"), F.when(on(k), F.log(-F.log(f"q{k}"))).alias(f"c{k}"), F.col(f"b{k}"))])
+    least = [F.min(_bid(F.col("term"), F.col(f"log_{w}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"b{k}"))).alias(f"{w}_{k}") for k in ks for w in weights]
+    found = rows.groupBy(*keys, "block").agg(*least, F.min("reach").alias("reach"))
     low = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
-    marks = [F.array(*[low(f"{w}_{k}") for k in range(BLOCK)]).alias(w) for w in weights]
-    blocks = rows.groupBy(*keys, "block").agg(*least).select(*keys, F.struct("block", *marks).alias("b"))
-    found = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("b"))
-    return found.select(*keys, *[F.slice(F.flatten(F.col(f"b.{w}")), 1, samples).alias(f"m_{w}") for w in weights])
+    most = F.floor((F.log("reach") + 128.0) * F.lit(2.0**23)).cast("long") - 1
+    used = lambda k: F.lit(True) if samples % BLOCK == 0 else F.col("block") * BLOCK + k < samples
+    sure = reduce(lambda x, y: x & y, [~used(k) | F.coalesce(F.shiftright(f"{w}_{k}", 32) <= most, F.lit(False)) for w in weights for k in ks])
+    marks = [F.array(*[low(f"{w}_{k}") for k in ks]).alias(w) for w in weights]
+    blocks = found.select(*keys, (F.col("reach").isNull() | sure).alias("sure"), F.struct("block", *marks).alias("b"))
+    found = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("b"), F.bool_and("sure").alias("sure"))
+    return found.select(*keys, "sure", *[F.slice(F.flatten(F.col(f"b.{w}")), 1, samples).alias(f"m_{w}") for w in weights])
+
+
+def _marked(texts: DataFrame, keys: list[str], terms: Column, weights: list[str], samples: int) -> DataFrame:
+    """``texts(*keys, ...)`` -> ``*keys``, and for each weight ``m_<weight> array<int>``, the
+    marks of the lowest bids of ``terms``. Of n words the lowest a is over LIKELY / n once in
+    exp(LIKELY); such documents are drawn again in full."""
+    arrays = texts.select(*keys, terms.alias("terms"))
+    rows = arrays.select(*keys, F.size("terms").alias("n"), "terms").select(*keys, "n", F.inline("terms"))
+    first = written(_least_bids(rows, keys, weights, samples, F.lit(LIKELY) / F.col("n")), "prints")
+    if first.where("not sure").isEmpty():
+        return first.drop("sure")
+    left = first.where("not sure").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    again = arrays.join(left, same, "left_semi").select(*keys, F.inline("terms"))
+    again = written(_least_bids(again, keys, weights, samples, None), "prints-in-full")
+    return first.where("sure").unionByName(again).drop("sure")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -125,11 +148,11 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples:
     Rows that share their keys are one document, whose terms' bids all count; a null key is a
     key. A null or empty text, or one of white space, has a fingerprint of its own that only
     such texts share. Texts are read whole, long ones too. Other columns are ignored; keys may
-    not be named ``term``, ``block``, ``seed``, ``b`` or ``marks``. No rows give no rows. Bids
-    of a partition are aggregated before any shuffle.
+    not have the names of the columns used here. No rows give no rows. Bids of a partition are
+    aggregated before any shuffle.
     """
-    terms = texts.select(*keys, F.inline(weighted_terms(F.coalesce(F.col(text), F.lit("")))))
-    return _marked(terms, keys, ["w0"], samples).withColumnRenamed("m_w0", "marks")
+    terms = weighted_terms(F.coalesce(F.col(text), F.lit("")))
+    return _marked(texts.select(*keys, text), keys, terms, ["w0"], samples).withColumnRenamed("m_w0", "marks")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -181,8 +204,8 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edited = edited.withColumn("kept", F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")))
     edited = edited.select(*keys[:-1], F.sha2(F.concat("kept", "tail").cast("binary"), 256).alias("sha"), "text", "kept", "tail", F.regexp_extract("kept", f"^(?s:.*[{SPACES}])", 0).alias("both"))
     rest = lambda t: F.substring(t, F.length("both") + 1, F.length(t))
-    terms = edited.select(*keys, F.inline(weighted_terms_of_two(F.col("both"), rest(F.col("text")), F.concat(rest(F.col("kept")), F.col("tail")))))
-    prints = written(_marked(terms, keys, ["w0", "w1"], samples), "prints")
+    terms = weighted_terms_of_two(F.col("both"), rest(F.col("text")), F.concat(rest(F.col("kept")), F.col("tail")))
+    prints = _marked(edited, keys, terms, ["w0", "w1"], samples)
     after = prints.where("again = 0").select(F.col("i").alias("next_i"), F.col("m_w0").alias("next_marks"))
     after = nexts.select("i", "doc_id", "copies", "next_i").join(after, "next_i").select("i", "doc_id", "copies", "next_marks")
     out = prints.join(after, "i").withColumn("next_marks", F.when(F.col("again") == 1, F.col("m_w0")).otherwise(F.col("next_marks")))
