@@ -179,6 +179,19 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _merged(clusters: DataFrame, leaf: int) -> DataFrame:
+    """``cluster, rep`` with every pair that a cluster holds. The trees find much the same sets
+    again and again: clusters that overlap are one where all they hold is a leaf's size at
+    most; larger unions stay as the clusters that they are."""
+    clusters = written(clusters, "dup-clusters")
+    first = clusters.groupBy("cluster").agg(F.min("rep").alias("a"))
+    unions = components(clusters.join(first, "cluster").select("a", F.col("rep").alias("b")))
+    sizes = unions.groupBy("component").agg(F.count("*").alias("size"))
+    at = written(unions.join(sizes, "component").select(F.col("id").alias("rep"), "component", (F.col("size") <= leaf).alias("whole")), "dup-unions")
+    parts = clusters.join(at.where("not whole").select("rep"), "rep", "left_semi").select("cluster", "rep")
+    return at.where("whole").select(F.xxhash64("component", F.lit(0)).alias("cluster"), "rep").unionByName(parts)
+
+
 def _confirmed(clusters: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` from the smallest id of what is linked within each cluster to the
     others of it; the links are confirmed on full sets."""
@@ -331,7 +344,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
         edges.append(led.where("linked").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
         members = [*leaves, _differing(led, threshold, leaf)]
     blocks = reduce(DataFrame.unionByName, members).join(reps.select("rep", "n", "mins"), "rep")
-    edges.append(_confirmed(_clusters(blocks, threshold), docs, reps, width, threshold))
+    edges.append(_confirmed(_merged(_clusters(blocks, threshold), leaf), docs, reps, width, threshold))
     labels = components(written(reduce(DataFrame.unionByName, edges), "dup-edges"))
 
     named = reps.select("n", "h1", "h2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
