@@ -20,7 +20,7 @@ SAMPLES = 48
 #: Samples that one row of the aggregation holds; the generated code stays small.
 BLOCK = 4
 #: How far above its mean the lowest bid of a document may lie before it is drawn in full.
-LIKELY = 24.0
+LIKELY = 16.0
 #: ASCII white space, as words are told apart by it.
 SPACES = " \t\n\x0b\f\r"
 

@@ -291,6 +291,17 @@ def test_two_fingerprints_from_one_draw_are_those_of_each_text(spark):
     assert {i: r.edited_fingerprint for i, r in report.items()} == {r.doc_id: r.f for r in again.collect()}
 
 
+def test_documents_with_no_bid_within_reach_are_drawn_in_full(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i if i else None, " ".join(f"w{x}" for x in rng.integers(0, 40, int(rng.integers(0, 80))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for likely in (1e9, 24.0, 2.0, 0.01):
+        monkeypatch.setattr(fingerprints, "LIKELY", likely)
+        found.append({r.doc_id: tuple(r.marks) for r in fingerprints.fingerprints(df, ["doc_id"], samples=18).collect()})
+    assert len(found[0]) == 60 and {len(x) for x in found[0].values()} == {18} and all(f == found[0] for f in found)
+
+
 def small_pieces(n, s, p):
     """All segmentations of a short text by brute force, best first."""
     def walk(at, score, ids):
