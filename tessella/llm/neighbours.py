@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from tessella.llm.common import numbered, written
 from tessella.llm.hilbert import hilbert_keys
 
-CURVES, DIRECTIONS, BITS, BLOCK = 8, 6, 10, 512
+CURVES, DIRECTIONS, BITS, BLOCK = 5, 6, 10, 512
 SAMPLE_ROWS = 10_000
 #: Queries and vectors that one task of the check holds; scores at once.
 ASKING, ANSWERING, SCORES = 16_384, 4096, 4_000_000
