@@ -18,7 +18,7 @@ from tessella.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TABLES = ("documents", "embeddings", "pages", "conversations", "labels")
+TABLES = ("documents", "embeddings", "pages", "conversations", "labels", "benchmark")
 
 
 @pytest.fixture(scope="session")
