@@ -132,7 +132,7 @@ def _fits(fit: DataFrame, sums: dict, components: int) -> dict[int, tuple[np.nda
 
     squares = fit.mapInArrow(square, "dim int, i int, j int, q decimal(38,0)").groupBy("dim", "i", "j").agg(F.sum("q").cast("decimal(38,0)").alias("q"))
     rows = squares.groupBy("dim").applyInPandas(decompose, "dim int, w array<double>, explained array<double>").collect()
-    return {r.dim: (np.array(r.w).reshape(r.dim, -1), np.array(r.explained)) for r in rows}
+    return {r.dim: (np.array(r.w, float).reshape(r.dim, -1), np.array(r.explained, float)) for r in rows}
 
 
 def _identity_error(fit: DataFrame, sums: dict, fits: dict) -> dict[int, float]:
