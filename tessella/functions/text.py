@@ -56,8 +56,8 @@ def extract_cui(c: Column | str) -> Column:
 
 
 def namespace(node_id: Column, title: Column) -> Column:
-    """Namespace by the id's prefix, else the ontology's title, else ``other``."""
-    return F.when(F.upper(node_id).startswith("HP"), "HP").when(F.lower(node_id).startswith("meddra"), "MEDDRA").otherwise(F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("other")))
+    """Namespace by the id's prefix, else the ontology's title, else ``OTHER``."""
+    return F.when(F.lower(node_id).startswith("meddra:"), "MEDDRA").when(F.upper(node_id).startswith("HP_"), "HPO").otherwise(F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("OTHER")))
 
 
 def significant_tokens(c: Column | str) -> Column:
@@ -65,10 +65,19 @@ def significant_tokens(c: Column | str) -> Column:
     return F.array_except(F.filter(F.split(normalize_alnum(c), " "), lambda t: F.length(t) >= 4), F.array(*map(F.lit, FORM_WORDS)))
 
 
+def json_list(a: Column, spaced: bool = False) -> Column:
+    """Strings as a JSON list in their order, compact or with a space after commas."""
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))), ", " if spaced else ","), F.lit("]"))
+
+
 def json_ids(a: Column, spaced: bool = False) -> Column:
     """Sorted distinct ids as a JSON list, compact or with a space after commas."""
-    ids = F.array_sort(F.array_distinct(F.filter(a, lambda x: x.isNotNull())))
-    return F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))), ", " if spaced else ","), F.lit("]"))
+    return json_list(F.array_sort(F.array_distinct(F.filter(a, lambda x: x.isNotNull()))), spaced)
+
+
+def by_casefold(a: Column) -> Column:
+    """Strings in the order of their lower case, equal ones by themselves."""
+    return F.array_sort(F.transform(a, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v"))))["v"]
 
 
 def parse_ids(s: Column | str) -> Column:

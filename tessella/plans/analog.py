@@ -39,17 +39,26 @@ TABLES = {
       UNION ALL SELECT concat('segment:', c_mktsegment), concat('customer:', c_custkey), 'MAPS_TO', 'side_anchor', 'phenotype', 'anchor' FROM {customer}""",
     "gene_pairs": """SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM {lineitem} a JOIN {lineitem} b
       ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus""",
-    # Names to resolve: all parts, some written with dots. A name comes back about twice, in
-    # every two hundred parts, so candidates grow with the parts.
-    "named": """SELECT p_partkey, p_size, concat(p_name, ' ', CAST(floor(p_partkey / 200) AS INT)) AS name, concat(p_brand, ' ', CAST(floor(p_partkey / 100) AS INT)) AS synonym,
-      concat(p_type, ' ', CAST(floor(p_partkey / 20) AS INT)) AS trade_name, concat(p_brand, '/', p_type, '/', p_size, '/', CAST(floor(p_partkey / 2000) AS INT)) AS struct_key FROM {part}""",
-    "anchors": """SELECT CAST(p_partkey AS INT) AS matrix_index, CASE WHEN p_partkey % 3 = 0 THEN replace(name, ' ', '.') ELSE upper(name) END AS anchor_name, struct_key AS anchor_key FROM {named}""",
-    "name_nodes": "SELECT concat('P', p_partkey) AS node_id, name, synonym, trade_name, struct_key FROM {named}",
-    # Concepts of all parts, as names to resolve and as nodes; ids come back within every 400 parts.
-    "concept_terms": """SELECT CAST(p_partkey AS INT) AS matrix_index, name AS anchor_name, concat('C', lpad(CAST(p_partkey % 300 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS concept_id,
-      CAST(p_partkey % 40 + 100 * CAST(floor(p_partkey / 400) AS INT) AS STRING) AS code FROM {named}""",
-    "concept_nodes": """SELECT concat('N', p_partkey) AS node_id, CASE WHEN p_size > 25 THEN 'HP' ELSE 'MEDDRA' END AS namespace, concat('C', lpad(CAST(p_partkey % 400 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS c1,
-      concat('C', lpad(CAST(p_partkey % 150 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS c2 FROM {part}""",
+    # Names to resolve: all parts. Names, synonyms and trade names come back a few times within
+    # blocks of parts, so candidates grow with the parts; some synonyms are names of the next block.
+    "named": """SELECT p_partkey, p_size, CASE WHEN p_partkey % 23 = 0 THEN concat(p_type, ' and more ', CAST(floor(p_partkey / 400) AS INT)) ELSE concat(p_name, ' ', CAST(floor(p_partkey / 200) AS INT)) END AS name,
+      CASE WHEN p_partkey % 8 = 3 THEN concat(p_name, ' ', CAST(floor(p_partkey / 200) AS INT) + 1) ELSE concat(p_brand, ' ', CAST(floor(p_partkey / 100) AS INT)) END AS synonym, concat(p_type, ' ', CAST(floor(p_partkey / 20) AS INT)) AS trade_name,
+      CASE WHEN p_size % 9 <> 0 THEN concat(p_brand, '/', p_size, '/', CAST(floor(p_partkey / 2000) AS INT)) END AS struct_key, concat(p_brand, '/', p_size % 50 + 1, '/', CAST(floor(p_partkey / 2000) AS INT)) AS more_key,
+      CASE WHEN p_partkey % 4 <> 0 THEN concat('c', p_size, lower(p_type)) END AS second_key, CASE WHEN p_size % 16 = 0 THEN 'Protein' ELSE 'Small molecule' END AS node_type FROM {part}""",
+    # Anchors by name (in capitals, or with dots for spaces), by synonym or trade name, with a
+    # word of their own, or with the structure key of others.
+    "anchors": """SELECT CAST(p_partkey AS INT) AS matrix_index, CASE WHEN p_partkey % 29 = 0 AND p_partkey % 23 <> 0 THEN concat('insulin ', name) WHEN p_partkey % 11 = 0 THEN synonym WHEN p_partkey % 13 = 0 THEN trade_name
+      WHEN p_partkey % 3 = 0 THEN replace(name, ' ', '.') ELSE upper(name) END AS anchor_name, CASE WHEN p_partkey % 17 = 0 THEN more_key ELSE struct_key END AS anchor_key, CASE WHEN p_partkey % 5 = 0 THEN more_key END AS more_key FROM {named}""",
+    "name_nodes": "SELECT concat('P', p_partkey) AS node_id, name, synonym, trade_name, struct_key, second_key, node_type FROM {named}",
+    # Concepts of all parts, as names to resolve and as nodes of three ontologies; ids come back
+    # within every 400 parts.
+    "concept_terms": """SELECT CAST(p_partkey AS INT) AS matrix_index, name AS anchor_name, CASE WHEN p_partkey % 19 <> 0 THEN concat('C', lpad(CAST(p_partkey % 300 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) END AS concept_id FROM {named}""",
+    "concept_nodes": """SELECT concat(CASE WHEN p_size > 30 THEN 'HP_' WHEN p_size > 25 THEN 'X_' ELSE 'meddra:' END, p_partkey) AS node_id, CASE WHEN p_size > 30 THEN 'HPO' WHEN p_size > 25 THEN p_type ELSE 'MEDDRA' END AS namespace,
+      concat('UMLS:C', lpad(CAST(p_partkey % 400 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS c1, concat('c', lpad(CAST(p_partkey % 150 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS c2,
+      CAST(p_partkey AS INT) AS number FROM {part}""",
+    "ontology_candidates": "SELECT number - number % (1 + CAST(floor(number / 60) AS INT) % 6) AS matrix_index, node_id, namespace, CASE WHEN number % 2 = 0 THEN 'name;synonym' ELSE 'synonym' END AS fields FROM {concept_nodes}",
+    # A dictionary of terms: entries of a concept, some with two concepts or two spellings.
+    "dictionary": """SELECT concat('C', lpad(CAST(p_partkey % 250 + 1000 * CAST(floor(p_partkey / 400) AS INT) AS STRING), 7, '0')) AS concept_id, CAST(p_partkey - p_partkey % 3 AS STRING) AS entry_id, name AS term FROM {named} WHERE p_size > 20""",
     "history": """SELECT event_type AS model, CAST(day(ts) AS INT) AS epoch, round(avg(value), 4) AS metric FROM {events} GROUP BY 1, 2""",
     "labelled": "SELECT l.doc_id AS id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) AS score FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",
 }

@@ -214,10 +214,10 @@ def write_once(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count("*").alias("rows")).withColumn("refused", F.lit(refused))
 
 
-SPACES = "CASE WHEN p_size % 3 = 0 THEN concat('HP:', p_partkey) WHEN p_size % 3 = 1 THEN concat('MedDRA_', p_partkey) ELSE concat('Z', p_partkey) END"
+SPACES = "CASE WHEN p_size % 3 = 0 THEN concat('Hp_', p_partkey) WHEN p_size % 3 = 1 THEN concat('MedDRA:', p_partkey) ELSE concat('Z', p_partkey) END"
 
 
-@query(sql(f"SELECT {SPACES} AS id, CASE WHEN p_size % 3 = 0 THEN 'HP' WHEN p_size % 3 = 1 THEN 'MEDDRA' WHEN p_size > 25 THEN p_type ELSE 'other' END AS namespace FROM {{part}}"))
+@query(sql(f"SELECT {SPACES} AS id, CASE WHEN p_size % 3 = 0 THEN 'HPO' WHEN p_size % 3 = 1 THEN 'MEDDRA' WHEN p_size > 25 THEN p_type ELSE 'OTHER' END AS namespace FROM {{part}}"))
 def namespaces(spark, sf_dir):
     p = load(spark, sf_dir, "part").select(F.expr(SPACES).alias("id"), F.when(F.col("p_size") > 25, F.concat(F.lit(" "), "p_type")).otherwise(" ").alias("title"))
     return p.select("id", X.namespace(F.col("id"), F.col("title")).alias("namespace"))

@@ -35,20 +35,22 @@ def test_text_functions(spark):
         spark.range(1).select(X.parse_ids(F.lit("{"))).collect()
     with pytest.raises(Exception, match="not a boolean"):
         spark.range(1).select(X.parse_bool(F.lit("maybe"))).collect()
-    assert one(spark.range(1).select(X.namespace(F.lit("HP_1"), F.lit(None).cast("string")))) == "HP"
+    assert one(spark.range(1).select(X.namespace(F.lit("HP_1"), F.lit(None).cast("string")))) == "HPO"
+    assert one(spark.range(1).select(X.anchor_id("A", F.lit(1234)))) == "A_1234"
     assert one(spark.range(1).select(X.is_combination(F.lit("a.and.b")))) is True
 
 
 @pytest.mark.parametrize(
     ("status", "selected", "method", "names", "structures", "expected", "proposed", "final"),
     [
-        ("resolved", "a", "single_candidate", ["a"], ["a"], "confirmed_name_structure", "a", "resolved"),
-        ("resolved", "a", "single_candidate", ["a"], ["b"], "conflicting_evidence", "", "review_required"),
-        ("resolved", "a", "strict_top", ["a", "b"], [], "supported_canonical_name", "a", "resolved"),
-        ("resolved", "a", "single_candidate", ["a"], [], "name_only_resolved", "a", "resolved"),
-        ("ambiguous", None, "tied", ["a", "b"], ["b"], "resolved_by_unique_structure_candidate", "b", "resolved"),
-        ("ambiguous", None, "tied", ["a", "b"], ["b", "c"], "resolved_by_unique_intersection", "b", "resolved"),
-        ("ambiguous", None, "tied", ["a", "b"], [], "unresolved_ambiguous", "", "unresolved"),
+        ("resolved", "a", "unique_exact", ["a"], ["a"], "confirmed_name_structure", "a", "resolved"),
+        ("resolved", "a", "unique_exact", ["a"], ["b"], "conflicting_evidence", "", "review_required"),
+        ("resolved", "a", "canonical_name_disambiguation", ["a", "b"], [], "supported_canonical_name", "a", "resolved"),
+        ("resolved", "a", "unique_exact", ["a"], [], "name_only_resolved", "a", "resolved"),
+        ("resolved", "a", "synonym_disambiguation", ["a", "b"], [], "name_only_resolved", "a", "resolved"),
+        ("ambiguous", None, None, ["a", "b"], ["b"], "resolved_by_unique_structure_candidate", "b", "resolved"),
+        ("ambiguous", None, None, ["a", "b"], ["b", "c"], "resolved_by_unique_intersection", "b", "resolved"),
+        ("ambiguous", None, None, ["a", "b"], [], "unresolved_ambiguous", "", "unresolved"),
         ("unmatched", None, None, [], ["c"], "structure_only_candidate", "c", "review_required"),
         ("unmatched", None, None, [], ["c", "d"], "unresolved_ambiguous", "", "unresolved"),
         ("unmatched", None, None, [], [], "unresolved_unmatched", "", "unresolved"),
