@@ -3,9 +3,12 @@
 Documents become sets of word shingles. Equal sets fall together first; then each of
 ``trees`` independent trees branches the distinct sets: at every level a set goes to the
 children named by its minimum under ``branches`` selected hash functions, so two sets of
-similarity J part only with probability (1 - J) ** branches. Nodes with one set end; nodes
-of up to ``leaf`` sets are compared exhaustively; larger ones branch again, unless they keep
-more than half of their parent: such families of near copies aren't split by their minima.
+similarity J part only with probability (1 - J) ** branches a level. No two levels or trees
+share a function: a tree of 4 levels loses a pair of similarity 0.85 with a probability of
+0.09 at most, and all four trees with 0.00007 (0.8: 0.16, 0.0007). Nodes with one set end;
+nodes of up to ``leaf`` sets are compared exhaustively; larger ones branch again, unless they
+keep more than half of their parent or are of the last level: such families of near copies
+aren't split by their minima.
 
 A family is compared with one of its sets, its leader, and so is what no branching splits.
 Let D be a set's symmetric difference with the leader. A set without a link to the leader
@@ -32,7 +35,8 @@ from pyspark.sql import Window as W
 from tessella.llm.common import components, written
 from tessella.llm.shingles import chunks, minwise, mixed, shingle_sets
 
-TREES, LEVELS, BRANCHES, LEAF, FUNCTIONS = 4, 8, 2, 256, 32
+TREES, LEVELS, BRANCHES, LEAF = 4, 4, 2, 256
+FUNCTIONS = TREES * LEVELS * BRANCHES
 #: Minima by which a family's leader is chosen, and members that one task holds beside it.
 LEADING, PIECE = 8, 2048
 #: Names from here on are those of sets whose doc_id names another set.
@@ -302,6 +306,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
     a doc_id are one document, linked by each of its texts. Other columns are ignored; no rows
     give no rows.
     """
+    if not 1 <= trees <= TREES:
+        raise ValueError(f"1 to {TREES} trees")
     docs = docs.select("doc_id", "text")
     marks = written(sketches(docs, width), "dup-sketches")
     full = marks.where("n > 0 and doc_id is not null")
@@ -320,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
     # Branch: nodes of each level with more than one set; those above the leaf size go on.
     leaves, families, large, above = [], [], None, reps.count()
     for level in range(LEVELS):
-        pick = lambda t, i: F.col("mins")[(t * FUNCTIONS // trees + level * BRANCHES + i) % FUNCTIONS]  # noqa: B023, E731
+        pick = lambda t, i: F.col("mins")[(t * LEVELS + level) * BRANCHES + i]  # noqa: B023, E731
         if level:
             at = large.join(reps.select("rep", "mins"), "rep")
             kids = [F.coalesce(*[F.when(F.col("tree") == t, F.xxhash64("node", F.lit(i), pick(t, i))) for t in range(trees)]) for i in range(BRANCHES)]

@@ -277,11 +277,14 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE_ROWS) -> bytes:
     """Fit on at most ``sample`` labelled rows that aren't held out, whole texts, in one
-    task; the weights as bytes (of fixed size). Null labels are left out."""
+    task; the weights as bytes (of fixed size). Null labels are left out; of several texts
+    of a doc_id that of the smallest hash (then the smallest) is used, null as empty."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(written(known, "toxic-labels"), "doc_id").select("doc_id", "text", F.col("__y").cast("double").alias("__y"))
-    rows = written(rows.dropDuplicates(["doc_id"]), "toxic-rows")
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.groupBy("doc_id", "__y").agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"))).alias("r"))
+    rows = written(rows.select("doc_id", "r.text", "__y"), "toxic-rows")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "__y": []}), *batches])

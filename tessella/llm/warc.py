@@ -102,22 +102,25 @@ class Archive:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, refers_to, refers_key`` of the pages whose payload another page carries."""
+    """``page_id, digest, refers_to, refers_key`` of the payloads that a page of a larger id
+    carries too: the largest page_id (of several rows, the largest key) is the response. Rows
+    without a page_id take no part."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     slim = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= REVISIT_BYTES).select("page_id", url_key(F.col("url")).alias("key"), F.sha1(payload).alias("digest"))
     slim = written(slim.where("page_id is not null"), "warc-digests")
     first = slim.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "key")).alias("r")).where("n > 1")
     first = written(first.select("digest", F.col("r.page_id").alias("refers_to"), F.col("r.key").alias("refers_key")), "warc-first")
-    found = slim.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to", "refers_key")
-    return written(found.dropDuplicates(["page_id"]), "warc-revisits")
+    return written(slim.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to", "refers_key").distinct(), "warc-revisits")
 
 
 def write_archive(pages: DataFrame) -> Archive:
-    """Archive ``pages(page_id, url, html)`` and index it. Null html is an empty payload;
-    null url has the empty key; repeated rows are records of their own."""
+    """Archive ``pages(page_id, url, html)`` and index it. Null html is an empty payload; null
+    url has the empty key. Rows that repeat a page_id are records of their own, revisits or
+    responses by their own payloads (rows that repeat id and payload of the response are
+    responses too, since a record can't revisit its own page)."""
     path = new_path(pages.sparkSession, "warc")
-    rows = pages.select("page_id", "url", "html", url_key(F.col("url")).alias("key"))
-    rows = rows.join(revisits(pages), "page_id", "left").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), "key", "refers_to", "refers_key")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), url_key(F.col("url")).alias("key"))
+    rows = rows.withColumn("digest", F.sha1("payload")).join(revisits(pages), ["page_id", "digest"], "left").select("page_id", "url", "payload", "key", "refers_to", "refers_key")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, base = _open(path)

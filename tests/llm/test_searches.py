@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import lexical, threshold, whitening
+from tessella.llm import lexical, threshold, toxicity, warc, whitening
 from tessella.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -190,3 +190,20 @@ def test_whitening_query_against_numpy(spark):
         x[place[r.vec_id], r.component - 1] = r.whitened
         assert r.explained == pytest.approx(e[r.component - 1] / np.trace(cov), rel=1e-6) and r.identity_error <= 1e-4
     assert np.abs(np.cov(x.T, bias=True) - np.eye(16)).max() < 1e-6
+
+
+def test_archives_of_repeated_page_ids(spark):
+    """Each record is judged by its own payload: a page_id may carry several."""
+    a, b, small = "A" * 1500, "B" * 1500, "B" * 10
+    rows = [(1, "http://x/1", a), (1, "http://x/2", small), (1, "http://x/3", b), (2, "http://x/4", a), (2, "http://x/4", a), (None, "http://x/5", a), (3, None, None), (3, "http://x/6", b)]
+    pages = spark.createDataFrame([(*r, "d", 1) for r in rows], "page_id long, url string, html string, digest string, refers_to int")
+    archive = warc.write_archive(pages)
+    found = warc.look_up(archive, pages.select(warc.url_key(F.col("url")).alias("key"), "page_id"))
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found.collect())
+    assert set(got) == {(1, 1500, "revisit", 2), (1, 10, "response", None), (1, 1500, "revisit", 3), (2, 1500, "response", None), (None, 1500, "response", None), (3, 0, "response", None), (3, 1500, "response", None)}
+
+
+def test_training_rows_of_a_repeated_doc_id_are_fixed(spark):
+    docs = spark.createDataFrame([(1, "b b"), (1, "a a"), (1, None), (2, "x y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) == toxicity.train(docs.orderBy(F.col("text").desc()).repartition(3), labels)
