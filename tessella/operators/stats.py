@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators.blocked import cosine_summary, nearest_by_cosine  # noqa: F401  I8 of cosines, without their pairs
 from tessella.operators.rewire import neighbor_jaccard
 from tessella.operators.similarity import jaccard, top_k
 from tessella.sources.scratch import numbered_within, written
@@ -41,14 +42,37 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(avg_rank(avg_rank(ok, x, "rx"), y, "ry"), "rx", "ry")
 
 
+def quantiles(df: DataFrame, x: str, ps: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """I8, I16: ``*by, q`` (an array in the order of ``ps``): exact quantiles of each group,
+    interpolated between neighbours. Places come from the counts of the distinct values, summed
+    up over range partitions; only the rows at the wanted places go on, so no task holds a
+    group. ``x`` is finite."""
+    by = by or []
+    counts = written(df.groupBy(*by, x).agg(F.count("*").alias("__n")), "value-counts")
+    at = numbered_within(counts, by, [F.col(x)], "__before", F.col("__n"))
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in by), F.lit(True))
+    at = at.join(total.withColumnsRenamed({g: f"__g_{g}" for g in by}), same)
+    place = [F.lit(p) * (F.col("__all") - 1) for p in ps]
+    holds = lambda q: (F.col("__before") <= q) & (q < F.col("__before") + F.col("__n"))
+    ends = [(holds(F.floor(q)), holds(F.ceil(q))) for q in place]
+    near = at.where(reduce(lambda a, b: a | b, (h for pair in ends for h in pair)))
+    own = lambda h: F.max(F.when(h, F.col(x).cast("double")))
+    found = near.groupBy(*by).agg(F.max("__all").alias("__all"), *[own(h).alias(f"__{i}{side}") for i, pair in enumerate(ends) for side, h in zip("lh", pair)])
+    value = [F.col(f"__{i}l") + (q - F.floor(q)) * (F.col(f"__{i}h") - F.col(f"__{i}l")) for i, q in enumerate(place)]
+    return found.select(*by, F.array(*value).alias("q"))
+
+
 def distribution(df: DataFrame, x: str, thresholds: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
     """I8: mean, population deviation, extremes, exact percentiles, share at each threshold."""
     ps = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    d = df.where(finite(x)).agg(
+    ok = written(df.where(finite(x)).select(x), "distribution")
+    d = ok.agg(
         F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.percentile(x, F.lit(list(ps))).alias("p"), *[F.avg((F.col(x) >= t).cast("int")).alias(f"ge_{int(t * 100)}") for t in thresholds],
+        *[F.avg((F.col(x) >= t).cast("int")).alias(f"ge_{int(t * 100)}") for t in thresholds],
     )
-    return d.select("n", "mean", "std", "min", "max", *[F.col("p")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(ps)], *[f"ge_{int(t * 100)}" for t in thresholds])
+    d = d.crossJoin(quantiles(ok, x, ps).agg(F.max("q").alias("p")))  # one row each
+    return d.select("n", "mean", "std", "min", "max", *[F.get("p", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(ps)], *[f"ge_{int(t * 100)}" for t in thresholds])
 
 
 def task_alignment(view: DataFrame, task: DataFrame, near: DataFrame, random: DataFrame) -> DataFrame:
@@ -301,11 +325,14 @@ def pair_evidence(pairs: DataFrame, drug_genes: DataFrame, side_genes: DataFrame
 
 def class_summary(df: DataFrame, features: list[str], cls: str = "class") -> DataFrame:
     """I16: per feature and class: count, mean, median, sample deviation (0 for one row),
-    quartiles and their distance."""
-    long = df.select(cls, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])))
-    s = long.groupBy("feature", cls).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit([0.25, 0.5, 0.75])).alias("p"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))
-    at = lambda i: F.col("p")[i]
-    return s.select("feature", cls, "n", "mean", at(1).alias("median"), "std", at(0).alias("q1"), at(2).alias("q3"), (at(2) - at(0)).alias("iqr"))
+    quartiles and their distance, of the finite values."""
+    long = df.select(cls, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))).where(finite("x"))
+    long = written(long, "class-values")
+    s = long.groupBy("feature", cls).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))
+    q = quantiles(long, "x", (0.25, 0.5, 0.75), ["feature", cls]).toDF("__f", "__c", "q")
+    j = s.join(q, F.col("feature").eqNullSafe(F.col("__f")) & F.col(cls).eqNullSafe(F.col("__c")))
+    at = lambda i: F.get("q", F.lit(i))
+    return j.select("feature", cls, "n", "mean", at(1).alias("median"), "std", at(0).alias("q1"), at(2).alias("q3"), (at(2) - at(0)).alias("iqr"))
 
 
 def erfc(z: Column) -> Column:

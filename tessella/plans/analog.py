@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.sources.scratch import importable
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 TABLES = {
@@ -68,6 +70,7 @@ _NAME = re.compile(r"\{(\w+)\}")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = TABLES[name]

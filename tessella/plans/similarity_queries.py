@@ -22,7 +22,7 @@ def supplier_cosine(spark, sf_dir):
 @query(sql(f"WITH {COSINE} SELECT src, dst, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS rank FROM sim) WHERE rank <= 10"))
 def profile_cosine_topk(spark, sf_dir):
     """Train cells -> supplier cosine -> top-10 neighbours."""
-    return S.top_k(supplier_cosine(spark, sf_dir), 10).select("src", "dst", "value", "rank")
+    return S.profile_topk(load(spark, sf_dir, "train"), 10)
 
 
 @query(sql("""WITH b AS (SELECT DISTINCT row_id, col_id FROM {train}), n AS (SELECT col_id, count(*) AS n FROM b GROUP BY 1),
@@ -31,8 +31,16 @@ v AS (SELECT src, dst, round(both_ / sqrt(p.n * q.n), 6) AS value FROM h JOIN n
 SELECT src, dst, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS rank FROM v) WHERE rank <= 10"""))
 def binary_column_cosine(spark, sf_dir):
     """Column view of the binarised cells: the ten columns nearest to each."""
-    cells = S.binarized(load(spark, sf_dir, "train"))
-    return S.top_k(S.mirrored(S.profile_cosine(cells, "col_id", "row_id").withColumn("value", F.round("value", 6))), 10).select("src", "dst", "value", "rank")
+    return S.profile_topk(S.binarized(load(spark, sf_dir, "train")), 10, "col_id", "row_id")
+
+
+@query(sql("""WITH b AS (SELECT DISTINCT row_id, col_id FROM {train}), n AS (SELECT col_id, count(*) AS n FROM b GROUP BY 1),
+h AS (SELECT x.col_id AS src, y.col_id AS dst, count(*) AS both_ FROM b x JOIN b y ON x.row_id = y.row_id AND x.col_id <> y.col_id GROUP BY 1, 2),
+v AS (SELECT src, dst, round(both_ / (p.n + q.n - both_), 6) AS value FROM h JOIN n p ON p.col_id = src JOIN n q ON q.col_id = dst)
+SELECT src, dst, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS rank FROM v) WHERE rank <= 10"""))
+def set_jaccard_topk(spark, sf_dir):
+    """Columns as sets of rows: the ten of largest Jaccard."""
+    return S.profile_topk(load(spark, sf_dir, "train"), 10, "col_id", "row_id", measure="jaccard")
 
 
 @query(sql("""SELECT row_id, col_id, freq, CAST(freq > 0 AS INT) AS seen FROM {triples} t WHERE NOT EXISTS (SELECT 1 FROM {held} h WHERE h.row_id = t.row_id AND h.col_id = t.col_id)"""))

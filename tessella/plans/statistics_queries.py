@@ -120,12 +120,10 @@ def spectrum(spark, sf_dir):
 
 
 def _cohorts(spark, sf_dir):
-    """Cosines of all pairs of vectors, of those of one label, and of the 20 nearest of each."""
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    label = e.select("id", "label")
-    d = S.cosine_pairs(e).withColumn("value", F.round("value", 7))
-    d = written(d.join(label.toDF("src", "la"), "src").join(label.toDF("dst", "lb"), "dst").select("src", "dst", "value", (F.col("la") == F.col("lb")).alias("same")), "cohort-pairs")
-    return e, d, written(S.top_k(S.mirrored(d.select("src", "dst", "value")), 20), "cohort-nearest")
+    """The vectors, the distributions of all their cosines and of those of one label, and the 20
+    nearest of each."""
+    e = written(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"), "cohort-vectors")
+    return e, I.cosine_summary(e, label="label"), written(I.nearest_by_cosine(e, 20), "cohort-nearest")
 
 
 DIST = "avg(value) AS mean, stddev_pop(value) AS std, median(value) AS p50, avg(CAST(value >= 0.99 AS INT)) AS ge_99"
@@ -143,7 +141,7 @@ CASE WHEN abs(gap_all) < 0.1 AND abs(median_delta_all) < 0.01 AND abs(share_all)
 def embedding_cohorts(spark, sf_dir):
     """Whether vectors of one label can be told from all by their cosines."""
     _, d, near = _cohorts(spark, sf_dir)
-    out = I.distinguishability(I.distribution(d.where("same"), "value"), I.distribution(d, "value"), I.distribution(near, "value"))
+    out = I.distinguishability(d.where("cohort = 'same'"), d.where("cohort = 'all'"), I.distribution(near, "value"))
     return rounded(out, *[c for c in out.columns if c != "verdict"], n=5)
 
 
@@ -154,7 +152,7 @@ def embedding_collapse(spark, sf_dir):
     s = I.spectrum(e, "vec").agg(F.max("effective_rank").alias("effective_rank"), F.count("*").alias("dimension")).first()
     dup = I.duplicate_summary(e, (3,)).select("largest", "distinct", "all")
     weak = H.weak_discrimination(H.neighbor_margins(near.select("src", "dst", "value"))).first().weak
-    out = I.collapse_diagnosis(I.distribution(d, "value"), F.lit(s.effective_rank), s.dimension, dup, F.lit(weak))
+    out = I.collapse_diagnosis(d.where("cohort = 'all'"), F.lit(s.effective_rank), s.dimension, dup, F.lit(weak))
     return out.withColumn("advice", I.collapse_advice(F.col("verdict"), F.lit(False)))
 
 
