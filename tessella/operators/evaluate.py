@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -144,16 +146,55 @@ def prob_contract(probs: Column, cumulative: Column, tolerance: float = 1e-6) ->
     return fine & F.forall(F.zip_with(cumulative, F.concat(F.slice(cumulative, 2, 100), F.array(F.lit(0.0))), lambda a, b: a - b), lambda d: d >= -tolerance)
 
 
-def prediction_audit(df: DataFrame, classes: int = 5, majority: float = 0.8) -> DataFrame:
-    """Accuracy as it is and with predictions shifted by one either way (clamped), the
-    largest share of one predicted class, whether that is a collapse, and a diagnosis."""
-    y, p = F.col("label"), F.col("pred")
-    shift = lambda d: F.avg((F.least(F.lit(classes), F.greatest(F.lit(1), p + d)) == y).cast("int"))
-    s = df.agg(shift(0).alias("accuracy"), shift(1).alias("shift_up"), shift(-1).alias("shift_down"), *[F.avg((p == k).cast("int")).alias(f"__{k}") for k in range(1, classes + 1)])
-    top = F.greatest(*[F.col(f"__{k}") for k in range(1, classes + 1)])
-    off = F.greatest("shift_up", "shift_down") > F.col("accuracy")
-    d = F.concat_ws(";", F.when(off, "off by one"), F.when(top > majority, "class collapse"))
-    return s.select("accuracy", "shift_up", "shift_down", top.alias("top_share"), (top > majority).alias("collapsed"), F.when(d == "", "none").otherwise(d).alias("diagnosis"))
+# Diagnoses of ordinal predictions, in the order of the list.
+DIAGNOSES = ("LABEL_INDEX_MISMATCH", "TARGET_CONSTRUCTION_ERROR", "DECODING_ERROR", "CLASS_COLLAPSE", "THRESHOLD_DEGENERACY")
+SOUND = "NO_IMPLEMENTATION_ERROR_FOUND"
+#: A dramatic improvement, a collapsed share, and gaps or spreads of thresholds that are none.
+DRAMATIC, COLLAPSED, DEGENERATE = 0.10, 0.80, 1e-3
+
+
+def _accuracy_and_f1(df: DataFrame, preds: dict[str, Column], classes: int) -> DataFrame:
+    """One row: ``{name}_accuracy, {name}_f1`` (macro over the fixed classes), and the largest share
+    of one predicted class, of each way to predict."""
+    y, sums = F.col("label"), []
+    for name, p in preds.items():
+        for k in range(1, classes + 1):
+            sums += [F.count_if((p == k) & (y == k)).alias(f"{name}_tp{k}"), F.count_if(p == k).alias(f"{name}_p{k}")]
+    c = df.agg(F.count("*").alias("n"), *[F.count_if(y == k).alias(f"y{k}") for k in range(1, classes + 1)], *sums)
+    out = []
+    for name in preds:
+        tp, pk = [F.col(f"{name}_tp{k}") for k in range(1, classes + 1)], [F.col(f"{name}_p{k}") for k in range(1, classes + 1)]
+        f1 = [F.coalesce(F.try_divide(2 * t, p + F.col(f"y{k}")), F.lit(0.0)) for k, (t, p) in enumerate(zip(tp, pk), 1)]
+        out += [F.try_divide(sum(tp, F.lit(0)), F.col("n")).alias(f"{name}_accuracy"), (sum(f1, F.lit(0.0)) / classes).alias(f"{name}_f1"), F.try_divide(F.greatest(*pk), F.col("n")).alias(f"{name}_top")]
+    return c.select(*out)
+
+
+def prediction_audit(df: DataFrame, thresholds: list[float], classes: int = 5, label_base: int = 1, targets_ok: bool = True, probabilities_ok: bool = True) -> DataFrame:
+    """One row: figures of the argmax (``pred``) as it is and shifted by one either way
+    (clamped), of two other decoders (``threshold``, ``expected``), and the list of diagnoses.
+
+    A shift that adds 0.10 of accuracy or macro F1, or labels that don't start at 1, are an
+    index mismatch; another decoder that does, or probabilities that break their contract, a
+    decoding error; a decoder with more than 0.80 of one class a collapse; ``thresholds`` that
+    aren't finite or rise by 0.001 or less, or ``cumulative`` probabilities that don't vary over
+    the rows, are degenerate. Shifts and decoders are counted in one pass.
+    """
+    p = F.col("pred")
+    shifted = lambda d: F.least(F.lit(classes), F.greatest(F.lit(1), p + d))
+    decoders = {"argmax": p, "threshold": F.col("threshold"), "expected": F.col("expected")}
+    one = _accuracy_and_f1(df, decoders | {"up": shifted(1), "down": shifted(-1)}, classes)
+    spread = df.agg(*[F.stddev_pop(F.get("cumulative", F.lit(i))).alias(f"s{i}") for i in range(classes - 1)])
+    flat = any(not math.isfinite(t) for t in thresholds) or any(b - a <= DEGENERATE for a, b in zip(thresholds, thresholds[1:]))
+    still = F.lit(True)
+    for i in range(classes - 1):
+        still = still & (F.col(f"s{i}") <= DEGENERATE)
+    gain = lambda name: F.greatest(F.col(f"{name}_accuracy") - F.col("argmax_accuracy"), F.col(f"{name}_f1") - F.col("argmax_f1")) >= DRAMATIC
+    found = (
+        F.lit(label_base != 1) | gain("up") | gain("down"), F.lit(not targets_ok), gain("threshold") | gain("expected") | F.lit(not probabilities_ok),
+        F.greatest(*[F.col(f"{d}_top") for d in decoders]) > COLLAPSED, F.lit(flat) | F.coalesce(still, F.lit(False)),
+    )
+    listed = F.concat_ws(";", *[F.when(f, d) for f, d in zip(found, DIAGNOSES)])
+    return one.crossJoin(spread).select("argmax_accuracy", "argmax_f1", "up_accuracy", "up_f1", "down_accuracy", "down_f1", "argmax_top", F.when(listed == "", SOUND).otherwise(listed).alias("diagnoses"))
 
 
 def subset_metrics(df: DataFrame, group: str, classes: int = 5) -> DataFrame:

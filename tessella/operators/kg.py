@@ -133,9 +133,10 @@ def add_inverse(indexed: DataFrame, relations: DataFrame, inverse: str = "__INV"
     return indexed.withColumn("is_inverse", F.lit(False)).unionByName(back)
 
 
-def anchor_index(nodes: DataFrame, edges: DataFrame, anchor_type: str) -> DataFrame:
-    """anchors' indices and whether any edge touches them."""
-    return node_metadata(nodes.where(F.col("node_type") == anchor_type), edges).select("node_id", "node_index", F.col("has_neighbor").alias("connected"))
+def anchor_index(nodes: DataFrame, edges: DataFrame, anchor_type: str, relation: str) -> DataFrame:
+    """anchors' indices and whether an identity link ``relation`` leads from the anchor."""
+    linked = edges.where((F.col("relation") == relation) & (F.col("source_type") == anchor_type)).select(F.col("source").alias("node_id"), F.lit(True).alias("linked")).distinct()
+    return nodes.where(F.col("node_type") == anchor_type).join(linked, "node_id", "left").select("node_id", "node_index", F.coalesce("linked", F.lit(False)).alias("connected"))
 
 
 def node_metadata(nodes: DataFrame, edges: DataFrame, anchors: tuple[str, ...] = ("drug_anchor", "side_anchor")) -> DataFrame:

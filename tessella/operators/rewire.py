@@ -13,6 +13,8 @@ from tessella.operators.similarity import top_k
 from tessella.sources.scratch import written
 
 BOTH = ["src", "dst"]
+# Where an edge of a rewired graph comes from.
+ORIGINAL, KG_ADDED, TASK_ADDED, KG_TASK_ADDED = "ORIGINAL", "KG_ONLY_ADDED", "TASK_ONLY_ADDED", "KG_TASK_ADDED"
 
 
 def with_evidence(edges: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def with_evidence(edges: DataFrame, **tables: DataFrame) -> DataFrame:
 def original_graph(sim: DataFrame, k: int = 10, **tables: DataFrame) -> DataFrame:
     """H2: the top-k graph with evidence columns and its origin."""
     base = top_k(sim, k).select("src", "dst", F.col("value").alias("original"))
-    return with_evidence(base, **tables).withColumn("origin", F.lit("original"))
+    return with_evidence(base, **tables).withColumn("origin", F.lit(ORIGINAL))
 
 
 def add_edges(original: DataFrame, candidates: DataFrame, n: int, origin: str) -> DataFrame:
@@ -37,7 +39,7 @@ def add_edges(original: DataFrame, candidates: DataFrame, n: int, origin: str) -
 
 def add_kg_edges(original: DataFrame, kg: DataFrame, pool: int = 20, n: int = 3) -> DataFrame:
     """H3: of the KG's top ``pool`` neighbours, the first n that aren't present."""
-    return add_edges(original, top_k(kg, pool).select("src", "dst", "value"), n, "kg")
+    return add_edges(original, top_k(kg, pool).select("src", "dst", "value"), n, KG_ADDED)
 
 
 def add_kg_task_edges(original: DataFrame, kg: DataFrame, task: DataFrame, pool: int = 20, n: int = 3) -> DataFrame:
@@ -48,7 +50,7 @@ def add_kg_task_edges(original: DataFrame, kg: DataFrame, task: DataFrame, pool:
     c = c.join(task.select("src", "dst", F.col("value").alias("t")), BOTH).join(base, "src", "left")
     c = c.where(F.col("t") > F.coalesce("baseline", F.lit(0.0)))
     score = 0.5 * (F.col("k") + 1) / 2 + 0.5 * (F.col("t") + 1) / 2
-    return top_k(c.select("src", "dst", F.round(score, 8).alias("value")), n).select("src", "dst", "value", F.lit("kg_task").alias("origin"))
+    return top_k(c.select("src", "dst", F.round(score, 8).alias("value")), n).select("src", "dst", "value", F.lit(KG_TASK_ADDED).alias("origin"))
 
 
 def combine_edges(original: DataFrame, added: DataFrame) -> DataFrame:
@@ -69,15 +71,44 @@ def build_channels(structure: DataFrame, task: DataFrame, k: int = 10) -> DataFr
 
 
 def graph_diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """H8: one row: edges, mean/min/max out-degree over all nodes, isolated nodes (no edge
-    either way), share of edges whose reverse exists, mean value."""
-    degree = nodes.select(F.col("id").alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("d")), "src", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    touched = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    alone = nodes.select("id").join(touched, "id", "left_anti").agg(F.count("*").alias("isolated"))
-    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(1).alias("r"))
-    e = edges.join(back, BOTH, "left").agg(F.count("*").alias("edges"), F.avg(F.coalesce("r", F.lit(0))).alias("reciprocal"), F.avg("value").alias("mean_value"))
-    d = degree.agg(F.avg("d").alias("mean_degree"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"))
-    return e.crossJoin(d).crossJoin(alone)  # one row each
+    """H8: one row of an undirected reading of a top-k graph: mean, least and largest number of
+    neighbours (either way) over all nodes, isolated nodes, components and the largest, edges
+    without direction, share of directed edges whose reverse exists, mean value."""
+    both = edges.select(*BOTH).union(edges.select("dst", "src")).distinct()
+    degree = nodes.select(F.col("id").alias("src")).join(both.groupBy("src").agg(F.count("*").alias("d")), "src", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    d = degree.agg(F.avg("d").alias("mean_degree"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), F.count_if(F.col("d") == 0).alias("isolated"))
+    return _edge_figures(edges).crossJoin(d).crossJoin(_component_figures(edges, nodes)).crossJoin(both.where("src <= dst").agg(F.count("*").alias("edges")))  # one row each
+
+
+def _edge_figures(edges: DataFrame) -> DataFrame:
+    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(1).alias("r")).distinct()
+    return edges.join(back, BOTH, "left").agg(F.coalesce(100 * F.avg(F.coalesce("r", F.lit(0))), F.lit(0.0)).alias("reciprocal_percentage"), F.avg("value").alias("mean_value"))
+
+
+def _component_figures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return connected_components(edges, nodes).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"))
+
+
+def graph_statistics(edges: DataFrame, nodes: DataFrame, random_task: DataFrame) -> DataFrame:
+    """H8: one row of a rewired graph ``(src, dst, edge_origin, original_similarity,
+    kg_similarity, task_similarity, task_overlap_count)``: kept and added edges, out-degrees over
+    all nodes, nodes that give no edge, reciprocal share, components, means of the kept edges'
+    own similarity and of the added edges' graph and task similarity and overlap (finite ones
+    only), mean and median task similarity, its mean by source, and its enrichment over
+    ``random_task(random)`` (one row). Missing values are null."""
+    known = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+    e = edges.withColumns({c: known(c) for c in ("original_similarity", "kg_similarity", "task_similarity", "task_overlap_count")}).withColumn("added", F.col("edge_origin") != "ORIGINAL")
+    of = lambda c, added: F.avg(F.when(F.col("added") == added, F.col(c)))
+    one = e.agg(
+        F.count_if(~F.col("added")).alias("original_edges"), F.count_if("added").alias("added_edges"), F.count("*").alias("total_directed_edges"), of("original_similarity", False).alias("mean_original_similarity"),
+        of("kg_similarity", True).alias("added_mean_kg_similarity"), of("task_similarity", True).alias("added_mean_task_similarity"), of("task_overlap_count", True).alias("added_mean_task_overlap_count"),
+        F.count_if(F.col("added") & F.col("task_similarity").isNotNull()).alias("added_evaluable_task_edge_count"), F.avg("task_similarity").alias("mean_task_similarity"), F.median("task_similarity").alias("median_task_similarity"))
+    out_degree = nodes.select(F.col("id").alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("d")), "src", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    d = out_degree.agg(F.avg("d").alias("mean_degree"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), F.count_if(F.col("d") == 0).alias("isolated_nodes"))
+    by_source = e.groupBy("src").agg(F.avg("task_similarity").alias("t")).agg(F.avg("t").alias("top_neighborhood_task_similarity"))
+    pairs = edges.select(*BOTH).distinct().withColumn("value", F.lit(0.0))
+    j = one.crossJoin(d).crossJoin(_edge_figures(pairs).drop("mean_value")).crossJoin(_component_figures(edges, nodes)).crossJoin(by_source).crossJoin(random_task.select(F.col("random").alias("random_task_baseline")))  # one row each
+    return j.withColumn("task_enrichment", F.col("mean_task_similarity") - F.col("random_task_baseline"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.operators.blocked import cosine_summary, nearest_by_cosine  # noqa: F401  I8 of cosines, without their pairs
 from tessella.operators.rewire import neighbor_jaccard
+from tessella.operators.sampling import random_pairs
 from tessella.operators.similarity import jaccard, top_k
 from tessella.sources.scratch import numbered_within, written
 
@@ -75,14 +76,21 @@ def distribution(df: DataFrame, x: str, thresholds: tuple[float, ...] = (0.5, 0.
     return d.select("n", "mean", "std", "min", "max", *[F.get("p", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(ps)], *[f"ge_{int(t * 100)}" for t in thresholds])
 
 
-def task_alignment(view: DataFrame, task: DataFrame, near: DataFrame, random: DataFrame) -> DataFrame:
-    """I4: correlation of a view with the task similarity; task mean over the view's nearest 5
-    and 10, over random pairs, and the enrichment of the first over the last."""
-    t = task.where("value is not null").select("src", "dst", F.col("value").alias("t"))
-    r = pearson(view.join(t, ["src", "dst"]).where("src < dst"), "value", "t")
-    n = near.join(t, ["src", "dst"]).agg(F.avg(F.when(F.col("rank") <= 5, F.col("t"))).alias("top5"), F.avg(F.when(F.col("rank") <= 10, F.col("t"))).alias("top10"))
-    q = random.join(t, ["src", "dst"]).agg(F.avg("t").alias("random"))
-    return r.crossJoin(n).crossJoin(q).withColumn("enrichment", F.col("top10") - F.col("random"))
+def task_alignment(view: DataFrame, task: DataFrame, observed: DataFrame, pairs: int = 10_000, seed: int = 42) -> DataFrame:
+    """I4: how a view (mirrored ``src, dst, value``) follows the task similarity, over the nodes
+    ``observed(id)`` that have observations: how many they are, the pairs that both hold, their
+    correlation, the mean task similarity of the 5 and 10 nearest among them, of ``pairs`` pairs
+    drawn from those that both hold (all, if fewer), and the enrichment of 10 over the draw.
+    Task values that are missing count for nothing."""
+    nodes = observed.select("id").distinct()
+    inside = view.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    t = task.where(finite("value")).select("src", "dst", F.col("value").alias("t"))
+    both = written(inside.where("src < dst").join(t, ["src", "dst"]).select("src", "dst", "value", "t"), "aligned-pairs")
+    r = pearson(both, "value", "t").select(F.col("n").alias("pair_count"), F.col("r").alias("correlation"))
+    n = top_k(inside, 10).join(t, ["src", "dst"]).agg(F.avg(F.when(F.col("rank") <= 5, F.col("t"))).alias("top5"), F.avg("t").alias("top10"))
+    drawn = random_pairs(both.where(finite("value")), pairs, seed).agg(F.avg("t").alias("random"))
+    out = nodes.agg(F.count("*").alias("entity_count")).crossJoin(r).crossJoin(n).crossJoin(drawn)  # one row each
+    return out.withColumn("enrichment", F.col("top10") - F.col("random"))
 
 
 def redundancy_class(coverage: Column, pearson: Column, spearman: Column, jaccard_5: Column, jaccard_10: Column) -> Column:
@@ -276,51 +284,148 @@ def collapse_advice(verdict: Column, explicit_signal: Column) -> Column:
     )
 
 
-def pair_support(pairs: DataFrame, sets: DataFrame, cohort: str = "cohort") -> DataFrame:
-    """Shared items of given pairs, summed up by cohort."""
-    a, b = sets.select(F.col("owner").alias("src"), "item"), sets.select(F.col("owner").alias("dst"), "item")
-    shared = pairs.join(a, "src").join(b, ["dst", "item"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
-    all_ = pairs.join(shared, ["src", "dst"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    return all_.groupBy(cohort).agg(F.count("*").alias("pairs"), F.avg("shared").alias("mean_shared"), F.avg((F.col("shared") > 0).cast("int")).alias("supported"))
+def pair_support(pairs: DataFrame, genes: DataFrame, pathways: DataFrame) -> DataFrame:
+    """Of each pair ``(cohort, src, dst)`` (rows that repeat count again) the sizes of both
+    sides' sets ``(owner, item)``, what they share, and the Jaccard (0 without any)."""
+    out = pairs.select("cohort", "src", "dst")
+    for name, sets in (("gene", genes.select("owner", "item").distinct()), ("pathway", pathways.select("owner", "item").distinct())):
+        n = sets.groupBy("owner").agg(F.count("*").alias("n"))
+        both = out.select("src", "dst").distinct().join(sets.toDF("src", "item"), "src").join(sets.toDF("dst", "item"), ["dst", "item"]).groupBy("src", "dst").agg(F.count("*").alias(f"shared_{name}_count"))
+        out = out.join(n.toDF("src", f"source_{name}_count"), "src", "left").join(n.toDF("dst", f"target_{name}_count"), "dst", "left").join(both, ["src", "dst"], "left").fillna(0)
+        out = out.withColumn(f"{name}_jaccard", jaccard(*map(F.col, (f"shared_{name}_count", f"source_{name}_count", f"target_{name}_count")), 0.0))
+    return out
+
+
+def support_summary(support: DataFrame) -> DataFrame:
+    """By cohort: pairs, and for genes and pathways the mean shared number, the share of
+    pairs with one, and the mean Jaccard."""
+    each = [x for n in ("gene", "pathway") for x in (F.avg(f"shared_{n}_count").alias(f"mean_shared_{n}_count"), F.avg((F.col(f"shared_{n}_count") > 0).cast("int")).alias(f"fraction_with_shared_{n}"), F.avg(f"{n}_jaccard").alias(f"mean_{n}_jaccard"))]
+    return support.groupBy("cohort").agg(F.count("*").alias("pair_count"), *each)
+
+
+def explicit_signal(added: DataFrame, random: DataFrame) -> DataFrame:
+    """One row: whether added pairs share more than random ones: 0.01 more mean Jaccard, or
+    0.05 more pairs with something shared, of genes or pathways. Both are one row of
+    ``support_summary``."""
+    gaps = {"mean_gene_jaccard": 0.01, "mean_pathway_jaccard": 0.01, "fraction_with_shared_gene": 0.05, "fraction_with_shared_pathway": 0.05}
+    j = added.select(*[F.col(c).alias(f"a_{c}") for c in gaps]).crossJoin(random.select(*[F.col(c).alias(f"r_{c}") for c in gaps]))
+    return j.select(reduce(lambda x, y: x | y, (F.col(f"a_{c}") > F.col(f"r_{c}") + F.lit(gap) for c, gap in gaps.items())).alias("explicit_signal"))
+
+
+# Relations of a typed biomedical graph that are evidence, families and markers.
+DRUG_GENE_RELATIONS = (
+    "TARGET", "ENZYME", "TRANSPORTER", "INHIBITOR", "CARRIER", "AGONIST", "ANTAGONIST", "BLOCKER", "POSITIVE_ALLOSTERIC_MODULATOR", "NEGATIVE_ALLOSTERIC_MODULATOR",
+    "POSITIVE_MODULATOR", "MODULATOR", "PARTIAL_AGONIST", "OPENER", "ACTIVATOR", "INVERSE_AGONIST",
+)
+FAMILIES = (("Drug-Gene", "DRUG", DRUG_GENE_RELATIONS), ("Gene-Gene", "GENE", ("INTERACTS_WITH",)), ("Pathway-Gene", "PATHWAY", ("INTERACTS_WITH",)), ("Phenotype-Gene", "PHENOTYPE", ("ASSOCIATED_WITH",)))
+FORBIDDEN_RELATION_MARKERS = ("ADVERSE_DRUG_REACTION", "DRUG_PHENOTYPE", "SIDE_EFFECT")
+IDENTITY = (("MAPS_TO_DRUG", "DRUG_ANCHOR", "DRUG"), ("MAPS_TO_PHENOTYPE", "SIDE_ANCHOR", "PHENOTYPE"))
 
 
-def typed_kg(edges: DataFrame, whitelist: dict[str, tuple[str, str]]) -> DataFrame:
-    """Edges of the whitelisted families, canonical and undirected, once each:
-    ``family, a, b``. whitelist: relation pattern (SQL LIKE) by family with the two types."""
-    family = F.lit(None).cast("string")
-    for name, (s, t) in whitelist.items():
-        fits = ((F.col("source_type") == s) & (F.col("target_type") == t)) | ((F.col("source_type") == t) & (F.col("target_type") == s))
-        family = F.coalesce(family, F.when(fits, F.lit(name)))
-    e = edges.withColumn("family", family).where("family is not null and source <> target")
-    return e.select("family", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+def typed_kg(edges: DataFrame, identity: tuple[tuple[str, str, str], ...] = IDENTITY) -> tuple[DataFrame, dict[str, int]]:
+    """``family, a, b, owner, gene`` of the whitelisted edges, undirected and once each
+    (owner is the end that isn't the gene, or a), the identity links (family = their relation,
+    owner the anchor, gene the node), and counts: what was seen in each way.
 
+    The table is scanned once: counts are observed beside the rows that go on. A forbidden
+    marker in a relation's name excludes an edge whatever its types.
+    """
+    kinds, rel = F.array_sort(F.array("source_type", "target_type")), F.col("relation")
+    forbidden = reduce(lambda x, y: x | y, (F.contains(F.upper(rel), F.lit(m)) for m in FORBIDDEN_RELATION_MARKERS))
+    link, family = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for r, s, t in identity:
+        link = F.coalesce(link, F.when((rel == r) & (F.col("source_type") == s) & (F.col("target_type") == t), r))
+    for name, other, relations in FAMILIES:
+        family = F.coalesce(family, F.when((kinds == F.array_sort(F.array(F.lit(other), F.lit("GENE")))) & rel.isin(*relations), name))
+    e = edges.select("source", "target", "relation", "source_type", "target_type", F.coalesce(forbidden, F.lit(False)).alias("forbidden"))
+    e = e.withColumn("link", F.when(~F.col("forbidden"), link)).withColumn("family", F.when(~F.col("forbidden") & F.col("link").isNull(), family))
+    seen = Observation()
+    e = e.observe(seen, F.count("*").alias("edges"), F.count_if("forbidden").alias("forbidden"), F.count("link").alias("identity"), F.count("family").alias("evidence"))
+    anchored, gene_first = F.col("link").isNotNull(), (F.col("source_type") == "GENE") & (F.col("target_type") != "GENE")
+    low, high = F.least("source", "target"), F.greatest("source", "target")
+    loose = F.coalesce("link", "family").alias("family")
+    owner = F.when(anchored, F.col("source")).when(gene_first, F.col("target")).when(F.col("family") == "Gene-Gene", low).otherwise(F.col("source"))
+    gene = F.when(anchored, F.col("target")).when(gene_first, F.col("source")).when(F.col("family") == "Gene-Gene", high).otherwise(F.col("target"))
+    kept = e.where("link is not null or family is not null").select(loose, F.when(anchored, F.col("source")).otherwise(low).alias("a"), F.when(anchored, F.col("target")).otherwise(high).alias("b"), F.struct(owner.alias("owner"), gene.alias("gene")).alias("ends"))
+    kept = written(kept.groupBy("family", "a", "b").agg(F.min("ends").alias("ends")).select("family", "a", "b", "ends.owner", "ends.gene"), "typed-edges")
+    counts = {k: int(v) for k, v in seen.get.items()}
+    distinct = kept.where(F.col("family").isin(*[f[0] for f in FAMILIES])).count()
+    counts |= {"ignored": counts["edges"] - counts["forbidden"] - counts["identity"] - counts["evidence"], "duplicates": counts["evidence"] - distinct}
+    return kept, counts
+
+
+def anchored_sets(kg: DataFrame) -> dict[str, DataFrame]:
+    """From ``typed_kg``: ``drug_genes(drug, item)``, ``side_genes(side, item)``,
+    ``drug_pathways``, ``side_pathways``, all distinct, and ``gene_gene(a, b)``."""
+    family = lambda f: kg.where(F.col("family") == f)
+    own = lambda link, f, name: family(link).select(F.col("owner").alias(name), F.col("gene").alias("node")).join(family(f).select(F.col("owner").alias("node"), "gene"), "node").select(name, F.col("gene").alias("item")).distinct()
+    way = family("Pathway-Gene").select(F.col("gene").alias("item"), F.col("owner").alias("pathway"))
+    out = {"drug_genes": written(own("MAPS_TO_DRUG", "Drug-Gene", "drug"), "drug-genes"), "side_genes": written(own("MAPS_TO_PHENOTYPE", "Phenotype-Gene", "side"), "side-genes"), "gene_gene": family("Gene-Gene").select("a", "b")}
+    for side in ("drug", "side"):
+        out[f"{side}_pathways"] = written(out[f"{side}_genes"].join(way, "item").select(side, F.col("pathway").alias("item")).distinct(), f"{side}-pathways")
+    return out
+
+
+#: Neighbours up to which a gene is expanded from the drugs that have it, at the least.
+LIGHT = 1000
 
-def pair_evidence(pairs: DataFrame, drug_genes: DataFrame, side_genes: DataFrame, gene_gene: DataFrame) -> DataFrame:
-    """Evidence of (drug, side) pairs: gene counts, shared genes, Jaccard, overlap, sum of
-    1 / ln(2 + degree) over the shared genes, distinct bridges over a gene-gene edge and their
-    share of all gene pairs, flags, and the least hops (2 shared, 3 bridged).
+# The columns of pair evidence, in their order.
+FEATURE_COLUMNS = (
+    "drug_kg_available", "side_kg_available", "both_kg_available", "drug_gene_count", "side_gene_count", "shared_gene_count", "gene_jaccard", "gene_overlap_coeff", "shared_gene_weighted", "ppi_bridge_count",
+    "ppi_bridge_norm", "ppi_path_exists", "drug_pathway_count", "side_pathway_count", "shared_pathway_count", "pathway_jaccard", "pathway_overlap_coeff", "pathway_path_exists", "direct_gene_path_exists", "min_bio_hops",
+)
 
-    ``gene_gene(a, b)`` is canonical (a < b). Every join starts from the given pairs.
+
+def _bridges(p: DataFrame, dg: DataFrame, with_side: DataFrame, both: DataFrame, degree: DataFrame, edges: int) -> DataFrame:
+    """``drug, side, x, y``: the edges between a gene of the drug and another of the side.
+
+    Genes of up to max(LIGHT, sqrt(2 edges)) neighbours are expanded from the drug's side. Of
+    heavier ones there are few (2 edges / that), so a side's gene has few heavy neighbours:
+    those are looked up among the drug's genes, and no hub is ever expanded.
     """
-    dg, sg = drug_genes.select("drug", "gene").distinct(), side_genes.select("side", "gene").distinct()
-    nd, ns = dg.groupBy("drug").agg(F.count("*").alias("drug_genes")), sg.groupBy("side").agg(F.count("*").alias("side_genes"))
-    degree = gene_gene.select(F.col("a").alias("gene")).union(gene_gene.select("b")).groupBy("gene").agg(F.count("*").alias("degree"))
-    p = pairs.select("drug", "side").distinct()
-    shared = p.join(sg, "side").join(dg, ["drug", "gene"]).join(degree, "gene", "left")
-    shared = shared.groupBy("drug", "side").agg(F.count("*").alias("shared"), F.sum(1 / F.log(2 + F.coalesce("degree", F.lit(0)))).alias("weighted"))
-    both = gene_gene.select("a", "b").union(gene_gene.select("b", "a"))
-    reach = dg.withColumnRenamed("gene", "a").join(both, "a")
-    bridge = p.join(sg.withColumnRenamed("gene", "b"), "side").join(reach, ["drug", "b"])
-    bridge = bridge.groupBy("drug", "side").agg(F.count_distinct(F.struct(F.least("a", "b"), F.greatest("a", "b"))).alias("bridges"))
-    out = p.join(nd, "drug", "left").join(ns, "side", "left").join(shared, ["drug", "side"], "left").join(bridge, ["drug", "side"], "left").fillna(0)
-    n, d, s = F.col("shared"), F.col("drug_genes"), F.col("side_genes")
-    return out.withColumns(
+    most = max(LIGHT, math.isqrt(2 * edges))
+    heavy = degree.where(F.col("degree") > most).select(F.col("gene").alias("a"))
+    ends = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
+    light = dg.withColumnRenamed("item", "a").join(both.join(heavy, "a", "left_anti"), "a").join(with_side.withColumnRenamed("item", "b"), ["drug", "b"]).select("drug", "side", *ends)
+    hubs = both.join(heavy, "a", "left_semi").join(with_side.withColumnRenamed("item", "b"), "b").join(dg.withColumnRenamed("item", "a"), ["drug", "a"]).select("drug", "side", *ends)
+    return light.unionByName(hubs).distinct()
+
+
+def pair_evidence(pairs: DataFrame, sets: dict[str, DataFrame]) -> DataFrame:
+    """The 20 columns of evidence of given pairs ``(drug, side)``, from ``anchored_sets``:
+    availability, gene and pathway counts, shared ones, Jaccard and overlap (0 without any),
+    the sum of 1 / ln(2 + degree) over the shared genes, distinct bridges over a gene-gene
+    edge (an edge of a gene with itself is none) and their number over the root of the product
+    of the set sizes, and the least hops: 2 by a gene, 3 by a bridge, 4 by a pathway, else 0."""
+    p, dg, sg = pairs.select("drug", "side").distinct(), sets["drug_genes"], sets["side_genes"]
+    canonical = sets["gene_gene"].select("a", "b").distinct()
+    both = written(canonical.union(canonical.select("b", "a")).distinct(), "neighbours")
+    degree = written(both.groupBy(F.col("a").alias("gene")).agg(F.count("*").alias("degree")), "gene-degrees")
+    with_side = written(p.join(sg, "side"), "pairs-genes")
+    shared = with_side.join(dg, ["drug", "item"]).join(degree.withColumnRenamed("gene", "item"), "item", "left")
+    shared = shared.groupBy("drug", "side").agg(F.count("*").alias("shared_gene_count"), F.sum(1 / F.log(2.0 + F.coalesce("degree", F.lit(0)))).alias("shared_gene_weighted"))
+    bridge = _bridges(p, dg, with_side, both.where("a <> b"), degree, canonical.count()).groupBy("drug", "side").agg(F.count("*").alias("ppi_bridge_count"))
+    ways = p.join(sets["side_pathways"], "side").join(sets["drug_pathways"], ["drug", "item"]).groupBy("drug", "side").agg(F.count("*").alias("shared_pathway_count"))
+    out = p
+    for side in ("drug", "side"):
+        for what in ("gene", "pathway"):
+            out = out.join(sets[f"{side}_{what}s"].groupBy(side).agg(F.count("*").alias(f"{side}_{what}_count")), side, "left")
+    for part in (shared, bridge, ways):
+        out = out.join(part, ["drug", "side"], "left")
+    out = out.fillna(0)
+    c, yes = F.col, lambda x: (x > 0).cast("int")
+    d, s = c("drug_gene_count"), c("side_gene_count")
+    for what in ("gene", "pathway"):
+        n, a, b = (c(f"{x}_{what}_count") for x in ("shared", "drug", "side"))
+        out = out.withColumns({f"{what}_jaccard": jaccard(n, a, b, 0.0), f"{what}_overlap_coeff": F.when(F.least(a, b) > 0, n / F.least(a, b)).otherwise(0.0)})
+    direct, ppi, way = c("shared_gene_count") > 0, c("ppi_bridge_count") > 0, c("shared_pathway_count") > 0
+    out = out.withColumns(
         {
-            "jaccard": jaccard(n, d, s, 0.0), "overlap": F.when(F.least(d, s) > 0, n / F.least(d, s)).otherwise(0.0),
-            "bridge_share": F.when(d * s > 0, F.col("bridges") / (d * s)).otherwise(0.0), "has_shared": n > 0, "has_bridge": F.col("bridges") > 0,
-            "min_hops": F.when(n > 0, 2).when(F.col("bridges") > 0, 3).otherwise(0),
+            "drug_kg_available": yes(d), "side_kg_available": yes(s), "both_kg_available": ((d > 0) & (s > 0)).cast("int"), "ppi_bridge_norm": F.when((d > 0) & (s > 0), c("ppi_bridge_count") / F.sqrt(d * s)).otherwise(0.0),
+            "ppi_path_exists": ppi.cast("int"), "pathway_path_exists": way.cast("int"), "direct_gene_path_exists": direct.cast("int"), "min_bio_hops": F.when(direct, 2).when(ppi, 3).when(way, 4).otherwise(0),
         }
-    )
+    )
+    return out.select("drug", "side", *FEATURE_COLUMNS)
 
 
 def class_summary(df: DataFrame, features: list[str], cls: str = "class") -> DataFrame:

@@ -41,6 +41,20 @@ TABLES = {
       UNION ALL SELECT concat('segment:', c_mktsegment), concat('customer:', c_custkey), 'MAPS_TO', 'side_anchor', 'phenotype', 'anchor' FROM {customer}""",
     "gene_pairs": """SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM {lineitem} a JOIN {lineitem} b
       ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus""",
+    # Evidence of drugs (suppliers) and phenotypes (customers) by genes (parts) and pathways, with
+    # anchors of some of them, both directions, repeats, loops, and relations that don't count.
+    "evidence_edges": """SELECT concat('drug_anchor:', s_suppkey) AS source, concat('supplier:', s_suppkey) AS target, 'MAPS_TO_DRUG' AS relation, 'DRUG_ANCHOR' AS source_type, 'DRUG' AS target_type FROM {supplier} WHERE s_suppkey % 9 <> 4
+      UNION ALL SELECT concat('drug_anchor:', s_suppkey), concat('supplier:', s_suppkey - 1), 'MAPS_TO_DRUG', 'DRUG_ANCHOR', 'DRUG' FROM {supplier} WHERE s_suppkey % 10 = 5
+      UNION ALL SELECT concat('side_anchor:', c_custkey), concat('customer:', c_custkey), 'MAPS_TO_PHENOTYPE', 'SIDE_ANCHOR', 'PHENOTYPE' FROM {customer} WHERE c_custkey % 11 <> 7
+      UNION ALL SELECT CASE WHEN l_orderkey % 2 = 0 THEN concat('supplier:', l_suppkey) ELSE concat('part:', l_partkey) END, CASE WHEN l_orderkey % 2 = 0 THEN concat('part:', l_partkey) ELSE concat('supplier:', l_suppkey) END,
+        CASE l_linenumber % 5 WHEN 0 THEN 'ENZYME' WHEN 1 THEN 'TARGET' WHEN 2 THEN 'BINDS' WHEN 3 THEN 'adverse_drug_reaction_of' ELSE 'CARRIER' END, CASE WHEN l_orderkey % 2 = 0 THEN 'DRUG' ELSE 'GENE' END, CASE WHEN l_orderkey % 2 = 0 THEN 'GENE' ELSE 'DRUG' END FROM {lineitem}
+      UNION ALL SELECT concat('customer:', o_custkey), concat('part:', l_partkey), CASE WHEN l_linenumber = 6 THEN 'LINKED' ELSE 'ASSOCIATED_WITH' END, 'PHENOTYPE', 'GENE' FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey
+      UNION ALL SELECT concat('part:', p_partkey), concat('brand:', p_brand), 'INTERACTS_WITH', 'GENE', 'PATHWAY' FROM {part} WHERE p_size % 3 = 0
+      UNION ALL SELECT concat('part:', a), concat('part:', b), 'INTERACTS_WITH', 'GENE', 'GENE' FROM {gene_pairs} UNION ALL SELECT concat('part:', b), concat('part:', a), 'INTERACTS_WITH', 'GENE', 'GENE' FROM {gene_pairs} WHERE (a + b) % 7 = 0
+      UNION ALL SELECT concat('part:', p_partkey), concat('part:', p_partkey), 'INTERACTS_WITH', 'GENE', 'GENE' FROM {part} WHERE p_partkey % 50 = 0""",
+    # Pairs to judge: suppliers and customers of an order line, and others.
+    "evidence_pairs": """SELECT DISTINCT concat('drug_anchor:', l_suppkey) AS drug, concat('side_anchor:', CASE WHEN l_linenumber = 1 THEN o_custkey ELSE (o_custkey * 7 + l_suppkey) % n END) AS side
+      FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey CROSS JOIN (SELECT count(*) AS n FROM {customer}) WHERE l_linenumber <= 2""",
     # Names to resolve: all parts. Names, synonyms and trade names come back a few times within
     # blocks of parts, so candidates grow with the parts; some synonyms are names of the next block.
     "named": """SELECT p_partkey, p_size, CASE WHEN p_partkey % 23 = 0 THEN concat(p_type, ' and more ', CAST(floor(p_partkey / 400) AS INT)) ELSE concat(p_name, ' ', CAST(floor(p_partkey / 200) AS INT)) END AS name,
@@ -93,6 +107,8 @@ def sql(text: str) -> str:
     ctes = ", ".join(f"{n} AS ({plain(TABLES[n])})" for n in order)
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

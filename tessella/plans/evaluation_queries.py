@@ -96,10 +96,27 @@ def corn_pos_weights(spark, sf_dir):
     return rounded(J.corn_pos_weights(predictions(spark, sf_dir)), "weight")
 
 
-@query(sql(f"""WITH {PRED}, s AS (SELECT avg(CAST(pred = label AS INT)) AS a, avg(CAST(least(5, pred + 1) = label AS INT)) AS u, avg(CAST(greatest(1, pred - 1) = label AS INT)) AS d FROM pd), m AS (SELECT max(c) / sum(c) AS t FROM (SELECT count(*) AS c FROM pd GROUP BY pred))
-SELECT round(a, 6) AS accuracy, round(u, 6) AS shift_up, round(d, 6) AS shift_down, round(t, 6) AS top_share, t > 0.8 AS collapsed, CASE WHEN greatest(u, d) > a AND t > 0.8 THEN 'off by one;class collapse' WHEN greatest(u, d) > a THEN 'off by one' WHEN t > 0.8 THEN 'class collapse' ELSE 'none' END AS diagnosis FROM s, m"""))
+DECODED = """q AS (SELECT label, pred, [(w2 + w3 + w4 + w5) / t, (w3 + w4 + w5) / t, (w4 + w5) / t, w5 / t] AS q FROM pd),
+dd AS (SELECT label, pred AS argmax, 1 + len(list_filter(q, lambda x: round(x, 9) > 0.5)) AS threshold, 1 + CAST(round_even(round(list_sum(q), 6), 0) AS INT) AS expected, least(5, pred + 1) AS up, greatest(1, pred - 1) AS down, q FROM q)"""
+WAYS = ("argmax", "threshold", "expected", "up", "down")
+FIGURES = ", ".join(f"(SELECT avg(CAST({w} = label AS INT)) FROM dd) AS {w}_accuracy, (SELECT avg(f) FROM (SELECT CASE WHEN y + p > 0 THEN 2 * h / (y + p) ELSE 0 END AS f FROM (SELECT k, (SELECT count(*) FROM dd WHERE label = k) AS y, (SELECT count(*) FROM dd WHERE {w} = k) AS p, (SELECT count(*) FROM dd WHERE label = k AND {w} = k) AS h FROM ks))) AS {w}_f1, (SELECT max(c) FROM (SELECT count(*) AS c FROM dd GROUP BY {w})) / (SELECT count(*) FROM dd) AS {w}_top" for w in WAYS)
+GAIN = "greatest({0}_accuracy - argmax_accuracy, {0}_f1 - argmax_f1) >= 0.1"
+
+
+@query(sql(f"""WITH {PRED}, {DECODED}, fg AS (SELECT {FIGURES}), sd AS (SELECT {' AND '.join(f'stddev_pop(q[{i}]) <= 0.001' for i in range(1, 5))} AS still FROM dd),
+dg AS (SELECT *, list_filter([CASE WHEN {GAIN.format('up')} OR {GAIN.format('down')} THEN 'LABEL_INDEX_MISMATCH' END, CASE WHEN {GAIN.format('threshold')} OR {GAIN.format('expected')} THEN 'DECODING_ERROR' END, CASE WHEN greatest(argmax_top, threshold_top, expected_top) > 0.8 THEN 'CLASS_COLLAPSE' END, CASE WHEN still THEN 'THRESHOLD_DEGENERACY' END], lambda x: x IS NOT NULL) AS found FROM fg, sd)
+SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('argmax_accuracy', 'argmax_f1', 'up_accuracy', 'up_f1', 'down_accuracy', 'down_f1', 'argmax_top'))}, CASE WHEN len(found) = 0 THEN 'NO_IMPLEMENTATION_ERROR_FOUND' ELSE array_to_string(found, ';') END AS diagnoses FROM dg"""))
 def prediction_audit(spark, sf_dir):
-    return rounded(J.prediction_audit(predictions(spark, sf_dir)), "accuracy", "shift_up", "shift_down", "top_share")
+    p = predictions(spark, sf_dir)
+    total = sum((F.col(f"w{k}") for k in range(2, 6)), F.col("w1"))
+    q = F.array(*[sum((F.col(f"w{k}") for k in range(j + 1, 6)), F.col(f"w{j}")) / total for j in range(2, 6)])
+    p = p.withColumn("q", q)
+    cut = F.transform("q", lambda x: F.round(x, 9))
+    whole = F.round(F.aggregate("q", F.lit(0.0), lambda s, x: s + x), 6)
+    p = p.withColumns({"threshold": J.decode(F.col("probs"), cut, "threshold"), "expected": J.decode(F.col("probs"), F.array(whole), "expected"), "cumulative": F.col("q")})
+    out = J.prediction_audit(p.select("label", "pred", "threshold", "expected", "cumulative"), [-1.0, 0.0, 1.0, 2.0])
+    return rounded(out, *[c for c in out.columns if c != "diagnoses"])
+
 
 
 @query(sql(f"""WITH {PRED}, g AS (SELECT DISTINCT grp FROM pd), c AS (SELECT grp, k AS class, (SELECT count(*) FROM pd WHERE pd.grp = g.grp AND label = k AND pred = k) AS hit, (SELECT count(*) FROM pd WHERE pd.grp = g.grp AND label = k) AS support, (SELECT count(*) FROM pd WHERE pd.grp = g.grp AND pred = k) AS predicted FROM g, ks),

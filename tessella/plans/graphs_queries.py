@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import rewire as H
+from tessella.operators import sampling as P
 from tessella.operators import similarity as S
 from tessella.plans.analog import load, sql
 from tessella.plans.registry import query
@@ -40,28 +41,28 @@ def suppliers(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
 
 
-def _graphs(spark, sf_dir):
+def graphs(spark, sf_dir):
     # Each view is used more than once; it is computed once.
     kg, task = written(kg_view(spark, sf_dir), "kg-view"), written(task_view(spark, sf_dir), "task-view")
     org = H.original_graph(supplier_cosine(spark, sf_dir), 10, kg=kg, task=task)
     return written(org, "original-graph"), kg, task
 
 
-@query(sql(f"""WITH {VIEWS} SELECT o.src, o.dst, o.value AS original, k.value AS kg, t.value AS task, 'original' AS origin FROM org o
+@query(sql(f"""WITH {VIEWS} SELECT o.src, o.dst, o.value AS original, k.value AS kg, t.value AS task, 'ORIGINAL' AS origin FROM org o
 LEFT JOIN kg k ON o.src = k.src AND o.dst = k.dst LEFT JOIN task t ON o.src = t.src AND o.dst = t.dst"""))
 def original_graph(spark, sf_dir):
-    return _graphs(spark, sf_dir)[0]
+    return graphs(spark, sf_dir)[0]
 
 
-@query(sql(f"WITH {VIEWS} SELECT src, dst, value, 'kg' AS origin FROM ak UNION ALL SELECT src, dst, value, 'task' FROM atk UNION ALL SELECT src, dst, value, 'kg_task' FROM akt"))
+@query(sql(f"WITH {VIEWS} SELECT src, dst, value, 'KG_ONLY_ADDED' AS origin FROM ak UNION ALL SELECT src, dst, value, 'TASK_ONLY_ADDED' FROM atk UNION ALL SELECT src, dst, value, 'KG_TASK_ADDED' FROM akt"))
 def added_edges(spark, sf_dir):
-    org, kg, task = _graphs(spark, sf_dir)
-    return H.add_kg_edges(org, kg).unionByName(H.add_edges(org, task, 3, "task")).unionByName(H.add_kg_task_edges(org, kg, task))
+    org, kg, task = graphs(spark, sf_dir)
+    return H.add_kg_edges(org, kg).unionByName(H.add_edges(org, task, 3, H.TASK_ADDED)).unionByName(H.add_kg_task_edges(org, kg, task))
 
 
-@query(sql(f"WITH {VIEWS} SELECT src, dst, 'original' AS origin FROM org UNION ALL SELECT src, dst, 'kg_task' FROM akt"))
+@query(sql(f"WITH {VIEWS} SELECT src, dst, 'ORIGINAL' AS origin FROM org UNION ALL SELECT src, dst, 'KG_TASK_ADDED' FROM akt"))
 def kg_task_graph(spark, sf_dir):
-    org, kg, task = _graphs(spark, sf_dir)
+    org, kg, task = graphs(spark, sf_dir)
     return H.combine_edges(org, H.add_kg_task_edges(org, kg, task))
 
 
@@ -73,14 +74,38 @@ def graph_channels(spark, sf_dir):
     return H.build_channels(kg_view(spark, sf_dir), task_view(spark, sf_dir)).withColumn("value", F.round("value", 8))
 
 
-@query(sql(f"""WITH {VIEWS}, d AS (SELECT s_suppkey AS id, count(src) AS d FROM {{supplier}} LEFT JOIN org ON src = s_suppkey GROUP BY 1)
-SELECT count(*) AS edges, round(avg(CASE WHEN EXISTS (SELECT 1 FROM org r WHERE r.src = o.dst AND r.dst = o.src) THEN 1.0 ELSE 0.0 END), 6) AS reciprocal, round(avg(o.value), 6) AS mean_value,
-(SELECT round(avg(d), 6) FROM d) AS mean_degree, (SELECT min(d) FROM d) AS min_degree, (SELECT max(d) FROM d) AS max_degree,
-(SELECT count(*) FROM {{supplier}} WHERE s_suppkey NOT IN (SELECT src FROM org UNION SELECT dst FROM org)) AS isolated FROM org o"""))
+COMPONENTS = "walk AS (SELECT s_suppkey AS id, s_suppkey AS c FROM {supplier} UNION SELECT u.b, walk.c FROM walk JOIN und u ON walk.id = u.a), comp AS (SELECT id, min(c) AS c FROM walk GROUP BY 1), cs AS (SELECT c, count(*) AS n FROM comp GROUP BY 1)"
+
+
+@query(sql(f"""WITH RECURSIVE {VIEWS}, und AS (SELECT src AS a, dst AS b FROM org UNION SELECT dst, src FROM org), {COMPONENTS}, d AS (SELECT s_suppkey AS id, count(a) AS d FROM {{supplier}} LEFT JOIN und ON a = s_suppkey GROUP BY 1)
+SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM org r WHERE r.src = o.dst AND r.dst = o.src) THEN 100.0 ELSE 0.0 END), 6) AS reciprocal_percentage, round(avg(o.value), 6) AS mean_value,
+(SELECT round(avg(d), 6) FROM d) AS mean_degree, (SELECT min(d) FROM d) AS min_degree, (SELECT max(d) FROM d) AS max_degree, (SELECT count(*) FROM d WHERE d = 0) AS isolated,
+(SELECT count(*) FROM cs) AS components, (SELECT max(n) FROM cs) AS largest_component, (SELECT count(*) FROM und WHERE a <= b) AS edges FROM org o"""))
 def graph_diagnostics(spark, sf_dir):
-    e = S.top_k(supplier_cosine(spark, sf_dir), 10)
+    e = written(S.profile_topk(load(spark, sf_dir, "train"), 10), "top-10")
     out = H.graph_diagnostics(e, suppliers(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 6) for c in ("reciprocal", "mean_value", "mean_degree")})
+    return out.withColumns({c: F.round(c, 6) for c in ("reciprocal_percentage", "mean_value", "mean_degree")})
+
+
+@query(sql(f"""WITH RECURSIVE {VIEWS}, ea AS (SELECT src, dst, value AS original_similarity, true AS own FROM org UNION ALL SELECT akt.src, akt.dst, sim.value, false FROM akt LEFT JOIN sim ON sim.src = akt.src AND sim.dst = akt.dst),
+ev AS (SELECT ea.*, kg.value AS kg_similarity, task.value AS task_similarity, tk.n AS task_overlap_count FROM ea LEFT JOIN kg ON kg.src = ea.src AND kg.dst = ea.dst LEFT JOIN task ON task.src = ea.src AND task.dst = ea.dst LEFT JOIN tk ON tk.src = ea.src AND tk.dst = ea.dst),
+und AS (SELECT src AS a, dst AS b FROM ev UNION SELECT dst, src FROM ev), {COMPONENTS}, od AS (SELECT s_suppkey AS id, count(src) AS d FROM {{supplier}} LEFT JOIN ev ON src = s_suppkey GROUP BY 1),
+rnd AS (SELECT src, dst, value FROM task WHERE src < dst AND value IS NOT NULL ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 10000)
+SELECT count(*) FILTER (own) AS original_edges, count(*) FILTER (NOT own) AS added_edges, count(*) AS total_directed_edges, (SELECT round(avg(d), 6) FROM od) AS mean_degree, (SELECT min(d) FROM od) AS min_degree, (SELECT max(d) FROM od) AS max_degree, (SELECT count(*) FROM od WHERE d = 0) AS isolated_nodes,
+round(avg(CASE WHEN EXISTS (SELECT 1 FROM ev r WHERE r.src = ev.dst AND r.dst = ev.src) THEN 100.0 ELSE 0.0 END), 6) AS reciprocal_percentage, (SELECT count(*) FROM cs) AS components, (SELECT max(n) FROM cs) AS largest_component,
+round(avg(original_similarity) FILTER (own), 6) AS mean_original_similarity, round(avg(kg_similarity) FILTER (NOT own), 6) AS added_mean_kg_similarity, round(avg(task_similarity) FILTER (NOT own), 6) AS added_mean_task_similarity, round(avg(task_overlap_count) FILTER (NOT own), 6) AS added_mean_task_overlap_count,
+count(task_similarity) FILTER (NOT own) AS added_evaluable_task_edge_count, round(avg(task_similarity), 6) AS mean_task_similarity, round(median(task_similarity), 6) AS median_task_similarity, (SELECT round(avg(t), 6) FROM (SELECT avg(task_similarity) AS t FROM ev GROUP BY src)) AS top_neighborhood_task_similarity,
+(SELECT round(avg(value), 6) FROM rnd) AS random_task_baseline, round(avg(task_similarity) - (SELECT avg(value) FROM rnd), 6) AS task_enrichment FROM ev"""))
+def graph_statistics(spark, sf_dir):
+    """The rewired graph with its added edges' evidence, against 10,000 random pairs."""
+    org, kg, task = graphs(spark, sf_dir)
+    sim = supplier_cosine(spark, sf_dir).select("src", "dst", F.col("value").alias("original_similarity"))
+    overlap = S.mirrored(S.masked_cosine(load(spark, sf_dir, "train")).select("src", "dst", F.col("overlap").cast("double").alias("value")))
+    e = H.combine_edges(org, H.add_kg_task_edges(org, kg, task)).withColumnRenamed("origin", "edge_origin")
+    e = written(H.with_evidence(e, kg_similarity=kg, task_similarity=task, task_overlap_count=overlap).join(sim, H.BOTH, "left"), "rewired-graph")
+    random = P.random_pairs(task.where("src < dst and value is not null"), 10_000).agg(F.avg("value").alias("random"))
+    out = H.graph_statistics(e, suppliers(spark, sf_dir), random)
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
 
 @query(sql("""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, s_nationkey + 1000000 AS b FROM {supplier}), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -126,7 +151,7 @@ def matrix_diff(spark, sf_dir):
 
 @query(sql(f"WITH {VIEWS} SELECT count(DISTINCT src) AS sources, count(*) AS edges, (SELECT count(*) FROM {{supplier}}) AS nodes, round(count(DISTINCT src) / (SELECT count(*) FROM {{supplier}}), 6) AS share FROM akt"))
 def edge_coverage(spark, sf_dir):
-    org, kg, task = _graphs(spark, sf_dir)
+    org, kg, task = graphs(spark, sf_dir)
     return H.edge_coverage(H.add_kg_task_edges(org, kg, task), suppliers(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 

@@ -101,9 +101,9 @@ def node_metadata(spark, sf_dir):
     return E.node_metadata(E.index_nodes(_nodes(spark, sf_dir), TYPES), _edges(spark, sf_dir))
 
 
-@query(sql(f"WITH {DEDUP}, t AS (SELECT source AS id FROM e UNION SELECT target FROM e) SELECT node_id, node_index, node_id IN (SELECT id FROM t) AS connected FROM ix WHERE node_type = 'side_anchor'"))
+@query(sql(f"WITH {DEDUP} SELECT node_id, node_index, node_id IN (SELECT source FROM e WHERE relation = 'MAPS_TO' AND source_type = 'side_anchor') AS connected FROM ix WHERE node_type = 'side_anchor'"))
 def anchor_index(spark, sf_dir):
-    return E.anchor_index(E.index_nodes(_nodes(spark, sf_dir), TYPES), _edges(spark, sf_dir), "side_anchor")
+    return E.anchor_index(E.index_nodes(_nodes(spark, sf_dir), TYPES), _edges(spark, sf_dir), "side_anchor", "MAPS_TO")
 
 
 @query(sql(f"WITH {DEDUP} SELECT relation, count(*) AS edges, count(*) FILTER (source_index = target_index) AS self_edges, count(*) FILTER (EXISTS (SELECT 1 FROM ie b WHERE b.source_index = ie.target_index AND b.target_index = ie.source_index)) AS both_ways FROM ie GROUP BY 1"))
@@ -111,6 +111,17 @@ def graph_metadata(spark, sf_dir):
     return E.graph_metadata(_indexed(spark, sf_dir)[0])
 
 
-@query(sql("SELECT DISTINCT CASE WHEN source_type = 'drug' THEN 'drug_gene' WHEN source_type = 'pathway' THEN 'pathway_gene' ELSE 'phenotype_gene' END AS family, least(source, target) AS a, greatest(source, target) AS b FROM {raw_edges} WHERE target_type = 'gene'"))
+TYPED = """ty AS MATERIALIZED (SELECT *, CASE WHEN contains(upper(relation), 'ADVERSE_DRUG_REACTION') OR contains(upper(relation), 'DRUG_PHENOTYPE') OR contains(upper(relation), 'SIDE_EFFECT') THEN 'forbidden' WHEN relation = 'MAPS_TO_DRUG' AND source_type = 'DRUG_ANCHOR' AND target_type = 'DRUG' THEN 'MAPS_TO_DRUG'
+  WHEN relation = 'MAPS_TO_PHENOTYPE' AND source_type = 'SIDE_ANCHOR' AND target_type = 'PHENOTYPE' THEN 'MAPS_TO_PHENOTYPE' WHEN ((source_type = 'DRUG' AND target_type = 'GENE') OR (source_type = 'GENE' AND target_type = 'DRUG')) AND relation IN ('TARGET', 'ENZYME', 'TRANSPORTER', 'INHIBITOR', 'CARRIER', 'AGONIST', 'ANTAGONIST', 'BLOCKER',
+  'POSITIVE_ALLOSTERIC_MODULATOR', 'NEGATIVE_ALLOSTERIC_MODULATOR', 'POSITIVE_MODULATOR', 'MODULATOR', 'PARTIAL_AGONIST', 'OPENER', 'ACTIVATOR', 'INVERSE_AGONIST') THEN 'Drug-Gene' WHEN source_type = 'GENE' AND target_type = 'GENE' AND relation = 'INTERACTS_WITH' THEN 'Gene-Gene'
+  WHEN ((source_type = 'PATHWAY' AND target_type = 'GENE') OR (source_type = 'GENE' AND target_type = 'PATHWAY')) AND relation = 'INTERACTS_WITH' THEN 'Pathway-Gene' WHEN ((source_type = 'PHENOTYPE' AND target_type = 'GENE') OR (source_type = 'GENE' AND target_type = 'PHENOTYPE')) AND relation = 'ASSOCIATED_WITH' THEN 'Phenotype-Gene' ELSE 'ignored' END AS family FROM {evidence_edges})"""
+
+
+@query(sql(f"""WITH {TYPED}, k AS (SELECT DISTINCT family, CASE WHEN family LIKE 'MAPS%' THEN source ELSE least(source, target) END AS a, CASE WHEN family LIKE 'MAPS%' THEN target ELSE greatest(source, target) END AS b FROM ty WHERE family NOT IN ('forbidden', 'ignored'))
+SELECT family AS what, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'seen: forbidden', count(*) FROM ty WHERE family = 'forbidden' UNION ALL SELECT 'seen: ignored', count(*) FROM ty WHERE family = 'ignored' UNION ALL SELECT 'seen: identity', count(*) FROM ty WHERE family LIKE 'MAPS%'
+UNION ALL SELECT 'seen: edges', count(*) FROM ty UNION ALL SELECT 'seen: evidence', count(*) FROM ty WHERE family LIKE '%-Gene' UNION ALL SELECT 'seen: duplicates', (SELECT count(*) FROM ty WHERE family LIKE '%-Gene') - (SELECT count(*) FROM k WHERE family LIKE '%-Gene')"""))
 def typed_whitelist(spark, sf_dir):
-    return I.typed_kg(load(spark, sf_dir, "raw_edges"), {"drug_gene": ("drug", "gene"), "pathway_gene": ("gene", "pathway"), "phenotype_gene": ("phenotype", "gene")})
+    """Edges of each family, once each, and what a single scan saw."""
+    kg, counts = I.typed_kg(load(spark, sf_dir, "evidence_edges"))
+    seen = spark.createDataFrame([(f"seen: {k}", n) for k, n in counts.items()], "what string, n long")
+    return kg.groupBy(F.col("family").alias("what")).agg(F.count("*").alias("n")).unionByName(seen)

@@ -12,9 +12,10 @@ from tessella.operators import sampling as P
 from tessella.operators import similarity as S
 from tessella.operators import stats as I
 from tessella.plans.analog import load, sql
-from tessella.plans.graphs_queries import VIEWS, kg_view, suppliers, task_view
+from tessella.plans.graphs_queries import VIEWS, graphs, kg_view, suppliers, task_view
+from tessella.plans.knowledge_queries import TYPED
 from tessella.plans.registry import query
-from tessella.plans.similarity_queries import DOT, OVER, pathway_sets, supplier_cosine
+from tessella.plans.similarity_queries import DOT, OVER, gene_sets, pathway_sets, supplier_cosine
 from tessella.sources.scratch import written
 
 AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
@@ -44,15 +45,18 @@ def distribution(spark, sf_dir):
     return rounded(out, *[c for c in out.columns if c not in ("n", "min", "max")])
 
 
-@query(sql(f"""WITH {VIEWS}, nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM sim) WHERE r <= 10),
-rnd AS (SELECT src, dst FROM sim WHERE src < dst ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 500),
-c AS (SELECT count(*) AS n, corr(s.value, t.value) AS r FROM sim s JOIN task t ON s.src = t.src AND s.dst = t.dst WHERE s.src < s.dst AND t.value IS NOT NULL),
-n AS (SELECT avg(t.value) FILTER (r <= 5) AS top5, avg(t.value) AS top10 FROM nb JOIN task t ON nb.src = t.src AND nb.dst = t.dst), q AS (SELECT avg(t.value) AS random FROM rnd JOIN task t ON rnd.src = t.src AND rnd.dst = t.dst)
-SELECT n, round(r, 6) AS r, round(top5, 6) AS top5, round(top10, 6) AS top10, round(random, 6) AS random, round(top10 - random, 6) AS enrichment FROM c, n, q"""))
+OBSERVED = "obs AS (SELECT DISTINCT row_id AS id FROM {train} WHERE row_id % 7 <> 3)"
+
+
+@query(sql(f"""WITH {VIEWS}, {OBSERVED}, ins AS (SELECT * FROM sim WHERE src IN (FROM obs) AND dst IN (FROM obs)), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM ins) WHERE r <= 10),
+pr AS (SELECT s.src, s.dst, s.value AS a, t.value AS b FROM ins s JOIN task t ON s.src = t.src AND s.dst = t.dst WHERE s.src < s.dst AND t.value IS NOT NULL), rnd AS (SELECT b FROM pr ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 10000),
+n AS (SELECT avg(t.value) FILTER (r <= 5) AS top5, avg(t.value) AS top10 FROM nb JOIN task t ON nb.src = t.src AND nb.dst = t.dst)
+SELECT (SELECT count(*) FROM obs) AS entity_count, (SELECT count(*) FROM pr) AS pair_count, (SELECT round(corr(a, b), 6) FROM pr) AS correlation, round(top5, 6) AS top5, round(top10, 6) AS top10, (SELECT round(avg(b), 6) FROM rnd) AS random, round(top10 - (SELECT avg(b) FROM rnd), 6) AS enrichment FROM n"""))
 def task_alignment(spark, sf_dir):
-    sim = supplier_cosine(spark, sf_dir)
-    rnd = P.random_pairs(sim.where("src < dst"), 500)
-    return rounded(I.task_alignment(sim, task_view(spark, sf_dir), S.top_k(sim, 10), rnd), "r", "top5", "top10", "random", "enrichment")
+    """Of the suppliers that have observations (a seventh is set aside)."""
+    observed = load(spark, sf_dir, "train").where("row_id % 7 <> 3").select(F.col("row_id").alias("id"))
+    out = I.task_alignment(written(supplier_cosine(spark, sf_dir), "alignment-view"), task_view(spark, sf_dir), observed)
+    return rounded(out, "correlation", "top5", "top10", "random", "enrichment")
 
 
 FINITE = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN corr({0}, {1}) END"
@@ -65,14 +69,15 @@ def _audited(name: str, index: int, provenance: str, source: str) -> str:
 {n}p AS (SELECT v.value AS a, k.value AS b FROM {n}v v JOIN kg k ON v.src = k.src AND v.dst = k.dst WHERE v.src < v.dst), {n}r AS (SELECT {AVG_RANK.format('a')} AS ra, {AVG_RANK.format('b')} AS rb FROM {n}p),
 {n}k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM {n}v),
 {n}j AS (SELECT h.src, x.k, (SELECT count(*) FROM {n}k a JOIN kgk b ON a.src = b.src AND a.dst = b.dst WHERE a.src = h.src AND a.r <= x.k AND b.r <= x.k) AS both_, (SELECT count(*) FROM {n}k a WHERE a.src = h.src AND a.r <= x.k) AS na, (SELECT count(*) FROM kgk b WHERE b.src = h.src AND b.r <= x.k) AS nb FROM (SELECT DISTINCT src FROM kg) h, (VALUES (5), (10)) x(k)),
+{n}t AS (SELECT a.src, a.dst, a.value AS a, t.value AS b FROM {n}a a JOIN task t ON a.src = t.src AND a.dst = t.dst WHERE a.src < a.dst AND t.value IS NOT NULL),
 {n}n AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM {n}a) WHERE r <= 10),
 {n}f AS (SELECT '{name}' AS view, {index} AS view_index, '{provenance}' AS provenance, (SELECT count(DISTINCT src) FROM kg) / (SELECT count(*) FROM {{supplier}}) AS coverage, (SELECT count(*) FROM {n}p) AS n,
  round((SELECT {FINITE.format('a', 'b')} FROM {n}p), 6) + 0.0 AS pearson, round((SELECT {FINITE.format('ra', 'rb')} FROM {n}r), 6) + 0.0 AS spearman, round((SELECT avg(CASE WHEN na + nb > both_ THEN both_ / (na + nb - both_) ELSE 0 END) FROM {n}j WHERE k = 5), 6) AS jaccard_5, round((SELECT avg(CASE WHEN na + nb > both_ THEN both_ / (na + nb - both_) ELSE 0 END) FROM {n}j WHERE k = 10), 6) AS jaccard_10,
- round((SELECT {FINITE.format('a.value', 't.value')} FROM {n}a a JOIN task t ON a.src = t.src AND a.dst = t.dst WHERE a.src < a.dst AND t.value IS NOT NULL), 6) + 0.0 AS correlation,
- round((SELECT avg(t.value) FROM {n}n m JOIN task t ON m.src = t.src AND m.dst = t.dst) - (SELECT avg(t.value) FROM rnd JOIN task t ON rnd.src = t.src AND rnd.dst = t.dst), 6) + 0.0 AS enrichment)"""
+ round((SELECT {FINITE.format('a', 'b')} FROM {n}t), 6) + 0.0 AS correlation,
+ round((SELECT avg(t.value) FROM {n}n m JOIN task t ON m.src = t.src AND m.dst = t.dst) - (SELECT avg(b) FROM (SELECT b FROM {n}t ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 10000)), 6) + 0.0 AS enrichment)"""
 
 
-@query(sql(f"""WITH {VIEWS}, kgk AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM kg), rnd AS (SELECT src, dst FROM sim WHERE src < dst ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 500),
+@query(sql(f"""WITH {VIEWS}, kgk AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM kg),
 pj AS ({OVER.format('p')}), pw0 AS (SELECT src, dst, round(jaccard, 6) AS value FROM pj), pw AS (SELECT src, dst, value FROM pw0 UNION ALL SELECT dst, src, value FROM pw0),
 {_audited('profile', 0, 'EXTERNAL_STATIC', 'sim')}, {_audited('pathway', 1, 'EXTERNAL_STATIC', 'pw')}, {_audited('task', 2, 'LABEL_DERIVED', 'task')}, f AS (SELECT * FROM profilef UNION ALL SELECT * FROM pathwayf UNION ALL SELECT * FROM taskf),
 c AS (SELECT *, CASE WHEN provenance = 'EXTERNAL_STATIC' THEN 'SAFE_EXTERNAL' ELSE 'SAFE_TRAIN_ONLY' END AS leakage_status, CASE WHEN coverage < 0.1 OR pearson IS NULL OR spearman IS NULL OR jaccard_5 IS NULL OR jaccard_10 IS NULL THEN 'INSUFFICIENT_COVERAGE' WHEN spearman >= 0.7 AND jaccard_10 >= 0.5 THEN 'HIGHLY_REDUNDANT_WITH_KG'
@@ -90,12 +95,12 @@ def view_audit(spark, sf_dir):
     kg, task = written(kg_view(spark, sf_dir), "audit-kg"), written(task_view(spark, sf_dir), "audit-task")
     sim = written(supplier_cosine(spark, sf_dir), "audit-profile")
     pathway = S.mirrored(S.set_overlap(pathway_sets(spark, sf_dir)).select("src", "dst", F.round("jaccard", 6).alias("value")))
-    rnd = written(P.random_pairs(sim.where("src < dst"), 500).select("src", "dst"), "audit-random")
+    everyone = suppliers(spark, sf_dir)
     rows = []
     for i, (name, provenance, view) in enumerate((("profile", "EXTERNAL_STATIC", sim), ("pathway", "EXTERNAL_STATIC", pathway), ("task", "LABEL_DERIVED", task))):
-        view = view.where("value is not null")
+        view = written(view.where("value is not null"), "audit-view")
         figures = I.kg_diagnostics(view, kg, suppliers(spark, sf_dir)).drop("complementarity")
-        aligned = I.task_alignment(view, task, S.top_k(view, 10), rnd).select(F.col("r").alias("correlation"), "enrichment")
+        aligned = I.task_alignment(view, task, everyone).select("correlation", "enrichment")
         rows.append(figures.crossJoin(aligned).withColumns({"view": F.lit(name), "view_index": F.lit(i), "provenance": F.lit(provenance), "entity_type": F.lit("DRUG")}))
     audit = rounded(reduce(DataFrame.unionByName, rows), "coverage", "pearson", "spearman", "jaccard_5", "jaccard_10", "correlation", "enrichment")
     audit = audit.withColumn("complementarity", I.redundancy_class(*map(F.col, ("coverage", "pearson", "spearman", "jaccard_5", "jaccard_10")))).withColumn("leakage_status", I.leakage_fields(F.col("provenance"))["leakage_status"])
@@ -153,28 +158,29 @@ def embedding_collapse(spark, sf_dir):
     dup = I.duplicate_summary(e, (3,)).select("largest", "distinct", "all")
     weak = H.weak_discrimination(H.neighbor_margins(near.select("src", "dst", "value"))).first().weak
     out = I.collapse_diagnosis(d.where("cohort = 'all'"), F.lit(s.effective_rank), s.dimension, dup, F.lit(weak))
-    return out.withColumn("advice", I.collapse_advice(F.col("verdict"), F.lit(False)))
+    support = written(_support(spark, sf_dir), "support")
+    signal = I.explicit_signal(support.where("cohort = 'added'"), support.where("cohort = 'random'")).first().explicit_signal
+    return out.withColumn("advice", I.collapse_advice(F.col("verdict"), F.lit(signal))).withColumn("explicit_signal", F.lit(signal))
 
 
-EVID = """dg AS (SELECT DISTINCT l_suppkey AS drug, l_partkey AS gene FROM {lineitem}), sg AS (SELECT DISTINCT o_custkey AS side, l_partkey AS gene FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey),
-pr AS (SELECT DISTINCT l_suppkey AS drug, o_custkey AS side FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey),
-deg AS (SELECT gene, count(*) AS degree FROM (SELECT a AS gene FROM {gene_pairs} UNION ALL SELECT b FROM {gene_pairs}) GROUP BY 1),
-both_ AS (SELECT a, b FROM {gene_pairs} UNION ALL SELECT b, a FROM {gene_pairs}),
-sh AS (SELECT drug, side, count(*) AS shared, sum(1 / ln(2 + coalesce(degree, 0))) AS weighted FROM pr JOIN sg USING (side) JOIN dg USING (drug, gene) LEFT JOIN deg USING (gene) GROUP BY 1, 2),
-rc AS (SELECT drug, a, b FROM dg JOIN both_ ON both_.a = dg.gene), br AS (SELECT drug, side, count(*) AS bridges FROM (SELECT DISTINCT pr.drug, pr.side, least(a, b) AS x, greatest(a, b) AS y FROM pr JOIN sg USING (side) JOIN rc ON rc.drug = pr.drug AND rc.b = sg.gene) GROUP BY 1, 2),
-ev AS (SELECT drug, side, nd.n AS drug_genes, ns.n AS side_genes, coalesce(shared, 0) AS shared, coalesce(weighted, 0) AS weighted, coalesce(bridges, 0) AS bridges
- FROM pr JOIN (SELECT drug, count(*) AS n FROM dg GROUP BY 1) nd USING (drug) JOIN (SELECT side, count(*) AS n FROM sg GROUP BY 1) ns USING (side) LEFT JOIN sh USING (drug, side) LEFT JOIN br USING (drug, side))"""
+EVID = f"""{TYPED}, kk AS MATERIALIZED (SELECT DISTINCT family, CASE WHEN source_type = 'GENE' AND target_type <> 'GENE' THEN target ELSE source END AS owner, CASE WHEN source_type = 'GENE' AND target_type <> 'GENE' THEN source ELSE target END AS node FROM ty WHERE family NOT IN ('forbidden', 'ignored', 'Gene-Gene')),
+ppi AS MATERIALIZED (SELECT source AS g, target AS h FROM ty WHERE family = 'Gene-Gene' UNION SELECT target, source FROM ty WHERE family = 'Gene-Gene'), deg AS (SELECT g, count(*) AS degree FROM ppi GROUP BY 1),
+dg AS MATERIALIZED (SELECT DISTINCT m.owner AS drug, e.node AS gene FROM kk m JOIN kk e ON m.family = 'MAPS_TO_DRUG' AND e.family = 'Drug-Gene' AND e.owner = m.node), sg AS MATERIALIZED (SELECT DISTINCT m.owner AS side, e.node AS gene FROM kk m JOIN kk e ON m.family = 'MAPS_TO_PHENOTYPE' AND e.family = 'Phenotype-Gene' AND e.owner = m.node),
+gp AS (SELECT node AS gene, owner AS pathway FROM kk WHERE family = 'Pathway-Gene'), dp AS (SELECT DISTINCT drug, pathway FROM dg JOIN gp USING (gene)), sp AS (SELECT DISTINCT side, pathway FROM sg JOIN gp USING (gene)), pr AS MATERIALIZED (SELECT * FROM {{evidence_pairs}}),
+sh AS (SELECT drug, side, count(*) AS n, sum(1 / ln(2 + coalesce(degree, 0))) AS weighted FROM pr JOIN sg USING (side) JOIN dg USING (drug, gene) LEFT JOIN deg ON g = gene GROUP BY 1, 2), wy AS (SELECT drug, side, count(*) AS n FROM pr JOIN sp USING (side) JOIN dp USING (drug, pathway) GROUP BY 1, 2),
+rc AS (SELECT drug, g, h FROM dg JOIN ppi ON g = gene WHERE g <> h), br AS (SELECT pr.drug, pr.side, count(DISTINCT concat(least(g, h), ' ', greatest(g, h))) AS n FROM pr JOIN sg USING (side) JOIN rc ON rc.drug = pr.drug AND rc.h = sg.gene GROUP BY ALL),
+nd AS (SELECT drug, count(*) AS n FROM dg GROUP BY 1), ns AS (SELECT side, count(*) AS n FROM sg GROUP BY 1), wd AS (SELECT drug, count(*) AS n FROM dp GROUP BY 1), ws AS (SELECT side, count(*) AS n FROM sp GROUP BY 1),
+ev AS (SELECT pr.drug, pr.side, coalesce(nd.n, 0) AS d, coalesce(ns.n, 0) AS s, coalesce(wd.n, 0) AS dw, coalesce(ws.n, 0) AS sw,
+  coalesce(sh.n, 0) AS n, coalesce(sh.weighted, 0) AS w, coalesce(br.n, 0) AS b, coalesce(wy.n, 0) AS p FROM pr LEFT JOIN sh USING (drug, side) LEFT JOIN br USING (drug, side) LEFT JOIN wy USING (drug, side) LEFT JOIN nd USING (drug) LEFT JOIN wd USING (drug) LEFT JOIN ns USING (side) LEFT JOIN ws USING (side))"""
 
 
-@query(sql(f"""WITH {EVID} SELECT drug, side, drug_genes, side_genes, shared, round(weighted, 6) AS weighted, bridges, round(shared / (drug_genes + side_genes - shared), 6) AS jaccard, round(shared / least(drug_genes, side_genes), 6) AS overlap,
-round(bridges / (drug_genes * side_genes), 6) AS bridge_share, shared > 0 AS has_shared, bridges > 0 AS has_bridge, CASE WHEN shared > 0 THEN 2 WHEN bridges > 0 THEN 3 ELSE 0 END AS min_hops FROM ev"""))
+@query(sql(f"""WITH {EVID} SELECT drug, side, CAST(d > 0 AS INT) AS drug_kg_available, CAST(s > 0 AS INT) AS side_kg_available, CAST(d > 0 AND s > 0 AS INT) AS both_kg_available, d AS drug_gene_count, s AS side_gene_count, n AS shared_gene_count, round(CASE WHEN d + s > 0 THEN n / (d + s - n) ELSE 0 END, 6) AS gene_jaccard,
+round(CASE WHEN least(d, s) > 0 THEN n / least(d, s) ELSE 0 END, 6) AS gene_overlap_coeff, round(w, 6) AS shared_gene_weighted, b AS ppi_bridge_count, round(CASE WHEN d > 0 AND s > 0 THEN b / sqrt(d * s) ELSE 0 END, 6) AS ppi_bridge_norm, CAST(b > 0 AS INT) AS ppi_path_exists, dw AS drug_pathway_count, sw AS side_pathway_count, p AS shared_pathway_count,
+round(CASE WHEN dw + sw > 0 THEN p / (dw + sw - p) ELSE 0 END, 6) AS pathway_jaccard, round(CASE WHEN least(dw, sw) > 0 THEN p / least(dw, sw) ELSE 0 END, 6) AS pathway_overlap_coeff, CAST(p > 0 AS INT) AS pathway_path_exists, CAST(n > 0 AS INT) AS direct_gene_path_exists, CASE WHEN n > 0 THEN 2 WHEN b > 0 THEN 3 WHEN p > 0 THEN 4 ELSE 0 END AS min_bio_hops FROM ev"""))
 def pair_evidence(spark, sf_dir):
-    o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
-    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    dg = li.select(F.col("l_suppkey").alias("drug"), F.col("l_partkey").alias("gene"))
-    sg = j.select(F.col("o_custkey").alias("side"), F.col("l_partkey").alias("gene"))
-    pairs = j.select(F.col("l_suppkey").alias("drug"), F.col("o_custkey").alias("side"))
-    return rounded(I.pair_evidence(pairs, dg, sg, load(spark, sf_dir, "gene_pairs")), "weighted", "jaccard", "overlap", "bridge_share")
+    kg, _ = I.typed_kg(load(spark, sf_dir, "evidence_edges"))
+    out = I.pair_evidence(load(spark, sf_dir, "evidence_pairs"), I.anchored_sets(kg))
+    return rounded(out, "gene_jaccard", "gene_overlap_coeff", "shared_gene_weighted", "ppi_bridge_norm", "pathway_jaccard", "pathway_overlap_coeff")
 
 
 ORD = "o AS (SELECT o_orderkey AS id, substr(o_orderpriority, 1, 1) AS class, o_totalprice AS price, CAST(o_custkey % 97 AS DOUBLE) AS cust, o_orderstatus AS status FROM {orders})"
@@ -229,13 +235,24 @@ def paired_sign_flip(spark, sf_dir):
     return rounded(I.paired_sign_flip(li.groupBy("k").agg(F.min("d").alias("d")), "d", "k", 30), "dz", "rank_biserial", "p").withColumn("mean", F.round("mean", 3))
 
 
-@query(sql("""WITH s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS item FROM {lineitem}), p AS (SELECT DISTINCT s_suppkey AS src, (s_suppkey * 7) % 50 + 1 AS dst, s_nationkey % 3 AS cohort FROM {supplier}),
-h AS (SELECT src, dst, count(*) AS shared FROM p JOIN s a ON a.owner = src JOIN s b ON b.owner = dst AND a.item = b.item GROUP BY 1, 2)
-SELECT cohort, count(*) AS pairs, round(avg(coalesce(shared, 0)), 6) AS mean_shared, round(avg(CAST(coalesce(shared, 0) > 0 AS INT)), 6) AS supported FROM p LEFT JOIN h USING (src, dst) GROUP BY 1"""))
+SUPPORT = f"""{VIEWS}, mp AS (SELECT 'added' AS cohort, src, dst FROM akt UNION ALL SELECT 'original', src, dst FROM org UNION ALL SELECT 'random', src, dst FROM (SELECT src, dst FROM sim WHERE src < dst ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 2000)),
+ss AS (SELECT mp.*, (SELECT count(*) FROM g WHERE owner = src) AS na, (SELECT count(*) FROM g WHERE owner = dst) AS nb, (SELECT count(*) FROM g a JOIN g b USING (item) WHERE a.owner = src AND b.owner = dst) AS n, (SELECT count(*) FROM p WHERE owner = src) AS pa, (SELECT count(*) FROM p WHERE owner = dst) AS pb, (SELECT count(*) FROM p a JOIN p b USING (item) WHERE a.owner = src AND b.owner = dst) AS m FROM mp)"""
+
+
+def _support(spark, sf_dir):
+    """Support by genes and pathways of added, original and random pairs of suppliers."""
+    org, kg, task = graphs(spark, sf_dir)
+    sim = supplier_cosine(spark, sf_dir)
+    parts = {"added": H.add_kg_task_edges(org, kg, task), "original": org, "random": P.random_pairs(sim.where("src < dst"), 2000)}
+    pairs = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("cohort"), "src", "dst") for name, df in parts.items()])
+    return I.support_summary(I.pair_support(written(pairs, "support-pairs"), gene_sets(spark, sf_dir), pathway_sets(spark, sf_dir)))
+
+
+@query(sql(f"""WITH {SUPPORT} SELECT cohort, count(*) AS pair_count, round(avg(n), 6) AS mean_shared_gene_count, round(avg(CAST(n > 0 AS INT)), 6) AS fraction_with_shared_gene, round(avg(CASE WHEN na + nb > 0 THEN n / (na + nb - n) ELSE 0 END), 6) AS mean_gene_jaccard,
+round(avg(m), 6) AS mean_shared_pathway_count, round(avg(CAST(m > 0 AS INT)), 6) AS fraction_with_shared_pathway, round(avg(CASE WHEN pa + pb > 0 THEN m / (pa + pb - m) ELSE 0 END), 6) AS mean_pathway_jaccard FROM ss GROUP BY 1"""))
 def pair_support(spark, sf_dir):
-    s = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("item")).distinct()
-    p = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7) % 50 + 1).alias("dst"), (F.col("s_nationkey") % 3).alias("cohort")).distinct()
-    return rounded(I.pair_support(p, s), "mean_shared", "supported")
+    out = _support(spark, sf_dir)
+    return rounded(out, *[c for c in out.columns if c not in ("cohort", "pair_count")])
 
 
 @query(sql("SELECT l_returnflag AS value, count(*) AS n FROM {lineitem} GROUP BY 1"))

@@ -110,9 +110,9 @@ def test_splits_are_disjoint_and_stable(spark):
     assert sum(sizes) == 1003 and max(sizes) - min(sizes) <= 1
     a = {r.id: r.fold for r in folds.collect()}
     assert a == {r.id: r.fold for r in P.stratified_kfold(df.repartition(7), "label", ["id"], 10).collect()}
-    edges = spark.createDataFrame([("r", i, i) for i in range(15)] + [("s", 1, 1)], "relation string, source int, target int")
-    got = {(r.relation, r.train): r["count"] for r in P.relation_split(edges, 0.9).groupBy("relation", "train").count().collect()}
-    assert got == {("r", True): 1, ("r", False): 14, ("s", True): 1}
+    edges = spark.createDataFrame([("r", i, i) for i in range(25)] + [("s", 1, 1)] + [("t", i, i) for i in range(2)], "relation string, source int, target int")
+    got = {(r.relation, r.train): r["count"] for r in P.relation_split(edges, 0.1).groupBy("relation", "train").count().collect()}
+    assert got == {("r", True): 23, ("r", False): 2, ("s", True): 1, ("t", True): 1, ("t", False): 1}
 
 
 def test_negatives_are_unknown(spark):
