@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.functions import text as X
+from tessella.operators.bloom import might_hold
 
 #: Fields by falling weight as evidence.
 FIELDS = ("name", "synonym", "trade_name")
@@ -131,11 +132,15 @@ def classify_identity(anchors: DataFrame, candidates: DataFrame, key: str, secon
 
 
 def lookup_keys(big: DataFrame, targets: DataFrame, id_col: str, key: str) -> DataFrame:
-    """Rows and distinct keys of each target id in a huge table; ids without rows stay.
-    The targets are a semi join, so only their rows leave the scan."""
-    found = big.select(F.col(id_col).alias("id"), F.nullif(X.normalize_key(F.col(key)), F.lit("")).alias("k")).join(targets.select("id").distinct(), "id", "left_semi")
-    g = found.groupBy("id").agg(F.count("*").alias("rows"), _ids("k").alias("keys"))
-    return targets.select("id").distinct().join(g, "id", "left").select("id", F.coalesce("rows", F.lit(0)).alias("rows"), _strings(F.col("keys")).alias("keys"))
+    """Rows and distinct keys of each target id in a huge table; ids without rows stay. Few
+    targets go to the scan as they are; many as a bitmap of bounded size, so that little more
+    than the rows of targets is shuffled to the exact semi join."""
+    ids = targets.select("id").distinct()
+    found = big.select(F.col(id_col).alias("id"), F.nullif(X.normalize_key(F.col(key)), F.lit("")).alias("k"))
+    if might := might_hold(ids, "id"):
+        found = found.where(might(F.col("id").cast(ids.schema["id"].dataType)))
+    g = found.join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("rows"), _ids("k").alias("keys"))
+    return ids.join(g, "id", "left").select("id", F.coalesce("rows", F.lit(0)).alias("rows"), _strings(F.col("keys")).alias("keys"))
 
 
 def match_structure(keys: DataFrame, nodes: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame]:
