@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 
 from tessella.llm.common import components, written
 from tessella.llm.shingles import chunks, minwise, mixed, shingle_sets
+from tessella.operators.bloom import might_hold
 
 TREES, LEVELS, BRANCHES, LEAF = 4, 4, 2, 256
 FUNCTIONS = TREES * LEVELS * BRANCHES
@@ -68,26 +69,33 @@ def sketches(docs: DataFrame, width: int, functions: int = FUNCTIONS) -> DataFra
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(rep, h1, text)`` -> ``id, items``: the sorted shingles of each text whose own
-    ``h1`` is the one given, by ``rep``."""
+    """``docs(keys, rep, h1, text)`` -> ``key, id, items``: the sorted shingles of each text whose
+    own ``h1`` is the one given, once for each of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_numpy()
-            for at, texts in chunks(batch.column(2)):
+            wanted, keys = batch.column(2).to_numpy(), batch.column(0).to_pylist()
+            for at, texts in chunks(batch.column(3)):
                 sets = shingle_sets(texts, width)
                 right = [i for i, s in enumerate(sets) if s.sum(dtype=np.uint64).view(np.int64) == wanted[at + i]]
-                offsets = np.cumsum([0, *(len(sets[i]) for i in right)]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in right)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64()) if not right else pa.array(np.array(right) + at)), items], ["id", "items"])
+                for i in right:  # a set at a time: its keys may be many
+                    own = keys[at + i]
+                    items = pa.array(np.tile(sets[i].view(np.int64), len(own)))
+                    ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(sets[i]))
+                    rep = batch.column(1)[at + i].as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([rep] * len(own), pa.int64()), pa.ListArray.from_arrays(ends, items)], ["key", "id", "items"])
 
-    return docs.select("rep", "h1", "text").mapInArrow(run, "id long, items array<long>")
+    return docs.select("keys", "rep", "h1", "text").mapInArrow(run, "key long, id long, items array<long>")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``id, items`` of the sets that ``wanted(rep)`` names."""
-    named = reps.join(wanted.distinct(), "rep", "left_semi").select(F.col("owner").alias("doc_id"), "rep", "h1")
-    texts = docs.join(written(named, "dup-wanted"), "doc_id").withColumn("same", F.xxhash64("text"))
+    """``key, id, items``: the sets that ``wanted(key long, rep)`` names, once for each key. The
+    texts meet only the documents that are wanted."""
+    keys = wanted.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    named = written(reps.select("rep", "h1", "owner").join(keys, "rep").select(F.col("owner").alias("doc_id"), "rep", "h1", "keys"), "dup-wanted")
+    might = might_hold(named.select("doc_id").distinct(), "doc_id")
+    texts = docs if might is None else docs.where(might(F.col("doc_id").cast("long")))
+    texts = texts.join(named, "doc_id").withColumn("same", F.xxhash64("text"))
     return full_sets(texts.dropDuplicates(["doc_id", "rep", "same"]), width)
 
 
@@ -132,17 +140,18 @@ def least_equal(k: int, threshold: float, miss: float = 1e-5) -> int:
 
 
 def _clusters(members: DataFrame, threshold: float) -> DataFrame:
-    """``members(block, rep, open, n, mins)`` -> distinct ``(cluster, rep)``: within each block,
+    """``members(block, rep, open, n, low)`` -> distinct ``(cluster, rep)``: within each block,
     sets that their sketches may join, one of a pair at least being open. A sketch passes at a
     share of equal minima that a pair at the threshold misses with probability 1e-5 at most
-    (the exact binomial tail)."""
+    (the exact binomial tail). ``low`` holds 15 bits of each minimum: that
+    lets a few more pass, and none less."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in _runs(batches, "block"):
             if len(df) < 2:
                 continue
             ids, n, open_ = df["rep"].to_numpy(), df["n"].to_numpy(), df["open"].to_numpy(bool)
-            low = np.stack(df["mins"].to_numpy())
+            low = np.stack(df["low"].to_numpy())
             k = low.shape[1]
             least = least_equal(k, threshold)
             near = np.zeros((len(df), len(df)), bool)
@@ -200,12 +209,12 @@ def _confirmed(clusters: DataFrame, docs: DataFrame, reps: DataFrame, width: int
     """Edges ``(a, b)`` from the smallest id of what is linked within each cluster to the
     others of it; the links are confirmed on full sets."""
     clusters = written(clusters, "dup-clusters")
-    sets = _sets(docs, reps, clusters.select("rep"), width)
+    sets = _sets(docs, reps, clusters.select(F.col("cluster").alias("key"), "rep"), width)
     hundred = round(threshold * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in _runs(batches, "cluster"):
-            ids = df["rep"].to_numpy()
+        for df in _runs(batches, "key"):
+            ids = df["id"].to_numpy()
             sets = [np.asarray(x).view(np.uint64) for x in df["items"]]
             size = np.array([len(s) for s in sets], float)
             both = shared_counts(sets) if len(sets) > 2 else np.full((2, 2), float(len(np.intersect1d(*sets, assume_unique=True))) if len(sets) == 2 else 0)
@@ -217,8 +226,7 @@ def _confirmed(clusters: DataFrame, docs: DataFrame, reps: DataFrame, width: int
                 if len(own) > 1:
                     yield pd.DataFrame({"a": own[0], "b": own[1:]})
 
-    joined = clusters.join(sets, clusters.rep == sets.id).select("cluster", "rep", "items")
-    return joined.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(run, "a long, b long").distinct()
+    return sets.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
 
 
 def _led(families: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -229,8 +237,8 @@ def _led(families: DataFrame, docs: DataFrame, reps: DataFrame, width: int, thre
     own = families.select("leader", "rep", F.pmod(F.xxhash64("rep"), pieces).cast("int").alias("piece"), F.lit(1).alias("turn"))
     first = families.groupBy("leader").agg(F.max(pieces).alias("pieces"))
     first = first.select("leader", F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("turn"))
-    rows = written(first.unionByName(own.where("rep <> leader")), "dup-led")
-    placed = rows.join(_sets(docs, reps, rows.select("rep"), width), F.col("rep") == F.col("id")).select("leader", "piece", "turn", "rep", "items")
+    rows = written(first.unionByName(own.where("rep <> leader")).withColumn("key", F.monotonically_increasing_id()), "dup-led")
+    placed = rows.join(_sets(docs, reps, rows.select("key", "rep"), width), "key").select("leader", "piece", "turn", "rep", "items")
     hundred = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +336,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
     for level in range(LEVELS):
         pick = lambda t, i: F.col("mins")[(t * LEVELS + level) * BRANCHES + i]  # noqa: B023, E731
         if level:
-            at = large.join(reps.select("rep", "mins"), "rep")
-            kids = [F.coalesce(*[F.when(F.col("tree") == t, F.xxhash64("node", F.lit(i), pick(t, i))) for t in range(trees)]) for i in range(BRANCHES)]
-            named = at.select("rep", F.col("size").alias("above"), F.inline(F.array(*[F.struct("tree", kid.alias("node")) for kid in kids])))
+            # A tree's own minima travel with what is still to be branched: few rows.
+            own = lambda i: F.get("own", F.lit(level * BRANCHES + i))  # noqa: B023, E731
+            kids = [F.struct("tree", F.xxhash64("node", F.lit(i), own(i)).alias("node")) for i in range(BRANCHES)]
+            named = large.select("rep", "own", F.col("size").alias("above"), F.inline(F.array(*kids)))
         else:
             kids = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.lit(i), pick(t, i)).alias("node")) for t in range(trees) for i in range(BRANCHES)]
             named = reps.select("rep", F.lit(above).alias("above"), F.inline(F.array(*kids)))
@@ -340,16 +349,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tre
         leaves.append(alive.where(F.col("size") <= leaf).select("rep", F.col("node").alias("block"), F.lit(True).alias("open")))
         last = F.lit(level == LEVELS - 1) | (F.col("size") * 2 > F.col("above"))
         families.append(alive.where((F.col("size") > leaf) & last).select("node", "rep"))
-        large = alive.where((F.col("size") > leaf) & ~last).select("rep", "node", "tree", "size")
+        large = alive.where((F.col("size") > leaf) & ~last)
         if large.isEmpty():
             break
+        if not level:
+            of_tree = F.slice("mins", F.col("tree") * (LEVELS * BRANCHES) + 1, LEVELS * BRANCHES)
+            large = written(large.select("rep", "node", "tree", "size").join(reps.select("rep", "mins"), "rep").withColumn("own", of_tree).drop("mins"), "dup-large")
     whole = written(reduce(DataFrame.unionByName, families), "dup-unsplit")
     members = leaves
     if not whole.isEmpty():
         led = written(_led(_leaders(whole, reps), docs, reps, width, threshold), "dup-led")
         edges.append(led.where("linked").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
         members = [*leaves, _differing(led, threshold, leaf)]
-    blocks = reduce(DataFrame.unionByName, members).join(reps.select("rep", "n", "mins"), "rep")
+    blocks = reduce(DataFrame.unionByName, members).join(reps.select("rep", "n", F.transform("mins", lambda m: (m % 32768).cast("short")).alias("low")), "rep")
     edges.append(_confirmed(_merged(_clusters(blocks, threshold), leaf), docs, reps, width, threshold))
     labels = components(written(reduce(DataFrame.unionByName, edges), "dup-edges"))
 
