@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.operators.stats import avg_rank
-from tessella.sources.scratch import numbered_within
+from tessella.sources.scratch import running
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -81,7 +81,7 @@ def average_precision(df: DataFrame, hit: str, score: str, key: str, ties: str =
     else:
         g = df.select(*by, score, key, F.lit(1).alias("n"), F.col(hit).alias("h"))
         order = [F.col(score).desc(), F.col(key)]
-    g = numbered_within(numbered_within(g, by, order, "__n", F.col("n").cast("long")), by, order, "__h", F.col("h").cast("long"))
+    g = running(g, by, order, {"__n": F.col("n").cast("long"), "__h": F.col("h").cast("long")})
     g = g.select(*by, "h", ((F.col("__h") + F.col("h")) / (F.col("__n") + F.col("n"))).alias("precision"))
     return g.groupBy(*by).agg(_safe(F.sum(F.col("h") * F.col("precision")), F.sum("h")).alias("ap"))
 

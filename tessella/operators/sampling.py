@@ -149,8 +149,14 @@ def matched_controls(pairs: DataFrame, degrees: DataFrame, known: DataFrame, bin
     step = lambda acc, x: F.when(acc["at"] >= 0, F.when(acc["at"] < x["free"], F.struct((acc["at"] - x["free"]).alias("at"), x["other_bin"].alias("bin"), x["other_degree"].alias("degree"), acc["at"].alias("place"))).otherwise(F.struct((acc["at"] - x["free"]).alias("at"), acc["bin"], acc["degree"], acc["place"]))).otherwise(acc)
     start = F.struct(F.col("r").alias("at"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("long").alias("degree"), F.lit(None).cast("long").alias("place"))
     picked = picked.withColumn("c", F.aggregate("ls", start, step)).select("drug", "side", "degree", F.col("c.bin").alias("bin"), F.col("c.degree").alias("control_degree"), F.col("c.place").alias("place"))
-    used = picked.where("place is not null").select("drug", "bin", F.col("control_degree").alias("degree")).distinct()
-    free = used.join(degrees, level).join(seen, ["drug", "side"], "left_anti")
-    at = F.row_number().over(W.partitionBy("drug", *level).orderBy("side")) - 1
-    free = free.select("drug", "bin", F.col("degree").alias("control_degree"), F.col("side").alias("control"), at.cast("long").alias("place"))
-    return picked.join(free, ["drug", "bin", "control_degree", "place"], "left").select("drug", "side", "control", "degree", "control_degree")
+    # The place-th side of the level that the drug isn't known with: of the known ones in order,
+    # the i-th has its own place less i free sides before it; those with at most ``place`` are skipped.
+    at = written(numbered_within(degrees.select("side", *level), level, [F.col("side")], "nth"), "control-places")
+    gaps = seen.join(at, "side").groupBy("drug", "bin", F.col("degree").alias("control_degree")).agg(F.transform(F.sort_array(F.collect_list("nth")), lambda p, i: p - i).alias("gaps"))
+    chosen = picked.where("place is not null").join(gaps, ["drug", "bin", "control_degree"], "left")
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    low = lambda s: F.get("gaps", half(s)) <= F.col("place")
+    cut = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(low(s), half(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(low(s), s["hi"]).otherwise(half(s)).alias("hi")))
+    skipped = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), F.coalesce(F.size("gaps"), F.lit(0)).alias("hi")), cut, lambda s: s["lo"])
+    chosen = chosen.withColumn("nth", F.col("place") + skipped).join(at.select("bin", F.col("degree").alias("control_degree"), "nth", F.col("side").alias("control")), ["bin", "control_degree", "nth"])
+    return picked.select("drug", "side", "degree").join(chosen.select("drug", "side", "control", "control_degree"), ["drug", "side"], "left").select("drug", "side", "control", "degree", "control_degree")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -214,45 +216,73 @@ def duplicate_summary(df: DataFrame, decimals: tuple[int, ...] = (6, 4, 3), id_c
     return reduce(DataFrame.unionByName, rows)
 
 
-def gram(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """``i, j, value``: the centred Gram (covariance) of the vectors, as sums that
-    combine before the shuffle; its size is the square of the dimension."""
-    e = df.select(F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    one = e.select("v", F.posexplode("v").alias("i", "x"))
-    sums = one.select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    s = sums.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    return s.select("i", "j", ((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n")).alias("value"))
+#: The largest dimension whose triangular factor ``spectrum`` brings to the driver; factors that
+#: one task merges; the deviation up to which a dimension has hardly any.
+MOST_DIMENSIONS, MERGED, NEAR_ZERO = 4096, 8, 1e-6
 
 
-#: The largest dimension whose covariance ``spectrum`` brings to the driver.
-MOST_DIMENSIONS = 4096
+def _factor(x: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(x, mode="r") if len(x) else x
+
+
+def triangular_factor(df: DataFrame, mean: np.ndarray, vec: str = "vec") -> np.ndarray:
+    """The R of a QR decomposition of the vectors less ``mean``: every task reduces its rows
+    to a factor of dimension squared at most, and factors merge a few at a time, level by level."""
+    d = len(mean)
+
+    def reduce_rows(batches):
+        r = np.zeros((0, d))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), d) - mean
+            for at in range(0, len(x), 4 * d):
+                r = _factor(np.concatenate([r, x[at : at + 4 * d]]))
+        yield pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], ["r"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        r = np.zeros((0, d))
+        for x in rows["r"].combine_chunks():
+            r = _factor(np.concatenate([r, np.asarray(x.values, float).reshape(-1, d)]))
+        return pa.table({"task": pa.array([rows["into"][0].as_py()], pa.int32()), "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64()))})
+
+    rows = df.select(F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    parts = written(rows.mapInArrow(reduce_rows, "r array<double>").withColumn("task", F.spark_partition_id()), "qr-factors")
+    while (most := parts.agg(F.max("task")).first()[0] or 0) > 0:
+        parts = written(parts.withColumn("into", F.floor(F.col("task") / MERGED).cast("int")).groupBy("into").applyInArrow(merge, "task int, r array<double>"), "qr-factors")
+        if most < MERGED:
+            break
+    found = parts.select("r").collect()
+    return np.concatenate([np.zeros((0, d)), *[np.array(f.r).reshape(-1, d) for f in found]])
 
 
 def spectrum(df: DataFrame, vec: str = "vec") -> DataFrame:
     """One row per component: ``component, singular_value, explained`` (share of variance),
     ``cumulative``, ``dimension_std`` (of the dimension of that number), and alike in all rows
-    ``numerical_rank, effective_rank, norm_mean, norm_std, norm_min, norm_max``.
+    ``numerical_rank`` (singular values of the centred vectors above the largest times
+    max(rows, dimensions) times the precision of doubles), ``effective_rank`` (exp of the entropy
+    of the shares), ``near_zero_dimensions`` and ``norm_mean, norm_std, norm_min, norm_max``.
 
-    Only the covariance reaches the driver: dimension squared, for ``MOST_DIMENSIONS`` at most.
+    Two passes: the means, then triangular factors of the centred vectors. One factor reaches
+    the driver: dimension squared, for ``MOST_DIMENSIONS`` at most.
     """
-    import numpy as np
-
     d = df.agg(F.max(F.size(vec))).first()[0] or 0
     if d > MOST_DIMENSIONS:
         raise ValueError(f"vectors of more than {MOST_DIMENSIONS} dimensions")
     norm = F.sqrt(F.aggregate(F.transform(vec, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
     norms = df.agg(F.count("*").alias("n"), F.avg(norm).alias("norm_mean"), F.stddev_pop(norm).alias("norm_std"), F.min(norm).alias("norm_min"), F.max(norm).alias("norm_max"))
-    m = np.zeros((d, d))
-    for r in gram(df, vec).collect():
-        m[r.i, r.j] = m[r.j, r.i] = r.value
+    means = {r.pos: r.x for r in df.select(F.posexplode(F.transform(vec, lambda x: x.cast("double"))).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x")).collect()}
     n = norms.first().n
-    values = np.clip(np.linalg.eigvalsh(m)[::-1], 0, None) if d else np.zeros(0)
-    single = np.sqrt(values * n)
-    share = values / values.sum() if values.sum() > 0 else values
+    r = triangular_factor(df, np.array([means[i] for i in range(d)]), vec) if d else np.zeros((0, 0))
+    single = np.zeros(d)
+    own = np.linalg.svd(r, compute_uv=False) if d else single
+    single[: len(own)] = own[:d]
+    std = np.sqrt((r * r).sum(0) / n) if d else single
+    energy = single**2
+    share = energy / energy.sum() if energy.sum() > 0 else energy
     numerical = int((single > single[0] * max(n, d) * np.finfo(float).eps).sum()) if d and single[0] > 0 else 0
     rank = float(np.exp(-sum(p * math.log(p) for p in share if p > 0))) if d else 0.0
-    rows = [(i, float(x), float(p), float(c), float(math.sqrt(max(v, 0))), numerical, rank) for i, (x, p, c, v) in enumerate(zip(single, share, np.cumsum(share), m.diagonal(), strict=True))]
-    kind = "component int, singular_value double, explained double, cumulative double, dimension_std double, numerical_rank int, effective_rank double"
+    near_zero = int((std <= NEAR_ZERO).sum())
+    rows = [(i, float(x), float(p), float(c), float(v), numerical, rank, near_zero) for i, (x, p, c, v) in enumerate(zip(single, share, np.cumsum(share), std, strict=True))]
+    kind = "component int, singular_value double, explained double, cumulative double, dimension_std double, numerical_rank int, effective_rank double, near_zero_dimensions int"
     return df.sparkSession.createDataFrame(rows, kind).crossJoin(F.broadcast(norms.drop("n")))
 
 

@@ -121,7 +121,7 @@ def duplicate_groups(spark, sf_dir):
 @query()
 def spectrum(spark, sf_dir):
     s = I.spectrum(load(spark, sf_dir, "embeddings"), "embedding")
-    return rounded(s, *[c for c in s.columns if c not in ("component", "numerical_rank")])
+    return rounded(s, *[c for c, t in s.dtypes if t == "double"])
 
 
 def _cohorts(spark, sf_dir):
@@ -168,7 +168,8 @@ ppi AS MATERIALIZED (SELECT source AS g, target AS h FROM ty WHERE family = 'Gen
 dg AS MATERIALIZED (SELECT DISTINCT m.owner AS drug, e.node AS gene FROM kk m JOIN kk e ON m.family = 'MAPS_TO_DRUG' AND e.family = 'Drug-Gene' AND e.owner = m.node), sg AS MATERIALIZED (SELECT DISTINCT m.owner AS side, e.node AS gene FROM kk m JOIN kk e ON m.family = 'MAPS_TO_PHENOTYPE' AND e.family = 'Phenotype-Gene' AND e.owner = m.node),
 gp AS (SELECT node AS gene, owner AS pathway FROM kk WHERE family = 'Pathway-Gene'), dp AS (SELECT DISTINCT drug, pathway FROM dg JOIN gp USING (gene)), sp AS (SELECT DISTINCT side, pathway FROM sg JOIN gp USING (gene)), pr AS MATERIALIZED (SELECT * FROM {{evidence_pairs}}),
 sh AS (SELECT drug, side, count(*) AS n, sum(1 / ln(2 + coalesce(degree, 0))) AS weighted FROM pr JOIN sg USING (side) JOIN dg USING (drug, gene) LEFT JOIN deg ON g = gene GROUP BY 1, 2), wy AS (SELECT drug, side, count(*) AS n FROM pr JOIN sp USING (side) JOIN dp USING (drug, pathway) GROUP BY 1, 2),
-rc AS (SELECT drug, g, h FROM dg JOIN ppi ON g = gene WHERE g <> h), br AS (SELECT pr.drug, pr.side, count(DISTINCT concat(least(g, h), ' ', greatest(g, h))) AS n FROM pr JOIN sg USING (side) JOIN rc ON rc.drug = pr.drug AND rc.h = sg.gene GROUP BY ALL),
+rc AS MATERIALIZED (SELECT drug, g, h FROM dg JOIN ppi ON g = gene WHERE g <> h), ps AS MATERIALIZED (SELECT pr.drug, pr.side, sg.gene FROM pr JOIN sg USING (side)),
+bx AS MATERIALIZED (SELECT DISTINCT ps.drug, ps.side, least(g, h) AS x, greatest(g, h) AS y FROM ps JOIN rc ON rc.drug = ps.drug AND rc.h = ps.gene), br AS (SELECT drug, side, count(*) AS n FROM bx GROUP BY 1, 2),
 nd AS (SELECT drug, count(*) AS n FROM dg GROUP BY 1), ns AS (SELECT side, count(*) AS n FROM sg GROUP BY 1), wd AS (SELECT drug, count(*) AS n FROM dp GROUP BY 1), ws AS (SELECT side, count(*) AS n FROM sp GROUP BY 1),
 ev AS (SELECT pr.drug, pr.side, coalesce(nd.n, 0) AS d, coalesce(ns.n, 0) AS s, coalesce(wd.n, 0) AS dw, coalesce(ws.n, 0) AS sw,
   coalesce(sh.n, 0) AS n, coalesce(sh.weighted, 0) AS w, coalesce(br.n, 0) AS b, coalesce(wy.n, 0) AS p FROM pr LEFT JOIN sh USING (drug, side) LEFT JOIN br USING (drug, side) LEFT JOIN wy USING (drug, side) LEFT JOIN nd USING (drug) LEFT JOIN wd USING (drug) LEFT JOIN ns USING (side) LEFT JOIN ws USING (side))"""

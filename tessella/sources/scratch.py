@@ -48,31 +48,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_order(df: DataFrame, by: list[Column], name: str, size: Column | None = None) -> DataFrame:
-    """Add ``name``: how many rows (or the sum of ``size`` over the rows) stand before each row
-    in the order of ``by``, without a window over all rows.
+def running(df: DataFrame, groups: list[str], by: list[Column], sizes: dict[str, Column]) -> DataFrame:
+    """Add for each of ``sizes`` its sum over the rows that stand before each row in the order of
+    ``by`` within its group, without a window over a group or all rows.
 
-    Rows are range-partitioned and written; the totals of the ranges (one number each) give
-    every range its offset.
+    Rows are range-partitioned once and written; the totals of the ranges (one row each) give
+    every range its offset. Sums within a group are those among all rows less what stood before
+    the group.
     """
-    part, n = "__part", F.lit(1).cast("long") if size is None else size
-    ranged = written(df.withColumn("__size", n).repartitionByRange(*by).withColumn(part, F.spark_partition_id()), "in-order")
-    totals = written(ranged.groupBy(part).agg(F.sum("__size").alias("__total")), "in-order-totals")
-    before = totals.select(part, (F.sum("__total").over(W.orderBy(part)) - F.col("__total")).alias("__before"))
-    here = F.sum("__size").over(W.partitionBy(part).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__size")
-    return ranged.withColumn("__here", here).join(F.broadcast(before), part).withColumn(name, F.col("__before") + F.col("__here")).drop(part, "__size", "__here", "__before")
+    part, names = "__part", list(sizes)
+    order = [*map(F.col, groups), *by]
+    ranged = df.withColumns({f"__size_{n}": c for n, c in sizes.items()}).repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    ranged = written(ranged, "in-order")
+    totals = written(ranged.groupBy(part).agg(*[F.sum(f"__size_{n}").alias(f"__total_{n}") for n in names]), "in-order-totals")
+    before = totals.select(part, *[(F.sum(f"__total_{n}").over(W.orderBy(part)) - F.col(f"__total_{n}")).alias(f"__before_{n}") for n in names])
+    upto = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = ranged.withColumns({f"__here_{n}": F.sum(f"__size_{n}").over(upto) - F.col(f"__size_{n}") for n in names})
+    placed = here.join(F.broadcast(before), part).withColumns({n: F.col(f"__before_{n}") + F.col(f"__here_{n}") for n in names})
+    placed = placed.drop(part, *[f"__{x}_{n}" for n in names for x in ("size", "here", "before")])
+    if not groups:
+        return placed
+    first = placed.groupBy(*groups).agg(*[F.min(n).alias(f"__first_{n}") for n in names]).withColumnsRenamed({g: f"__g_{g}" for g in groups})
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups))
+    return placed.join(first, same).withColumns({n: F.col(n) - F.col(f"__first_{n}") for n in names}).drop(*[f"__first_{n}" for n in names], *[f"__g_{g}" for g in groups])
+
+
+def in_order(df: DataFrame, by: list[Column], name: str, size: Column | None = None) -> DataFrame:
+    """Add ``name``: how many rows (or the sum of ``size`` over the rows) stand before each row."""
+    return running(df, [], by, {name: F.lit(1).cast("long") if size is None else size})
 
 
 def numbered_within(df: DataFrame, groups: list[str], by: list[Column], name: str, size: Column | None = None) -> DataFrame:
     """Add ``name``: 0, 1, ... within each group in the order of ``by`` (or the sum of ``size``
-    before), without a window over a group: places among all rows less those of the groups
-    before."""
-    place = in_order(df, [*map(F.col, groups), *by], "__nth", size)
-    if not groups:
-        return place.withColumnRenamed("__nth", name)
-    first = place.groupBy(*groups).agg(F.min("__nth").alias("__first"))
-    same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups]
-    for g in groups:
-        first = first.withColumnRenamed(g, f"__g_{g}")
-    same = reduce(lambda a, b: a & b, same)
-    return place.join(first, same).withColumn(name, F.col("__nth") - F.col("__first")).drop("__nth", "__first", *[f"__g_{g}" for g in groups])
+    before)."""
+    return running(df, groups, by, {name: F.lit(1).cast("long") if size is None else size})

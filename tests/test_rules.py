@@ -297,6 +297,11 @@ def test_spectrum_of_known_vectors(spark):
     p = s**2 / (s**2).sum()
     assert [r.singular_value for r in got] == pytest.approx(s.tolist(), abs=1e-6) and [r.cumulative for r in got] == pytest.approx(np.cumsum(p).tolist())
     assert [r.dimension_std for r in got] == pytest.approx(x.std(0).tolist()) and got[0].norm_max == pytest.approx(np.linalg.norm(x, axis=1).max())
+    assert got[0].numerical_rank == 5 and got[0].near_zero_dimensions == 1
+    y = rng.standard_normal((1000, 8))
+    y[:, 7] = y[:, 0] + y[:, 3]
+    assert {(r.numerical_rank, r.near_zero_dimensions) for r in I.spectrum(spark.createDataFrame([(v.tolist(),) for v in y], "vec array<double>").repartition(20)).collect()} == {(7, 0)}
+    assert {r.numerical_rank for r in I.spectrum(spark.createDataFrame([([1.0, 2.0],), ([3.0, 2.0],)], "vec array<double>")).collect()} == {1}
     assert got[0].effective_rank == pytest.approx(math.exp(-sum(q * math.log(q) for q in p if q > 1e-30)))
 
 
