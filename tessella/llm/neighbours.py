@@ -7,9 +7,10 @@ candidates are merged and reranked by their exact scores.
 
 Windows alone find most neighbours where vectors lie in groups, and few where they are
 spread evenly over many dimensions. So the k-th score that the windows found goes on as a
-bound: the blocks of the first curve are visited once more, and of each block those queries
-are compared with it whose best possible score (by the block's centre and radius) reaches
-their bound. What this check adds depends on the vectors alone, not on the table's size;
+bound: each block of the first curve has a head, its centre and radius, and the heads meet
+the queries first. A query is copied only to the parts (eight blocks) where some head's best
+possible score reaches its bound, and compared there block by block. In groups few parts are
+reached; on evenly spread vectors all are, and the check costs queries times vectors.
 ``exact=False`` leaves it out. Equal vectors are searched once, and answer with their
 smallest ids. See the README for measured recall.
 """
@@ -21,17 +22,19 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.llm.blocks import reached, rows_of, searched
 from tessella.llm.common import numbered, written
 from tessella.llm.hilbert import hilbert_keys
 
 CURVES, DIRECTIONS, BITS, BLOCK = 5, 6, 10, 512
 SAMPLE_ROWS = 10_000
-#: Queries and vectors that one task of the check holds; scores at once.
-ASKING, ANSWERING, SCORES = 16_384, 4096, 4_000_000
+#: Vectors of a part of the check; scores at once.
+ANSWERING, SCORES = 4096, 4_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -73,7 +76,7 @@ def within_reach(asking: np.ndarray, a: np.ndarray, least: np.ndarray, ids: np.n
         centre = own.mean(0)
         radius = np.sqrt(((own - centre) ** 2).sum(1).max())
         most_here = a @ centre + length * radius
-        on = np.flatnonzero(most_here + 1e-9 * length * (np.abs(centre).sum() + radius) >= least)
+        on = np.flatnonzero(~(most_here + 1e-9 * length * (np.abs(centre).sum() + radius) < least))
         if len(on):
             here = best_of(asking[on], a[on], ids[at : at + block], own, most)
             found.append(here[here["score"].to_numpy() >= least[on][np.searchsorted(asking[on], here["rep"].to_numpy())]])
@@ -113,7 +116,7 @@ def _nearest_of_one_length(rows: DataFrame, is_query, k: int, curves: int, block
     placed = _placed(owners, distinct, curves, seed)
     pairs = written(_in_windows(placed, n, most, curves, block), "ann-windows")
     if exact:
-        pairs = pairs.unionByName(_in_reach(placed, pairs, n, most, block)).distinct()
+        pairs = pairs.unionByName(_in_reach(placed, pairs, most, block)).distinct()
     scored = first_of(pairs, most).join(owners.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "ids", "score")
     out = queries.join(scored, "rep").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
@@ -164,23 +167,40 @@ def _in_windows(placed: DataFrame, n: int, most: int, curves: int, block: int) -
     return hold.unionByName(visit).groupBy("curve", "block").applyInPandas(search, "rep long, near long, score double").distinct()
 
 
-def _in_reach(placed: DataFrame, pairs: DataFrame, n: int, most: int, block: int) -> DataFrame:
+def farthest(queries: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The largest score that a query can have in a block of that centre and radius, a little up
+    for round-off: q.x <= q.centre + |q| radius."""
+    centre, radius = heads[:, :-1], heads[:, -1]
+    length = np.sqrt((queries * queries).sum(1))[:, None]
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = queries @ centre.T + length * (radius + 1e-9 * (np.abs(centre).sum(1) + radius))
+    return np.where(np.isnan(most), np.inf, most)  # beyond doubles: visit
+
+
+def _in_reach(placed: DataFrame, pairs: DataFrame, most: int, block: int) -> DataFrame:
     """``rep, near, score``: for each row that asks, what the blocks of the first curve hold
     with a score of its ``most``-th in ``pairs`` or more (the best of each block)."""
     bound = first_of(pairs, most).groupBy("rep").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("rep", F.when(F.col("n") >= most, F.col("least")).alias("least"))
-    curve = placed.where("curve = 0")
-    asking = written(curve.where("asks").select("rep", "v").join(bound, "rep", "left"), "ann-asking")
-    chunks, parts = max(1, -(-asking.count() // ASKING)), max(1, -(-n // ANSWERING))
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    none = F.lit(None).cast("double")
-    left = asking.select("rep", "v", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("at"), "least", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int").alias("chunk"), each(parts).alias("part"))
-    right = curve.select("rep", "v", F.lit(False).alias("asks"), "at", none.alias("least"), each(chunks).alias("chunk"), F.floor(F.col("at") / ANSWERING).cast("int").alias("part"))
-
-    def search(df: pd.DataFrame) -> pd.DataFrame:
-        ask = df["asks"].to_numpy()
-        q, r = df[ask].sort_values("rep"), df[~ask].sort_values("at")
-        least = q["least"].fillna(-np.inf).to_numpy(float)
-        stack = lambda v: np.stack(v.to_numpy()) if len(v) else np.zeros((0, 1))
-        return within_reach(q["rep"].to_numpy(), stack(q["v"]), least, r["rep"].to_numpy(), stack(r["v"]), most, block) if len(q) and len(r) else best_of(q["rep"].to_numpy()[:0], np.zeros((0, 1)), r["rep"].to_numpy()[:0], np.zeros((0, 1)), most)
-
-    return left.unionByName(right).groupBy("chunk", "part").applyInPandas(search, "rep long, near long, score double")
+    blocks = max(1, ANSWERING // block)
+    curve = placed.where("curve = 0").select(F.lit(0).alias("dim"), F.floor(F.col("at") / (blocks * block)).alias("part"), "rep", "v", "asks", "at")
+    asking = written(curve.where("asks").join(bound, "rep", "left").select("dim", "rep", "v", "least", F.lit(None).cast("long").alias("home")), "ann-asking")
+
+    def head(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        x, found = rows_of(rows["v"]), []
+        for at in range(0, len(x), block):
+            centre = x[at : at + block].mean(0)
+            found.append([*centre, np.sqrt(((x[at : at + block] - centre) ** 2).sum(1).max())])
+        part = rows["part"][0].as_py()
+        return pa.table({"dim": pa.array([0] * len(found), pa.int32()), "part": pa.array([part] * len(found), pa.int64()), "block": pa.array([part * blocks + i for i in range(len(found))], pa.int64()), "head": pa.array(found, pa.list_(pa.float64()))})
+
+    def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        least = queries["least"].fill_null(-np.inf).to_numpy()
+        if not len(queries) or not len(vectors):
+            return pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        found = within_reach(queries["rep"].to_numpy(), rows_of(queries["v"]), least, vectors["rep"].to_numpy(), rows_of(vectors["v"]), most, block)
+        return pa.table({c: pa.array(found[c].to_numpy(), t) for c, t in (("rep", pa.int64()), ("near", pa.int64()), ("score", pa.float64()))})
+
+    heads = written(curve.groupBy("dim", "part").applyInArrow(head, "dim int, part long, block long, head array<double>"), "ann-heads")
+    met = reached(heads, asking, farthest)
+    return searched(curve, asking, met, search, "rep long, near long, score double")

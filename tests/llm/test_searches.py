@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import lexical, threshold, toxicity, warc, whitening
+from tessella.llm import lexical, neighbours, threshold, toxicity, warc, whitening
 from tessella.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -207,3 +207,26 @@ def test_training_rows_of_a_repeated_doc_id_are_fixed(spark):
     docs = spark.createDataFrame([(1, "b b"), (1, "a a"), (1, None), (2, "x y")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels) == toxicity.train(docs.orderBy(F.col("text").desc()).repartition(3), labels)
+
+
+def test_heads_bound_every_score_of_their_block():
+    rng = np.random.default_rng(12)
+    x, q = rng.standard_normal((40, 7)) * 3 + 1, rng.standard_normal((25, 7))
+    centre = x.mean(0)
+    head = np.array([[*centre, np.sqrt(((x - centre) ** 2).sum(1).max())]])
+    assert (neighbours.farthest(q, head)[:, 0] >= (q @ x.T).max(1)).all()
+    assert (neighbours.farthest(q * 1e160, head * 1e160) == np.inf).any()
+    low, high = x.min(0), x.max(0)
+    assert (threshold.depth_0(q, np.array([[*low, *high]]))[:, 0] >= (q @ x.T).max(1)).all()
+
+
+def test_neighbours_in_groups_over_many_parts(spark, monkeypatch):
+    """Small parts and blocks: heads leave most parts out, and nothing of the result."""
+    monkeypatch.setattr(neighbours, "ANSWERING", 64)
+    rng = np.random.default_rng(13)
+    centres = rng.standard_normal((12, 5)) * 6
+    x = centres[rng.integers(0, 12, 500)] + rng.standard_normal((500, 5)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in neighbours.nearest(df, F.col("id") % 20 == 0, k=4, block=16).collect()}
+    s = x @ x.T
+    assert got == {(i, at): j for i in range(0, 500, 20) for at, (_, j) in enumerate(sorted((-s[i, j], j) for j in range(500) if j != i)[:4], 1)}
