@@ -336,10 +336,10 @@ def support_summary(support: DataFrame) -> DataFrame:
 def explicit_signal(added: DataFrame, random: DataFrame) -> DataFrame:
     """One row: whether added pairs share more than random ones: 0.01 more mean Jaccard, or
     0.05 more pairs with something shared, of genes or pathways. Both are one row of
-    ``support_summary``."""
+    ``support_summary``; without one there is no signal."""
     gaps = {"mean_gene_jaccard": 0.01, "mean_pathway_jaccard": 0.01, "fraction_with_shared_gene": 0.05, "fraction_with_shared_pathway": 0.05}
-    j = added.select(*[F.col(c).alias(f"a_{c}") for c in gaps]).crossJoin(random.select(*[F.col(c).alias(f"r_{c}") for c in gaps]))
-    return j.select(reduce(lambda x, y: x | y, (F.col(f"a_{c}") > F.col(f"r_{c}") + F.lit(gap) for c, gap in gaps.items())).alias("explicit_signal"))
+    j = added.agg(*[F.max(c).alias(f"a_{c}") for c in gaps]).crossJoin(random.agg(*[F.max(c).alias(f"r_{c}") for c in gaps]))
+    return j.select(reduce(lambda x, y: x | y, (F.coalesce(F.col(f"a_{c}") > F.col(f"r_{c}") + F.lit(gap), F.lit(False)) for c, gap in gaps.items())).alias("explicit_signal"))
 
 
 # Relations of a typed biomedical graph that are evidence, families and markers.

@@ -51,7 +51,7 @@ OBSERVED = "obs AS (SELECT DISTINCT row_id AS id FROM {train} WHERE row_id % 7 <
 @query(sql(f"""WITH {VIEWS}, {OBSERVED}, ins AS (SELECT * FROM sim WHERE src IN (FROM obs) AND dst IN (FROM obs)), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM ins) WHERE r <= 10),
 pr AS (SELECT s.src, s.dst, s.value AS a, t.value AS b FROM ins s JOIN task t ON s.src = t.src AND s.dst = t.dst WHERE s.src < s.dst AND t.value IS NOT NULL), rnd AS (SELECT b FROM pr ORDER BY md5(concat('42:', src, ':', dst)), src, dst LIMIT 10000),
 n AS (SELECT avg(t.value) FILTER (r <= 5) AS top5, avg(t.value) AS top10 FROM nb JOIN task t ON nb.src = t.src AND nb.dst = t.dst)
-SELECT (SELECT count(*) FROM obs) AS entity_count, (SELECT count(*) FROM pr) AS pair_count, (SELECT round(corr(a, b), 6) FROM pr) AS correlation, round(top5, 6) AS top5, round(top10, 6) AS top10, (SELECT round(avg(b), 6) FROM rnd) AS random, round(top10 - (SELECT avg(b) FROM rnd), 6) AS enrichment FROM n"""))
+SELECT (SELECT count(*) FROM obs) AS entity_count, (SELECT count(*) FROM pr) AS pair_count, (SELECT round(corr(a, b), 6) FROM pr) AS correlation, round(top5, 6) AS top5, round(top10, 6) AS top10, (SELECT round(avg(b), 6) FROM rnd) AS random, round(top10 - (SELECT avg(b) FROM rnd), 6) + 0.0 AS enrichment FROM n"""))
 def task_alignment(spark, sf_dir):
     """Of the suppliers that have observations (a seventh is set aside)."""
     observed = load(spark, sf_dir, "train").where("row_id % 7 <> 3").select(F.col("row_id").alias("id"))
