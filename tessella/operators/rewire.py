@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators.components import star_components
 from tessella.operators.similarity import top_k
-from tessella.sources.scratch import written
 
 BOTH = ["src", "dst"]
 # Where an edge of a rewired graph comes from.
@@ -112,18 +112,10 @@ def graph_statistics(edges: DataFrame, nodes: DataFrame, random_task: DataFrame)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """H9: ``id, component`` for every node, component its smallest reachable id. Labels
-    spread to neighbours and jump to their label's label until nothing changes."""
-    e = written(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges")
-    labels = nodes.select("id", F.col("id").alias("c")).distinct()
-    while True:
-        low = e.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("c").alias("n"))
-        near = labels.join(low, F.col("id") == F.col("src"), "left").select("id", F.col("c").alias("was"), F.least("c", F.coalesce("n", "c")).alias("c"))
-        up = labels.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        step = written(near.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
-        labels = step.select("id", "c")
-        if step.where("c <> was").isEmpty():
-            return labels.withColumnRenamed("c", "component")
+    """H9: ``id, component`` for every node, component its smallest reachable id (its own,
+    without edges)."""
+    joined = star_components(edges, "src", "dst").withColumnRenamed("id", "__id")
+    return nodes.select("id").distinct().join(joined, F.col("id") == F.col("__id"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def compare_edge_sets(a: DataFrame, b: DataFrame) -> DataFrame:
