@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators.components import star_components
 from tessella.sources.scratch import new_path
 
 #: A word is a run of characters other than ASCII white space.
@@ -64,22 +65,6 @@ def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges ``(a long, b long)``: ``(id, component)``,
-    component the smallest id that can be reached.
-
-    Each round takes the smallest label among the neighbours and then the label of that
-    label (pointer jumping), so long chains end in few rounds. Every round is written to
-    the shared folder.
-    """
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "edges",
-    )
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("id"), "c"), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("c").alias("n"))
-        step = labels.join(near, labels.id == near.a).select("id", F.col("c").alias("was"), F.least("c", "n").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        step = written(step.join(jump, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
-        labels = step.select("id", "c")
-        if step.where("c <> was").isEmpty():
-            return labels.withColumnRenamed("c", "component")
+    component the smallest id that can be reached."""
+    importable(edges.sparkSession)
+    return star_components(edges, "a", "b")
