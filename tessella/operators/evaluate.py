@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.operators.stats import avg_rank
-from tessella.sources.scratch import running
+from tessella.sources.scratch import running, written
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -292,3 +293,37 @@ def rollup_checks(df: DataFrame, checks: str = "checks") -> DataFrame:
     """A JSON map of named checks per run -> per check PASS if every run passed."""
     e = df.select(F.explode(F.from_json(checks, "map<string,boolean>")).alias("name", "ok"))
     return e.groupBy("name").agg(F.when(F.bool_and("ok"), "PASS").otherwise("FAIL").alias("status"), F.count("*").alias("runs"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def cross_validate(df: DataFrame, features: str, label: str = "label", fold: str = "fold", regs: tuple[float, ...] = (0.01, 0.1), classes: int = 5, by: str = "macro_f1") -> DataFrame:
+    """One row per fold of a multinomial logistic regression on an array of features, fitted
+    on the other folds and scored on this one: ``fold, rows, reg, accuracy, macro_precision,
+    macro_recall, macro_f1, running_mean`` (of ``by``, over the folds so far).
+
+    ``fold`` holds 1..k (``stratified_kfold``) and decides what each model sees; labels are
+    1..``classes``. The strength in ``regs`` is the one with the best mean F1 over the folds.
+    Rows without a label, a fold or features, or with a feature that isn't finite, take no part.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    real = F.col(features).cast("array<double>")
+    known = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.where(known & F.col(label).isNotNull() & F.col(fold).isNotNull())
+    rows = rows.select((F.col(fold) - 1).cast("int").alias("fold"), F.col(label).cast("int").alias("label"), array_to_vector(real).alias("x"))
+    rows = written(rows, "cv-rows")
+    k = rows.agg(F.coalesce(F.max("fold") + 1, F.lit(0))).first()[0]
+    if k < 2:
+        raise ValueError("two folds at least")
+    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", maxIter=20)
+    grid = ParamGridBuilder().addGrid(model.regParam, list(regs)).build()
+    f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=f1, numFolds=k, foldCol="fold", collectSubModels=True).fit(rows)
+    best = max(range(len(grid)), key=lambda i: fitted.avgMetrics[i])
+    parts = [fitted.subModels[i][best].transform(rows.where(F.col("fold") == i)).select((F.col("fold") + 1).alias("fold"), "label", F.col("prediction").cast("int").alias("pred")) for i in range(k)]
+    scored = written(reduce(DataFrame.unionByName, parts), "cv-scored")
+    out = macro_metrics(confusion(scored, classes, by=["fold"]), ["fold"]).join(scored.groupBy("fold").agg(F.count("*").alias("rows")), "fold")
+    out = running_mean(out.withColumn("__all", F.lit(1)), by, "__all", "fold").drop("__all")
+    return out.select("fold", "rows", F.lit(float(regs[best])).alias("reg"), "accuracy", "macro_precision", "macro_recall", "macro_f1", "running_mean")

@@ -494,7 +494,7 @@ def chi2_sf(x: Column, dof: Column) -> Column:
     return F.when((dof <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
 
 
-def _h(n: Column, k: Column, s: Column, ties: Column) -> Column:
+def kruskal_h(n: Column, k: Column, s: Column, ties: Column) -> Column:
     """Kruskal's H from the number of rows and classes, the sum of r * r / n over the classes
     and of t ** 3 - t over the ties; 0 without a rank or with one class."""
     correction = F.when(n > 1, 1 - ties / (n * n * n - n)).otherwise(1.0)
@@ -513,7 +513,7 @@ def kruskal(df: DataFrame, x: str, cls: str = "class") -> DataFrame:
     g = avg_rank(ok, x).groupBy(cls).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
     g = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
     n, k = F.col("n").cast("double"), F.col("k")
-    out = g.crossJoin(_ties(ok, x)).select("n", "k", F.when((k >= 2) & (n >= 2), k - 1).otherwise(0).alias("dof"), _h(n, k, F.col("s"), F.col("ties")).alias("h"))
+    out = g.crossJoin(_ties(ok, x)).select("n", "k", F.when((k >= 2) & (n >= 2), k - 1).otherwise(0).alias("dof"), kruskal_h(n, k, F.col("s"), F.col("ties")).alias("h"))
     epsilon = F.when((F.col("dof") > 0) & (n > k), F.greatest(F.lit(0.0), F.try_divide(F.col("h") - k + 1, n - k))).otherwise(0.0)
     return out.select("n", "dof", "h", chi2_sf(F.col("h"), F.col("dof")).alias("p"), epsilon.alias("epsilon2"))
 
@@ -557,7 +557,7 @@ def permutation_test(df: DataFrame, value: str, label: str, key: str, n: int, se
     if statistic == "kruskal":
         g = every.groupBy("replicate", F.col("c.label").alias("label")).agg(F.count("*").alias("m"), F.sum("rank").alias("r"), F.first("all").alias("all"), F.first("k").alias("k"), F.first("ties").alias("ties"))
         g = g.groupBy("replicate").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.first("all").cast("double").alias("all"), F.first("k").alias("k"), F.first("ties").alias("ties"))
-        found = g.select("replicate", _h(F.col("all"), F.col("k"), F.col("s"), F.col("ties")).alias("stat"))
+        found = g.select("replicate", kruskal_h(F.col("all"), F.col("k"), F.col("s"), F.col("ties")).alias("stat"))
     else:
         y = F.col("c.upto") - F.col("c.m") + (F.col("c.m") + 1) / 2
         g = every.select("replicate", "rank", y.alias("y")).groupBy("replicate").agg(F.covar_pop("rank", "y").alias("c"), F.stddev_pop("rank").alias("sx"), F.stddev_pop("y").alias("sy"))

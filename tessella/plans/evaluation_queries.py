@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import evaluate as J
+from tessella.operators import sampling as P
+from tessella.operators import similarity as S
 from tessella.plans.analog import load, sql
 from tessella.plans.registry import query
 from tessella.plans.statistics_queries import rounded
@@ -198,3 +200,14 @@ def fit_frequency_model(spark, sf_dir):
     fold = F.pmod(F.xxhash64("id"), F.lit(5))
     out = J.fit_frequency_model(p.where(fold != 0), p.where(fold == 0), [f"w{k}" for k in range(1, 6)])
     return rounded(J.macro_metrics(J.confusion(out.where("pred > 0"), 5)), "accuracy", "macro_precision", "macro_recall", "macro_f1", n=3)
+
+
+@query()
+def cross_validated_frequency(spark, sf_dir):
+    """One row per fold of a multinomial model of the cells' values, on outer products of row and
+    column views of the training cells; the folds are those of the held-out cells."""
+    t = load(spark, sf_dir, "train")
+    views = lambda key: t.groupBy(F.col(key).alias("id")).agg(F.array(*[F.avg((F.col("freq") == i).cast("double")) for i in range(1, 6)]).alias("vec"))
+    pairs = S.pair_features_lookup(load(spark, sf_dir, "held"), views("row_id"), views("col_id"))
+    folds = P.stratified_kfold(pairs.withColumn("x", S.outer_products("row_vec", "col_vec")), "freq", ["row_id", "col_id"], 5)
+    return rounded(J.cross_validate(folds, "x", "freq"), "accuracy", "macro_precision", "macro_recall", "macro_f1", "running_mean", n=3)

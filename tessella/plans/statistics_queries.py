@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import permutation
 from tessella.operators import rewire as H
 from tessella.operators import sampling as P
 from tessella.operators import similarity as S
@@ -228,6 +229,12 @@ def permutation_test(spark, sf_dir):
     return rounded(I.permutation_test(load(spark, sf_dir, "labelled"), "score", "label", "id", 50), "observed", "p")
 
 
+@query()
+def permutation_by_counts(spark, sf_dir):
+    """The same test with 1000 shuffles drawn as counts of labels by value."""
+    return rounded(permutation.permutation_by_counts(load(spark, sf_dir, "labelled"), "score", "label", "id", 1000), "observed", "p")
+
+
 @query(sql(f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS k, round(l_extendedprice / l_quantity - 1500, 2) AS d FROM {{lineitem}}), rows_ AS (SELECT k, min(d) AS d FROM b GROUP BY 1),
 m AS (SELECT i, avg(d * CASE WHEN substr(md5(concat('42:', i, ':', k)), 1, 1) < '8' THEN 1 ELSE -1 END) AS m FROM rows_, range(1, 31) r(i) GROUP BY 1), s AS (SELECT avg(d) AS mean, stddev_samp(d) AS sd, avg(sign(d)) FILTER (d <> 0) AS signs FROM rows_)
 SELECT round(mean, 3) AS mean, round(mean / sd, 6) AS dz, round(signs, 6) AS rank_biserial, round((count(*) FILTER (abs(round(m, 9)) >= abs(round(mean, 9))) + 1) / (count(*) + 1), 6) AS p FROM m, s GROUP BY mean, sd, signs"""))
