@@ -266,9 +266,9 @@ def weight_summary(df: DataFrame, weights: str) -> DataFrame:
 
 
 def correction_ratio(base: Column, correction: Column) -> Column:
-    """Norm of a correction relative to what it corrects."""
+    """Norm of a correction over that of what it corrects and 1e-8 (a fixed value)."""
     n = lambda v: F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x)))
-    return _safe(n(correction), n(base))
+    return n(correction) / (n(base) + 1e-8)
 
 
 def fit_frequency_model(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", reg: float = 0.01) -> DataFrame:

@@ -173,7 +173,7 @@ def weight_summary(spark, sf_dir):
     return rounded(J.weight_summary(predictions(spark, sf_dir), "probs"), "mean", "std", "valid")
 
 
-@query(sql(f"""WITH {PRED} SELECT label, round(avg(w1 / t), 6) AS mean, round(stddev_pop(w1 / t), 6) AS std, round(avg(sqrt(w1 * w1 + w2 * w2) / sqrt(w1 * w1 + w2 * w2 + w3 * w3 + w4 * w4 + w5 * w5)), 6) AS ratio,
+@query(sql(f"""WITH {PRED} SELECT label, round(avg(w1 / t), 6) AS mean, round(stddev_pop(w1 / t), 6) AS std, round(avg(sqrt(w1 * w1 + w2 * w2) / (sqrt(w1 * w1 + w2 * w2 + w3 * w3 + w4 * w4 + w5 * w5) + 1e-8)), 6) AS ratio,
 round(avg(exp(w1 / t) / (exp(w1 / t) + exp(w2 / t) + exp(w3 / t) + exp(w4 / t) + exp(w5 / t))), 6) AS soft FROM pd GROUP BY 1"""))
 def gate_statistics(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumns({"gate": F.col("probs")[0], "ratio": J.correction_ratio(F.col("w"), F.slice("w", 1, 2)), "soft": J.softmax(F.col("probs"))[0]})
