@@ -9,6 +9,7 @@ Jaccard similarity of their counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ BLOCK = 4
 LIKELY = 16.0
 #: ASCII white space, as words are told apart by it.
 SPACES = " \t\n\x0b\f\r"
+#: The hash of a term that no text has; its last bits are 3.
+NO_WORD = -1
 
 
 def _runs(sorted_values: Column) -> Column:
@@ -56,35 +59,38 @@ def weighted_terms(text: Column) -> Column:
     return F.flatten(F.transform(F.array(_hashed_words(text, 3)), counted))
 
 
-def weighted_terms_of_two(both: Column, one: Column, other: Column) -> Column:
-    """array<struct<term long, w0 double, w1 double>>: the words of two texts, hashed, with
-    their counts in each (0 where a text hasn't the word). The texts are ``both`` + ``one`` and
-    ``both`` + ``other``; ``both`` is empty or ends with white space."""
+def marked_words(both: Column, one: Column, other: Column) -> Column:
+    """struct<n int, words array<long>>: the words of two texts, hashed, one entry an occurrence,
+    whose last bits say where it stands: in both texts (0), in the first (1) or in the second (2);
+    and n, the words of the shorter. ``NO_WORD`` (3) stands in neither. The texts are ``both`` + ``one`` and ``both`` + ``other``;
+    ``both`` is empty or ends with white space. A text without words has one word of its own."""
 
-    def merged(runs: Column) -> Column:
-        term = lambda i: F.get(runs, i)["value"].bitwiseOR(F.lit(3))
-        firsts = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    def joined(both: Column, one: Column, other: Column) -> Column:
+        n = F.size(both) + F.least(F.size(one), F.size(other))
+        return F.struct(n.alias("n"), F.concat(both, one, other, F.array(F.lit(NO_WORD).cast("long"))).alias("words"))
 
-        def weights(t: Column, mine: Column) -> Column:
-            n = lambda *marks: F.aggregate(F.filter(mine, lambda r: r["value"].isin(*[t - (3 - m) for m in marks])), F.lit(0.0), lambda s, r: s + r["n"])
-            return F.struct(t.alias("term"), n(0, 1).alias("w0"), n(0, 2).alias("w1"))
-
-        def one_term(i: Column) -> Column:
-            here, second = F.get(runs, i), F.get(runs, i + 1)
-            alone = ~F.coalesce(term(i + 1) == term(i), F.lit(False))
-            mark = here["value"].bitwiseAND(F.lit(3))
-            own = F.struct(term(i).alias("term"), F.when(mark != 2, here["n"]).otherwise(0.0).alias("w0"), F.when(mark != 1, here["n"]).otherwise(0.0).alias("w1"))
-            return F.when(alone, own).otherwise(weights(term(i), F.slice(runs, i + 1, 3)))
+    none = lambda h, part, mark: F.when(F.size(h["both"]) + F.size(part) == 0, F.array(F.lit(mark).cast("long"))).otherwise(part)
+    hashed = F.struct(_hashed_words(both, 0).alias("both"), _hashed_words(one, 1).alias("one"), _hashed_words(other, 2).alias("other"))
+    # The hashed words are bound once, not spelled out again for each use.
+    whole = F.transform(F.array(hashed), lambda h: F.struct(h["both"].alias("both"), none(h, h["one"], 1).alias("one"), none(h, h["other"], 2).alias("other")))
+    return F.get(F.transform(whole, lambda h: joined(h["both"], h["one"], h["other"])), F.lit(0))
 
-        return F.transform(firsts, one_term)
 
-    def counted(h: Column) -> Column:
-        none = lambda part, mark: F.when(F.size(h["both"]) + F.size(part) == 0, F.array(F.lit(mark).cast("long"))).otherwise(part)
-        runs = _runs(F.sort_array(F.concat(h["both"], none(h["one"], 1), none(h["other"], 2))))
-        return F.flatten(F.transform(F.array(runs), merged))
+def counted_words(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``texts(*keys, copies, both, one, other)`` -> ``*keys, n, term, w0, w1``: the distinct
+    words of two texts (see ``marked_words``) with their counts in each (0 where a text hasn't
+    the word), and n, the words of the shorter. ``copies`` equal rows are one document. Each
+    document has a term without weight, see ``_least_bids``.
 
-    hashed = F.struct(_hashed_words(both, 0).alias("both"), _hashed_words(one, 1).alias("one"), _hashed_words(other, 2).alias("other"))
-    return F.flatten(F.transform(F.array(hashed), counted))
+    Words are counted by an aggregation: a lambda of the array functions is interpreted for
+    every word, an aggregation is compiled.
+    """
+    words = texts.select(*keys, "copies", marked_words(F.col("both"), F.col("one"), F.col("other")).alias("words"))
+    words = words.select(*keys, "copies", "words.n", F.explode("words.words").alias("word"))
+    mark = F.col("word").bitwiseAND(F.lit(3))
+    words = words.select(*keys, "copies", "n", F.col("word").bitwiseOR(F.lit(3)).alias("term"), F.when(mark < 2, 1).otherwise(0).alias("in0"), F.when(mark.isin(0, 2), 1).otherwise(0).alias("in1"))
+    counts = words.groupBy(*keys, "copies", "n", "term").agg(F.sum("in0").alias("w0"), F.sum("in1").alias("w1"))
+    return counts.select(*keys, "n", "term", *[(F.col(w) / F.col("copies")).alias(w) for w in ("w0", "w1")])
 
 
 def _bid(term: Column, log_weight: Column, r: Column, log_c: Column, b: Column) -> Column:
@@ -100,8 +106,10 @@ def _least_bids(terms: DataFrame, keys: list[str], weights: list[str], samples:
     array<int>``, the marks of the lowest bids.
 
     With r = -ln p and c = -ln q a bid is ln a, a >= c p / weight >= (1 - q) p / weight; so
-    where that is beyond ``reach`` (a bound on a), the draw's logarithms are left out. ``sure``
-    says that all lowest bids are within reach, so that no bid left out can be lower.
+    where that is beyond ``reach`` (a bound on a), the draw's logarithms are left out, and a
+    block whose draws are all beyond it isn't aggregated. ``sure`` says that all lowest bids are
+    within reach, so that no bid left out can be lower. A term without weight makes no bid, but
+    its blocks stay: with one, no document is lost.
     """
     unit = lambda x, at: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << 26) - 1)) + F.lit(0.5)) * F.lit(2.0**-26)
     ks, own = range(BLOCK), [*keys, "block", "term", "reach", *[f"log_{w}" for w in weights]]
@@ -112,6 +120,10 @@ def _least_bids(terms: DataFrame, keys: list[str], weights: list[str], samples:
     draws = {f"{x}{k}": unit(F.col(f"{h}{k}"), 0) * unit(F.col(f"{h}{k}"), 26) for k in ks for x, h in (("p", "h"), ("q", "g"))}
     rows = rows.withColumns(draws | {f"b{k}": (F.shiftrightunsigned(F.col(f"h{k}"), 52) + F.lit(0.5)) * F.lit(2.0**-12) for k in ks})
     on = lambda k: F.col("within").isNull() | ((1.0 - F.col(f"q{k}")) * F.col(f"p{k}") <= F.col("within"))
+    # The partition's number, which isn't deterministic, keeps Spark from moving the filter below
+    # the draws, where it would hash all again for each use.
+    bids = reduce(lambda x, y: x | y, [on(k) for k in ks]) | reduce(lambda x, y: x & y, [F.col(f"log_{w}").isNull() for w in weights])
+    rows = rows.withColumn("part", F.spark_partition_id()).where(bids | (F.col("part") < 0))
     rows = rows.select(*own, *[c for k in ks for c in (F.when(on(k), -F.log(f"p{k}")).alias(f"r{k}"), F.when(on(k), F.log(-F.log(f"q{k}"))).alias(f"c{k}"), F.col(f"b{k}"))])
     least = [F.min(_bid(F.col("term"), F.col(f"log_{w}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"b{k}"))).alias(f"{w}_{k}") for k in ks for w in weights]
     found = rows.groupBy(*keys, "block").agg(*least, F.min("reach").alias("reach"))
@@ -125,22 +137,27 @@ def _least_bids(terms: DataFrame, keys: list[str], weights: list[str], samples:
     return found.select(*keys, "sure", *[F.slice(F.flatten(F.col(f"b.{w}")), 1, samples).alias(f"m_{w}") for w in weights])
 
 
-def _marked(texts: DataFrame, keys: list[str], terms: Column, weights: list[str], samples: int) -> DataFrame:
-    """``texts(*keys, ...)`` -> ``*keys``, and for each weight ``m_<weight> array<int>``, the
-    marks of the lowest bids of ``terms``. Of n words the lowest a is over LIKELY / n once in
-    exp(LIKELY); such documents are drawn again in full."""
-    arrays = texts.select(*keys, terms.alias("terms"))
-    rows = arrays.select(*keys, F.size("terms").alias("n"), "terms").select(*keys, "n", F.inline("terms"))
-    first = written(_least_bids(rows, keys, weights, samples, F.lit(LIKELY) / F.col("n")), "prints")
+def _marked(rows: Callable[[DataFrame | None], DataFrame], keys: list[str], weights: list[str], samples: int) -> DataFrame:
+    """``*keys``, and for each weight ``m_<weight> array<int>``, the marks of the lowest bids of
+    ``rows(left)(*keys, n, term, *weights)``: the terms of all documents, or of those whose keys
+    are in ``left``. Of n words the lowest a is over LIKELY / n once in exp(LIKELY); such
+    documents are drawn again in full, and only their texts are read into terms again."""
+    first = written(_least_bids(rows(None), keys, weights, samples, F.lit(LIKELY) / F.col("n")), "prints")
     if first.where("not sure").isEmpty():
         return first.drop("sure")
-    left = first.where("not sure").select(*[F.col(k).alias(f"__{k}") for k in keys])
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    again = arrays.join(left, same, "left_semi").select(*keys, F.inline("terms"))
-    again = written(_least_bids(again, keys, weights, samples, None), "prints-in-full")
+    left = written(first.where("not sure").select(*keys), "prints-left")
+    again = written(_least_bids(rows(left), keys, weights, samples, None), "prints-in-full")
     return first.where("sure").unionByName(again).drop("sure")
 
 
+def _among(rows: DataFrame, left: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in ``left``, a null key being a key; without it all of them."""
+    if left is None:
+        return rows
+    left = left.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return rows.join(left, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_semi")
+
+
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``texts(*keys, text)`` -> ``*keys, marks array<int>``, one row per distinct key, with
     ``samples`` marks.
@@ -151,8 +168,13 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples:
     not have the names of the columns used here. No rows give no rows. Bids of a partition are
     aggregated before any shuffle.
     """
-    terms = weighted_terms(F.coalesce(F.col(text), F.lit("")))
-    return _marked(texts.select(*keys, text), keys, terms, ["w0"], samples).withColumnRenamed("m_w0", "marks")
+
+    def rows(left: DataFrame | None) -> DataFrame:
+        arrays = _among(texts.select(*keys, text), left, keys).select(*keys, weighted_terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+        none = F.array(F.struct(F.lit(NO_WORD).cast("long").alias("term"), F.lit(0.0).alias("w0")))
+        return arrays.select(*keys, F.size("terms").alias("n"), F.concat("terms", none).alias("terms")).select(*keys, "n", F.inline("terms"))
+
+    return _marked(rows, keys, ["w0"], samples).withColumnRenamed("m_w0", "marks")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -175,6 +197,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     return written(order.join(after, "i"), "print-next")
 
 
+def edited_texts(texts: DataFrame, nexts: DataFrame) -> DataFrame:
+    """``texts(k, h, text)`` of all documents and the rows of ``with_next`` that are wanted ->
+    ``k, h, i, again, n_chars, sha, copies, both, one, other``: a text is ``both`` + ``one``, its
+    edited text ``both`` + ``other``, of digest ``sha``. Where there are copies, ``again`` is 1
+    for those that an equal row follows. Each row is there as often as its copies."""
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    # The texts are shuffled once by (k, h): both joins and the aggregation share that exchange.
+    lent = texts.join(nexts.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "i", "n_chars", "copies"), ["k", "h"])
+    lent = lent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "i", "n_chars", "copies", F.substring("text", F.lit(1), third).alias("tail"))
+    lent = lent.dropDuplicates(["k", "h", "i"])
+    own = F.struct(F.lit(1).alias("again"), F.substring("text", F.lit(1), third).alias("tail"))
+    ends = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("again"), F.col("tail")), own)).otherwise(F.array(F.struct(F.lit(0).alias("again"), F.col("tail"))))
+    edited = texts.join(lent, ["k", "h"]).select("k", "h", "i", "n_chars", "copies", "text", F.inline(ends))
+    # What an edited text keeps, up to its last white space, is hashed once for both texts. The
+    # digest stands below the explosion of words, so it is taken once a document.
+    edited = edited.withColumn("kept", F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")))
+    edited = edited.select("k", "h", "i", "again", "n_chars", "copies", F.sha2(F.concat("kept", "tail").cast("binary"), 256).alias("sha"), "text", "kept", "tail", F.regexp_extract("kept", f"^(?s:.*[{SPACES}])", 0).alias("both"))
+    rest = lambda t: F.substring(t, F.length("both") + 1, F.length(t))
+    return edited.select("k", "h", "i", "again", "n_chars", "sha", "copies", "both", rest(F.col("text")).alias("one"), F.concat(rest(F.col("kept")), F.col("tail")).alias("other"))
+
+
 def edited_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``: fingerprints of every text and of its edited
@@ -189,23 +232,13 @@ def edited_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce("doc_id", F.lit(0).cast("long")), "h": F.xxhash64("text", F.col("doc_id").isNull()), "n_chars": F.length("text").cast("long")})
     nexts = with_next(docs)
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    # The texts are shuffled once by (k, h): both joins and the aggregation share that exchange.
-    texts = docs.select("k", "h", "text")
-    lent = texts.join(nexts.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "i", "n_chars", "copies"), ["k", "h"])
-    lent = lent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "i", "n_chars", "copies", F.substring("text", F.lit(1), third).alias("tail"))
-    lent = lent.dropDuplicates(["k", "h", "i"])
-    own = F.struct(F.lit(1).alias("again"), F.substring("text", F.lit(1), third).alias("tail"))
-    ends = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("again"), F.col("tail")), own)).otherwise(F.array(F.struct(F.lit(0).alias("again"), F.col("tail"))))
-    edited = texts.join(lent, ["k", "h"]).select("k", "h", "i", "n_chars", "text", F.inline(ends))
     keys = ["k", "h", "i", "again", "n_chars", "sha"]
-    # What an edited text keeps, up to its last white space, is hashed once for both texts. The
-    # digest stands below the explosion of terms, so it is taken once a document.
-    edited = edited.withColumn("kept", F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")))
-    edited = edited.select(*keys[:-1], F.sha2(F.concat("kept", "tail").cast("binary"), 256).alias("sha"), "text", "kept", "tail", F.regexp_extract("kept", f"^(?s:.*[{SPACES}])", 0).alias("both"))
-    rest = lambda t: F.substring(t, F.length("both") + 1, F.length(t))
-    terms = weighted_terms_of_two(F.col("both"), rest(F.col("text")), F.concat(rest(F.col("kept")), F.col("tail")))
-    prints = _marked(edited, keys, terms, ["w0", "w1"], samples)
+
+    def rows(left: DataFrame | None) -> DataFrame:
+        few = nexts if left is None else written(_among(nexts, left, ["i"]), "print-again")
+        return counted_words(_among(edited_texts(docs.select("k", "h", "text"), few), left, keys), keys)
+
+    prints = _marked(rows, keys, ["w0", "w1"], samples)
     after = prints.where("again = 0").select(F.col("i").alias("next_i"), F.col("m_w0").alias("next_marks"))
     after = nexts.select("i", "doc_id", "copies", "next_i").join(after, "next_i").select("i", "doc_id", "copies", "next_marks")
     out = prints.join(after, "i").withColumn("next_marks", F.when(F.col("again") == 1, F.col("m_w0")).otherwise(F.col("next_marks")))

@@ -545,3 +545,24 @@ def test_gradients_match_differences():
         down = loss()
         p[k][at] = old
         assert g[k][at] == pytest.approx((up - down) / 2e-4, rel=0.05, abs=2e-4)
+
+
+def test_only_documents_out_of_reach_are_read_into_terms_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, int(rng.integers(1, 60))))) for i in range(50)] + [(7, "again and again and"), (7, "again and again and"), (90, None)]
+    df, read, counted = spark.createDataFrame(rows, "doc_id long, text string"), [], fingerprints.counted_words
+
+    def seen(texts, keys):
+        read.append({tuple(r) for r in texts.select("i", "again").collect()})
+        return counted(texts, keys)
+
+    monkeypatch.setattr(fingerprints, "counted_words", seen)
+    monkeypatch.setattr(fingerprints, "LIKELY", 5.5)
+    few = sorted(map(tuple, fingerprints.edited_report(df, samples=18).collect()), key=repr)
+    assert len(read) == 2 and 0 < len(read[1]) < len(read[0]) and read[1] < read[0]
+    monkeypatch.setattr(fingerprints, "LIKELY", 1e9)
+    assert few == sorted(map(tuple, fingerprints.edited_report(df, samples=18).collect()), key=repr)
+    copies = spark.createDataFrame([(1, 2, "a b a\n", "c", "d d")] * 2 + [(2, 1, "", "", "x")], "i long, copies long, both string, one string, other string")
+    found = counted(copies, ["i"]).collect()
+    weights = [sorted((r.w0, r.w1) for r in found if r.i == i) for i in (1, 2)]
+    assert weights == [[(0, 0), (0, 2), (1, 0), (1, 1), (2, 2)], [(0, 0), (0, 1), (1, 0)]] and {(r.i, r.n) for r in found} == {(1, 4), (2, 1)}
