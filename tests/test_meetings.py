@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import meetings as M
+from tessella.operators import rewire as H
 from tessella.operators import similarity as S
+from tessella.operators import stats as I
 
 
 def shuffled(spark):
@@ -87,3 +89,52 @@ def test_products_of_cells_are_not_shuffled(spark):
         before = shuffled(spark)
         assert of(cells).count() >= 1500
         assert shuffled(spark) - before < 4 * cells.count()
+
+
+def test_wanted_nearest_counts_and_differences_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART", 9)
+    rows = profiles()
+    want, cells = plain(rows), cells_of(spark, rows)
+    layers = {"s": S.profile_layer(cells), "t": S.masked_layer(cells), "g": S.set_layer(cells, 6, "row_id", "col_id")}
+    asked = [(a, b) for a in list(rows)[:20] for b in list(rows)[::7] if a != b] + [(1, 999)]
+    got = {(r.src, r.dst): r for r in M.pair_values(layers, spark.createDataFrame(asked, "src int, dst int")).collect()}
+    known = {p: want[min(p), max(p)] for p in asked if (min(p), max(p)) in want}
+    assert set(got) == set(known)
+    assert all(got[p].s == pytest.approx(x[1], abs=6e-7) and got[p].g_shared == x[0] and got[p].t == (None if x[2] is None else pytest.approx(x[2], abs=6e-7)) for p, x in known.items())
+
+    near = M.nearest({"t": layers["t"]}, 3, lambda block: block.layers["t"].value, 6)
+    both = {p: x[2] for (a, b), x in want.items() if x[2] is not None for p in ((a, b), (b, a))}
+    best = {(a, at): b for a in rows for at, (_, b) in enumerate(sorted((-math.copysign(math.floor(abs(v) * 1e6 + 0.5), v), b) for (c, b), v in both.items() if c == a)[:3], 1)}
+    assert {(r.src, r["rank"]): r.dst for r in near.collect()} == best
+
+    counts = {round(r.value, 6): r.n for r in M.value_counts({"s": layers["s"]}, lambda block: block.layers["s"].value, 6).collect()}
+    values = [math.floor(x[1] * 1e6 + 0.5) / 1e6 for x in want.values()]
+    assert counts == {v: values.count(v) for v in set(values)}
+
+    view = lambda name: S.mirrored(M.all_pairs({"value": layers[name]}).select("src", "dst", "value"))
+    one, other = H.layers_diff(layers["s"], layers["g"], 10).first(), H.matrix_diff(view("s"), view("g"), 10).first()
+    assert one.cells == other.cells and list(one) == pytest.approx(list(other))
+
+
+def test_support_of_pairs_does_not_shuffle_their_items(spark):
+    sets = spark.range(100 * 60).select((F.col("id") % 100).alias("owner"), (F.floor(F.col("id") / 100) + F.col("id") % 100 % 7).alias("item"))
+    pairs = spark.range(100 * 100).select(F.lit("x").alias("cohort"), F.floor(F.col("id") / 100).alias("src"), (F.col("id") % 100).alias("dst")).where("src < dst")
+    before = shuffled(spark)
+    rows = I.pair_support(pairs, sets, sets.where("item < 9")).collect()
+    assert shuffled(spark) - before < 120_000
+    own = {o: {i + o % 7 for i in range(60)} for o in range(100)}
+    assert len(rows) == 4950 and all(r.shared_gene_count == len(own[r.src] & own[r.dst]) and r.source_pathway_count == sum(i < 9 for i in own[r.src]) for r in rows)
+
+
+def test_a_distribution_keeps_distinct_values_only(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(I, "written", lambda df, name, real=I.written: kept.append(real(df, name)) or kept[-1])
+    r = I.distribution(spark.range(5000).select((F.col("id") % 10 / 10.0).alias("x")), "x").first()
+    assert (r.n, r.mean, r.std, r.p50, r.ge_80) == (5000, pytest.approx(0.45), pytest.approx(np.std(np.arange(10) / 10)), pytest.approx(0.45), pytest.approx(0.2))
+    assert max(k.count() for k in kept) == 10
+
+
+def test_one_value_has_no_correlation_whatever_its_partitions(spark):
+    """49 times a 49th isn't 1."""
+    df = spark.range(0, 98, 1, 2).select(F.lit(1.0).alias("x"), F.col("id").cast("double").alias("y"))
+    assert I.pearson(df, "x", "y").first().r is None and I.spearman(df, "x", "y").first().r is None
