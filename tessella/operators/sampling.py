@@ -58,6 +58,7 @@ def negative_samples(positives: DataFrame, pools: DataFrame, known: DataFrame, a
     the place in the pool. A positive without a free draw takes, of all its free edges, the
     first by hash; where both sides have none, ``neg_source`` and ``neg_target`` are null.
     """
+    pools = written(pools.select("type", "at", "id"), "negative-pools")
     sizes = pools.groupBy("type").agg(F.count("*").alias("size"))
     edge = ["source", "relation", "target"]
     new = lambda side, kept: [*edge, *kept, F.when(side == 0, F.col("id")).otherwise(F.col("source")).alias("neg_source"), F.when(side == 1, F.col("id")).otherwise(F.col("target")).alias("neg_target")]
@@ -65,18 +66,26 @@ def negative_samples(positives: DataFrame, pools: DataFrame, known: DataFrame, a
     first = lambda rows, by: rows.join(k, ["neg_source", "relation", "neg_target"], "left_anti").groupBy(*edge).agg(F.min_by(F.struct("neg_source", "neg_target"), by).alias("n"))
 
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "relation", "target", "attempt")), 1, 12), 16, 10).cast("long")
-    draws = positives.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).withColumn("h", h)
-    draws = draws.withColumn("side", F.col("h") % 2).withColumn("type", F.when(F.col("side") == 0, F.col("source_type")).otherwise(F.col("target_type")))
-    draws = draws.join(sizes, "type").withColumn("at", F.floor(F.col("h") / 2).cast("long") % F.col("size")).join(pools, ["type", "at"])
-    drawn = first(draws.select(*new(F.col("side"), ["attempt"])), "attempt")
+    # Only edges whose earlier draws were all taken draw again, so no table has all attempts of all edges.
+    taken = known.select(F.col("source").alias("neg_source"), "relation", F.col("target").alias("neg_target")).distinct().withColumn("taken", F.lit(True))
+    waiting, drawn = positives.groupBy(*edge).agg(F.min(F.struct("source_type", "target_type")).alias("t")).select(*edge, "t.source_type", "t.target_type"), []
+    for attempt in range(1, attempts + 1):
+        draws = waiting.withColumn("attempt", F.lit(attempt)).withColumn("h", h)
+        draws = draws.withColumn("side", F.col("h") % 2).withColumn("type", F.when(F.col("side") == 0, F.col("source_type")).otherwise(F.col("target_type")))
+        draws = draws.join(F.broadcast(sizes), "type", "left").withColumn("at", F.floor(F.col("h") / 2).cast("long") % F.col("size")).join(pools, ["type", "at"], "left")
+        tried = draws.select(*new(F.col("side"), ["source_type", "target_type", F.col("id").isNull().alias("none")]))
+        tried = written(tried.join(taken, ["neg_source", "relation", "neg_target"], "left").withColumn("taken", F.col("none") | F.coalesce("taken", F.lit(False))), "negatives")
+        drawn.append(tried.where("not taken").select(*edge, F.struct("neg_source", "neg_target").alias("n")))
+        waiting = tried.where("taken").select(*edge, "source_type", "target_type")
+        if waiting.isEmpty():
+            break
 
     # The few without a free draw are held against their entire pools.
-    left = positives.select(*edge, "source_type", "target_type").join(drawn, edge, "left_anti")
-    sided = left.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("type", F.when(F.col("side") == 0, F.col("source_type")).otherwise(F.col("target_type")))
+    sided = waiting.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("type", F.when(F.col("side") == 0, F.col("source_type")).otherwise(F.col("target_type")))
     every = sided.join(pools, "type").select(*new(F.col("side"), []))
     rest = first(every, F.struct(order_key(seed, *edge, "neg_source", "neg_target"), "neg_source", "neg_target"))
-    found = drawn.unionByName(rest)
-    return positives.select(*edge).distinct().join(found, edge, "left").select(*edge, "n.neg_source", "n.neg_target")
+    found = reduce(DataFrame.unionByName, [*drawn, waiting.select(*edge).join(rest, edge, "left")])
+    return found.select(*edge, "n.neg_source", "n.neg_target")
 
 
 def capped_sample(edges: DataFrame, cap: int, seed: int, relation: str = "relation", keys: tuple[str, ...] = ("source", "target")) -> DataFrame:
