@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import blocked
 from tessella.operators import meetings as M
 from tessella.operators import rewire as H
+from tessella.operators import sampling as P
 from tessella.operators import similarity as S
 from tessella.operators import stats as I
 
@@ -138,3 +140,21 @@ def test_one_value_has_no_correlation_whatever_its_partitions(spark):
     """49 times a 49th isn't 1."""
     df = spark.range(0, 98, 1, 2).select(F.lit(1.0).alias("x"), F.col("id").cast("double").alias("y"))
     assert I.pearson(df, "x", "y").first().r is None and I.spearman(df, "x", "y").first().r is None
+
+
+def test_only_edges_without_a_free_draw_draw_again(spark):
+    e = spark.range(3000).select((F.col("id") % 300).cast("string").alias("source"), F.lit("r").alias("relation"), F.concat(F.lit("g"), (F.col("id") * 7 % 997).cast("string")).alias("target"), F.lit("drug").alias("source_type"), F.lit("gene").alias("target_type")).distinct()
+    pools = P.type_pools(e.select(F.col("source_type").alias("node_type"), F.col("source").alias("node_id")).union(e.select("target_type", "target")).distinct())
+    before = shuffled(spark)
+    got = P.negative_samples(e, pools, e, attempts=40).collect()
+    assert shuffled(spark) - before < 60_000
+    own = {(r.source, r.target) for r in e.collect()}
+    assert len(got) == len(own) and all((r.neg_source, r.neg_target) not in own and (r.neg_source == r.source) != (r.neg_target == r.target) for r in got)
+
+
+def test_vectors_are_sent_once_for_each_large_block(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "VECTORS", 16)
+    monkeypatch.setattr(blocked, "AGAINST", 2)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(64)], "id int, vec array<double>")
+    assert blocked._faced(blocked._unit(df, "id", "vec")).count() == 2 * 64 * 2
+    assert blocked.cosine_pairs(df).count() == 64 * 63 // 2
