@@ -14,3 +14,8 @@ def test_rounding_is_that_of_sql(spark):
     want = [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
     assert got == want and got[0] == 0.504687
     assert [None if v is None else M.to_units(np.array([v]), 6)[0] / 1e6 for v in values] == want
+
+
+def test_a_missing_value_is_not_clipped_to_one(spark):
+    df = spark.createDataFrame([(0, None), (1, 1.0 + 1e-9), (2, -1e-9), (3, 0.5)], "i int, v double")
+    assert [r.v for r in df.orderBy("i").select(S.clip_unit(F.col("v")).alias("v")).collect()] == [None, 1.0, 0.0, 0.5]
